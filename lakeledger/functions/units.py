@@ -12,12 +12,16 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def fmt_bytes(x: Column) -> Column:
-    """1536 -> ``1.5KB``."""
+    """1536 -> ``1.5KB``; exact halves go to the even digit."""
     v = x.cast("double")
-    ladder = F.when(v < 1024, F.concat(fixed(v, 1), F.lit("B")))
+
+    def even(y: Column) -> Column:
+        return fixed(F.bround(y, 1), 1)
+
+    ladder = F.when(v < 1024, F.concat(even(v), F.lit("B")))
     for power, unit in enumerate(["KB", "MB", "GB"], start=1):
-        ladder = ladder.when(v < 1024.0 ** (power + 1), F.concat(fixed(v / 1024.0**power, 1), F.lit(unit)))
-    return ladder.when(v.isNotNull(), F.concat(fixed(v / 1024.0**4, 1), F.lit("TB")))
+        ladder = ladder.when(v < 1024.0 ** (power + 1), F.concat(even(v / 1024.0**power), F.lit(unit)))
+    return ladder.when(v.isNotNull(), F.concat(even(v / 1024.0**4), F.lit("TB")))
 
 
 def fmt_bytes_long(x: Column) -> Column:

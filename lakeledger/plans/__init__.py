@@ -1,4 +1,4 @@
 """Registered queries; importing this package fills the registry."""
 
-from lakeledger.plans import q_anomalies  # noqa: F401
+from lakeledger.plans import q_anomalies, q_functions  # noqa: F401
 from lakeledger.plans.registry import ORACLES, QUERIES  # noqa: F401
