@@ -56,8 +56,8 @@ FROM (SELECT 'o1' AS org_id, 'region:' || CAST(n_regionkey AS STRING) AS source,
 """
 VIEWS["v_column_changes"] = """
 SELECT 'o' || CAST(1 + user_id % 2 AS STRING) AS org_id,
-       'd' || CAST(user_id % 60 AS STRING) AS source_dataset, 'c' || CAST(event_id % 5 AS STRING) AS source_column,
-       'd' || CAST((user_id % 60 + 2 + 2 * (event_id % 2)) % 60 AS STRING) AS target_dataset,
+       'd' || CAST(user_id AS STRING) AS source_dataset, 'c' || CAST(event_id % 5 AS STRING) AS source_column,
+       'd' || CAST(CASE WHEN event_id % 50 = 0 AND user_id > 6 THEN user_id - 6 ELSE user_id + 2 + 2 * (event_id % 2) END AS STRING) AS target_dataset,
        'c' || CAST(event_id * 3 % 5 AS STRING) AS target_column,
        CASE event_type WHEN 'click' THEN 'DIRECT' WHEN 'view' THEN 'EXPRESSION' WHEN 'error' THEN 'CASE' WHEN 'signup' THEN 'JOIN' ELSE 'AGGREGATE' END AS transform_type,
        CASE event_type WHEN 'click' THEN NULL ELSE event_type || '(c' || CAST(event_id % 5 AS STRING) || ')' END AS expression,
