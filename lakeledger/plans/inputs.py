@@ -94,6 +94,20 @@ SELECT n_nationkey AS rule_id, 'rule ' || n_name AS rule_name,
        CASE n_nationkey % 3 WHEN 0 THEN 30 ELSE 60 END AS deduplication_minutes
 FROM {nation}
 """
+VIEWS["v_rule_book"] = """
+SELECT s_suppkey AS rule_id, 'rule ' || s_name AS rule_name,
+       CASE s_suppkey % 3 WHEN 0 THEN 'o1' WHEN 1 THEN 'o2' ELSE NULL END AS org_id,
+       CASE s_nationkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'cl*' WHEN 2 THEN 'view' ELSE '*' END AS dataset_pattern,
+       CASE s_suppkey % 2 WHEN 0 THEN 'WARNING' ELSE NULL END AS severity, s_suppkey % 7 <> 3 AS enabled
+FROM {supplier}
+"""
+VIEWS["v_rule_changes"] = """
+SELECT s_suppkey AS rule_id, CASE WHEN s_suppkey % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op, s_suppkey * 10 + 1 AS seq,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'renamed ' || CAST(s_suppkey AS STRING) ELSE NULL END AS rule_name, CAST(NULL AS STRING) AS org_id,
+       CASE WHEN s_suppkey % 2 = 0 THEN 'new*' ELSE NULL END AS dataset_pattern, CAST(NULL AS STRING) AS severity, CASE WHEN s_suppkey % 4 = 0 THEN s_acctbal > 0 ELSE NULL END AS enabled
+FROM {supplier} WHERE s_acctbal > 1000
+UNION ALL SELECT s_suppkey + 1000000, 'upsert', 7, 'added ' || s_name, 'o1', '*', 'CRITICAL', s_nationkey > 3 FROM {supplier} WHERE s_acctbal < 500
+"""
 VIEWS["v_alert_history"] = """
 SELECT event_id AS alert_id, CAST(event_id % 25 AS INT) AS rule_id, event_id AS anomaly_id,
        CASE user_id % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'DEDUPLICATED' ELSE 'SENT' END AS status,

@@ -168,7 +168,7 @@ _RAW_E = """SELECT 'o' || CAST(1 + user_id % 2 AS STRING) AS org_id, event_type
   'j' || CAST(user_id AS STRING) AS job_id, 'name' || CAST(user_id % 3 AS STRING) AS job_name FROM {events}"""
 
 
-@query("u7_clean_edges", f"""WITH raw AS ({_RAW_E}) SELECT org_id, source, target, min_by(job_id, job_id || '|' || job_name) AS job_id FROM raw r
+@query("u7_clean_edges", f"""WITH raw AS ({_RAW_E}) SELECT org_id, source, target, min(job_id) AS job_id FROM raw r
  WHERE source <> target AND EXISTS (SELECT 1 FROM {{v_datasets}} d WHERE d.org_id = r.org_id AND d.name = r.source) AND EXISTS (SELECT 1 FROM {{v_datasets}} d WHERE d.org_id = r.org_id AND d.name = r.target) GROUP BY org_id, source, target""")
 def _(t):
     return g.clean_edges(t.sql(_RAW_E), t("v_datasets")).drop("job_name")

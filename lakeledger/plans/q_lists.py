@@ -59,9 +59,9 @@ def _(t):
     return h.select("alert_id", "rule_id", "rule_name", "status", *_s("sent_at"))
 
 
-@query("p9_alert_rules", "SELECT rule_id, rule_name, dataset_pattern, enabled FROM {v_rules} WHERE (org_id = 'o2' OR org_id IS NULL) AND enabled")
+@query("p9_alert_rules", "SELECT rule_id, rule_name, dataset_pattern, enabled FROM {v_rule_book} WHERE (org_id = 'o2' OR org_id IS NULL) AND enabled")
 def _(t):
-    return li.list_alert_rules(t("v_rules"), "o2", True).select("rule_id", "rule_name", "dataset_pattern", "enabled")
+    return li.list_alert_rules(t("v_rule_book"), "o2", True).select("rule_id", "rule_name", "dataset_pattern", "enabled")
 
 
 @query("p10_recent_anomalies", f"SELECT anomaly_id, dataset, anomaly_type, severity, {_d('detected_at')} FROM {{v_anomalies}} WHERE detected_at > TIMESTAMP '{_AS_OF}' - INTERVAL 168 HOUR")
@@ -69,9 +69,9 @@ def _(t):
     return li.recent_anomalies(t("v_anomalies"), _AS_OF).select("anomaly_id", "dataset", "anomaly_type", "severity", *_s("detected_at"))
 
 
-@query("p12_active_rules", "SELECT rule_id, org_id FROM {v_rules} WHERE enabled AND (org_id = 'o1' OR org_id IS NULL)")
+@query("p12_active_rules", "SELECT rule_id, org_id FROM {v_rule_book} WHERE enabled AND (org_id = 'o1' OR org_id IS NULL)")
 def _(t):
-    return li.list_alert_rules(t("v_rules"), "o1", True).select("rule_id", "org_id")
+    return li.list_alert_rules(t("v_rule_book"), "o1", True).select("rule_id", "org_id")
 
 
 @query("j1_lineage_graph_view", "SELECT e.org_id, e.source, e.target, s.dataset_type AS source_type, d.dataset_type AS target_type, e.job_name FROM {v_edges} e JOIN {v_datasets} s ON s.org_id = e.org_id AND s.name = e.source JOIN {v_datasets} d ON d.org_id = e.org_id AND d.name = e.target")
