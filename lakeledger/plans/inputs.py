@@ -208,3 +208,80 @@ FROM {orders}
 # --- raw trips and weather --------------------------------------------------------
 VIEWS["v_trip_ids"] = "SELECT o_orderkey AS idx FROM {orders}"
 VIEWS["v_weather_ids"] = "SELECT DISTINCT CAST(hour(ts) AS BIGINT) AS idx FROM {events}"
+
+# --- event log lines: one application per customer, one job and one write per order ------
+# In the texts below « » stand for braces and ~ for a newline inside JSON.
+_J = "replace(replace(replace({}, '«', chr(123)), '»', chr(125)), '~', chr(92) || 'n')"
+_LOG = "'log-' || CAST(o_custkey AS STRING)"
+_KEY = "CAST(o_orderkey AS STRING)"
+_T0 = "CAST(1700000000000 + o_orderkey * 1000 AS STRING)"
+_SRC = "'src' || CAST(o_custkey % 9 AS STRING)"
+_REF = "'s3a://lake/ref' || CAST(o_orderkey % 7 AS STRING) || '/dt=20240101'"
+_DST = "'hdfs://nn:8020/out' || CAST(o_custkey % 50 AS STRING) || CASE WHEN o_custkey % 4 = 0 THEN '/country=C' || CAST(o_orderkey % 3 AS STRING) ELSE '' END || '/dt=20240101'"
+_LOGICAL = (
+    "'== Physical Plan ==~Execute CreateDataSourceTableAsSelectCommand (1)~~~(1) Execute CreateDataSourceTableAsSelectCommand~Output: []~~(2) CreateDataSourceTableAsSelectCommand~Arguments: `spark_catalog`.`default`.`tab' || CAST(o_custkey % 50 AS STRING)"
+    " || '`, Overwrite, [id, total, flag]~~(3) LogicalRelation~Arguments: parquet, [id#1L, price#2, status#3], `spark_catalog`.`default`.`' || " + _SRC + " || '`, false~~(4) LogicalRelation~Arguments: parquet, [ref#4, id2#5L], false"
+    "~~(5) Join~Arguments: Inner, (id#1L = id2#5L)~~(6) Project~Arguments: [id#1L, (price#2 * cast(2 as double)) AS dbl#6, status#3, ref#4]~~(7) Aggregate~Arguments: [id#1L, status#3], [id#1L, sum(dbl#6) AS total#7, status#3 AS flag#8]~'"
+)
+_PHYS_TABLE = (
+    "'== Physical Plan ==~Execute InsertIntoHadoopFsRelationCommand (4)~~~(1) Scan parquet spark_catalog.default.' || " + _SRC + " || '~Output [3]: [id#1L, price#2, status#3]~Batched: true~Location: InMemoryFileIndex [file:/wh/' || " + _SRC
+    + " || ']~ReadSchema: struct<id:bigint,price:double,status:string>~~(2) Scan parquet ~Output [2]: [ref#4, id2#5L]~Batched: true~Location: InMemoryFileIndex [' || " + _REF
+    + " || ']~ReadSchema: struct<ref:string,id2:bigint>~~(3) WriteFiles~Input [3]: [id#1L, total#7, flag#8]~~(4) Execute InsertIntoHadoopFsRelationCommand~Input: []~Arguments: file:/wh/tab, false, Parquet, [path=file:/wh/tab], Overwrite, [id, total, flag]~'"
+)
+_PHYS_FILE = (
+    "'== Physical Plan ==~Execute InsertIntoHadoopFsRelationCommand (4)~~~(1) Scan parquet ~Output [2]: [ref#4, id2#5L]~Batched: true~Location: InMemoryFileIndex [' || " + _REF
+    + " || ']~ReadSchema: struct<ref:string,id2:bigint>~~' || CASE WHEN o_orderkey % 5 = 0 THEN '(2) Scan parquet ~Output [1]: [old#9]~Location: InMemoryFileIndex [' || " + _DST
+    + " || ']~ReadSchema: struct<old:int>~~' ELSE '' END || '(3) WriteFiles~Input [2]: [ref#4, id2#5L]~~(4) Execute InsertIntoHadoopFsRelationCommand~Input: []~Arguments: ' || " + _DST + " || ', false, Parquet, [path=' || " + _DST + " || '], Overwrite, [ref, id2]~'"
+)
+
+
+def _sql_event(plan: str, execution: str) -> str:
+    return (
+        "'«\"Event\":\"org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart\",\"executionId\":' || CAST(" + execution + " AS STRING) || ',\"rootExecutionId\":' || CAST(o_orderkey * 3 AS STRING)"
+        " || ',\"description\":\"save\",\"physicalPlanDescription\":\"' || " + plan + " || '\",\"time\":' || " + _T0 + " || '»'"
+    )
+
+
+_JOB_START = (
+    "'«\"Event\":\"SparkListenerJobStart\",\"Job ID\":' || " + _KEY + " || ',\"Submission Time\":' || " + _T0 + " || ',\"Stage IDs\":[' || CAST(o_orderkey * 2 AS STRING) || ',' || CAST(o_orderkey * 2 + 1 AS STRING)"
+    " || '],\"Properties\":«\"spark.app.name\":\"app' || CAST(o_custkey % 7 AS STRING) || '\",\"spark.sql.execution.id\":\"' || CAST(o_orderkey * 3 AS STRING) || '\"' || CASE WHEN o_custkey % 3 = 0 THEN ',\"spark.job.description\":\"nightly ' || CAST(o_custkey % 5 AS STRING) || '\"' ELSE '' END || '»»'"
+)
+_JOB_END = (
+    "'«\"Event\":\"SparkListenerJobEnd\",\"Job ID\":' || " + _KEY + " || ',\"Completion Time\":' || " + _T0 + " || ',\"Job Result\":«\"Result\":\"' || CASE WHEN o_orderkey % 13 = 0 THEN 'JobFailed\",\"Exception\":«\"Message\":\"boom ' || " + _KEY + " || '\"»' ELSE 'JobSucceeded\"' END || '»»'"
+)
+
+
+def _stage(n: str) -> str:
+    return (
+        "'«\"Event\":\"SparkListenerStageCompleted\",\"Stage Info\":«\"Stage ID\":' || CAST(o_orderkey * 2 + " + n + " AS STRING) || ',\"Stage Attempt ID\":0,\"Stage Name\":\"s' || " + _KEY + " || '\",\"Number of Tasks\":4,\"Submission Time\":' || " + _T0
+        + " || ',\"Completion Time\":' || CAST(1700000000000 + o_orderkey * 1000 + o_custkey AS STRING)" + (" || CASE WHEN o_orderkey % 11 = 0 THEN ',\"Failure Reason\":\"lost\"' ELSE '' END" if n == "1" else "") + " || '»»'"
+    )
+
+
+_TASK = (
+    "'«\"Event\":\"SparkListenerTaskEnd\",\"Stage ID\":' || CAST(l_orderkey * 2 + l_linenumber % 2 AS STRING) || ',\"Stage Attempt ID\":0,\"Task Info\":«\"Task ID\":' || CAST(l_partkey AS STRING) || ',\"Executor ID\":\"' ||"
+    " CASE WHEN l_suppkey % 10 = 0 THEN 'driver' ELSE CAST(l_suppkey % 4 AS STRING) END || '\",\"Locality\":\"' || CASE l_linenumber WHEN 1 THEN 'NODE_LOCAL' WHEN 2 THEN 'RACK_LOCAL' WHEN 3 THEN 'ANY' ELSE 'PROCESS_LOCAL' END || '\",\"Failed\":' ||"
+    " CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'true' ELSE 'false' END || '»,\"Task Metrics\":«\"Executor Run Time\":' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || ',\"Executor CPU Time\":' || CAST(CAST(l_quantity AS BIGINT) * 1000 AS STRING) ||"
+    " ',\"Peak Execution Memory\":' || CAST(l_partkey % 1000 AS STRING) || ',\"JVM GC Time\":' || CAST(l_linenumber AS STRING) || ',\"Shuffle Read Metrics\":«\"Remote Bytes Read\":' || CAST(l_partkey AS STRING) || ',\"Local Bytes Read\":5»,\"Output Metrics\":«\"Bytes Written\":' ||"
+    " CAST(l_suppkey AS STRING) || ',\"Records Written\":' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '»»»'"
+)
+VIEWS["v_event_lines"] = " UNION ALL ".join(
+    [
+        f"SELECT 'log-' || CAST(c_custkey AS STRING) AS log_id, {_J.format(body)} AS value FROM {{customer}}"
+        for body in (
+            "'«\"Event\":\"SparkListenerApplicationStart\",\"App Name\":\"app' || CAST(c_custkey % 7 AS STRING) || '\",\"App ID\":\"app-' || CAST(c_custkey AS STRING) || '\",\"Timestamp\":1700000000000»'",
+            "'«\"Event\":\"SparkListenerEnvironmentUpdate\",\"Spark Properties\":«\"spark.executor.memory\":\"' || CAST(1 + c_custkey % 8 AS STRING) || 'g\",\"spark.executor.cores\":\"' || CAST(c_custkey % 5 AS STRING) || '\"»»'",
+            "'«\"Event\":\"SparkListenerApplicationEnd\",\"Timestamp\":' || CAST(1700000000000 + c_custkey AS STRING) || '»'",
+        )
+    ]
+    + [
+        f"SELECT {_LOG}, {_J.format(body)} FROM {{orders}}" + (f" WHERE {cond}" if cond else "")
+        for body, cond in (
+            (_JOB_START, ""), (_JOB_END, ""), (_stage("0"), ""), (_stage("1"), ""),
+            (_sql_event(_LOGICAL, "o_orderkey * 3 + 1"), "o_orderkey % 2 = 0"),
+            (_sql_event(_PHYS_TABLE, "o_orderkey * 3 + 2"), "o_orderkey % 2 = 0"),
+            (_sql_event(_PHYS_FILE, "o_orderkey * 3"), "o_orderkey % 2 = 1"),
+        )
+    ]
+    + [f"SELECT {_LOG}, {_J.format(_TASK)} FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"]
+)
