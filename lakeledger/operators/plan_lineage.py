@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,41 +221,42 @@ def column_edges(nodes: DataFrame) -> DataFrame:
     expression id, or else by equal name.
     """
     nodes = checkpoint(nodes)
-    origins = attribute_origins(nodes)
+    origins = checkpoint(attribute_origins(nodes))
     outputs = query_outputs(nodes)
     # only the first output of a query gets column edges
     target = outputs.groupBy(*QUERY).agg(F.min("name").alias("target_dataset"))
-    written = written_columns(nodes)
+    written = checkpoint(written_columns(nodes))
     names = written.select(*QUERY, F.col("column").alias("out_name")).distinct()
-    exprs = checkpoint(plan_exprs(nodes).filter("execution_id IS NOT NULL"))
+    exprs = checkpoint(plan_exprs(nodes).withColumn("kind", transform_type(F.col("body"))))
 
-    defs = exprs.filter(F.size(F.array_except(_ids(F.col("body")), F.array("out_id"))) > 0)
-    defs = defs.select(*QUERY, F.col("out_id").alias("ref_id"), F.col("body").alias("_body"), transform_type(F.col("body")).alias("_kind")).distinct()
-    known = origins.select(*QUERY, F.col("expr_id").alias("ref_id"))
+    # what an id stands for: a scan column, or else the expression an alias gives it
+    defs = exprs.filter(F.size(F.array_except(_ids(F.col("body")), F.array("out_id"))) > 0).select(*QUERY, F.col("out_id").alias("ref_id"), "body", "kind").distinct()
+    o = origins.withColumnRenamed("expr_id", "ref_id")
+    links = checkpoint(o.unionByName(defs.join(o.select(*QUERY, "ref_id"), [*QUERY, "ref_id"], "left_anti"), allowMissingColumns=True))
     steps = exprs.join(names, [*QUERY, "out_name"]).select(
-        *QUERY, F.col("out_name").alias("target_column"), transform_type(F.col("body")).alias("transform_type"),
-        F.when(transform_type(F.col("body")) != "DIRECT", _clean(F.col("body"))).alias("expression"), F.explode(_ids(F.col("body"))).alias("ref_id"),
-    ).distinct()
+        *QUERY, F.lit("expr").alias("_via"), F.col("out_name").alias("target_column"), F.col("kind").alias("transform_type"),
+        F.when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"), F.explode(_ids(F.col("body"))).alias("ref_id"),
+    )
     # written columns that no projection names start from their own id
-    own = written.select(*QUERY, F.col("column").alias("target_column"), F.lit("DIRECT").alias("transform_type"), F.lit(None).cast("string").alias("expression"), F.col("expr_id").alias("ref_id"))
-    found = []
-    front = checkpoint(steps.withColumn("_via", F.lit("expr")).unionByName(own.withColumn("_via", F.lit("id"))))
+    own = written.select(
+        *QUERY, F.lit("id").alias("_via"), F.col("column").alias("target_column"), F.lit("DIRECT").alias("transform_type"),
+        F.lit(None).cast("string").alias("expression"), F.col("expr_id").alias("ref_id"),
+    )
+    front, levels = steps.unionByName(own).distinct(), []
     for _ in range(_ALIAS_LEVELS):
-        found.append(front.join(known, [*QUERY, "ref_id"], "left_semi"))
-        open_ = front.join(known, [*QUERY, "ref_id"], "left_anti")
-        nxt = open_.join(defs, [*QUERY, "ref_id"]).select(
-            *QUERY, "target_column", "_via",
-            F.when(F.col("transform_type") != "DIRECT", F.col("transform_type")).otherwise(F.col("_kind")).alias("transform_type"),
-            F.when(F.col("transform_type") != "DIRECT", F.col("expression")).when(F.col("_kind") != "DIRECT", _clean(F.col("_body"))).alias("expression"),
-            F.explode(F.array_except(_ids(F.col("_body")), F.array("ref_id"))).alias("ref_id"),
-        )
-        front = checkpoint(nxt.distinct())
-        if front.isEmpty():
+        level = checkpoint(front.join(links, [*QUERY, "ref_id"]))
+        levels.append(level.filter("dataset IS NOT NULL"))
+        inner = level.filter("body IS NOT NULL")
+        if inner.isEmpty():
             break
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.unionByName(f)
-    hits = hits.join(origins.withColumnRenamed("expr_id", "ref_id"), [*QUERY, "ref_id"])
+        plain = F.col("transform_type") == "DIRECT"
+        front = inner.select(
+            *QUERY, "_via", "target_column",
+            F.when(plain, F.col("kind")).otherwise(F.col("transform_type")).alias("transform_type"),
+            F.when(~plain, F.col("expression")).when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"),
+            F.explode(F.array_except(_ids(F.col("body")), F.array("ref_id"))).alias("ref_id"),
+        ).distinct()
+    hits = reduce(DataFrame.unionByName, levels)
     cols = [*QUERY, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), "target_column", "transform_type", "expression"]
     explicit = hits.filter("_via = 'expr'").select(*cols).distinct()
     keys = join_keys(nodes).join(origins.withColumnRenamed("expr_id", "ref_id"), [*QUERY, "ref_id"])

@@ -17,7 +17,7 @@ _LOGID = "'log-' || o_custkey AS log_id"
 
 
 def _tables(t):
-    return event_tables(t("v_event_lines"))
+    return event_tables(t.staged_log())
 
 
 def _nodes(t):

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeledger.plans.inputs import VIEWS
+from lakeledger.runtime import scratch
+from lakeledger.sources.eventlog import stage_event_log
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -17,6 +19,7 @@ BASE = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_STAGED: dict[tuple[str, str], str] = {}
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -35,6 +38,14 @@ class Tables:
                 self._seen[name] = self.sql(VIEWS[name])
         return self._seen[name]
 
+    def staged_log(self) -> DataFrame:
+        """The derived event log, split by event once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STAGED:
+            _STAGED[key] = scratch(self.spark, "event-log")
+            stage_event_log(self("v_event_lines"), _STAGED[key])
+        return self.spark.read.parquet(_STAGED[key])
+
     def sql(self, text: str) -> DataFrame:
         deps = {d: self(d) for d in sorted(set(_REF.findall(text)))}
         return self.spark.sql(text, **deps)

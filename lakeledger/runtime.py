@@ -42,9 +42,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there (survives lost executors)."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    The plan starts anew at the written files, a lost executor costs no recomputation, and
+    later joins know the true size of what they read.
+    """
+    path = scratch(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -104,44 +104,68 @@ def events(lines: DataFrame, kind: str) -> DataFrame:
     return lines.filter(event == EVENTS[kind]).select("log_id", F.from_json("value", SCHEMAS[kind]).alias("e")).select("log_id", "e.*")
 
 
-def event_tables(lines: DataFrame) -> dict[str, DataFrame]:
-    """Application, job, stage, task and SQL tables of any number of logs."""
-    props = lambda k: F.col("Properties")[k]
-    conf = lambda k: F.col("Spark Properties")[k]
-    m = F.col("Task Metrics")
-    apps = events(lines, "app_start").select("log_id", F.col("App ID").alias("app_id"), F.col("App Name").alias("app_name"), _ms("Timestamp").alias("started_at"))
-    return {
-        "apps": apps.join(events(lines, "app_end").select("log_id", _ms("Timestamp").alias("ended_at")), "log_id", "left"),
-        "environment": events(lines, "environment").select(
+class EventTables(dict):
+    """Application, job, stage, task and SQL tables of any number of logs, each made when asked for."""
+
+    def __init__(self, lines: DataFrame):
+        super().__init__()
+        self.lines = lines
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = getattr(self, f"_{name}")()
+        return self[name]
+
+    def _apps(self) -> DataFrame:
+        start = events(self.lines, "app_start").select("log_id", F.col("App ID").alias("app_id"), F.col("App Name").alias("app_name"), _ms("Timestamp").alias("started_at"))
+        return start.join(events(self.lines, "app_end").select("log_id", _ms("Timestamp").alias("ended_at")), "log_id", "left")
+
+    def _environment(self) -> DataFrame:
+        conf = lambda k: F.col("Spark Properties")[k]
+        return events(self.lines, "environment").select(
             "log_id",
             parse_memory_mb(F.coalesce(conf("spark.executor.memory"), F.lit("1g"))).alias("executor_memory_mb"),
             F.coalesce(conf("spark.executor.cores"), F.lit("1")).cast("int").alias("executor_cores"),
-        ),
-        "jobs": events(lines, "job_start").select(
+        )
+
+    def _jobs(self) -> DataFrame:
+        props = lambda k: F.col("Properties")[k]
+        return events(self.lines, "job_start").select(
             "log_id", F.col("Job ID").alias("job_id"), _ms("Submission Time").alias("started_at"), F.col("Stage IDs").alias("stage_ids"),
             props("spark.observability.job.name").alias("custom_name"), props("spark.job.description").alias("description"),
             props("callSite.short").alias("call_site"), props("spark.app.name").alias("app_name"), props("spark.app.id").alias("app_id"),
             props("spark.sql.execution.id").try_cast("bigint").alias("execution_id"),
             props("spark.sql.execution.root.id").try_cast("bigint").alias("root_execution_id"),
-        ),
-        "job_ends": events(lines, "job_end").select(
+        )
+
+    def _job_ends(self) -> DataFrame:
+        return events(self.lines, "job_end").select(
             "log_id", F.col("Job ID").alias("job_id"), _ms("Completion Time").alias("ended_at"), F.col("Job Result.Result").alias("result"),
             F.col("Job Result.Exception.Message").alias("error"),
-        ),
-        "stages": events(lines, "stage").select(
+        )
+
+    def _stages(self) -> DataFrame:
+        return events(self.lines, "stage").select(
             "log_id", F.col("Stage Info.Stage ID").alias("stage_id"), F.col("Stage Info.Stage Attempt ID").alias("stage_attempt_id"),
             F.col("Stage Info.Stage Name").alias("stage_name"), F.col("Stage Info.Number of Tasks").alias("num_tasks"),
             _ms(F.col("Stage Info.Submission Time")).alias("started_at"), _ms(F.col("Stage Info.Completion Time")).alias("ended_at"),
             F.col("Stage Info.Failure Reason").alias("failure_reason"),
-        ),
-        "tasks": events(lines, "task").select(
+        )
+
+    def _tasks(self) -> DataFrame:
+        return events(self.lines, "task").select(
             "log_id", F.col("Stage ID").alias("stage_id"), F.col("Stage Attempt ID").alias("stage_attempt_id"),
             F.col("Task Info.Task ID").alias("task_id"), F.col("Task Info.Executor ID").alias("executor_id"),
             F.col("Task Info.Locality").alias("locality"), F.coalesce("Task Info.Failed", F.lit(False)).alias("failed"),
-            m.isNotNull().alias("has_metrics"), *[F.expr(f"`Task Metrics`.{p}").alias(c) for c, p in TASK_COUNTERS.items()],
-        ),
-        "sql": events(lines, "sql_start").select(
+            F.col("Task Metrics").isNotNull().alias("has_metrics"), *[F.expr(f"`Task Metrics`.{p}").alias(c) for c, p in TASK_COUNTERS.items()],
+        )
+
+    def _sql(self) -> DataFrame:
+        return events(self.lines, "sql_start").select(
             "log_id", F.col("executionId").alias("execution_id"), F.coalesce("rootExecutionId", "executionId").alias("root_execution_id"),
             "description", F.col("physicalPlanDescription").alias("plan_text"), _ms("time").alias("started_at"),
-        ),
-    }
+        )
+
+
+def event_tables(lines: DataFrame) -> EventTables:
+    """Tables ``apps environment jobs job_ends stages tasks sql`` of the logs' lines."""
+    return EventTables(lines)
