@@ -87,11 +87,10 @@ def append_schema_versions(current: DataFrame, snapshots: DataFrame) -> DataFram
 
     ``current``: org_id, dataset, schema_hash, fields, valid_from, valid_to.
     """
-    s = snapshots.withColumn("schema_hash", schema_hash(F.col("fields")))
-    new = s.groupBy(*_KEY, "schema_hash").agg(F.min("captured_at").alias("valid_from"), F.min_by("fields", "captured_at").alias("fields"))
-    new = new.join(current.select(*_KEY, "schema_hash"), [*_KEY, "schema_hash"], "left_anti")
-    cols = [*_KEY, "schema_hash", "fields", "valid_from"]
-    return scd2_intervals(current.select(*cols).unionByName(new.select(*cols)))
+    s = snapshots.select(*_KEY, schema_hash(F.col("fields")).alias("schema_hash"), "fields", F.col("captured_at").alias("valid_from"))
+    both = current.select(*s.columns).unionByName(s)
+    first = both.groupBy(*_KEY, "schema_hash").agg(F.min("valid_from").alias("valid_from"), F.min_by("fields", "valid_from").alias("fields"))
+    return scd2_intervals(first)
 
 
 def current_schemas(versions: DataFrame, datasets: DataFrame) -> DataFrame:
