@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeledger.functions.units import fmt_bytes, percent_change
@@ -91,20 +91,27 @@ def history_stats(
         .select("org_id", "dataset", "_s.*", F.explode("_a").alias("audience"), "job_id", "ts", *ms)
         .join(wanted, key, "left_semi")
     )
-    per_job = points.groupBy(*key, "job_id", "ts").agg(*_moments(points, ms))
     sums = ["n"] + [f"{p}_{m}" for m in ms for p in ("n", "s", "q")]
-    zero = [F.coalesce(F.col(c), F.lit(0)).cast("bigint" if c == "n" or c.startswith("n_") else _DEC).alias(c) for c in sums]
-    per_job = per_job.select(*key, "job_id", "ts", *zero)
-    all_points = per_job.groupBy(*key, "ts").agg(*[F.sum(c).cast(per_job.schema[c].dataType).alias(c) for c in sums])
-    span = days * DAY_US
-    history = trailing_sums(all_points, key, "ts", sums, span, block_us)
-    out = rows.join(history, [*key, "ts"], "left")
+    whole, own = F.lit("all").alias("part"), F.lit("job").alias("part")
+    parts = [F.struct(whole, F.lit(None).cast("string").alias("job_id"))]
     if exclude_own_job:
-        own_points = per_job.filter("job_id IS NOT NULL AND audience = 'named'")
-        own = trailing_sums(own_points, [*key, "job_id"], "ts", sums, span, block_us)
-        own = own.withColumnsRenamed({c: f"_o_{c}" for c in sums})
-        out = out.join(own, [*key, "job_id", "ts"], "left")
-        out = out.withColumns({c: (F.col(c) - F.coalesce(F.col(f"_o_{c}"), F.lit(0).cast(per_job.schema[c].dataType))) for c in sums})
+        # a second copy of each point counts for its own job; what it sums up is taken off again
+        parts.append(F.when(F.col("audience") == "named", F.struct(own, F.col("job_id").cast("string").alias("job_id"))))
+    split = points.withColumn("_p", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull()))).drop("job_id").select("*", "_p.*").drop("_p")
+    per = split.groupBy(*key, "part", "job_id", "ts").agg(*_moments(split, ms))
+    types = {c: "bigint" if c.startswith("n") else _DEC for c in sums}
+    per = per.select(*key, "part", "job_id", "ts", *[F.coalesce(F.col(c), F.lit(0)).cast(types[c]).alias(c) for c in sums])
+    run = trailing_sums(per, [*key, "part", "job_id"], "ts", sums, days * DAY_US, block_us)
+    if exclude_own_job:
+        # at one moment of one scope: its total beside the totals of the jobs that ran then
+        now = Window.partitionBy(*key, "ts")
+        total = F.first(F.when(F.col("part") == "all", F.struct(*sums)), ignorenulls=True).over(now)
+        run = run.withColumn("_all", total).filter("part = 'job' OR audience = 'any'")
+        run = run.select(*key, "job_id", "ts", *[F.when(F.col("part") == "all", F.col(c)).otherwise(F.col(f"_all.{c}") - F.col(c)).alias(c) for c in sums])
+    else:
+        run = run.select(*key, F.lit(None).cast("string").alias("job_id"), "ts", *sums)
+    rows = rows.withColumn("_job", F.when(F.col("audience") == "named", F.col("job_id").cast("string")))
+    out = join_null_safe(rows, run.withColumnRenamed("job_id", "_job"), [*key, "_job", "ts"])
     stats = [F.col("n").alias("hist_count")]
     for m in ms:
         mean, std = _mean_std(m)

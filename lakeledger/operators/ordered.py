@@ -80,17 +80,16 @@ def trailing_sums(
     leaves ``span`` later, so the sliding sum is one running sum over both.
     Use exact (integer or decimal) measures: what leaves must cancel what entered.
     """
-    enter = points.withColumn("_is_point", F.lit(1))
-    leave = points.select(
-        *[(-F.col(c)).cast(points.schema[c].dataType).alias(c) if c in measures else F.col(c) for c in points.columns if c != ts],
-        F.timestamp_micros(F.unix_micros(ts) + F.lit(span_us)).alias(ts),
-        F.lit(0).alias("_is_point"),
-    )
-    return (
-        running_sums(enter.unionByName(leave), keys, ts, ["_is_point"], measures, block_us)
-        .filter("_is_point = 1")
-        .drop("_is_point")
-    )
+    types = dict(points.dtypes)
+
+    def event(at: Column, is_point: int, sign: int) -> Column:
+        return F.struct(at.alias(ts), F.lit(is_point).alias("_is_point"), *[(sign * F.col(m)).cast(types[m]).alias(m) for m in measures])
+
+    leaves = F.timestamp_micros(F.unix_micros(ts) + F.lit(span_us))
+    both = F.array(event(F.col(ts), 1, 1), event(leaves, 0, -1))
+    rest = [c for c in points.columns if c not in (ts, *measures)]
+    moves = points.select(*rest, F.explode(both).alias("_e")).select(*rest, "_e.*")
+    return running_sums(moves, keys, ts, ["_is_point"], measures, block_us).filter("_is_point = 1").drop("_is_point")
 
 
 def carried(
