@@ -76,7 +76,7 @@ def history_stats(
 
     # What a row contributes to: its dataset, its job name and its partition key,
     # kept only where some row is judged in that scope.
-    wanted = rows.select(*key).distinct()
+    judged_in = rows.select(*key).distinct()
     in_scope = F.filter(
         F.array(
             F.struct(F.lit("dataset").alias("scope_kind"), F.lit("").alias("scope_value")),
@@ -89,7 +89,7 @@ def history_stats(
     points = (
         metrics.select("org_id", "dataset", "job_id", "ts", *ms, F.explode(in_scope).alias("_s"), seen_by.alias("_a"))
         .select("org_id", "dataset", "_s.*", F.explode("_a").alias("audience"), "job_id", "ts", *ms)
-        .join(wanted, key, "left_semi")
+        .join(judged_in, key, "left_semi")
     )
     sums = ["n"] + [f"{p}_{m}" for m in ms for p in ("n", "s", "q")]
     whole, own = F.lit("all").alias("part"), F.lit("job").alias("part")

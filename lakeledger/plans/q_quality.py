@@ -180,7 +180,7 @@ def _(t):
 _RAW = "SELECT o_orderkey AS id, o_orderpriority AS name, o_totalprice AS value, o_orderstatus AS category FROM {orders}"
 
 
-@query("z4_quick_pipeline", f"SELECT category, count(*) AS row_count, round(sum(value * 2), 2) AS total_value, round(avg(value * 2), 4) AS avg_value FROM ({_RAW}) r WHERE value > 0 GROUP BY category")
+@query("z4_quick_tables", f"SELECT category, count(*) AS row_count, round(sum(value * 2), 2) AS total_value, round(avg(value * 2), 4) AS avg_value FROM ({_RAW}) r WHERE value > 0 GROUP BY category")
 def _(t):
     s = md.quick_pipeline(t.sql(_RAW))[1]
     return s.select("category", "row_count", F.round("total_value", 2).alias("total_value"), F.round("avg_value", 4).alias("avg_value"))

@@ -78,7 +78,7 @@ def _(t):
 @query("t5_stream_anomalies", f"""WITH {_SCOPED}, {_FOUND} SELECT org_id, dataset, job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, measure, way FROM hits WHERE way IS NOT NULL""")
 def _(t):
     root = scratch(t.spark, "loads")
-    fa.run_available(fa.stream_anomalies(_as_stream(t, t("v_metrics"), "ts", 3), root))
+    fa.run_available(fa.stream_anomalies(_as_stream(t, t("v_metrics"), "ts"), root))
     a = t.spark.read.parquet(f"{root}/anomalies")
     measure = F.when(F.col("anomaly_type").like("Row%"), "row_count").otherwise("byte_size")
     way = F.when(F.col("anomaly_type").like("%Spike"), "up").otherwise("down")
