@@ -92,10 +92,10 @@ def _scans(nodes: DataFrame) -> DataFrame:
             F.when(name == "LogicalRelation", table_from_plan(detail)),
         )
         place = F.when(name.startswith("BatchScan"), name).otherwise(F.nullif(_line(detail, "Location"), F.lit("")))
-        return F.named_struct(F.lit("table"), table, F.lit("path"), extract_file_path(place))
+        return F.named_struct(F.lit("_table"), table, F.lit("_path"), extract_file_path(place))
 
-    got = scan.withColumn("_r", bind(F.named_struct(F.lit("name"), F.col("node_name"), F.lit("detail"), F.col("detail")), read))
-    return got.withColumns({"_table": F.col("_r.table"), "_path": F.col("_r.path")}).drop("_r").filter("_table IS NOT NULL OR _path IS NOT NULL")
+    found = bind(F.named_struct(F.lit("name"), F.col("node_name"), F.lit("detail"), F.col("detail")), read)
+    return scan.select("*", F.inline(F.array(found))).filter("_table IS NOT NULL OR _path IS NOT NULL")
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:

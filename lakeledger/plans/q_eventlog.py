@@ -31,7 +31,7 @@ def _(t):
     kinds = ["app_start", "app_end", "environment", "job_start", "job_end", "stage", "task", "sql_start"]
     out = None
     for k in kinds:
-        part = events(t("v_event_lines"), k).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+        part = events(t.staged_log(), k).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
