@@ -132,3 +132,15 @@ def _(t):
     return d.select(
         "org_id", "dataset", "job_id", _ts(), F.when(F.col("anomaly_type").like("Row%"), "row_count").otherwise("byte_size").alias("measure"), "message"
     )
+
+
+_EVERY = _SCOPED.replace("AND (r.job_id IS NULL OR h.job_id <> r.job_id)", "")
+
+
+@query("w5_rolling_history", f"""WITH {_EVERY} SELECT org_id, dataset, job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, scope_kind, CAST(hist_count AS BIGINT) AS hist_count,
+  round(mean_row_count, 5) AS mean_row_count, round(std_row_count, 5) AS std_row_count FROM stats""")
+def _(t):
+    s = an.history_stats(t("v_metrics"), measures=("row_count",), exclude_own_job=False)
+    return s.select(
+        "org_id", "dataset", "job_id", _ts(), "scope_kind", "hist_count", F.round("mean_row_count", 5).alias("mean_row_count"), F.round("std_row_count", 5).alias("std_row_count")
+    )

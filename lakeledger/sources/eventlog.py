@@ -132,7 +132,7 @@ class EventTables(dict):
         props = lambda k: F.col("Properties")[k]
         return events(self.lines, "job_start").select(
             "log_id", F.col("Job ID").alias("job_id"), _ms("Submission Time").alias("started_at"), F.col("Stage IDs").alias("stage_ids"),
-            props("spark.observability.job.name").alias("custom_name"), props("spark.job.description").alias("description"),
+            props("spark.lakeledger.job.name").alias("custom_name"), props("spark.job.description").alias("description"),
             props("callSite.short").alias("call_site"), props("spark.app.name").alias("app_name"), props("spark.app.id").alias("app_id"),
             props("spark.sql.execution.id").try_cast("bigint").alias("execution_id"),
             props("spark.sql.execution.root.id").try_cast("bigint").alias("root_execution_id"),
