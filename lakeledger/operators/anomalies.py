@@ -60,7 +60,7 @@ def history_stats(
     days: int = 30,
     measures: tuple[str, ...] = ("row_count", "byte_size"),
     exclude_own_job: bool = True,
-    block_us: int = DAY_US,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
     """Per metric row: size, mean and sample deviation of its scope's last ``days`` days.
 

@@ -38,18 +38,26 @@ def running_sums(
     ts: str,
     order: list[str],
     measures: list[str],
-    block_us: int = DAY_US,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
-    """Replace each measure by its running sum per key in (ts, *order) order, row included."""
-    b = _blocked(df, ts, block_us)
+    """Replace each measure by its running sum per key in (ts, *order) order, row included.
+
+    Where even one block of one key may be huge, give widths from fine to coarse, such as
+    ``(1_000_000, 3_600_000_000)``: seconds are then summed up along hours, hours along the key.
+    """
+    fine, *coarser = (block_us,) if isinstance(block_us, int) else block_us
+    b = _blocked(df, ts, fine)
     bk = [*keys, "_blk"]
     inner = Window.partitionBy(*bk).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        b.groupBy(*bk)
-        .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        .select(*bk, *[F.sum(f"_t_{m}").over(before).alias(f"_c_{m}") for m in measures])
-    )
+    totals = b.groupBy(*bk).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast(df.schema[m].dataType).alias(f"_t_{m}") for m in measures])
+    if coarser:
+        t = totals.select("*", F.timestamp_micros(F.col("_blk") * fine).alias("_at"), *[F.col(f"_t_{m}").alias(f"_o_{m}") for m in measures])
+        t = t.withColumnRenamed("_blk", "_no")
+        run = running_sums(t, keys, "_at", [], [f"_t_{m}" for m in measures], tuple(coarser))
+        carry = run.select(*keys, F.col("_no").alias("_blk"), *[(F.col(f"_t_{m}") - F.col(f"_o_{m}")).alias(f"_c_{m}") for m in measures])
+    else:
+        carry = totals.select(*bk, *[F.sum(f"_t_{m}").over(before).alias(f"_c_{m}") for m in measures])
     x = b.select(
         *[c for c in b.columns if c not in measures],
         *[F.sum(m).over(inner).alias(m) for m in measures],
@@ -72,7 +80,7 @@ def trailing_sums(
     ts: str,
     measures: list[str],
     span_us: int,
-    block_us: int = DAY_US,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
     """Sums over ``(t - span, t]`` at the time ``t`` of every point.
 

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from lakeledger.operators import ordered as od
 
 T0 = dt.datetime(2024, 1, 1)
@@ -13,10 +15,11 @@ def rows(seed, n=400):
     return [("hot" if rnd.random() < 0.5 else rnd.choice("abc"), T0 + dt.timedelta(minutes=rnd.randrange(20000)), i, rnd.choice([None, rnd.randrange(100)])) for i in range(n)]
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("width", [3_600_000_000, (600_000_000, 7_200_000_000, 86_400_000_000)])
+def test_running_sums(spark, width):
     data = rows(1)
     df = spark.createDataFrame(data, "k string, ts timestamp, id int, x bigint")
-    got = {r.id: r.x for r in od.running_sums(df, ["k"], "ts", ["id"], ["x"], block_us=3_600_000_000).collect()}
+    got = {r.id: r.x for r in od.running_sums(df, ["k"], "ts", ["id"], ["x"], block_us=width).collect()}
     for k, ts, i, _ in data:
         assert got[i] == sum(x or 0 for k2, t2, i2, x in data if k2 == k and (t2, i2) <= (ts, i))
 
