@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeledger.llm import contamination, mixing, sharding, simhash, toxicity
+from lakeledger.llm import contamination, mixing, sharding, simhash, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,40 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, mixed to the weights of domains, languages and sources."""
     out = mixing.mix(table(spark, sf_dir, "documents"), domain(), (1, 2), 4, WEIGHTS)
     return out.select("doc_id", F.col("mix_epoch").alias("epoch"), F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"))
+
+
+TOP_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op4_top_k", TOP_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors for every fiftieth one."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5, 256)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+FROM k
+"""
+
+
+@query("op9_warc", WARC_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    found = warc.lookup(archive, pages, id_col="page_id", payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
