@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeledger.llm import contamination, mixing, sharding, simhash, topk, toxicity, warc
+from lakeledger.llm import contamination, mixing, sharding, simhash, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(pages)
     found = warc.lookup(archive, pages, id_col="page_id", payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_html_extraction")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
