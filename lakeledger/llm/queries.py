@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeledger.llm import contamination, mixing, sharding, simhash, topk, toxicity, warc, wrapper
+from lakeledger.llm import contamination, licence_texts, licences, mixing, sharding, simhash, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,38 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by its host's wrapper."""
     return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form again, in DuckDB's terms."""
+    c = f"regexp_replace(lower(coalesce({text}, '')), '\\r\\n?', chr(10), 'g')"
+    for a, b in licences.EQUIVALENT:
+        c = f"replace({c}, {_quoted(a)}, {_quoted(b)})"
+    c = f"regexp_replace({c}, {_quoted(licences.COPYRIGHT_LINE)}, '\\1', 'g')"
+    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    return f"trim(regexp_replace({c}, ' *\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+LICENCE_SQL = f"""
+WITH known(licence, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licence_texts.KNOWN)}),
+book AS (SELECT sha256(replace(lines, chr(10), ' ')) AS digest, min(licence) AS licence FROM (SELECT licence, {_canonical_sql("text")} AS lines FROM known) GROUP BY ALL),
+docs AS (SELECT doc_id, {_canonical_sql("text")} AS lines FROM documents),
+digests AS (SELECT doc_id, lines, CASE WHEN lines <> '' THEN sha256(replace(lines, chr(10), ' ')) END AS digest FROM docs),
+parts AS (SELECT doc_id, digest, unnest(string_split(lines, chr(10))) AS part FROM digests),
+met AS (SELECT doc_id, digest, string_agg(DISTINCT licence, ' ' ORDER BY licence) AS notices
+        FROM (SELECT p.doc_id, p.digest, b.licence FROM parts p JOIN book b ON part <> '' AND sha256(part) = b.digest) GROUP BY ALL)
+SELECT d.doc_id, d.digest, b.licence, coalesce(m.notices, '') AS notices
+FROM digests d LEFT JOIN book b ON d.digest = b.digest LEFT JOIN met m ON d.doc_id IS NOT DISTINCT FROM m.doc_id AND d.digest = m.digest
+"""
+
+
+@query("op1_license_scan", LICENCE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every whole document, and of its lines."""
+    known = spark.createDataFrame(licence_texts.KNOWN, "licence_id string, text string")
+    out = licences.scan(table(spark, sf_dir, "documents"), known)
+    return out.select("doc_id", "digest", "licence", F.array_join("notices", " ").alias("notices"))
