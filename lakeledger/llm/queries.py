@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeledger.llm import contamination, licence_texts, licences, mixing, sharding, simhash, topk, toxicity, warc, wrapper
+from lakeledger.llm import contamination, licence_texts, licences, mixing, sharding, simhash, toolcalls, topk, toxicity, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(licence_texts.KNOWN, "licence_id string, text string")
     out = licences.scan(table(spark, sf_dir, "documents"), known)
     return out.select("doc_id", "digest", "licence", F.array_join("notices", " ").alias("notices"))
+
+
+#: Tools that turns of the given chats are read as calls of: parameter, type, required.
+TOOLS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", True),
+    ("search", "filters", "object", False),
+    ("translate", "text", "string", True),
+    ("translate", "to", "string", True),
+    ("count", "text", "string", True),
+    ("count", "unit", "string", False),
+    ("weather", "place", "string", True),
+    ("weather", "days", "number", False),
+    ("weather", "metric", "boolean", False),
+]
+
+
+def chat_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that every turn of ``conversations`` stands for.
+
+    An assistant's turn is a call; it needs the call two turns before or, in every fifth chat, the one
+    two turns later. A user's turn is the result of the call before it. Texts give tool and
+    arguments; some arguments lack a parameter, have a wrong type or are cut off.
+    """
+    t = table(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    h = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    text, size = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))).substr(F.lit(6), F.lit(1 << 30)), F.length(F.coalesce("text", F.lit(""))).cast("string")  # "...text...}
+    arguments = (
+        F.when(h % 4 == 0, F.concat(F.lit('{"query": '), text.substr(F.lit(1), F.length(text) - 1), F.when(h % 12 == 0, F.concat(F.lit(', "limit": "'), size, F.lit('"'))).otherwise(F.concat(F.lit(', "limit": '), size)), F.lit(', "filters": {"z": 1, "a": [true, null]}}')))
+        .when(h % 4 == 1, F.concat(F.lit('{"to": "en", "text": '), text))
+        .when(h % 4 == 2, F.concat(F.lit('{"unit": "word", "words": '), size, F.lit(', "text": '), text))
+        .when(h % 20 == 3, F.lit('{"place": "x", "days": '))
+        .otherwise(F.concat(F.lit('{"metric": true, "days": 1.5, "place": '), text))
+    )
+    tool = F.element_at(F.array(*[F.lit(x) for x in ("search", "translate", "count", "weather")]), (h % 4 + 1).cast("int"))
+    ahead = F.when(F.col("conv_id") % 5 == 0, F.col("turn") + 2).otherwise(F.col("turn") - 2)
+    calls = t.filter("role = 'assistant'").select("conv_id", name(F.col("turn")).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(ahead))).alias("depends_on"))
+    results = t.filter("role = 'user' AND turn > 0").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op3_tool_call_linking")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all chats with their results, places, errors and canonical form."""
+    calls, results = chat_calls(spark, sf_dir)
+    schemas = spark.createDataFrame(TOOLS, "tool string, parameter string, type string, required boolean")
+    out = toolcalls.link(calls, results, schemas)
+    return out.withColumn("errors", F.array_join("errors", "; "))
