@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeledger.llm.common import picked, texts
-from lakeledger.runtime import ship
+from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
 
@@ -158,20 +158,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows of ``docs``; ``where`` further limits which ids may be learned from.
 
     The sample is bounded (``POSITIVES``, ``NEGATIVES``, ``LONGEST``) and chosen by a hash of the id;
-    it is fitted in one task. Ids labelled more than once are toxic if any label says so; null ids,
-    null labels and labels without a document are left out.
+    it is fitted in one task. Ids labelled more than once are toxic if any label says so, of rows that
+    repeat an id one text is learned from; null ids, null labels and labels without a document are
+    left out.
     """
     marks = picked(labels, id=id_col, toxic=F.col(label_col).cast("int")).filter("id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = picked(docs, id=id_col, text=text_col).filter(F.octet_length("text") <= LONGEST)
     if where is not None:
         marks = marks.filter(where)
-    known = rows.join(marks, "id").withColumn("h", F.xxhash64("id", "text"))
-    some = lambda flag, n: known.filter(F.col("toxic") == flag).orderBy("h", "id", "text").limit(n)
-    sample = some(1, POSITIVES).unionByName(some(0, NEGATIVES)).select("text", "toxic", "h")
+    # the sample is chosen without texts; only its own are read then
+    there = marks.join(picked(docs, id=id_col), "id", "left_semi").withColumn("h", F.xxhash64("id"))
+    some = lambda flag, n: there.filter(F.col("toxic") == flag).orderBy("h", "id").limit(n)
+    chosen = checkpoint(some(1, POSITIVES).unionByName(some(0, NEGATIVES)))
+    rows = picked(docs, id=id_col, text=text_col).filter(F.octet_length("text") <= LONGEST)
+    sample = rows.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"), F.min("h").alias("h"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "toxic", "text"])
+        pdf = pdf.sort_values(["h", "id"])
         m = train(pdf["text"].tolist(), pdf["toxic"].to_numpy())
         at = np.flatnonzero(m.weights)
         return pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(m.weights[at], m.bias).astype(float)})
