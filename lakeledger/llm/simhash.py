@@ -202,11 +202,12 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """Near-duplicate class of every row: ``id_col, text_key, fingerprint, component_id``.
+    """Near-duplicate class of every row: ``id_col, text_key, fingerprint, component_id, class_print``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``shingle`` words
     is one shingle, a text without words (empty or null) has fingerprint zero. ``component_id`` is the
-    smallest id reachable over links of at most ``radius`` differing bits. Equal fingerprints are one
+    smallest id reachable over links of at most ``radius`` differing bits, ``class_print`` the class's
+    smallest fingerprint (it tells classes apart even where ids repeat or are null). Equal fingerprints are one
     node, so copies cost nothing; rows with a null id take part, and their class is null only if no
     row of it has an id. Repeated rows are kept. Other columns are left out.
     """
@@ -216,9 +217,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rename: both sides come from tables with a column of that name
     root = fps.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     best = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = checkpoint(root.join(best, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    by_fp = checkpoint(root.join(best, "root").select(F.col("fp").alias("_fp"), "component_id", "root"))
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return slim.join(by_fp, slim["fp"] == by_fp["_fp"]).select(
-        F.col("id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), "text_key", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("class_print")
     )
 
 
@@ -229,10 +231,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id keeps the row of the smallest digest.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    # the class as its own key: classes without any id are told apart by fingerprint
-    named = found.select(F.col(id_col).alias("id"), "text_key", F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")).alias("class"), F.col("component_id").isNull().alias("bare"))
+    named = found.select(F.col(id_col).alias("id"), "text_key", "class_print")
     rank = F.struct(F.col("id").isNull().alias("z"), "id", "text_key")
-    best = named.groupBy("class", "bare").agg(F.min(rank).alias("r"))
+    best = named.groupBy("class_print").agg(F.min(rank).alias("r"))
     ids = named.groupBy("id", "text_key").agg(F.count("*").alias("n"))
     best = best.select(F.col("r.id").alias("id"), F.col("r.text_key").alias("text_key"))
     keep = checkpoint(best.join(ids, same(best, ids, {"id": "id", "text_key": "text_key"})).select(best["id"].alias("_id"), best["text_key"].alias("_key"), "n"))

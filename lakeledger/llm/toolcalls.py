@@ -63,7 +63,7 @@ def places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``k, turn, step, in_cycle`` of every call: ascending (turn, step) puts each call behind what it depends on.
 
     ``nodes(k, conv, turn)`` has one row a call, ``edges(k, needs)`` only known calls. Calls on a cycle,
-    or behind one, have no step. The number of rounds is that of the longest chain of dependencies
+    and those that one would move behind it, have no step. The number of rounds is that of the longest chain of dependencies
     that run against the turns.
     """
     most = nodes.join(edges.select("k").distinct(), "k", "left_semi").groupBy("conv").agg(F.count("*").alias("most"))
