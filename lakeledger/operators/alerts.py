@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeledger.functions.naming import alert_subject
-from lakeledger.operators.ordered import as_of
+from lakeledger.operators.ordered import as_of, carried
 from lakeledger.runtime import checkpoint, ship
 
 _SALTS = 32
@@ -72,26 +72,28 @@ def unmatched_anomalies(anomalies: DataFrame, rules: DataFrame) -> DataFrame:
 # sparse: one step per window. The timeline is cut into blocks of many windows. Inside a
 # block every possible first SENT leads to a known last SENT, and only the times within
 # one window of the block's start (and the first after it) can be first. So blocks are
-# solved side by side, a thin pass over the possible firsts picks the true one of each
-# block, and the blocks then mark their chain.
+# solved side by side, the true first of each block is found among the possible ones by
+# pointer doubling, and the blocks then mark their chain. No task holds a whole group.
 
 _WINDOWS_PER_BLOCK = 48
 
 
 def _whole_blocks(batches):
     """Re-cut a stream sorted by (grp, blk, t) so that no block is split between frames."""
-    rest = None
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
         if pdf.empty:
             continue
         last = (pdf["grp"] == pdf["grp"].iloc[-1]) & (pdf["blk"] == pdf["blk"].iloc[-1])
         cut = int(np.argmax(last.to_numpy()))
-        rest = pdf.iloc[cut:]
-        if cut:
+        if held and (cut or (held[-1]["grp"].iloc[-1], held[-1]["blk"].iloc[-1]) != (pdf["grp"].iloc[0], pdf["blk"].iloc[0])):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held = []
+        elif cut:
             yield pdf.iloc[:cut].reset_index(drop=True)
-    if rest is not None and not rest.empty:
-        yield rest.reset_index(drop=True)
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 class _Frame:
@@ -126,18 +128,25 @@ def _block_exits(batches):
         yield out.assign(last_t=pdf["t"].to_numpy()[last][early])
 
 
-def _pick_entries(batches):
-    """Stream over (grp, blk, t) order, keeping one SENT time per group."""
-    grp, sent, done = None, None, None
-    for pdf in batches:
-        rows = []
-        for g, w, blk, t, last_t in zip(*[pdf[c].to_list() for c in ("grp", "w", "blk", "t", "last_t")]):
-            if g != grp:
-                grp, sent, done = g, None, None
-            if blk != done and (sent is None or t >= sent + w):
-                rows.append((g, blk, t))
-                sent, done = last_t, blk
-        yield pd.DataFrame(rows, columns=["grp", "blk", "entry"])
+def _true_firsts(exits: DataFrame) -> DataFrame:
+    """The first SENT of every block: (grp, blk, entry).
+
+    After the last SENT that one possible first leads to comes the earliest possible first at
+    least a window later. So the possible firsts form chains; the one that begins at a group's
+    earliest time is marked by doubling the steps, with joins on single times only.
+    """
+    at = lambda c: F.timestamp_micros(c)
+    facts = exits.select("grp", at(F.col("t")).alias("ts"), F.lit(1).alias("side"), F.col("t").alias("to"), F.lit(None).cast("bigint").alias("t"))
+    asks = exits.select("grp", at(F.col("last_t") + F.col("w")).alias("ts"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("to"), "t")
+    found = carried(facts.unionByName(asks), ["grp"], "ts", ["side"], "to", "next", forward=True)
+    steps = checkpoint(found.filter("side = 0 AND next IS NOT NULL").select("grp", "t", "next"))
+    marked = checkpoint(exits.groupBy("grp").agg(F.min("t").alias("t")))
+    while not steps.isEmpty():
+        reached = marked.join(steps, ["grp", "t"]).select("grp", F.col("next").alias("t"))
+        marked = checkpoint(marked.unionByName(reached).distinct())
+        then = steps.select("grp", F.col("t").alias("next"), F.col("next").alias("_then"))
+        steps = checkpoint(steps.join(then, ["grp", "next"]).select("grp", "t", F.col("_then").alias("next")))
+    return marked.join(exits, ["grp", "t"]).select("grp", "blk", F.col("t").alias("entry"))
 
 
 def _mark_chain(batches):
@@ -166,8 +175,7 @@ def dedup_alerts(matches: DataFrame) -> DataFrame:
         return df.repartition("grp", "blk").sortWithinPartitions("grp", "blk", "t")
 
     exits = by_block(times.select("grp", "w", "blk", "t")).mapInPandas(_block_exits, "grp string, w bigint, blk bigint, t bigint, last_t bigint")
-    entries = exits.repartition("grp").sortWithinPartitions("grp", "blk", "t").mapInPandas(_pick_entries, "grp string, blk bigint, entry bigint")
-    chain = by_block(times.join(entries, ["grp", "blk"]))
+    chain = by_block(times.join(_true_firsts(checkpoint(exits)), ["grp", "blk"]))
     sent = chain.mapInPandas(_mark_chain, f"rule_id {types['rule_id']}, first_id {types['anomaly_id']}")
     sent = sent.withColumnsRenamed({"first_id": "anomaly_id"}).withColumn("_sent", F.lit(True))
     out = matches.join(sent, ["rule_id", "anomaly_id"], "left")

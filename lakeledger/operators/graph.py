@@ -1,23 +1,26 @@
-"""Lineage closure, impact and graphs, for one, many or all sources in one job."""
+"""Lineage closure, impact and graphs around one or many starting points in one job."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeledger.runtime import checkpoint
 
+#: Levels followed unless told otherwise.
 MAX_LEVELS = 10
 
 
-def _reach(edges: DataFrame, src: list[str], dst: list[str], starts: DataFrame | None, max_depth: int) -> DataFrame:
+def _reach(edges: DataFrame, src: list[str], dst: list[str], starts: DataFrame, max_depth: int | None) -> DataFrame:
     """(org_id, start_*, node_*, depth): shortest depth of every node reachable from every start.
 
-    Level by level: frontier ⋈ edges, distinct, minus what is known. Each level is
-    written to the shared folder, so the plan stays short and a lost executor costs
-    one level at most. A start shows up in its own result if it lies on a cycle.
+    Level by level: frontier ⋈ edges, distinct, minus what is known, for ``max_depth`` levels or, if
+    that is None, until nothing new is reached. Each level is written to the shared folder, so the
+    plan stays short and a lost executor costs one level at most. A start shows up in its own result
+    if it lies on a cycle.
     """
     n = len(src)
     at, to = [f"_at{i}" for i in range(n)], [f"node_{i}" for i in range(n)]
@@ -25,15 +28,11 @@ def _reach(edges: DataFrame, src: list[str], dst: list[str], starts: DataFrame |
     e = checkpoint(
         edges.select("org_id", *[F.col(s).alias(a) for s, a in zip(src, at)], *[F.col(d).alias(t) for d, t in zip(dst, to)]).distinct()
     )
-    if starts is None:
-        first = e.select("org_id", *[F.col(a).alias(s) for a, s in zip(at, st)], *to)
-    else:
-        s0 = starts.select("org_id", *[F.col(c).alias(a) for c, a in zip(starts.columns[1:], at)]).distinct()
-        first = e.join(s0, ["org_id", *at]).select("org_id", *[F.col(a).alias(s) for a, s in zip(at, st)], *to)
+    s0 = starts.select("org_id", *[F.col(c).alias(a) for c, a in zip(starts.columns[1:], at)]).distinct()
+    step = e.join(s0, ["org_id", *at]).select("org_id", *[F.col(a).alias(s) for a, s in zip(at, st)], *to)
     key = ["org_id", *st, *to]
     levels: list[DataFrame] = []
-    step = first
-    for depth in range(1, min(max_depth, MAX_LEVELS) + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if levels:
             seen = reduce(DataFrame.union, [lv.select(*key) for lv in levels])
             front = levels[-1].select("org_id", *st, *[F.col(t).alias(a) for t, a in zip(to, at)])
@@ -45,23 +44,20 @@ def _reach(edges: DataFrame, src: list[str], dst: list[str], starts: DataFrame |
     return reduce(DataFrame.union, levels) if levels else level
 
 
-def downstream(edges: DataFrame, sources: DataFrame | None = None, max_depth: int = MAX_LEVELS) -> DataFrame:
-    """Datasets fed by each source (org_id, source, dataset, depth) (G1).
-
-    ``sources``: (org_id, name); left out, every dataset is a source.
-    """
+def downstream(edges: DataFrame, sources: DataFrame, max_depth: int | None = MAX_LEVELS) -> DataFrame:
+    """Datasets fed by each of ``sources`` (org_id, name): org_id, source, dataset, depth (G1)."""
     r = _reach(edges, ["source"], ["target"], sources, max_depth)
     return r.select("org_id", F.col("start_0").alias("source"), F.col("node_0").alias("dataset"), "depth")
 
 
-def upstream(edges: DataFrame, targets: DataFrame | None = None, max_depth: int = MAX_LEVELS) -> DataFrame:
-    """Datasets that feed each target (org_id, target, dataset, depth)."""
+def upstream(edges: DataFrame, targets: DataFrame, max_depth: int | None = MAX_LEVELS) -> DataFrame:
+    """Datasets that feed each of ``targets`` (org_id, name): org_id, target, dataset, depth."""
     r = _reach(edges, ["target"], ["source"], targets, max_depth)
     return r.select("org_id", F.col("start_0").alias("target"), F.col("node_0").alias("dataset"), "depth")
 
 
 def column_closure(
-    column_edges: DataFrame, columns: DataFrame | None = None, direction: str = "downstream", max_depth: int = MAX_LEVELS
+    column_edges: DataFrame, columns: DataFrame, direction: str = "downstream", max_depth: int | None = MAX_LEVELS
 ) -> DataFrame:
     """Columns reached from each start column, one row per way they are computed.
 
@@ -70,13 +66,11 @@ def column_closure(
     """
     near, far = ("source", "target") if direction == "downstream" else ("target", "source")
     src, dst = [f"{near}_dataset", f"{near}_column"], [f"{far}_dataset", f"{far}_column"]
-    depth = min(max_depth, MAX_LEVELS)
-    zero = column_edges.select("org_id", *src).distinct() if columns is None else columns
-    zero = zero.toDF("org_id", "start_dataset", "start_column").distinct()
+    zero = columns.toDF("org_id", "start_dataset", "start_column").distinct()
     zero = zero.select("*", F.col("start_dataset").alias(src[0]), F.col("start_column").alias(src[1]), F.lit(0).alias("_d"))
     nodes = zero
-    if depth > 1:
-        r = _reach(column_edges, src, dst, columns, depth - 1)
+    if max_depth is None or max_depth > 1:
+        r = _reach(column_edges, src, dst, columns, None if max_depth is None else max_depth - 1)
         nodes = zero.unionByName(
             r.select(
                 "org_id", F.col("start_0").alias("start_dataset"), F.col("start_1").alias("start_column"),
@@ -107,7 +101,7 @@ def impacted_datasets(closure: DataFrame, datasets: DataFrame | None = None) ->
     return g.join(d, ["org_id", "dataset"], "left")
 
 
-def impact_analysis(column_edges: DataFrame, columns: DataFrame | None = None, max_depth: int = MAX_LEVELS) -> DataFrame:
+def impact_analysis(column_edges: DataFrame, columns: DataFrame, max_depth: int | None = MAX_LEVELS) -> DataFrame:
     """Size and criticality of what depends on each start column."""
     closure = column_closure(column_edges, columns, "downstream", max_depth)
     per = impacted_datasets(closure)
@@ -119,9 +113,8 @@ def impact_analysis(column_edges: DataFrame, columns: DataFrame | None = None, m
         F.sum(F.size("columns")).alias("distinct_columns_affected"),
         F.max("max_depth").alias("max_depth"),
     )
-    if columns is not None:
-        asked = columns.toDF("org_id", "start_dataset", "start_column").distinct()
-        s = asked.join(s, ["org_id", "start_dataset", "start_column"], "left").na.fill(0)
+    asked = columns.toDF("org_id", "start_dataset", "start_column").distinct()
+    s = asked.join(s, ["org_id", "start_dataset", "start_column"], "left").na.fill(0)
     ds, cols = F.col("total_datasets_affected"), F.col("total_columns_affected")
     return s.withColumn(
         "criticality",
@@ -146,7 +139,7 @@ def edges_within_columns(column_edges: DataFrame, columns: DataFrame) -> DataFra
     return out
 
 
-def lineage_graph(edges: DataFrame, org: str, name: str, max_depth: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame]:
+def lineage_graph(edges: DataFrame, org: str, name: str, max_depth: int | None = MAX_LEVELS) -> tuple[DataFrame, DataFrame]:
     """(nodes with role and depth, edges among them) around one dataset."""
     spark = edges.sparkSession
     start = spark.range(1).select(F.lit(org).alias("org_id"), F.lit(name).alias("name"))
@@ -156,7 +149,7 @@ def lineage_graph(edges: DataFrame, org: str, name: str, max_depth: int = MAX_LE
     return nodes, edges_within(edges, nodes)
 
 
-def column_graph(column_edges: DataFrame, org: str, dataset: str, column: str, max_depth: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame]:
+def column_graph(column_edges: DataFrame, org: str, dataset: str, column: str, max_depth: int | None = MAX_LEVELS) -> tuple[DataFrame, DataFrame]:
     """(columns with role and depth, column edges among them) around one column."""
     spark = column_edges.sparkSession
     start = spark.range(1).select(F.lit(org).alias("org_id"), F.lit(dataset).alias("dataset"), F.lit(column).alias("column"))

@@ -8,23 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _countable(df: DataFrame, name: str) -> Column:
+    """A column as a value that can be grouped; maps and variants by their text."""
+    kind = df.schema[name].dataType.simpleString()
+    return F.to_json(F.struct(F.col(name).alias("v"))) if "map<" in kind or "variant" in kind else F.col(name)
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column: rows, nulls, distinct values (Q1, Q2).
 
-    Nulls come from one pass. Exact distinct counts group by (column, value), so a column with
-    few values shrinks before the shuffle and one with many spreads over all tasks.
+    One pass. Exact distinct counts first reduce to one row per (column, typed value), so a column
+    with few values shrinks before the shuffle and one with many spreads over all tasks.
     """
     cols = columns or df.columns
-    one = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("null_count")) for c in cols]
-    if approx:
-        one = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("null_count"), F.approx_count_distinct(c).alias("distinct_count")) for c in cols]
-    base = df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*one).alias("_c"))
-    base = base.select("row_count", F.inline("_c"))
-    if approx:
-        return base
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(c).alias("v"))).alias("value"), F.col(c).isNull().alias("n")) for c in cols])).alias("p"))
-    d = pairs.select("p.*").filter("NOT n").groupBy("column", "value").agg(F.lit(1).alias("_one")).groupBy("column").agg(F.count("*").alias("distinct_count"))
-    return base.join(d, "column", "left").na.fill(0, ["distinct_count"])
+    distinct = lambda c: F.approx_count_distinct(_countable(df, c)) if approx else F.count_distinct(F.when(F.col(c).isNotNull(), _countable(df, c)))
+    one = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("null_count"), distinct(c).alias("distinct_count")) for c in cols]
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.array(*one).alias("_c")).select("row_count", F.inline("_c"))
 
 
 def _violated(rule: dict) -> Column:
@@ -49,27 +48,31 @@ def evaluate_rules(df: DataFrame, rules: list[dict], id_column: str, samples: in
 
     ``rules``: dicts with name, type (NOT_NULL, UNIQUE, RANGE, PATTERN, CUSTOM), column, and
     min / max / pattern / expression. All row rules share one pass that emits a row per broken
-    rule; UNIQUE groups by value. A sample is the lowest ``samples`` ids that break the rule.
+    rule; UNIQUE groups by value. A sample is the lowest ``samples`` ids that break the rule, in
+    the ids' own type; null ids are left out of it but counted.
     """
     row_rules = [r for r in rules if r["type"] != "UNIQUE"]
-    ident = F.col(id_column).cast("bigint").alias("id")
-    parts = []
+    ident = F.col(id_column).alias("id")
+    lowest, counts = [], []
     if row_rules:
         broken = F.filter(F.array(*[F.when(_violated(r), F.lit(r["name"])) for r in row_rules]), lambda n: n.isNotNull())
-        parts.append(df.select(ident, F.explode(broken).alias("rule")))
+        hits = df.select(ident, F.explode(broken).alias("rule"))
+        lowest.append(hits)
+        counts.append(hits.groupBy("rule").agg(F.count("*").alias("violation_count")))
     for r in rules:
         if r["type"] == "UNIQUE":
-            twice = df.filter(F.col(r["column"]).isNotNull()).groupBy(r["column"]).agg(F.count("*").alias("_n"), F.min(id_column).alias("_first")).filter("_n > 1")
-            more = df.join(twice, r["column"]).filter(F.col(id_column) != F.col("_first"))
-            parts.append(more.select(ident, F.lit(r["name"]).alias("rule")))
-    hits = reduce(DataFrame.unionByName, parts)
+            values = df.select(ident, F.col(r["column"]).alias("value")).filter("value IS NOT NULL")
+            # every row of a value after the first by id; a few of each value are enough for the sample
+            nth = F.row_number().over(Window.partitionBy("value").orderBy("id"))
+            lowest.append(values.withColumn("_n", nth).filter(F.col("_n").between(2, samples + 1)).select("id", F.lit(r["name"]).alias("rule")))
+            twice = values.groupBy("value").agg((F.count("*") - 1).alias("_more"))
+            counts.append(twice.agg(F.coalesce(F.sum("_more"), F.lit(0)).alias("violation_count")).select(F.lit(r["name"]).alias("rule"), "violation_count"))
     w = Window.partitionBy("rule").orderBy("id")
     # the limit runs in every task before the shuffle, so few rows per rule move
-    few = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= samples)
+    few = reduce(DataFrame.unionByName, lowest).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= samples)
     sample = few.groupBy("rule").agg(F.array_sort(F.collect_list("id")).alias("sample_violations"))
-    counts = hits.groupBy("rule").agg(F.count("*").alias("violation_count"))
     names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(r["name"]) for r in rules])).alias("rule"))
-    out = names.join(counts, "rule", "left").join(sample, "rule", "left").na.fill(0, ["violation_count"])
+    out = names.join(reduce(DataFrame.unionByName, counts), "rule", "left").join(sample, "rule", "left").na.fill(0, ["violation_count"])
     return out.withColumn("passed", F.col("violation_count") == 0)
 
 

@@ -27,12 +27,13 @@ def snapshots_from_fields(fields: DataFrame) -> DataFrame:
 def snapshot_log(*origins: DataFrame) -> DataFrame:
     """Snapshots of several origins (messages, event logs, data) as one log.
 
-    Where two origins saw one dataset at the same moment the earlier argument wins.
+    Where two origins saw one dataset at the same moment the earlier argument wins; of several
+    schemas that one origin gives for it, the one of the greatest hash.
     """
     cols = ["org_id", "dataset", "captured_at", "fields"]
     every = [o.select(*cols, F.lit(-i).alias("_rank")) for i, o in enumerate(origins)]
-    log = latest_per_key(reduce(DataFrame.unionByName, every), ["org_id", "dataset", "captured_at"], ["_rank"])
-    return log.drop("_rank").withColumn("schema_hash", schema_hash(F.col("fields")))
+    log = reduce(DataFrame.unionByName, every).withColumn("schema_hash", schema_hash(F.col("fields")))
+    return latest_per_key(log, ["org_id", "dataset", "captured_at"], ["_rank", "schema_hash"]).drop("_rank")
 
 
 def with_schema_hash(snapshots: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ FROM (SELECT 'o1' AS org_id, 'region:' || CAST(n_regionkey AS STRING) AS source,
       UNION ALL SELECT 'o1', 'customer:' || CAST(o_custkey AS STRING), 'order:' || CAST(o_orderkey AS STRING), 'order' FROM {orders}
       UNION ALL SELECT DISTINCT 'o1', 'order:' || CAST(l_orderkey AS STRING), 'part:' || CAST(l_partkey AS STRING), 'line' FROM {lineitem}
       UNION ALL SELECT DISTINCT 'o1', 'supplier:' || CAST(l_suppkey AS STRING), 'part:' || CAST(l_partkey AS STRING), 'supply' FROM {lineitem}
-      UNION ALL SELECT 'o2', 'nation:' || CAST(c_nationkey AS STRING), 'customer:' || CAST(c_custkey AS STRING), 'customer' FROM {customer} WHERE c_custkey % 10 = 0
-      UNION ALL SELECT 'o2', 'customer:' || CAST(c_custkey AS STRING), 'nation:' || CAST(c_nationkey AS STRING), 'back' FROM {customer} WHERE c_custkey % 20 = 0) e
+      UNION ALL SELECT 'o2', 'nation:' || CAST(c_nationkey AS STRING), 'customer:' || CAST(c_custkey AS STRING), 'customer' FROM {customer}
+      UNION ALL SELECT 'o2', 'customer:' || CAST(c_custkey AS STRING), 'nation:' || CAST(c_nationkey AS STRING), 'back' FROM {customer}
+      UNION ALL SELECT DISTINCT 'o' || CAST(1 + user_id % 2 AS STRING), event_type, 'customer:' || CAST(user_id AS STRING), 'event' FROM {events}) e
 """
 VIEWS["v_column_changes"] = """
 SELECT 'o' || CAST(1 + user_id % 2 AS STRING) AS org_id,
@@ -112,7 +113,7 @@ VIEWS["v_alert_history"] = """
 SELECT event_id AS alert_id, CAST(event_id % 25 AS INT) AS rule_id, event_id AS anomaly_id,
        CASE user_id % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'DEDUPLICATED' ELSE 'SENT' END AS status,
        CAST(ts AS TIMESTAMP) AS sent_at, event_type AS dataset
-FROM {events} WHERE event_id % 3 = 0
+FROM {events}
 """
 
 # --- job runs ---------------------------------------------------------------------

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.operators import alerts as al
 from lakeledger.operators import graph as g
+from lakeledger.plans.q_graph import _ABNORMAL, _down
 from lakeledger.plans.registry import query
 
 _MATCH = """m AS (SELECT a.anomaly_id, a.org_id, a.dataset, a.anomaly_type, a.severity, a.detected_at, r.rule_id, r.channel_type, r.subject_template, r.deduplication_minutes FROM {v_anomalies} a JOIN {v_rules} r
@@ -42,12 +43,11 @@ def _(t):
     return al.dedup_alerts(_matches(t)).select("rule_id", "anomaly_id", "status")
 
 
-@query("r4_alert_outbox", f"""WITH RECURSIVE {_GREEDY} SELECT rule_id, anomaly_id, channel_type, CASE status WHEN 'SENT' THEN 'PENDING' ELSE status END AS status,
+@query("r4_alert_outbox", f"""WITH RECURSIVE {_down(_ABNORMAL)}, {_GREEDY} SELECT rule_id, anomaly_id, channel_type, CASE status WHEN 'SENT' THEN 'PENDING' ELSE status END AS status,
   CASE WHEN subject_template IS NULL THEN '[' || severity || '] Data Anomaly: ' || dataset ELSE severity || ' on ' || dataset || ' (' || anomaly_type || ')' END AS subject,
-  CAST(coalesce(dc.n, 0) AS BIGINT) AS downstream_count FROM d LEFT JOIN (SELECT source, count(*) AS n FROM (SELECT DISTINCT event_type AS source, user_id FROM {{events}}) x GROUP BY source) dc ON dc.source = d.dataset""")
+  CAST(coalesce(dc.n, 0) AS BIGINT) AS downstream_count FROM d LEFT JOIN (SELECT org_id, start, count(DISTINCT node) AS n FROM down GROUP BY ALL) dc ON dc.org_id = d.org_id AND dc.start = d.dataset""")
 def _(t):
-    reach = t("events").select(F.col("event_type").alias("source"), "user_id").distinct()
-    counts = g.downstream_count(reach.select(F.explode(F.array(F.lit("o1"), F.lit("o2"))).alias("org_id"), "source"))
+    counts = g.downstream_count(g.downstream(t("v_edges"), t.sql(_ABNORMAL)))
     out = al.alert_outbox(al.dedup_alerts(_matches(t)), counts)
     return out.select("rule_id", "anomaly_id", "channel_type", "status", "subject", "downstream_count")
 
@@ -57,10 +57,14 @@ def _(t):
     return al.apply_alert_status(t("v_anomalies"), t("v_alert_history")).select("anomaly_id", "status")
 
 
-@query("r6_unmatched_anomalies", f"WITH {_MATCH}, z AS (SELECT DISTINCT anomaly_id FROM m WHERE rule_id % 4 <> 0) SELECT anomaly_id FROM {{v_anomalies}} a WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.anomaly_id = a.anomaly_id)")
+# all rules, those for any severity narrowed to the highest
+_STRICT = "(SELECT * REPLACE (coalesce(severity, 'CRITICAL') AS severity) FROM {v_rules})"
+
+
+@query("r6_unmatched_anomalies", f"WITH {_MATCH.replace('{v_rules}', _STRICT)}, z AS (SELECT DISTINCT anomaly_id FROM m) SELECT anomaly_id FROM {{v_anomalies}} a WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.anomaly_id = a.anomaly_id)")
 def _(t):
-    narrow = t("v_rules").filter("rule_id % 4 <> 0")
-    return al.unmatched_anomalies(t("v_anomalies"), narrow).select("anomaly_id")
+    strict = t("v_rules").withColumn("severity", F.coalesce("severity", F.lit("CRITICAL")))
+    return al.unmatched_anomalies(t("v_anomalies"), strict).select("anomaly_id")
 
 
 @query("j13_recent_sent", f"""WITH {_MATCH}, h AS (SELECT a.rule_id, b.dataset, b.anomaly_type, a.sent_at FROM {{v_alert_history}} a JOIN {{v_anomalies}} b ON a.anomaly_id = b.anomaly_id WHERE a.status = 'SENT')

@@ -5,44 +5,59 @@ from pyspark.sql import functions as F
 from lakeledger.operators import graph as g
 from lakeledger.plans.registry import query
 
-_DOWN = """down(org_id, start, node, depth) AS (
-  SELECT org_id, source, target, 1 FROM {v_edges}
-  UNION SELECT d.org_id, d.start, e.target, d.depth + 1 FROM down d JOIN {v_edges} e ON e.org_id = d.org_id AND e.source = d.node WHERE d.depth < 10)"""
-_UP = """up(org_id, start, node, depth) AS (
-  SELECT org_id, target, source, 1 FROM {v_edges}
-  UNION SELECT d.org_id, d.start, e.source, d.depth + 1 FROM up d JOIN {v_edges} e ON e.org_id = d.org_id AND e.target = d.node WHERE d.depth < 10)"""
+# Starting points that users have: what feeds everything, what was delivered, what had an anomaly.
+_ROOTS = "SELECT 'o1' AS org_id, 'region:' || CAST(r_regionkey AS STRING) AS name FROM {region} UNION ALL SELECT 'o2', 'nation:' || CAST(n_nationkey AS STRING) FROM {nation}"
+_DELIVERED = "SELECT 'o1' AS org_id, 'order:' || CAST(o_orderkey AS STRING) AS name FROM {orders} UNION ALL SELECT 'o2', 'nation:' || CAST(n_nationkey AS STRING) FROM {nation}"
+_ABNORMAL = "SELECT DISTINCT org_id, dataset AS name FROM {v_anomalies}"
 
 
-@query("g1_downstream", f"WITH RECURSIVE {_DOWN} SELECT org_id, start AS source, node AS dataset, min(depth) AS depth FROM down GROUP BY ALL")
+def _down(starts):
+    return f"""starts AS ({starts}), down(org_id, start, node, depth) AS (
+  SELECT e.org_id, e.source, e.target, 1 FROM {{v_edges}} e JOIN starts s ON s.org_id = e.org_id AND s.name = e.source
+  UNION SELECT d.org_id, d.start, e.target, d.depth + 1 FROM down d JOIN {{v_edges}} e ON e.org_id = d.org_id AND e.source = d.node WHERE d.depth < 10)"""
+
+
+_UP = f"""starts AS ({_DELIVERED}), up(org_id, start, node, depth) AS (
+  SELECT e.org_id, e.target, e.source, 1 FROM {{v_edges}} e JOIN starts s ON s.org_id = e.org_id AND s.name = e.target
+  UNION SELECT d.org_id, d.start, e.source, d.depth + 1 FROM up d JOIN {{v_edges}} e ON e.org_id = d.org_id AND e.target = d.node WHERE d.depth < 10)"""
+
+
+@query("g1_downstream", f"WITH RECURSIVE {_down(_ROOTS)} SELECT org_id, start AS source, node AS dataset, min(depth) AS depth FROM down GROUP BY ALL")
 def _(t):
-    return g.downstream(t("v_edges"))
+    return g.downstream(t("v_edges"), t.sql(_ROOTS))
 
 
 @query("g2_upstream", f"WITH RECURSIVE {_UP} SELECT org_id, start AS target, node AS dataset, min(depth) AS depth FROM up GROUP BY ALL")
 def _(t):
-    return g.upstream(t("v_edges"))
+    return g.upstream(t("v_edges"), t.sql(_DELIVERED))
 
 
-@query("u3_closure_distinct", f"WITH RECURSIVE {_DOWN} SELECT org_id, depth, count(*) AS pairs FROM (SELECT org_id, start, node, CAST(min(depth) AS INT) AS depth FROM down GROUP BY ALL) x GROUP BY ALL")
+@query("u3_closure_distinct", f"WITH RECURSIVE {_down(_ROOTS)} SELECT org_id, depth, count(*) AS pairs FROM (SELECT org_id, start, node, CAST(min(depth) AS INT) AS depth FROM down GROUP BY ALL) x GROUP BY ALL")
 def _(t):
-    return g.downstream(t("v_edges")).groupBy("org_id", "depth").agg(F.count("*").alias("pairs"))
+    return g.downstream(t("v_edges"), t.sql(_ROOTS)).groupBy("org_id", "depth").agg(F.count("*").alias("pairs"))
 
 
-@query("a13_downstream_count", f"WITH RECURSIVE {_DOWN} SELECT org_id, start AS source, count(DISTINCT node) AS downstream_count FROM down GROUP BY ALL")
+@query("a13_downstream_count", f"WITH RECURSIVE {_down(_ABNORMAL)} SELECT org_id, start AS source, count(DISTINCT node) AS downstream_count FROM down GROUP BY ALL")
 def _(t):
-    return g.downstream_count(g.downstream(t("v_edges")))
+    return g.downstream_count(g.downstream(t("v_edges"), t.sql(_ABNORMAL)))
 
 
-@query("o2_order_closure", f"WITH RECURSIVE {_DOWN} SELECT node AS dataset, min(depth) AS depth FROM down WHERE org_id = 'o1' AND start = 'region:1' GROUP BY node ORDER BY 2, 1")
+_ONE = "SELECT 'o1' AS org_id, 'region:' || CAST(r_regionkey AS STRING) AS name FROM {region} WHERE r_regionkey = 1"
+
+
+@query("o2_order_closure", f"WITH RECURSIVE {_down(_ONE)} SELECT node AS dataset, min(depth) AS depth FROM down GROUP BY node ORDER BY 2, 1")
 def _(t):
-    e = t("v_edges")
-    start = t("region").filter("r_regionkey = 1").select(F.lit("o1").alias("org_id"), F.concat(F.lit("region:"), "r_regionkey").alias("name"))
-    return g.order_closure(g.downstream(e, start)).select("dataset", "depth")
+    return g.order_closure(g.downstream(t("v_edges"), t.sql(_ONE))).select("dataset", "depth")
+
+
+# columns that a change is asked about: those that joins rest on; columns whose origin is asked: aggregates
+_KEYS = "SELECT DISTINCT org_id, source_dataset AS dataset, source_column AS column_name FROM {v_column_edges} WHERE transform_type = 'JOIN'"
+_SUMS = "SELECT DISTINCT org_id, target_dataset AS dataset, target_column AS column_name FROM {v_column_edges} WHERE transform_type = 'AGGREGATE'"
 
 
 def _col(near, far):
-    return f"""nodes(org_id, sd, sc, d, c, depth) AS (
-  SELECT DISTINCT org_id, {near}_dataset, {near}_column, {near}_dataset, {near}_column, 0 FROM {{v_column_edges}}
+    return f"""starts AS ({_KEYS if near == 'source' else _SUMS}), nodes(org_id, sd, sc, d, c, depth) AS (
+  SELECT org_id, dataset, column_name, dataset, column_name, 0 FROM starts
   UNION SELECT n.org_id, n.sd, n.sc, e.{far}_dataset, e.{far}_column, n.depth + 1 FROM nodes n JOIN {{v_column_edges}} e
     ON e.org_id = n.org_id AND e.{near}_dataset = n.d AND e.{near}_column = n.c WHERE n.depth < 9),
  closure AS (SELECT n.org_id, sd AS start_dataset, sc AS start_column, e.{far}_dataset AS dataset, e.{far}_column AS "column", e.transform_type, e.expression, min(n.depth) + 1 AS depth
@@ -51,12 +66,12 @@ def _col(near, far):
 
 @query("g3_column_downstream", f"WITH RECURSIVE {_col('source', 'target')} SELECT * FROM closure")
 def _(t):
-    return g.column_closure(t("v_column_edges"))
+    return g.column_closure(t("v_column_edges"), t.sql(_KEYS))
 
 
 @query("g3_column_upstream", f"WITH RECURSIVE {_col('target', 'source')} SELECT * FROM closure")
 def _(t):
-    return g.column_closure(t("v_column_edges"), direction="upstream")
+    return g.column_closure(t("v_column_edges"), t.sql(_SUMS), direction="upstream")
 
 
 _IMPACT = """per AS (SELECT org_id, start_dataset, start_column, dataset, count(*) AS n_rows, count(*) FILTER (depth = 1) AS direct, max(depth) AS md, count(DISTINCT "column") AS nc FROM closure GROUP BY ALL),
@@ -68,13 +83,13 @@ _IMPACT = """per AS (SELECT org_id, start_dataset, start_column, dataset, count(
  SELECT *, CASE WHEN total_datasets_affected >= 5 OR total_columns_affected >= 10 THEN 'CRITICAL' WHEN total_datasets_affected >= 3 OR total_columns_affected >= 5 THEN 'HIGH'
   WHEN total_datasets_affected >= 2 OR total_columns_affected >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS criticality FROM imp""")
 def _(t):
-    return g.impact_analysis(t("v_column_edges"))
+    return g.impact_analysis(t("v_column_edges"), t.sql(_KEYS))
 
 
 @query("a5_impact_rollup", f"""WITH RECURSIVE {_col('source', 'target')}
  SELECT org_id, start_dataset, start_column, dataset, count(*) AS n_rows, count(*) FILTER (depth = 1) AS direct, max(depth) AS max_depth, string_agg(DISTINCT "column", ',' ORDER BY "column") AS columns FROM closure GROUP BY ALL""")
 def _(t):
-    return g.impacted_datasets(g.column_closure(t("v_column_edges"))).withColumn("columns", F.array_join("columns", ","))
+    return g.impacted_datasets(g.column_closure(t("v_column_edges"), t.sql(_KEYS))).withColumn("columns", F.array_join("columns", ","))
 
 
 @query("j14_impact_types", f"""WITH RECURSIVE {_col('source', 'target')}, types AS (SELECT org_id, source_dataset AS name, min(transform_type) AS dataset_type FROM {{v_column_edges}} WHERE transform_type <> 'DIRECT' GROUP BY ALL)
@@ -82,14 +97,13 @@ def _(t):
 def _(t):
     e = t("v_column_edges")
     types = e.filter("transform_type <> 'DIRECT'").groupBy("org_id", F.col("source_dataset").alias("name")).agg(F.min("transform_type").alias("dataset_type"))
-    return g.impacted_datasets(g.column_closure(e), types).select("org_id", "start_dataset", "start_column", "dataset", "max_depth", "dataset_type")
+    return g.impacted_datasets(g.column_closure(e, t.sql(_KEYS)), types).select("org_id", "start_dataset", "start_column", "dataset", "max_depth", "dataset_type")
 
 
-@query("o3_order_impact", f"""WITH RECURSIVE {_col('source', 'target')} SELECT start_dataset, dataset, max(depth) AS max_depth FROM closure WHERE org_id = 'o1' GROUP BY ALL ORDER BY 3, 1, 2""")
+@query("o3_order_impact", f"""WITH RECURSIVE {_col('source', 'target')} SELECT org_id, start_dataset, dataset, max(depth) AS max_depth FROM closure GROUP BY ALL ORDER BY 4, 1, 2, 3""")
 def _(t):
-    e = t("v_column_edges").filter("org_id = 'o1'")
-    i = g.impacted_datasets(g.column_closure(e))
-    return i.groupBy("start_dataset", "dataset").agg(F.max("max_depth").alias("max_depth")).orderBy("max_depth", "start_dataset", "dataset")
+    i = g.impacted_datasets(g.column_closure(t("v_column_edges"), t.sql(_KEYS)))
+    return i.groupBy("org_id", "start_dataset", "dataset").agg(F.max("max_depth").alias("max_depth")).orderBy("max_depth", "org_id", "start_dataset", "dataset")
 
 
 _BOTH = """WITH RECURSIVE dn(node, depth) AS (SELECT target, 1 FROM {v_edges} WHERE org_id = 'o1' AND source = 'customer:1'

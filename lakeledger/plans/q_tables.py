@@ -70,13 +70,12 @@ def _(t):
     return out
 
 
-@query("m1_upsert_datasets", f"""WITH {_BASE}, {_REFS}, c AS (SELECT org_id, name, max_by(dataset_type, received_at) AS dt, max_by(location, received_at) FILTER (location IS NOT NULL) AS loc, min(received_at) AS f, max(received_at) AS l FROM refs GROUP BY ALL),
+@query("m1_upsert_datasets", f"""WITH {_BASE}, {_REFS}, c AS (SELECT org_id, name, last(dataset_type ORDER BY received_at, job_id, dataset_type) AS dt, last(location ORDER BY received_at, job_id, location) FILTER (location IS NOT NULL) AS loc, min(received_at) AS f, max(received_at) AS l FROM refs GROUP BY ALL),
   b AS (SELECT * FROM {{v_datasets}})
-  SELECT coalesce(b.org_id, c.org_id) AS org_id, coalesce(b.name, c.name) AS name, coalesce(c.dt, b.dataset_type) AS dataset_type, coalesce(b.location, '-') AS stored_location, {_f('coalesce(b.created_at, c.f)')} AS created_at, {_f('coalesce(c.l, b.updated_at)')} AS updated_at
-  FROM b FULL JOIN c ON b.org_id = c.org_id AND b.name = c.name WHERE coalesce(b.name, c.name) LIKE '%:%' AND coalesce(b.name, c.name) NOT LIKE 'lake%'""")
+  SELECT coalesce(b.org_id, c.org_id) AS org_id, coalesce(b.name, c.name) AS name, coalesce(c.dt, b.dataset_type) AS dataset_type, coalesce(c.loc, b.location, '-') AS stored_location, {_f('coalesce(b.created_at, c.f)')} AS created_at, {_f('coalesce(c.l, b.updated_at)')} AS updated_at
+  FROM b FULL JOIN c ON b.org_id = c.org_id AND b.name = c.name""")
 def _(t):
     d = tb.upsert_datasets(t("v_datasets"), tb.payload_datasets(_good(t)))
-    d = d.filter("name LIKE '%:%' AND name NOT LIKE 'lake%'")
     return d.select("org_id", "name", "dataset_type", F.coalesce("location", F.lit("-")).alias("stored_location"), _s("created_at"), _s("updated_at"))
 
 

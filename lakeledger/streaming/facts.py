@@ -16,6 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from lakeledger.operators import tables as tb
 from lakeledger.operators.alerts import dedup_alerts, match_rules
 from lakeledger.operators.anomalies import history_stats, judge
+from lakeledger.operators.ordered import join_null_safe
 from lakeledger.operators.schema_history import append_schema_versions
 from lakeledger.sources.payloads import parse_ingest, parse_schema_ingest
 
@@ -112,6 +113,7 @@ def stream_anomalies(metrics: DataFrame, root: str, days: int = 30, sigma: float
             if batch_id > 0:
                 past = spark.read.parquet(f"{root}/loads").filter((F.col("batch") < batch_id) & (F.col("month") <= F.lit(month)))
                 oldest = F.date_sub(F.lit(first), days + 1)
+                past = past.join(batch.select("org_id", "dataset").distinct(), ["org_id", "dataset"], "left_semi")
                 past = past.filter((F.col("month") >= F.trunc(oldest, "month")) & (F.to_date("ts") >= oldest) & (F.to_date("ts") <= F.lit(last)))
                 known = known.unionByName(past.drop("month", "batch").withColumn("_new", F.lit(False)))
             new = history_stats(known, days).filter("_new").drop("_new")
@@ -134,7 +136,7 @@ def stream_dedup(matches: DataFrame, root: str) -> DataStreamWriter:
     """SENT or DEDUPLICATED for arriving matches; the last SENT time per group is the state.
 
     The state enters the batch as the group's first match, so the batch operator carries on
-    where the last batch ended. What is older than the last SENT counts as a repeat.
+    where the last batch ended. What is older than the last SENT came too late to be judged: LATE.
     """
     group = ["rule_id", "org_id", "dataset", "anomaly_type"]
 
@@ -144,14 +146,18 @@ def stream_dedup(matches: DataFrame, root: str) -> DataStreamWriter:
         batch = batch.select(*cols)
         if state is None:
             state = batch.select(*group, F.col("detected_at").alias("last_sent"), "deduplication_minutes").limit(0)
-        seen = batch.join(state.select(*group, "last_sent"), group, "left")
-        late = seen.filter("detected_at <= last_sent").select(*cols, F.lit("DEDUPLICATED").alias("status"))
-        seeds = state.select(*group, F.col("last_sent").alias("detected_at"), "deduplication_minutes", F.lit(-1).cast(dict(batch.dtypes)["anomaly_id"]).alias("anomaly_id"))
-        fresh = seen.filter("last_sent IS NULL OR detected_at > last_sent").select(*cols)
-        # a seed needs an id of its own per group within its rule
-        seeds = seeds.withColumn("anomaly_id", -F.abs(F.xxhash64(*group)).cast(dict(batch.dtypes)["anomaly_id"]))
-        both = fresh.unionByName(seeds, allowMissingColumns=True)
-        decided = dedup_alerts(both).filter("anomaly_id >= 0").unionByName(late).persist()
+        seen = join_null_safe(batch, state.select(*group, "last_sent"), group)
+        late = seen.filter("detected_at < last_sent").select(*cols, F.lit("LATE").alias("status"))
+        same = seen.filter("detected_at = last_sent").select(*cols, F.lit("DEDUPLICATED").alias("status"))
+        fresh = seen.filter("last_sent IS NULL OR detected_at > last_sent").select(*cols, F.lit(False).alias("_seed"))
+        # the last SENT of each group goes in as its first match, marked so that it can be told apart
+        seeds = state.select(*group, F.col("last_sent").alias("detected_at"), "deduplication_minutes", F.lit(True).alias("_seed"))
+        both = fresh.withColumn("_id", F.struct(F.lit(False).alias("s"), F.col("anomaly_id").cast("string").alias("i"), F.lit(None).cast("string").alias("g")))
+        own = F.struct(F.lit(True).alias("s"), F.lit(None).cast("string").alias("i"), F.to_json(F.struct(*group)).alias("g"))
+        both = both.unionByName(seeds.withColumn("_id", own), allowMissingColumns=True)
+        judged = dedup_alerts(both.withColumnsRenamed({"anomaly_id": "_given"}).withColumnRenamed("_id", "anomaly_id"))
+        judged = judged.filter("NOT _seed").drop("_seed", "anomaly_id").withColumnRenamed("_given", "anomaly_id")
+        decided = judged.select(*cols, "status").unionByName(same).unionByName(late).persist()
         _write(decided, root, "alerts", batch_id)
         sent = decided.filter("status = 'SENT'").groupBy(*group).agg(F.max("detected_at").alias("last_sent"), F.max("deduplication_minutes").alias("deduplication_minutes"))
         both_states = state.select(*sent.columns).unionByName(sent)

@@ -16,9 +16,13 @@ def edges(spark):
     return spark.createDataFrame([(*r, "j", "n") for r in ROWS], "org_id string, source string, target string, job_id string, job_name string")
 
 
+def every(edges, side="source"):
+    return edges.select("org_id", side).distinct()
+
+
 def test_downstream(edges):
     d = {}
-    for r in g.downstream(edges).collect():
+    for r in g.downstream(edges, every(edges)).collect():
         d.setdefault((r.org_id, r.source), {})[r.dataset] = r.depth
     assert d["o1", "a"] == {"b": 1, "c": 2}
     assert d["o1", "d1"] == {"d2": 1, "d3": 1, "d4": 2}
@@ -27,6 +31,14 @@ def test_downstream(edges):
     assert d["o2", "b"] == {"other": 1}
 
 
+@pytest.mark.parametrize("levels,reached", [(3, 3), (12, 12), (None, 12)])
+def test_levels_asked_for_are_followed(spark, edges, levels, reached):
+    start = spark.createDataFrame([("o1", "n0")], "org_id string, name string")
+    assert sorted(r.depth for r in g.downstream(edges, start, levels).collect()) == list(range(1, reached + 1))
+    ring = spark.createDataFrame([("o1", "x")], "org_id string, name string")
+    assert {(r.dataset, r.depth) for r in g.downstream(edges, ring, None).collect()} == {("y", 1), ("z", 2), ("x", 3)}
+
+
 def test_upstream_of_one(spark, edges):
     t = spark.createDataFrame([("o1", "d4")], "org_id string, name string")
     assert {(r.dataset, r.depth) for r in g.upstream(edges, t).collect()} == {("d2", 1), ("d3", 1), ("d1", 2)}

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lakeledger.plans import ORACLES, QUERIES
 from lakeledger.plans.registry import BASE
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,8 @@ def table(columns, rows):
 
 
 def test_names_and_twins():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert not [q for q in QUERIES if "pipeline" in q or q.startswith("op")]
 
 
