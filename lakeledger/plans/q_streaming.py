@@ -1,5 +1,7 @@
 """Queries that run a stream to its end and return what it wrote."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +16,22 @@ from lakeledger.streaming import facts as fa
 from lakeledger.streaming import windows as wi
 
 
-def _as_stream(t, df: DataFrame, order: str, files: int = 2) -> DataFrame:
-    """``df`` as a file stream that arrives in ``files`` steps along ``order``."""
+def _in_steps(t, df: DataFrame, order: str, run: Callable[[DataFrame], None], steps: int = 2) -> None:
+    """Let ``df`` arrive in ``steps`` parts along ``order``; after each one ``run`` works off what has come.
+
+    Each part is written by all tasks; the stream takes up where it stopped.
+    """
     path = scratch(t.spark, "arrivals")
     lo, hi = df.agg(F.min(order), F.max(order)).first()
-    cuts = [lo + (hi - lo) * i / files for i in range(1, files)]
-    for i in range(files):
+    cuts = [lo + (hi - lo) * i / steps for i in range(1, steps)]
+    for i in range(steps):
         part = df
         if i > 0:
             part = part.filter(F.col(order) >= F.lit(cuts[i - 1]))
-        if i < files - 1:
+        if i < steps - 1:
             part = part.filter(F.col(order) < F.lit(cuts[i]))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(df.schema).parquet(path))
 
 
 def _events(t) -> DataFrame:
@@ -34,18 +39,23 @@ def _events(t) -> DataFrame:
     return t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
 
 
+def _append(stream: DataFrame, root: str) -> None:
+    """Run an append stream into a table under ``root``."""
+    w = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append")
+    fa.run_available(w)
+
+
 def _to_table(t, stream: DataFrame) -> DataFrame:
     """Run an append stream into a table and read it back."""
     root = scratch(t.spark, "stream")
-    w = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").outputMode("append")
-    fa.run_available(w)
+    _append(stream, root)
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 @query("t1_stream_ingest", ORACLES["m4_latest_jobs"])
 def _(t):
     root = scratch(t.spark, "ingest")
-    fa.run_available(fa.stream_ingest(_as_stream(t, t("v_payload_json"), "received_at"), root))
+    _in_steps(t, t("v_payload_json"), "received_at", lambda raw: fa.run_available(fa.stream_ingest(raw, root)))
     return fa.read_facts(t.spark, root)["jobs"].select("org_id", "job_name", "partition_key", "status", "last_execution_id")
 
 
@@ -54,7 +64,7 @@ def _(t):
  SELECT dataset, sha256(txt) AS schema_hash, strftime(min(at_), '%Y-%m-%d %H:%M:%S') AS valid_from FROM m GROUP BY dataset, txt""")
 def _(t):
     root = scratch(t.spark, "schemas")
-    fa.run_available(fa.stream_schema_versions(_as_stream(t, t("v_schema_payload_json"), "received_at"), root))
+    _in_steps(t, t("v_schema_payload_json"), "received_at", lambda raw: fa.run_available(fa.stream_schema_versions(raw, root)))
     return fa.last_state(t.spark, root, "versions").select("dataset", "schema_hash", _s("valid_from").alias("valid_from"))
 
 
@@ -70,7 +80,9 @@ def _(t):
  d AS (SELECT DISTINCT dataset, day FROM m, top WHERE day + INTERVAL 1 DAY <= w)
  SELECT d.dataset, strftime(d.day, '%Y-%m-%d') AS day, count(m.row_count) AS points, round(avg(m.row_count), 6) AS mean, round(stddev_samp(m.row_count), 6) AS std FROM d LEFT JOIN m ON m.dataset = d.dataset AND m.day < d.day AND m.day >= d.day - INTERVAL 30 DAY GROUP BY ALL""")
 def _(t):
-    daily = _to_table(t, wi.stream_daily_moments(_as_stream(t, t("v_metrics_hourly"), "ts")))
+    root = scratch(t.spark, "stream")
+    _in_steps(t, t("v_metrics_hourly"), "ts", lambda m: _append(wi.stream_daily_moments(m), root))
+    daily = t.spark.read.parquet(f"{root}/out")
     r = wi.rolling_stats(daily)
     return r.select("dataset", F.date_format("day", "yyyy-MM-dd").alias("day"), "points", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -78,7 +90,7 @@ def _(t):
 @query("t5_stream_anomalies", f"""WITH {_SCOPED}, {_FOUND} SELECT org_id, dataset, job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, measure, way FROM hits WHERE way IS NOT NULL""")
 def _(t):
     root = scratch(t.spark, "loads")
-    fa.run_available(fa.stream_anomalies(_as_stream(t, t("v_metrics"), "ts"), root))
+    _in_steps(t, t("v_metrics"), "ts", lambda m: fa.run_available(fa.stream_anomalies(m, root)))
     a = t.spark.read.parquet(f"{root}/anomalies")
     measure = F.when(F.col("anomaly_type").like("Row%"), "row_count").otherwise("byte_size")
     way = F.when(F.col("anomaly_type").like("%Spike"), "up").otherwise("down")
@@ -88,7 +100,7 @@ def _(t):
 @query("t6_stream_dedup", f"WITH RECURSIVE {_GREEDY} SELECT rule_id, anomaly_id, status FROM d")
 def _(t):
     root = scratch(t.spark, "dedup")
-    fa.run_available(fa.stream_dedup(_as_stream(t, al.match_rules(t("v_anomalies"), t("v_rules")).drop("status"), "detected_at"), root))
+    _in_steps(t, al.match_rules(t("v_anomalies"), t("v_rules")).drop("status"), "detected_at", lambda m: fa.run_available(fa.stream_dedup(m, root)))
     return t.spark.read.parquet(f"{root}/alerts").select("rule_id", "anomaly_id", "status")
 
 
@@ -96,15 +108,18 @@ def _(t):
 def _(t):
     root = scratch(t.spark, "matches")
     rules = lambda: t("v_rules")
-    fa.run_available(fa.stream_match_rules(_as_stream(t, t("v_anomalies"), "detected_at"), rules, root))
+    _in_steps(t, t("v_anomalies"), "detected_at", lambda a: fa.run_available(fa.stream_match_rules(a, rules, root)))
     return t.spark.read.parquet(f"{root}/matches").select("rule_id", "anomaly_id")
 
 
-@query("t8_stream_freshness")
+@query("t8_stream_freshness", """WITH u AS (SELECT DISTINCT 'u' || user_id AS dataset, ts FROM {events}), n AS (SELECT *, lead(ts) OVER (PARTITION BY dataset ORDER BY ts) AS later FROM u)
+ SELECT dataset, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_updated, 2 AS sla_hours FROM n WHERE later > ts + INTERVAL 2 HOUR OR (later IS NULL AND epoch_ms(ts) + 7200000 < (SELECT epoch_ms(max(ts)) FROM u))""")
 def _(t):
-    e = _as_stream(t, t("events").select(F.lit("o1").alias("org_id"), F.concat(F.lit("u"), "user_id").alias("dataset"), F.col("ts").cast("timestamp").alias("ts")), "ts", 3)
-    slas = t("events").select(F.lit("o1").alias("org_id"), F.concat(F.lit("u"), "user_id").alias("dataset"), F.lit(2).alias("sla_hours")).distinct()
-    return _to_table(t, wi.stream_freshness(e, slas))
+    e = t("events").select(F.lit("o1").alias("org_id"), F.concat(F.lit("u"), "user_id").alias("dataset"), F.col("ts").cast("timestamp").alias("ts"))
+    slas = e.select("org_id", "dataset", F.lit(2).alias("sla_hours")).distinct()
+    root = scratch(t.spark, "stream")
+    _in_steps(t, e, "ts", lambda u: _append(wi.stream_freshness(u, slas), root), 3)
+    return t.spark.read.parquet(f"{root}/out").select("dataset", _s("last_updated").alias("last_updated"), "sla_hours")
 
 
 _RUN = "SELECT 'app' || CAST(user_id % 20 AS STRING) AS app_id, CAST(ts AS TIMESTAMP) AS ts FROM {events}"

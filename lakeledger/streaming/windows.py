@@ -61,29 +61,51 @@ def run_sessions(query_events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     return e.groupBy("app_id", "session").agg(F.sum("n").alias("queries"), F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
 
 
+_BREACH = "org_id string, dataset string, last_updated timestamp, sla_hours int"
+
+
 def _watch(key, frames, state: GroupState):
-    """Remember a dataset's last update; report it once the agreed time runs out."""
+    """Every gap between a dataset's updates that is longer than agreed, and the last one once its time runs out.
+
+    The state is the last update, the agreed hours and whether its breach is reported already.
+    """
+
+    def breaches(times, hours):
+        n = len(times)
+        return pd.DataFrame({"org_id": [key[0]] * n, "dataset": [key[1]] * n, "last_updated": pd.to_datetime(times, unit="us"), "sla_hours": [hours] * n})
+
     if state.hasTimedOut:
-        last, hours = state.get
-        state.remove()
-        yield pd.DataFrame({"org_id": [key[0]], "dataset": [key[1]], "last_updated": [pd.Timestamp(last, unit="us")], "sla_hours": [hours]})
+        last, hours, reported = state.get
+        state.update((last, hours, True))
+        if not reported:
+            yield breaches([last], hours)
         return
-    last, hours = state.get if state.exists else (-1, 24)
-    for pdf in frames:
-        newest = int(pdf["us"].max())
-        if newest > last:
-            last, hours = newest, int(pdf["sla_hours"].iloc[0])
-    state.update((last, hours))
-    state.setTimeoutTimestamp(max(last // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+    pdf = pd.concat(list(frames), ignore_index=True)
+    hours = int(pdf["sla_hours"].min())
+    us = sorted(pdf["us"].unique().tolist())
+    reported = False
+    if state.exists:
+        last, _, reported = state.get
+        us = [last, *(u for u in us if u > last)]
+    gaps = [a for k, (a, b) in enumerate(zip(us, us[1:])) if b - a > hours * 3_600_000_000 and not (reported and k == 0)]
+    yield breaches(gaps, hours)
+    state.update((us[-1], hours, reported and len(us) == 1))
+    if not (reported and len(us) == 1):
+        state.setTimeoutTimestamp(max(us[-1] // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
 
 
 def stream_freshness(updates: DataFrame, slas: DataFrame, watermark: str = "0 seconds", default_hours: int = 24) -> DataFrame:
-    """A row for each dataset not updated within its agreed time, in event time."""
-    u = updates.withWatermark("ts", watermark).join(slas.select("org_id", "dataset", "sla_hours"), ["org_id", "dataset"], "left")
+    """A row for each update after which the next one came later than agreed, or not yet.
+
+    Event time; the same rows however the updates are cut into batches, as long as none is older than the
+    watermark when it comes. Of several agreed times of
+    one dataset the shortest counts. A gap that ends is reported when it ends, the last update when
+    the watermark has passed its time.
+    """
+    agreed = slas.groupBy("org_id", "dataset").agg(F.min("sla_hours").alias("sla_hours"))
+    u = updates.withWatermark("ts", watermark).join(agreed, ["org_id", "dataset"], "left")
     u = u.select("org_id", "dataset", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.coalesce("sla_hours", F.lit(default_hours)).cast("int").alias("sla_hours"))
-    return u.groupBy("org_id", "dataset").applyInPandasWithState(
-        _watch, "org_id string, dataset string, last_updated timestamp, sla_hours int", "last bigint, hours int", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return u.groupBy("org_id", "dataset").applyInPandasWithState(_watch, _BREACH, "last bigint, hours int, reported boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 ship(__name__)

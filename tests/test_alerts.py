@@ -62,6 +62,19 @@ def test_against_one_by_one(spark, seed):
     assert got == want
 
 
+def test_one_group_of_very_many_times(spark):
+    n, w = 200_000, 60_000_000
+    times = spark.range(n).select(F.lit(1).alias("rule_id"), F.lit("o").alias("org_id"), F.lit("d").alias("dataset"), F.lit("T").alias("anomaly_type"),
+        F.timestamp_micros(F.col("id") * 700_000 + F.pmod(F.col("id") * F.col("id"), F.lit(97)) * 5_000).alias("detected_at"), F.col("id").alias("anomaly_id"), F.lit(1).alias("deduplication_minutes"))
+    got = sorted(r.t for r in al.dedup_alerts(times).filter("status = 'SENT'").select(F.unix_micros("detected_at").alias("t")).collect())
+    want, last = [], None
+    for t in sorted(i * 700_000 + i * i % 97 * 5_000 for i in range(n)):
+        if last is None or t >= last + w:
+            want.append(t)
+            last = t
+    assert got == want
+
+
 def test_outbox_and_status(spark):
     d = matches(spark, [(1, "o", "d", "T", T0, 5, 60)]).withColumns(
         {"status": F.lit("SENT"), "severity": F.lit("WARNING"), "channel_type": F.lit("email"), "subject_template": F.lit("{severity}: {dataset_name}/{anomaly_type}")}

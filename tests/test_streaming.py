@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from lakeledger.runtime import scratch
 from lakeledger.streaming import facts as fa
 from lakeledger.streaming import windows as wi
@@ -23,6 +25,33 @@ def test_freshness_breach_is_reported_once(spark):
     assert [(r.dataset, r.last_updated, r.sla_hours) for r in got] == [("late", T0 + dt.timedelta(hours=1), 2)]
 
 
+@pytest.mark.parametrize("cuts", [[], [1], [1, 2, 3]])
+def test_every_gap_is_reported_however_updates_arrive(spark, cuts):
+    root = scratch(spark, "gaps")
+    schema = "org_id string, dataset string, ts timestamp"
+    rows = [("o", d, T0 + dt.timedelta(hours=h)) for h, d in sorted([(0, "a"), (0, "b"), (10, "a"), (30, "b")])]
+    slas = spark.createDataFrame([("o", "a", 2), ("o", "b", 2), ("o", "b", 5)], "org_id string, dataset string, sla_hours int")
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)]):
+        spark.createDataFrame(rows[lo:hi], schema).write.mode("append").parquet(f"{root}/in")
+        out = wi.stream_freshness(spark.readStream.schema(schema).parquet(f"{root}/in"), slas, "1 minute")
+        fa.run_available(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append"))
+    got = sorted((r.dataset, (r.last_updated - T0).seconds // 3600) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == [("a", 0), ("a", 10), ("b", 0)]
+
+
+@pytest.mark.parametrize("ids", [("x-5", "x7", "x9", "x11"), (-5, 7, 9, 11)])
+def test_alerts_keep_ids_of_any_kind(spark, ids):
+    root = scratch(spark, "ids")
+    kind = "string" if isinstance(ids[0], str) else "bigint"
+    schema = f"rule_id int, org_id string, dataset string, anomaly_type string, detected_at timestamp, anomaly_id {kind}, deduplication_minutes int"
+    rows = [(1, "o", "d", "T", T0 + dt.timedelta(minutes=m), i, 60) for m, i in zip((0, 30, 70, 10), ids)]
+    for part in (rows[:1], rows[1:3], rows[3:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{root}/in")
+        fa.run_available(fa.stream_dedup(spark.readStream.schema(schema).parquet(f"{root}/in"), root))
+    got = {r.anomaly_id: r.status for r in spark.read.parquet(f"{root}/alerts").collect()}
+    assert got == dict(zip(ids, ("SENT", "DEDUPLICATED", "SENT", "LATE")))
+
+
 def test_a_batch_run_twice_leaves_its_rows_once(spark):
     root = scratch(spark, "twice")
     df = spark.createDataFrame([(1,), (2,)], "x int")
