@@ -2,8 +2,7 @@
 
 Calls and results meet by identifier in one hash join. A call comes after the calls it depends on:
 its place is its own turn or, where it depends on a later one, that one's place and one step more;
-places are raised along dependencies until nothing changes, so chats in which every call follows what
-it needs take one round. Only DataFrame functions are used.
+places are raised along dependencies until nothing changes. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -63,22 +62,41 @@ def places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``k, turn, step, in_cycle`` of every call: ascending (turn, step) puts each call behind what it depends on.
 
     ``nodes(k, conv, turn)`` has one row a call, ``edges(k, needs)`` only known calls. Calls on a cycle,
-    and those that one would move behind it, have no step. The number of rounds is that of the longest chain of dependencies
-    that run against the turns.
+    and those that one would move behind it, have no step. Only chats in which some call depends on a
+    later one take rounds. In a round each call looks at what it needs and, through a pointer that
+    doubles its reach, at what that depends on in turn, so long chains take few rounds.
     """
-    most = nodes.join(edges.select("k").distinct(), "k", "left_semi").groupBy("conv").agg(F.count("*").alias("most"))
-    limits = nodes.join(most, nodes["conv"].eqNullSafe(most["conv"]), "left").select("k", F.coalesce("most", F.lit(0)).alias("most"))
-    now = checkpoint(nodes.select("k", F.struct("turn", F.lit(0).cast("bigint").alias("step")).alias("at")).join(limits, "k"))
-    moved = now.select("k", "at")
-    while True:
-        asked = edges.join(moved.select(F.col("k").alias("needs"), "at"), "needs")
-        least = asked.groupBy("k").agg(F.max(F.struct(F.col("at.turn").alias("turn"), (F.col("at.step") + 1).alias("step"))).alias("least"))
-        moved = now.join(least, "k").filter("least > at AND at.step <= most").select("k", F.col("least").alias("at"))
-        moved = checkpoint(moved)
-        if not moved.limit(1).count():
-            return now.select("k", F.col("at.turn").alias("turn"), F.when(F.col("at.step") <= F.col("most"), F.col("at.step")).alias("step"), (F.col("at.step") > F.col("most")).alias("in_cycle"))
-        raised = moved.select("k", F.col("at").alias("to"))
-        now = checkpoint(now.join(raised, "k", "left").select("k", F.coalesce("to", "at").alias("at"), "most"))
+    turns = nodes.select(F.col("k").alias("needs"), F.col("turn").alias("need_turn"))
+    late = edges.join(turns, "needs").join(nodes, "k").filter("need_turn >= turn").select(F.col("conv").alias("_conv")).distinct()
+    moved = checkpoint(nodes.join(late, F.col("conv").eqNullSafe(F.col("_conv")), "left_semi"))
+    linked = checkpoint(edges.join(moved.select("k"), "k", "left_semi"))
+    most = moved.join(linked.select("k").distinct(), "k", "left_semi").groupBy(F.col("conv").alias("_conv")).agg(F.count("*").alias("most"))
+    own = F.struct("turn", F.lit(0).cast("bigint").alias("step"))
+    now = moved.join(most, F.col("conv").eqNullSafe(F.col("_conv"))).select("k", own.alias("own"), own.alias("at"), "most")
+    now = checkpoint(now.select("*", F.lit(None).cast("string").alias("best"), F.lit(None).cast("string").alias("far"), F.lit(0).cast("bigint").alias("reach")))
+    while linked.limit(1).count():
+        after = F.struct(F.col("at.turn").alias("turn"), (F.col("at.step") + 1).alias("step"))
+        asked = linked.join(now.select(F.col("k").alias("needs"), "at"), "needs")
+        first = asked.groupBy("k").agg(F.max(F.struct(after.alias("at"), "needs")).alias("first"))
+        beyond = now.select(F.col("k").alias("far"), F.col("at").alias("far_at"), F.col("far").alias("farther"), F.col("reach").alias("more"))
+        x = now.join(first, "k", "left").join(beyond, "far", "left")
+        far = F.struct(F.col("far_at.turn").alias("turn"), (F.col("far_at.step") + F.col("reach")).alias("step"))
+        up = F.greatest(F.col("at"), F.col("first.at"), F.when(F.col("far_at").isNotNull(), far))
+        up = F.struct(up["turn"].alias("turn"), F.least(up["step"], F.col("most") + 1).alias("step"))
+        x = x.withColumn("up", up).withColumn("open", (F.col("up") > F.col("own")) & (F.col("up.step") <= F.col("most")))
+        anew = F.col("far").isNull() | ~F.col("first.needs").eqNullSafe(F.col("best"))
+        x = x.withColumn("to", F.when(F.col("open"), F.when(anew, F.col("first.needs")).otherwise(F.coalesce("farther", "far"))))
+        x = x.withColumn("by", F.when(anew, F.lit(1)).otherwise(F.least(F.col("reach") + F.when(F.col("farther").isNotNull(), F.col("more")).otherwise(0), F.col("most") + 1)))
+        changed = (F.col("up") != F.col("at")) | ~F.col("to").eqNullSafe(F.col("far"))
+        now = checkpoint(x.select("k", "own", F.col("up").alias("at"), "most", F.col("first.needs").alias("best"), F.col("to").alias("far"), F.col("by").cast("bigint").alias("reach"), changed.alias("changed")))
+        if not now.filter("changed").limit(1).count():
+            break
+        now = now.drop("changed")
+    cyclic = F.col("at.step") > F.col("most")
+    done = now.select("k", F.col("at.turn").alias("to"), F.when(~cyclic, F.col("at.step")).alias("step"), cyclic.alias("in_cycle"))
+    out = nodes.join(done, "k", "left")
+    moved_there = F.col("to").isNotNull()
+    return out.select("k", F.coalesce("to", "turn").alias("turn"), F.when(moved_there, F.col("step")).otherwise(F.lit(0)).alias("step"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
 
 
 def link(

@@ -174,10 +174,20 @@ def test_places_follow_dependencies(spark, tools):
         for n, i in enumerate(rank):
             needs[conv, i] = r.sample(rank[:n], min(n, r.randint(0, 3)))
             calls.append((conv, f"c{i}", i, "g", "{}", [f"c{j}" for j in needs[conv, i]]))
+    # one long chat in which each call needs the next one, but for some that come late enough
+    n = 300
+    calls += [(40, f"l{i}", i, "g", "{}", [f"l{i + 1}"] if i < n - 1 and i % 100 != 60 else None) for i in range(n)]
+    n = 40
+    calls += [(41, f"m{i}", i * 7 % n, "g", "{}", [f"m{i + 1}", f"m{(i * 3 + 5) % n}"] if i < n - 1 and (i * 3 + 5) % n > i else [f"m{i + 1}"] if i < n - 1 else []) for i in range(n)]
     calls += [(50, "a", 1, "g", "{}", ["b"]), (50, "b", 2, "g", "{}", ["a"]), (50, "c", 3, "g", "{}", ["b"]), (50, "d", 4, "g", "{}", None), (51, "s", 1, "g", "{}", ["s"])]
     got = {(x.conv_id, x.call_id): x for x in toolcalls.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), tools).collect()}
     for (conv, i), before in needs.items():
         own = got[conv, f"c{i}"]
         assert all((got[conv, f"c{j}"].order_turn, got[conv, f"c{j}"].order_step) < (own.order_turn, own.order_step) for j in before) and not own.in_cycle
+    for conv, c, _, _, _, before in calls:
+        if conv in (40, 41):
+            own = got[conv, c]
+            assert not own.in_cycle and all((got[conv, b].order_turn, got[conv, b].order_step) < (own.order_turn, own.order_step) for b in before or [])
+    assert (got[40, "l0"].order_turn, got[40, "l0"].order_step) == (60, 60)
     assert [got[50, x].in_cycle for x in "abcd"] == [True, True, False, False] and got[51, "s"].in_cycle
     assert toolcalls.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), tools).count() == 0
