@@ -42,16 +42,35 @@ def table_from_plan(text: Column) -> Column:
     )
 
 
+# Option names under which sources print the table they read.
+TABLE_OPTIONS = ("dbtable",)
+# Relations of systems outside the lake.
+FOREIGN = ("JDBC", "Snowflake", "GoogleBigQuery", "Redshift")
+# Fixed value: relation of a checkpointed stream source, which prints its table in brackets.
+BRACKETED = "CheckpointsV2"
+
+
+def relation(text: Column) -> Column:
+    """A relation in a plan text as ``kind, argument, options``.
+
+    ``SomeRelation[...](argument) key=value, key=value``: the class name up to ``Relation``, what its
+    parentheses hold, and the pairs that follow anywhere in the text.
+    """
+    call = r"(\w+)Relation(?:\[[^\]\n]*\]|[^(\[\n])*\(([^)\n]+)\)"
+    keys = F.regexp_extract_all(text, F.lit(r"(\w+)=([^,\]\s]+)"), F.lit(1))
+    values = F.regexp_extract_all(text, F.lit(r"(\w+)=([^,\]\s]+)"), F.lit(2))
+    return F.struct(_first(text, call).alias("kind"), _first(text, call, 2).alias("argument"), F.arrays_zip(keys.alias("key"), values.alias("value")).alias("options"))
+
+
 def source_table(text: Column) -> Column:
-    """Table read through JDBC or a warehouse connector."""
-    return F.coalesce(
-        _first(text, r"JDBCRelation\(([^)]+)\)"),
-        _first(text, r"SnowflakeRelation[^\(]*\(([^)]+)\)"),
-        _first(text, r"GoogleBigQueryRelation[^\(]*\(([^)]+)\)"),
-        _first(text, r"RedshiftRelation[^\(]*\(([^)]+)\)"),
-        _first(text, r"dbtable=([^,\]\s]+)"),
-        _first(text, r"CheckpointsV2\s*\[([^,\]\s]+)\]"),
-    )
+    """Table read through JDBC or a warehouse connector (S4): a relation's argument, or else its table option.
+
+    Only relations of other systems name a table in their argument.
+    """
+    r = relation(text)
+    foreign = r["kind"].isin(*FOREIGN)
+    option = F.try_element_at(F.filter(r["options"], lambda o: o["key"].isin(*TABLE_OPTIONS)), F.lit(1))["value"]
+    return F.coalesce(F.when(foreign, r["argument"]), option, _first(text, BRACKETED + r"\s*\[([^,\]\s]+)\]"))
 
 
 def transform_type(expr: Column) -> Column:

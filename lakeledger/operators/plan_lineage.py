@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeledger.functions.naming import capped, last_part, source_table, table_from_plan, transform_type
+from lakeledger.functions.naming import last_part, source_table, table_from_plan, transform_type
 from lakeledger.functions.paths import bind, dataset_name_from_path, extract_file_path, generalize_location, normalise_path
 from lakeledger.operators.ordered import join_null_safe
 from lakeledger.runtime import checkpoint
@@ -17,22 +17,33 @@ QUERY = ["log_id", "root_execution_id"]
 STAGING = r"/_temporary/|/_checkpoint/|/\.spark-staging-|/_spark_metadata/"
 # Nodes that write through a catalog of their own.
 V2_WRITES = "CreateTableAsSelect|ReplaceTableAsSelect|ReplaceTable|OverwriteByExpression|AppendData|OverwritePartitionsDynamic"
-_ALIAS_LEVELS = 20
+
+
+def _tree(plan_text: Column) -> Column:
+    """(id, place, depth) of each line of a plan's tree, top down; every operator line ends in ``(id)``."""
+    drawn = F.split(F.split_part(plan_text, F.lit("\n\n\n("), F.lit(1)), "\n")
+    lines = F.filter(drawn, lambda x: x.rlike(r"\(\d+\)$"))
+    return F.transform(
+        lines,
+        lambda x, k: F.named_struct(F.lit("id"), F.regexp_extract(x, r"\((\d+)\)$", 1).cast("bigint"), F.lit("place"), k, F.lit("depth"), F.length(F.regexp_extract(x, r"^([ :+\-]*)", 1))),
+    )
 
 
 def plan_nodes(sql_events: DataFrame) -> DataFrame:
-    """One row per plan node: node_id, node_name, detail.
+    """One row per plan node: node_id, node_name, detail, and its place and depth in the tree.
 
     A nested execution (one command running another) carries the root it belongs to.
     """
-    section = F.slice(F.split(F.concat(F.lit("\n"), "plan_text"), r"\n\n\("), 2, 100_000_000)
-    n = sql_events.select(*QUERY, "execution_id", "started_at", F.explode(section).alias("s"))
+    parts = F.split(F.concat(F.lit("\n"), "plan_text"), r"\n\n\(")
+    section = F.slice(parts, F.lit(2), F.size(parts))
+    n = sql_events.select(*QUERY, "execution_id", "started_at", _tree(F.col("plan_text")).alias("tree"), F.explode(section).alias("s"))
     head = F.regexp_extract("s", r"^\d+\) ([^\n]*)", 1)
+    n = n.withColumn("node_id", F.regexp_extract("s", r"^(\d+)\)", 1).try_cast("bigint"))
+    at = F.try_element_at(F.filter("tree", lambda x: x["id"] == F.col("node_id")), F.lit(1))
     return n.select(
-        *QUERY, "execution_id", "started_at",
-        F.regexp_extract("s", r"^(\d+)\)", 1).try_cast("bigint").alias("node_id"),
+        *QUERY, "execution_id", "started_at", "node_id",
         F.trim(F.regexp_replace(head, r"\[codegen id : \d+\]", "")).alias("node_name"),
-        F.regexp_replace("s", r"^[^\n]*\n?", "").alias("detail"),
+        F.regexp_replace("s", r"^[^\n]*\n?", "").alias("detail"), at["place"].alias("place"), at["depth"].alias("depth"),
     ).filter("node_id IS NOT NULL")
 
 
@@ -170,61 +181,150 @@ def attribute_origins(nodes: DataFrame) -> DataFrame:
     )
 
 
+_NAMED = r"(?s)^.* AS (.*)#\d+L?$"
+
+
+def _first_list(text: Column) -> Column:
+    """The first bracketed list of an argument text, without its brackets."""
+    return _unbracket(F.try_element_at(split_top(text), F.lit(1)))
+
+
+def _last_list(text: Column) -> Column:
+    return _unbracket(F.try_element_at(split_top(text), F.lit(-1)))
+
+
+def _own_output(nodes: DataFrame) -> DataFrame:
+    """Nodes with the list of attributes they hand on, where their text tells it."""
+    args, name = _field("Arguments"), F.col("node_name")
+    listed = F.nullif(F.regexp_extract("detail", r"(?m)^Output(?: \[\d+\])?\s?: \[(.+)\]$", 1), F.lit(""))
+    out = (
+        F.when(listed.isNotNull(), listed)
+        .when(name == "Project", _unbracket(args))
+        .when(name == "Aggregate", F.regexp_extract("detail", r"Arguments: \[(?:[^\[\]]|\[[^\]]*\])*\], \[(.*)\]", 1))
+        .when(name.rlike("^(?:Hash|Sort|ObjectHash)Aggregate$"), _unbracket(_field("Results")))
+        .when(name == "LogicalRelation", F.regexp_extract("detail", r"Arguments: [^\[\n]*\[([^\]\n]*)\]", 1))
+        .when(name.isin("Generate", "Expand"), F.lit(None).cast("string"))
+        .when(~name.rlike("^(?:Window|Union|.*Join|WriteFiles|Execute .*)$"), F.nullif(_unbracket(_field("Input")), F.lit("")))
+    )
+    return nodes.withColumn("output", out)
+
+
+def _below(nodes: DataFrame, wanted: Column) -> DataFrame:
+    """Children of the nodes that ``wanted`` holds for: parent_id, nth (from 0) and the attributes each hands on.
+
+    A node that does not say takes those of its first child, which stands on the next line.
+    """
+    x = nodes.withColumn("_wanted", wanted)
+    by_plan = Window.partitionBy(*QUERY, "execution_id")
+    x = _own_output(x.withColumn("_any", F.max("_wanted").over(by_plan)).filter("_any AND place IS NOT NULL"))
+    down = by_plan.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    x = x.withColumn("handed", F.first("output", ignorenulls=True).over(down))
+    # the parent: the nearest line above that is less deep; depths grow by three a level
+    line = by_plan.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_above", F.collect_list(F.struct("place", "depth", "node_id", "_wanted")).over(line))
+    x = x.withColumn("_parent", F.try_element_at(F.filter("_above", lambda a: a["depth"] < F.col("depth")), F.lit(-1)))
+    kids = x.filter("_parent._wanted").select(*QUERY, "execution_id", F.col("_parent.node_id").alias("parent_id"), "place", "handed")
+    nth = Window.partitionBy(*QUERY, "execution_id", "parent_id").orderBy("place")
+    return kids.withColumn("nth", F.row_number().over(nth) - 1).drop("place")
+
+
 def written_columns(nodes: DataFrame) -> DataFrame:
-    """Columns each query writes, with the expression id behind them."""
+    """Columns each query writes, with the expression id behind them.
+
+    They stand in ``WriteFiles``; a query that writes without it (into another catalog, over JDBC)
+    writes what its write command's child hands on.
+    """
     w = nodes.filter(F.col("node_name") == "WriteFiles")
     a = w.select(*QUERY, F.explode(_attributes(_unbracket(_field("Input")))).alias("a"))
-    by_plan = a.select(*QUERY, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
-    return by_plan
+    other = nodes.join(w.select(*QUERY).distinct(), QUERY, "left_anti")
+    kids = _below(other, F.regexp_replace("node_name", "^Execute ", "").rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
+    b = kids.filter("nth = 0").select(*QUERY, F.explode(split_top(F.col("handed"))).alias("x")).select(*QUERY, F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
+    return a.unionByName(b).select(*QUERY, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
+
+
+def _as_attribute(x: Column) -> Column:
+    """``body AS name#id`` as ``name#id``; a plain attribute as it is."""
+    return F.when(x.rlike(_NAMED), F.regexp_extract(x, r"(?s)^.* AS (.*#\d+L?)$", 1)).otherwise(x)
+
+
+def union_links(nodes: DataFrame) -> DataFrame:
+    """What the columns of a union stand for besides those of its first side: ref_id, body.
+
+    A union hands on the ids of its first side; the other sides' columns meet them by position.
+    """
+    kids = _below(nodes, F.col("node_name") == "Union").filter("handed IS NOT NULL")
+    x = kids.select(*QUERY, "execution_id", "parent_id", "nth", F.posexplode(split_top(F.col("handed"))).alias("pos", "x"))
+    x = x.withColumn("x", _as_attribute(F.col("x")))
+    first = x.filter("nth = 0").select(*QUERY, "execution_id", "parent_id", "pos", F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("ref_id"))
+    rest = x.filter("nth > 0").select(*QUERY, "execution_id", "parent_id", "pos", F.col("x").alias("body"))
+    return first.join(rest, [*QUERY, "execution_id", "parent_id", "pos"]).filter("ref_id IS NOT NULL").select(*QUERY, "ref_id", "body").distinct()
 
 
 def plan_exprs(nodes: DataFrame) -> DataFrame:
-    """Named expressions of projections and aggregations: out_name, out_id, body.
+    """Named expressions of projections, aggregations, windows, generators and expansions: out_name, out_id, body.
 
     A write into a catalog shows its logical plan too; then that is used and the physical one
     left out, so that nothing counts twice.
     """
+    args, name = _field("Arguments"), F.col("node_name")
     e = nodes.withColumn(
         "_list",
-        F.when((F.col("node_name") == "Project") & F.col("detail").contains("Output ["), _field("Output"))
-        .when(F.col("node_name") == "Project", _field("Arguments"))
-        .when(F.col("node_name") == "Aggregate", F.regexp_extract("detail", r"Arguments: \[(?:[^\[\]]|\[[^\]]*\])*\], (\[.*\])", 1))
-        .when(F.col("node_name").rlike("^(?:Hash|Sort|ObjectHash)Aggregate$"), _field("Results")),
+        F.when((name == "Project") & F.col("detail").contains("Output ["), _unbracket(_field("Output")))
+        .when(name == "Project", _unbracket(args))
+        .when(name == "Aggregate", F.regexp_extract("detail", r"Arguments: \[(?:[^\[\]]|\[[^\]]*\])*\], \[(.*)\]", 1))
+        .when(name.rlike("^(?:Hash|Sort|ObjectHash)Aggregate$"), _unbracket(_field("Results")))
+        .when(name.isin("Window", "Generate", "Expand"), args),
     ).filter("_list <> ''")
-    logical = (F.col("node_name") == "Aggregate") | ((F.col("node_name") == "Project") & ~F.col("detail").contains("Output ["))
+    listed = F.when(name == "Window", split_top(_first_list(F.col("_list")))).when(name == "Generate", _generated(F.col("_list"))).when(name == "Expand", _expanded(F.col("_list"))).otherwise(split_top(F.col("_list")))
+    physical = F.col("detail").rlike(r"(?m)^(?:Input|Output) \[\d+\]")
+    logical = name.isin("Aggregate", "Project", "Window", "Generate", "Expand") & ~physical
     e = e.withColumn("_logical", logical).withColumn("_any", F.max("_logical").over(Window.partitionBy(*QUERY))).filter("_logical = _any")
     # the physical name of an aggregate result carries its input: sum(v#1)#9 AS total#3
-    e = e.select(*QUERY, "node_id", "execution_id", F.explode(split_top(_unbracket(F.col("_list")))).alias("x"))
+    e = e.select(*QUERY, "node_id", "execution_id", F.explode(listed).alias("x"))
     alias = F.col("x").rlike(r"(?s)^.* AS .*#\d+L?$")
     return e.select(
         *QUERY, "execution_id", "node_id",
-        F.when(alias, F.regexp_extract("x", r"(?s)^.* AS (.*)#\d+L?$", 1)).otherwise(F.regexp_extract("x", r"(?s)^(.*)#\d+L?$", 1)).alias("out_name"),
+        F.when(alias, F.regexp_extract("x", _NAMED, 1)).otherwise(F.regexp_extract("x", r"(?s)^(.*)#\d+L?$", 1)).alias("out_name"),
         F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("out_id"),
         F.when(alias, F.regexp_extract("x", r"(?s)^(.*) AS .*#\d+L?$", 1)).otherwise(F.col("x")).alias("body"),
     ).filter("out_id IS NOT NULL")
 
 
+def _generated(args: Column) -> Column:
+    """``explode(a#1), [k#2], false, [e#3]`` as ``explode(a#1) AS e#3``."""
+    return F.transform(split_top(_last_list(args)), lambda o: F.concat(F.try_element_at(split_top(args), F.lit(1)), F.lit(" AS "), o))
+
+
+def _expanded(args: Column) -> Column:
+    """``[[a#1, 0], [null, 1]], [a#3, g#4]`` as ``a#1 AS a#3``: what any of the rows gives each output."""
+    outs = split_top(_last_list(args))
+    rows = F.transform(split_top(_first_list(args)), lambda r: split_top(_unbracket(r)))
+    pairs = F.flatten(F.transform(rows, lambda r: F.zip_with(r, outs, lambda x, o: F.when(x.rlike(r"#\d+") & (x != o), F.concat(x, F.lit(" AS "), o)))))
+    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
+
+
 def _ids(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"#(\d+)L?"), F.lit(1)), lambda x: x.cast("bigint")))
 
 
 def _clean(body: Column) -> Column:
     """Expression text without ids; ``sum(v#1)#9`` is the attribute of ``sum(v)``."""
-    return capped(F.regexp_replace(body, r"#\d+L?", ""))
+    return F.regexp_replace(body, r"#\d+L?", "")
 
 
 def column_edges(nodes: DataFrame) -> DataFrame:
     """Column-to-column edges of every query that writes.
 
-    Explicit ones follow each written name through the aliases that define it down to scan
-    columns; join keys that survive give JOIN edges; written columns left over pass through by
-    expression id, or else by equal name.
+    Explicit ones follow each written name through the aliases that define it, however many, down to
+    scan columns; a union's columns stand for those of all its sides. Join keys that survive give JOIN
+    edges; written columns left over pass through by expression id, or else by equal name. Edges
+    carry whole expressions; ``capped`` shortens them for display.
     """
     nodes = checkpoint(nodes)
     origins = checkpoint(attribute_origins(nodes))
     outputs = query_outputs(nodes)
     # only the first output of a query gets column edges
-    target = outputs.groupBy(*QUERY).agg(F.min("name").alias("target_dataset"))
+    target = outputs.groupBy(*QUERY).agg(F.min_by("name", F.struct("started_at", "name")).alias("target_dataset"))
     written = checkpoint(written_columns(nodes))
     names = written.select(*QUERY, F.col("column").alias("out_name")).distinct()
     exprs = checkpoint(plan_exprs(nodes).withColumn("kind", transform_type(F.col("body"))))
@@ -232,7 +332,9 @@ def column_edges(nodes: DataFrame) -> DataFrame:
     # what an id stands for: a scan column, or else the expression an alias gives it
     defs = exprs.filter(F.size(F.array_except(_ids(F.col("body")), F.array("out_id"))) > 0).select(*QUERY, F.col("out_id").alias("ref_id"), "body", "kind").distinct()
     o = origins.withColumnRenamed("expr_id", "ref_id")
-    links = checkpoint(o.unionByName(defs.join(o.select(*QUERY, "ref_id"), [*QUERY, "ref_id"], "left_anti"), allowMissingColumns=True))
+    sides = union_links(nodes).withColumn("kind", transform_type(F.col("body")))
+    aliases = defs.join(o.select(*QUERY, "ref_id"), [*QUERY, "ref_id"], "left_anti").unionByName(sides).distinct()
+    links = checkpoint(o.unionByName(aliases, allowMissingColumns=True))
     steps = exprs.join(names, [*QUERY, "out_name"]).select(
         *QUERY, F.lit("expr").alias("_via"), F.col("out_name").alias("target_column"), F.col("kind").alias("transform_type"),
         F.when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"), F.explode(_ids(F.col("body"))).alias("ref_id"),
@@ -242,20 +344,25 @@ def column_edges(nodes: DataFrame) -> DataFrame:
         *QUERY, F.lit("id").alias("_via"), F.col("column").alias("target_column"), F.lit("DIRECT").alias("transform_type"),
         F.lit(None).cast("string").alias("expression"), F.col("expr_id").alias("ref_id"),
     )
-    front, levels = steps.unionByName(own).distinct(), []
-    for _ in range(_ALIAS_LEVELS):
+    front, levels, seen = checkpoint(steps.unionByName(own).distinct()), [], []
+    while True:
+        seen.append(front)
         level = checkpoint(front.join(links, [*QUERY, "ref_id"]))
         levels.append(level.filter("dataset IS NOT NULL"))
         inner = level.filter("body IS NOT NULL")
         if inner.isEmpty():
             break
         plain = F.col("transform_type") == "DIRECT"
-        front = inner.select(
+        step = inner.select(
             *QUERY, "_via", "target_column",
             F.when(plain, F.col("kind")).otherwise(F.col("transform_type")).alias("transform_type"),
             F.when(~plain, F.col("expression")).when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"),
             F.explode(F.array_except(_ids(F.col("body")), F.array("ref_id"))).alias("ref_id"),
         ).distinct()
+        # ids of a query are finite: what was met before is not followed again
+        known = reduce(DataFrame.unionByName, seen).withColumnsRenamed({c: f"_{c}" for c in step.columns})
+        met = reduce(lambda x, y: x & y, [step[c].eqNullSafe(known[f"_{c}"]) for c in step.columns])
+        front = checkpoint(step.join(known, met, "left_anti"))
     hits = reduce(DataFrame.unionByName, levels)
     cols = [*QUERY, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), "target_column", "transform_type", "expression"]
     explicit = hits.filter("_via = 'expr'").select(*cols).distinct()
@@ -305,16 +412,23 @@ def query_schemas(nodes: DataFrame) -> DataFrame:
         lambda p: F.named_struct(F.lit("name"), F.substring_index(p, ":", 1), F.lit("type"), F.regexp_replace(p, "^[^:]*:", ""), F.lit("nullable"), F.lit(True)),
     )
     read = s.select(*QUERY, F.coalesce("_table", dataset_name_from_path(F.col("_path"))).alias("dataset"), F.lit("read").alias("side"), F.lit(True).alias("pruned"), F.col("started_at").alias("captured_at"), fields.alias("fields"))
-    # names of one scan's columns give types to the columns written under the same id
-    typed = _scans(nodes).filter(F.col("detail").contains("ReadSchema")).select(*QUERY, F.explode(fields).alias("f")).select(*QUERY, F.col("f.name").alias("_c"), F.col("f.type").alias("_t")).distinct()
+    # a scan's own list ties ids to its types; plain aliases and casts-free projections hand them on
+    listed = F.transform(_attributes(_unbracket(_field("Output"))), lambda a: F.named_struct(F.lit("id"), a["id"], F.lit("type"), F.try_element_at(F.filter(fields, lambda f: f["name"] == a["name"]), F.lit(1))["type"]))
+    typed = _scans(nodes).filter(F.col("detail").contains("ReadSchema")).select(*QUERY, F.explode(listed).alias("t")).filter("t.type IS NOT NULL")
+    typed = checkpoint(typed.groupBy(*QUERY, F.col("t.id").alias("expr_id")).agg(F.min("t.type").alias("_t")))
+    alias = plan_exprs(nodes).filter(F.col("body").rlike(r"^[^( ]+#\d+L?$"))
+    alias = checkpoint(alias.select(*QUERY, F.col("out_id").alias("expr_id"), _ids(F.col("body"))[0].alias("from_id")).filter("expr_id <> from_id").distinct())
+    known, fresh = typed, typed
+    while not fresh.isEmpty():
+        step = alias.join(fresh.withColumnRenamed("expr_id", "from_id"), [*QUERY, "from_id"]).groupBy(*QUERY, "expr_id").agg(F.min("_t").alias("_t"))
+        fresh = checkpoint(step.join(known, [*QUERY, "expr_id"], "left_anti"))
+        known = known.unionByName(fresh)
     w = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "started_at", F.posexplode(_attributes(_unbracket(_field("Input")))).alias("pos", "a"))
-    origins = attribute_origins(nodes)
     w = w.select(*QUERY, "started_at", "pos", F.col("a.name").alias("name"), F.col("a.id").alias("expr_id"))
-    w = join_null_safe(w, origins.select(*QUERY, "expr_id", F.col("column").alias("_c")), [*QUERY, "expr_id"])
-    w = w.join(typed.groupBy(*QUERY, "_c").agg(F.min("_t").alias("_t")), [*QUERY, "_c"], "left")
+    w = w.join(known, [*QUERY, "expr_id"], "left")
     g = w.groupBy(*QUERY, "started_at").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.coalesce("_t", F.lit("unknown")).alias("type")))).alias("l"))
     plain = F.transform("l", lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("type"), x["type"], F.lit("nullable"), F.lit(True)))
-    target = query_outputs(nodes).groupBy(*QUERY).agg(F.min("name").alias("dataset"))
+    target = query_outputs(nodes).groupBy(*QUERY).agg(F.min_by("name", F.struct("started_at", "name")).alias("dataset"))
     wrote = g.join(target, QUERY).select(*QUERY, "dataset", F.lit("write").alias("side"), F.lit(False).alias("pruned"), F.col("started_at").alias("captured_at"), plain.alias("fields"))
     return read.unionByName(wrote)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakeledger.operators import plan_lineage as pl
 from lakeledger.operators import run_metrics as rm
 from lakeledger.plans.registry import query
-from lakeledger.sources.eventlog import event_tables, events
+from lakeledger.sources.eventlog import EVENTS, event_tables
 
 _NAME = "'out' || (o_custkey % 50)"
 _GENERAL = "'hdfs://nn:8020/out' || (o_custkey % 50) || CASE WHEN o_custkey % 4 = 0 THEN '/country=C' || (o_orderkey % 3) ELSE '' END || '/dt=*'"
@@ -28,12 +28,8 @@ def _nodes(t):
  UNION ALL SELECT 'job_start', count(*) FROM {orders} UNION ALL SELECT 'job_end', count(*) FROM {orders} UNION ALL SELECT 'stage', 2 * count(*) FROM {orders} UNION ALL SELECT 'task', count(*) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
  UNION ALL SELECT 'sql_start', sum(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END) FROM {orders}) x""")
 def _(t):
-    kinds = ["app_start", "app_end", "environment", "job_start", "job_end", "stage", "task", "sql_start"]
-    out = None
-    for k in kinds:
-        part = events(t.staged_log(), k).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = F.create_map(*[F.lit(x) for k, v in EVENTS.items() for x in (v, k)])
+    return t.staged_log().groupBy("event").agg(F.count("*").alias("n")).select(kinds[F.col("event")].alias("kind"), "n")
 
 
 @query("x1_task_table", """SELECT 'log-' || o_custkey AS log_id, l_orderkey * 2 + l_linenumber % 2 AS stage_id, count(*) AS tasks, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS failed, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS run_ms
@@ -130,7 +126,7 @@ def _(t):
 
 @query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL
  UNION ALL SELECT 'read', 'lake:ref' || (o_orderkey % 7), 'ref:string,id2:bigint', count(*) FROM {{orders}} GROUP BY ALL UNION ALL SELECT 'read', 'nn:8020:' || {_NAME}, 'old:int', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 GROUP BY ALL
- UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:unknown,flag:unknown', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
+ UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:unknown,flag:string', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
 def _(t):
     s = pl.query_schemas(_nodes(t))
     text = F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["type"])), ",")

@@ -90,15 +90,7 @@ def _(t):
     return t("v_paths").select("path_id", paths.infer_location(F.col("path")).alias("location"))
 
 
-_NODE = "'InsertIntoHadoopFsRelationCommand ' || coalesce(path, 'none') || ', false, [k=v], Parquet'"
-
-
-def _duck_path(e):
-    pats = [p.replace("'", "''") for p in paths.URI_PATTERNS]
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({e}, '{p}', 1), '')" for p in pats) + ")"
-
-
-@query("f8_extract_file_path", f"SELECT path_id, {_duck_path(_NODE)} AS found FROM {{v_paths}}")
+@query("f8_extract_file_path", """SELECT path_id, CASE path_id % 16 WHEN 9 THEN '/a/20240101/20240102/b/10' WHEN 7 THEN NULL WHEN 12 THEN NULL ELSE path END AS found FROM {v_paths}""")
 def _(t):
     node = F.concat(F.lit("InsertIntoHadoopFsRelationCommand "), F.coalesce("path", F.lit("none")), F.lit(", false, [k=v], Parquet"))
     return t("v_paths").select("path_id", paths.extract_file_path(node).alias("found"))

@@ -87,32 +87,35 @@ def _(t):
     return fs.read_csv(t.spark, path).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_totalprice", "o_orderpriority")
 
 
+def _as_table(t, name: str):
+    """A given table saved in the catalog and read back from it; its entry goes, the plan keeps the files."""
+    import uuid
+
+    entry = f"lakeledger_{name}_{uuid.uuid4().hex}"
+    fs.write_table(t(name), entry, path=scratch(t.spark, "table"))
+    df = fs.read_table(t.spark, entry)
+    t.spark.sql(f"DROP TABLE {entry}")
+    return df
+
+
 @query("s3_catalog_scan", "SELECT n_name, count(*) AS customers FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name")
 def _(t):
-    from lakeledger.operators.listing import register_views
-
-    register_views(t.spark, lakeledger_nation=t("nation"), lakeledger_customer=t("customer"))
-    c, n = fs.read_table(t.spark, "lakeledger_customer"), fs.read_table(t.spark, "lakeledger_nation")
+    c, n = _as_table(t, "customer"), _as_table(t, "nation")
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
 
 
 @query("s5_table_sink", "SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY 1")
 def _(t):
-    import uuid
-
-    name = f"lakeledger_sink_{uuid.uuid4().hex}"
-    path = scratch(t.spark, "table")
-    t("customer").write.mode("overwrite").option("path", path).saveAsTable(name)
-    return fs.read_table(t.spark, name).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return _as_table(t, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("s6_file_sinks", " UNION ALL ".join(f"SELECT '{f}' AS format, c_mktsegment, count(*) AS n FROM {{customer}} GROUP BY 2" for f in ("parquet", "json", "orc")))
+@query("s6_file_sinks", " UNION ALL ".join(f"SELECT '{f}' AS format, c_mktsegment, count(*) AS n FROM {{customer}} GROUP BY 2" for f in ("parquet", "csv", "json", "orc")))
 def _(t):
     out = None
-    for f in ("parquet", "json", "orc"):
+    for f in ("parquet", "csv", "json", "orc"):
         path = scratch(t.spark, f)
         fs.write_files(t("customer"), path, f, partition_by=["c_mktsegment"])
-        part = t.spark.read.format(f).load(path).groupBy("c_mktsegment").agg(F.count("*").alias("n")).select(F.lit(f).alias("format"), "c_mktsegment", "n")
+        part = t.spark.read.format(f).option("header", "true").load(path).groupBy("c_mktsegment").agg(F.count("*").alias("n")).select(F.lit(f).alias("format"), "c_mktsegment", "n")
         out = part if out is None else out.unionByName(part)
     return out
 

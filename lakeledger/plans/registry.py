@@ -47,16 +47,11 @@ class Tables:
             stage_event_log(self("v_event_lines"), _STAGED[key])
         return self.spark.read.parquet(_STAGED[key])
 
-    def _spread(self, df: DataFrame) -> DataFrame:
-        """Rows of a table of few splits over all cores; a table of many splits as it is."""
-        n = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
     def sql(self, text: str) -> DataFrame:
         deps = {d: self(d) for d in sorted(set(_REF.findall(text)))}
         if text in _TEXT_VIEWS:
-            # making and reading messages is work per row
-            deps = {d: self._spread(df) for d, df in deps.items()}
+            # making and reading messages is work per row: let adaptive execution even it out
+            deps = {d: df.hint("rebalance") for d, df in deps.items()}
         return self.spark.sql(text, **deps)
 
 

@@ -1,16 +1,19 @@
 """Spark event logs as tables: applications, jobs, stages, tasks, SQL executions.
 
-Write the logs uncompressed, or compressed with a codec Hadoop reads, and raise
-``spark.sql.maxPlanStringLength`` and ``spark.sql.debug.maxToStringFields`` in the
+Logs may be rolled into several files and compressed with zstd, as Spark does by default, or with
+a codec Hadoop reads. Raise ``spark.sql.maxPlanStringLength`` and ``spark.sql.debug.maxToStringFields`` in the
 watched applications so that plan texts are whole.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeledger.functions.units import parse_memory_mb
+from lakeledger.runtime import ship
 
 _SQL = "org.apache.spark.sql.execution.ui."
 # Event names.
@@ -78,9 +81,34 @@ SCHEMAS = {
 }
 
 
+def log_of(path: Column) -> Column:
+    """The log a file belongs to: the folder of a rolled log, else the file itself."""
+    folder = F.regexp_extract(path, r"^(.*/eventlog_v2_[^/]+)/[^/]+$", 1)
+    return F.when(folder != "", folder).otherwise(path)
+
+
+def _unpacked(batches):
+    """Lines of zstd files; one that is still being written ends where it breaks off."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            held, rows = b"", []
+            reader = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True)
+            while chunk := reader.read(1 << 22):
+                *lines, held = (held + chunk).split(b"\n")
+                rows = [x.decode() for x in lines if x]
+                if rows:
+                    yield pd.DataFrame({"path": [path] * len(rows), "value": rows})
+            if held:
+                yield pd.DataFrame({"path": [path], "value": [held.decode()]})
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with the file they came from as ``log_id``."""
-    return spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("log_id"), "value")
+    """Log lines with their log as ``log_id``; the files of a rolled log are one."""
+    file = F.col("_metadata.file_path")
+    plain = spark.read.text(path, recursiveFileLookup=True).filter(~file.rlike(r"\.zstd$|/appstatus_[^/]*$")).select(log_of(file).alias("log_id"), "value")
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zstd").load(path)
+    lines = packed.select("path", "content").mapInPandas(_unpacked, "path string, value string")
+    return plain.unionByName(lines.select(log_of(F.col("path")).alias("log_id"), "value"))
 
 
 def stage_event_log(lines: DataFrame, path: str) -> DataFrame:
@@ -167,6 +195,15 @@ class EventTables(dict):
         )
 
 
+    def _sql_end(self) -> DataFrame:
+        return events(self.lines, "sql_end").select(
+            "log_id", F.col("executionId").alias("execution_id"), _ms("time").alias("ended_at"), F.nullif("errorMessage", F.lit("")).alias("error")
+        )
+
+
 def event_tables(lines: DataFrame) -> EventTables:
-    """Tables ``apps environment jobs job_ends stages tasks sql`` of the logs' lines."""
+    """Tables ``apps environment jobs job_ends stages tasks sql sql_end`` of the logs' lines."""
     return EventTables(lines)
+
+
+ship(__name__)

@@ -21,8 +21,11 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, name: str, mode: str = "overwrite", partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """Save as a catalog table; with ``path`` an external one whose files stay there."""
     w = df.write.mode(mode)
+    if path:
+        w = w.option("path", path)
     (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(name)
 
 
