@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeledger.functions.units import fmt_bytes, percent_change
-from lakeledger.operators.ordered import DAY_US, join_null_safe, trailing_sums
+from lakeledger.operators.ordered import DAY_US, join_null_safe, quantiles, trailing_sums
 
 # Anomaly types and severities by measure and direction.
 KINDS = {
@@ -225,11 +225,7 @@ def percentile_bounds(metrics: DataFrame, low: float = 0.05, high: float = 0.95)
     """Rows outside their scope's [p5, p95] of row_count."""
     key = ["org_id", "dataset", "scope_kind", "scope_value"]
     rows = with_scope(metrics).filter("row_count IS NOT NULL")
-    # percentile keeps a count per distinct value, so a hot scope is merged on the map side
-    b = rows.groupBy(*key).agg(
-        F.percentile("row_count", F.lit(low)).alias("lower_bound"), F.percentile("row_count", F.lit(high)).alias("upper_bound")
-    )
-    out = rows.join(b, key)
+    out = join_null_safe(rows, quantiles(rows, key, "row_count", {"lower_bound": low, "upper_bound": high}), key, "inner")
     return out.filter((F.col("row_count") < F.col("lower_bound")) | (F.col("row_count") > F.col("upper_bound")))
 
 

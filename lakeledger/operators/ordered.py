@@ -133,6 +133,49 @@ def carried(
     return join_null_safe(x, carry, bk).select(*df.columns, F.coalesce("_i", "_c").alias(out))
 
 
+def neighbours(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, block_us: int = DAY_US) -> DataFrame:
+    """Add ``number`` (from 1 along the key), ``previous`` and ``following`` ``value`` of each row, in one pass.
+
+    Give a written table: it is read twice, once for the rows and once for a summary of each block.
+    """
+    b = _blocked(df, ts, block_us)
+    bk = [*keys, "_blk"]
+    inner = Window.partitionBy(*bk).orderBy(ts, *order)
+    across = Window.partitionBy(*keys).orderBy("_blk")
+    rank = F.struct(ts, *order)
+    s = b.groupBy(*bk).agg(F.count("*").alias("_n"), F.min_by(value, rank).alias("_first"), F.max_by(value, rank).alias("_last"))
+    s = s.select(*bk, (F.sum("_n").over(across) - F.col("_n")).alias("_base"), F.lag("_last").over(across).alias("_p"), F.lead("_first").over(across).alias("_f"))
+    x = b.withColumns({"_i": F.row_number().over(inner), "_l": F.lag(value).over(inner), "_r": F.lead(value).over(inner)})
+    out = join_null_safe(x, s, bk)
+    return out.select(*df.columns, (F.col("_base") + F.col("_i")).alias("number"), F.coalesce("_l", "_p").alias("previous"), F.coalesce("_r", "_f").alias("following"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per key: one column for each name in ``shares``.
+
+    Values are counted, then ranked in two steps: some ten thousand ordered buckets of a key at most
+    (128 to a power of two), and inside only those buckets in which a wanted rank lies. Null values
+    do not count; a key without values is left out.
+    """
+    x = F.col("_v").cast("double")
+    bucket = (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 128)).cast("int")
+    # floor draws values of both signs towards zero, so buckets stay in the order of their values
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket)
+    along = Window.partitionBy(*keys).orderBy("_b")
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
+    sums = sums.select(*keys, "_b", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.col("_n").alias("_in"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    place = lambda q: (F.col("_all") - 1) * F.lit(q)
+    wanted = [F.struct(F.lit(f"{n}_{side}").alias("name"), f(place(q)).cast("bigint").alias("rank")) for n, q in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    asked = sums.select("*", F.explode(F.array(*wanted)).alias("w")).filter("w.rank >= _before AND w.rank < _before + _in")
+    inner = Window.partitionBy(*keys, "_b").orderBy("_v")
+    ranked = join_null_safe(counts, asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_upto", F.sum("_n").over(inner))
+    hits = join_null_safe(asked.select(*keys, "_b", "_before", "_all", "w"), ranked, [*keys, "_b"], "inner")
+    at = F.col("w.rank") - F.col("_before")
+    hits = hits.filter((at >= F.col("_upto") - F.col("_n")) & (at < F.col("_upto")))
+    got = hits.groupBy(*keys).agg(F.first("_all").alias("_all"), *[F.max(F.when(F.col("w.name") == f"{n}_{side}", F.col("_v"))).alias(f"{n}_{side}") for n in shares for side in ("lo", "hi")])
+    return got.select(*keys, *[(F.col(f"{n}_lo") + (place(q) - F.floor(place(q))) * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).cast("double").alias(n) for n, q in shares.items()])
+
+
 def as_of(
     probes: DataFrame,
     facts: DataFrame,

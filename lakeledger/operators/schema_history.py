@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeledger.functions.schema_text import FIELDS, schema_hash
-from lakeledger.operators.ordered import as_of, carried, join_null_safe, running_sums
+from lakeledger.operators.ordered import as_of, carried, join_null_safe, neighbours, running_sums
 from lakeledger.operators.tables import latest_per_key
-from lakeledger.runtime import ship
+from lakeledger.runtime import checkpoint, ship
 
 _KEY = ["org_id", "dataset"]
 
@@ -74,12 +74,11 @@ def build_schema_versions(snapshots: DataFrame, reopen: bool = False) -> DataFra
     else:
         s = snapshots.withColumn("schema_hash", schema_hash(F.col("fields")))
         first = s.groupBy(*_KEY, "schema_hash").agg(F.min("captured_at").alias("valid_from"), F.min_by("fields", "captured_at").alias("fields"))
-    v = scd2_intervals(first).withColumn("_s", F.struct("schema_hash", "fields")).withColumn("version_no", F.lit(1).cast("bigint"))
-    v = carried(v, _KEY, "valid_from", ["schema_hash"], "_s", "_p")
-    v = running_sums(v, _KEY, "valid_from", ["schema_hash"], ["version_no"])
+    v = checkpoint(first.withColumn("_s", F.struct("schema_hash", "fields", "valid_from")))
+    v = neighbours(v, _KEY, "valid_from", ["schema_hash"], "_s")
     return v.select(
-        *_KEY, "version_no", "schema_hash", "fields", "valid_from", "valid_to",
-        F.col("_p.schema_hash").alias("previous_hash"), F.col("_p.fields").alias("previous_fields"),
+        *_KEY, F.col("number").alias("version_no"), "schema_hash", "fields", "valid_from", F.col("following.valid_from").alias("valid_to"),
+        F.col("previous.schema_hash").alias("previous_hash"), F.col("previous.fields").alias("previous_fields"),
     )
 
 

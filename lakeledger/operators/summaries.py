@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 
 from lakeledger.functions.paths import country_of
 from lakeledger.operators.listing import since
+from lakeledger.operators.ordered import join_null_safe, quantiles
 
 
 def metric_stats(metrics: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Row count and byte size statistics per dataset over the last ``days`` (A1)."""
     m = metrics.filter(F.col("row_count").isNotNull() & since("ts", as_of, 24 * days))
-    return m.groupBy("org_id", "dataset").agg(
+    key = ["org_id", "dataset"]
+    g = m.groupBy(*key).agg(
         F.count("*").alias("data_points"),
         F.coalesce(F.avg("row_count"), F.lit(0.0)).alias("mean"),
         F.coalesce(F.stddev_samp("row_count"), F.lit(0.0)).alias("stddev"),
         F.min("row_count").alias("min"),
         F.max("row_count").alias("max"),
-        F.percentile("row_count", F.lit(0.05)).alias("p5"),
-        F.percentile("row_count", F.lit(0.95)).alias("p95"),
         F.coalesce(F.avg("byte_size"), F.lit(0.0)).alias("mean_bytes"),
         F.min("byte_size").alias("min_bytes"),
         F.max("byte_size").alias("max_bytes"),
     )
+    return join_null_safe(g, quantiles(m, key, "row_count", {"p5": 0.05, "p95": 0.95}), key)
 
 
 def anomaly_summary(anomalies: DataFrame, as_of: str, hours: int = 24) -> DataFrame:

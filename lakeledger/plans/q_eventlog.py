@@ -189,7 +189,7 @@ def _(t):
     return rm.app_metrics(rm.full_job_metrics(_tables(t))).select("log_id", *_ACOLS)
 
 
-_STATUS = "(SELECT 'log-' || o_custkey AS log_id, CASE WHEN bool_or(o_orderkey % 13 = 0) THEN 'Failed' ELSE 'Success' END AS status, string_agg('Job ' || o_orderkey || ': boom ' || o_orderkey, '; ' ORDER BY o_orderkey) FILTER (o_orderkey % 13 = 0) AS error_message FROM {orders} GROUP BY o_custkey)"
+_STATUS = "(SELECT 'log-' || o_custkey AS log_id, CASE WHEN bool_or(o_orderkey % 13 = 0) THEN 'Failed' ELSE 'Success' END AS status, count(*) FILTER (o_orderkey % 13 = 0) AS failed_jobs, 'Job ' || min(o_orderkey) FILTER (o_orderkey % 13 = 0) || ': boom ' || min(o_orderkey) FILTER (o_orderkey % 13 = 0) AS error_message FROM {orders} GROUP BY o_custkey)"
 
 
 @query("a17_app_status", f"SELECT * FROM {_STATUS} x")
@@ -198,6 +198,11 @@ def _(t):
     return rm.app_status(x["jobs"], x["job_ends"])
 
 
+@query("a17_app_errors", "SELECT 'log-' || o_custkey AS log_id, o_orderkey AS job_id, 'boom ' || o_orderkey AS error FROM {orders} WHERE o_orderkey % 13 = 0")
+def _(t):
+    return rm.app_errors(_tables(t)["job_ends"])
+
+
 @query("a16_app_io", f"SELECT DISTINCT log_id, 'input' AS side, name FROM {_IN} i UNION ALL SELECT DISTINCT log_id, 'output', name FROM {_OUT} o")
 def _(t):
     n = _nodes(t)

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeledger.operators import ordered as od
 
@@ -52,3 +53,26 @@ def test_trailing_sums_keep_null_keys_apart(spark):
     df = spark.createDataFrame([(None, T0, 1), (None, T0 + dt.timedelta(days=1), 2), ("a", T0, 5)], "k string, ts timestamp, x bigint")
     got = {(r.k, r.ts): r.x for r in od.trailing_sums(df, ["k"], "ts", ["x"], 86_400_000_000).collect()}
     assert got == {(None, T0): 1, (None, T0 + dt.timedelta(days=1)): 2, ("a", T0): 5}
+
+
+def test_neighbours_and_numbers(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", None]), T0 + dt.timedelta(hours=rnd.randrange(0, 500)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i int")
+    got = {r.i: (r.number, r.previous, r.following) for r in od.neighbours(df, ["k"], "ts", ["i"], "i").collect()}
+    for key in ("a", None):
+        line = [r[2] for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))]
+        for n, i in enumerate(line):
+            assert got[i] == (n + 1, line[n - 1] if n else None, line[n + 1] if n + 1 < len(line) else None)
+
+
+def test_quantiles_equal_percentile(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0, -3, 5, rnd.randrange(-10**12, 10**12), rnd.randrange(0, 2000)])) for _ in range(3000)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint")
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.97, "least": 0.0, "most": 1.0}
+    got = {r.k: r.asDict() for r in od.quantiles(df, ["k"], "v", shares).collect()}
+    want = {r.k: r.asDict() for r in df.filter("v IS NOT NULL").groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in shares.items()]).collect()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert all(abs(got[k][n] - w[n]) <= 1e-9 * max(1, abs(w[n])) for n in shares), (k, got[k], w)
