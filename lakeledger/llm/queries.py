@@ -228,7 +228,7 @@ def chat_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     t = table(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
-    h = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    h = F.col("conv_id") * 7 + F.col("turn") * 3 + F.length(F.coalesce("text", F.lit("")))
     text, size = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("x"))).substr(F.lit(6), F.lit(1 << 30)), F.length(F.coalesce("text", F.lit(""))).cast("string")  # "...text...}
     arguments = (
         F.when(h % 4 == 0, F.concat(F.lit('{"query": '), text.substr(F.lit(1), F.length(text) - 1), F.when(h % 12 == 0, F.concat(F.lit(', "limit": "'), size, F.lit('"'))).otherwise(F.concat(F.lit(', "limit": '), size)), F.lit(', "filters": {"z": 1, "a": [true, null]}}')))
@@ -244,7 +244,47 @@ def chat_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-@query("op3_tool_call_linking")
+_CALL_ID = "'call_' || conv_id || '_' || "
+_SIZE = "length(coalesce(text, ''))"
+_TEXT = "to_json(coalesce(text, ''))"
+CHAT_SQL = f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, {_CALL_ID}turn AS call_id, text, conv_id * 7 + turn * 3 + {_SIZE} AS h,
+         CASE WHEN turn >= 2 THEN CASE WHEN conv_id % 5 = 0 THEN turn + 2 ELSE turn - 2 END END AS need
+  FROM conversations WHERE role = 'assistant'),
+ids AS (SELECT DISTINCT conv_id, turn, need FROM c),
+chain(conv_id, turn, place, step) AS (
+  SELECT conv_id, turn, turn, 0 FROM ids
+  UNION ALL SELECT n.conv_id, n.turn, i.need, n.step + 1 FROM chain n JOIN ids i ON i.conv_id = n.conv_id AND i.turn = n.place
+    JOIN ids j ON j.conv_id = i.conv_id AND j.turn = i.need WHERE i.need > i.turn),
+placed AS (SELECT conv_id, turn, max(place) AS order_turn, CAST(max(step) AS BIGINT) AS order_step FROM chain GROUP BY ALL),
+r AS (SELECT conv_id, {_CALL_ID}(turn - 1) AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS results
+      FROM conversations WHERE role = 'user' AND turn > 0 GROUP BY conv_id, turn),
+made AS (
+  SELECT c.*, p.order_turn, p.order_step,
+         CASE h % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' WHEN 2 THEN 'count' ELSE 'weather' END AS tool,
+         CASE WHEN h % 4 = 0 AND h % 12 = 0 THEN 'not integer: limit' WHEN h % 4 = 2 THEN 'unknown words' WHEN h % 20 = 3 THEN 'arguments are not JSON' ELSE '' END AS wrong,
+         CASE WHEN need IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ids i WHERE i.conv_id = c.conv_id AND i.turn = c.need) THEN 'needs unknown ' || {_CALL_ID}need ELSE '' END AS lost,
+         CASE WHEN h % 4 = 0 THEN '"arguments":{{"filters":{{"a":[true,null],"z":1}},"limit":' || CASE WHEN h % 12 = 0 THEN '"' || {_SIZE} || '"' ELSE CAST({_SIZE} AS VARCHAR) END || ',"query":' || {_TEXT} || '}}'
+              WHEN h % 4 = 1 THEN '"arguments":{{"text":' || {_TEXT} || ',"to":"en"}}'
+              WHEN h % 4 = 2 THEN '"arguments":{{"text":' || {_TEXT} || ',"unit":"word","words":' || {_SIZE} || '}}'
+              WHEN h % 20 = 3 THEN '"arguments_text":"{{\\"place\\": \\"x\\", \\"days\\": "'
+              ELSE '"arguments":{{"days":1.5,"metric":true,"place":' || {_TEXT} || '}}' END AS arguments
+  FROM c JOIN placed p USING (conv_id, turn)),
+exchanges AS (
+  SELECT coalesce(m.conv_id, r.conv_id) AS conv_id, coalesce(m.call_id, r.call_id) AS call_id, m.tool, m.turn AS call_turn, r.result_turn, coalesce(r.results, 0) AS results,
+         CASE WHEN m.call_id IS NULL THEN 'no call' WHEN r.call_id IS NULL THEN 'no result' ELSE 'linked' END AS status, m.order_turn, m.order_step,
+         CASE WHEN m.call_id IS NULL THEN 'result without call' ELSE concat_ws('; ', nullif(m.wrong, ''), nullif(m.lost, '')) END AS errors,
+         CASE WHEN m.call_id IS NOT NULL THEN '"call":{{' || m.arguments || ',"id":"' || m.call_id || '","tool":"' || m.tool || '","turn":' || m.turn || '}},' ELSE '' END AS call_part,
+         CASE WHEN r.call_id IS NOT NULL THEN ',"result":{{' || CASE WHEN r.content IS NULL THEN '' ELSE '"content":' || to_json(r.content) || ',' END || '"id":"' || r.call_id || '","turn":' || r.result_turn || '}}' ELSE '' END AS result_part
+  FROM made m FULL JOIN r ON m.conv_id = r.conv_id AND m.call_id = r.call_id)
+SELECT conv_id, call_id, tool, call_turn, result_turn, results, status, order_turn, order_step, false AS in_cycle, errors = '' AS valid, errors,
+       '{{' || call_part || '"conversation":' || conv_id || result_part || '}}' AS message
+FROM exchanges
+"""
+
+
+@query("op3_tool_call_linking", CHAT_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of all chats with their results, places, errors and canonical form."""
     calls, results = chat_calls(spark, sf_dir)
