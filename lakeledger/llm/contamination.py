@@ -25,7 +25,7 @@ ship(__name__)
 
 K1, B = 1.2, 0.75
 #: Words of a passage, items in a block, words of a shingle.
-PASSAGE, BLOCK, SHINGLE = 64, 32, 5
+PASSAGE, BLOCK, SHINGLE = 64, 8, 5
 #: Part of an item's own score, and parts of its question and answer words, that must be met.
 RETRIEVE, VERIFY = 0.6, 0.8
 #: Words of the items in one index; more items make more indexes, each of which meets all passages.
@@ -108,28 +108,36 @@ class Index:
         alive = np.bincount(p, self.list_max[t]) >= 1
         keep = alive[p]
         p, t = p[keep], t[keep]
+        if not len(p):
+            return p, p, np.empty(0)
+        new = np.concatenate(([True], p[1:] != p[:-1]))
+        names, p = p[new], np.cumsum(new) - 1  # passages left, numbered
         row, at = _expand(self.lists[t], self.lists[t + 1])
-        p = np.unique(p[row], return_inverse=True)
-        names, p = p
-        cell = p * self.blocks + self.block[at]
+        cell = p[row] * self.blocks + self.block[at]
         bound = np.bincount(cell, self.block_max[at])
         keep = bound[cell] >= 1
-        cell, at, p = cell[keep], at[keep], p[keep]
-        row, post = _expand(self.postings[at], self.postings[at + 1])
-        pair, inverse = np.unique(p[row] * len(self.ids) + self.item[post], return_inverse=True)
-        score = np.bincount(inverse, self.impact[post], len(pair))
+        row, at = row[keep], at[keep]
+        row, post = _expand(self.postings[at], self.postings[at + 1], p[row])
+        pair = row * len(self.ids) + self.item[post]
+        order = np.argsort(pair, kind="stable")
+        pair, gain = pair[order], self.impact[post][order]
+        heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.int64)
+        if not len(heads):
+            return heads, heads, np.empty(0)
+        score = np.add.reduceat(gain, heads)
         hit = score >= 1
-        return names[pair[hit] // len(self.ids)], pair[hit] % len(self.ids), score[hit]
+        pair = pair[heads][hit]
+        return names[pair // len(self.ids)], pair % len(self.ids), score[hit]
 
     def overlap(self, item: int, region: np.ndarray) -> tuple[float, float]:
         """Parts of the question's and the answer's words that stand in shingles found in the region."""
         return tuple(_covered(part, region) for part in self.parts[item])
 
 
-def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the ranges, each with its range's number."""
+def _expand(lo: np.ndarray, hi: np.ndarray, mark: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, each with its range's number (or mark)."""
     size = hi - lo
-    row = np.repeat(np.arange(len(lo)), size)
+    row = np.repeat(np.arange(len(lo)) if mark is None else mark, size)
     return row, np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
 
 
