@@ -192,9 +192,13 @@ def detect(
     days: int = 30,
     exclude_own_job: bool = True,
     drop_ratio: float | None = None,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
-    """Spikes and drops outside mean ± sigma·std of a history of ``min_points`` or more."""
-    return judge(history_stats(metrics, days, measures, exclude_own_job), measures, sigma, min_points, drop_ratio)
+    """Spikes and drops outside mean ± sigma·std of a history of ``min_points`` or more.
+
+    Where one scope may have millions of loads a day, give ``block_us`` several widths.
+    """
+    return judge(history_stats(metrics, days, measures, exclude_own_job, block_us), measures, sigma, min_points, drop_ratio)
 
 
 def judge(

@@ -110,10 +110,14 @@ def carried(
     *,
     forward: bool = False,
     include_self: bool = False,
-    block_us: int = DAY_US,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
-    """Add ``out``: the nearest non-null ``value`` before the row (after it if ``forward``)."""
-    b = _blocked(df, ts, block_us)
+    """Add ``out``: the nearest non-null ``value`` before the row (after it if ``forward``).
+
+    Widths from fine to coarse split a block that may be huge itself, as in ``running_sums``.
+    """
+    fine, *coarser = (block_us,) if isinstance(block_us, int) else block_us
+    b = _blocked(df, ts, fine)
     bk = [*keys, "_blk"]
     flip = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
     inner = (
@@ -124,11 +128,12 @@ def carried(
     across = Window.partitionBy(*keys).orderBy(flip("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     pick = F.min_by if forward else F.max_by
     rank = F.when(F.col(value).isNotNull(), F.struct(ts, *order))
-    carry = (
-        b.groupBy(*bk)
-        .agg(pick(value, rank).alias("_t"))
-        .select(*bk, F.last("_t", ignorenulls=True).over(across).alias("_c"))
-    )
+    ends = b.groupBy(*bk).agg(pick(value, rank).alias("_t"))
+    if coarser:
+        blocks = ends.select(*keys, F.col("_blk").alias("_no"), F.timestamp_micros(F.col("_blk") * fine).alias("_at"), "_t")
+        carry = carried(blocks, keys, "_at", [], "_t", "_c", forward=forward, block_us=tuple(coarser)).select(*keys, F.col("_no").alias("_blk"), "_c")
+    else:
+        carry = ends.select(*bk, F.last("_t", ignorenulls=True).over(across).alias("_c"))
     x = b.withColumn("_i", F.last(value, ignorenulls=True).over(inner))
     return join_null_safe(x, carry, bk).select(*df.columns, F.coalesce("_i", "_c").alias(out))
 
@@ -183,7 +188,7 @@ def as_of(
     probe_ts: str,
     fact_ts: str,
     value: str,
-    block_us: int = DAY_US,
+    block_us: int | tuple[int, ...] = DAY_US,
 ) -> DataFrame:
     """Add to each probe the ``value`` of the latest fact at or before it (no range join)."""
     p = probes.select(*keys, F.col(probe_ts).alias("_ts"), F.struct(*probes.columns).alias("_probe"))

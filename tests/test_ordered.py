@@ -76,3 +76,11 @@ def test_quantiles_equal_percentile(spark):
     assert set(got) == set(want)
     for k, w in want.items():
         assert all(abs(got[k][n] - w[n]) <= 1e-9 * max(1, abs(w[n])) for n in shares), (k, got[k], w)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_several_widths_carry_the_same(spark, forward):
+    df = spark.createDataFrame(rows(11), "k string, ts timestamp, i int, v int")
+    one = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward)
+    many = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward, block_us=(60_000_000, 7_200_000_000, 5 * od.DAY_US))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
