@@ -312,6 +312,11 @@ def _clean(body: Column) -> Column:
     return F.regexp_replace(body, r"#\d+L?", "")
 
 
+def aliases_per_query(links: DataFrame) -> int:
+    """The most aliases that any one query has."""
+    return links.filter("body IS NOT NULL").groupBy(*QUERY).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def column_edges(nodes: DataFrame) -> DataFrame:
     """Column-to-column edges of every query that writes.
 
@@ -344,25 +349,22 @@ def column_edges(nodes: DataFrame) -> DataFrame:
         *QUERY, F.lit("id").alias("_via"), F.col("column").alias("target_column"), F.lit("DIRECT").alias("transform_type"),
         F.lit(None).cast("string").alias("expression"), F.col("expr_id").alias("ref_id"),
     )
-    front, levels, seen = checkpoint(steps.unionByName(own).distinct()), [], []
+    # a chain of aliases is no longer than its query has aliases, so this ends even on a broken plan
+    longest = aliases_per_query(links)
+    front, levels = steps.unionByName(own).distinct(), []
     while True:
-        seen.append(front)
         level = checkpoint(front.join(links, [*QUERY, "ref_id"]))
         levels.append(level.filter("dataset IS NOT NULL"))
         inner = level.filter("body IS NOT NULL")
-        if inner.isEmpty():
+        if len(levels) > longest or inner.isEmpty():
             break
         plain = F.col("transform_type") == "DIRECT"
-        step = inner.select(
+        front = inner.select(
             *QUERY, "_via", "target_column",
             F.when(plain, F.col("kind")).otherwise(F.col("transform_type")).alias("transform_type"),
             F.when(~plain, F.col("expression")).when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"),
             F.explode(F.array_except(_ids(F.col("body")), F.array("ref_id"))).alias("ref_id"),
         ).distinct()
-        # ids of a query are finite: what was met before is not followed again
-        known = reduce(DataFrame.unionByName, seen).withColumnsRenamed({c: f"_{c}" for c in step.columns})
-        met = reduce(lambda x, y: x & y, [step[c].eqNullSafe(known[f"_{c}"]) for c in step.columns])
-        front = checkpoint(step.join(known, met, "left_anti"))
     hits = reduce(DataFrame.unionByName, levels)
     cols = [*QUERY, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), "target_column", "transform_type", "expression"]
     explicit = hits.filter("_via = 'expr'").select(*cols).distinct()
