@@ -120,12 +120,19 @@ def history_stats(
 
 
 def history_stats_by_join(metrics: DataFrame, days: int = 30) -> DataFrame:
-    """The same numbers as ``history_stats`` by a plain range self-join, for small tables."""
-    r = with_scope(metrics).withColumn("_id", F.monotonically_increasing_id()).alias("r")
-    h = metrics.alias("h")
+    """The same numbers as ``history_stats`` by a range self-join, for tables of few loads a scope.
+
+    Time is cut into spans of the history's length: a row's history lies in its own span and the one
+    before, so rows meet on (organisation, dataset, span) and the range only filters what has met.
+    """
+    span = lambda c: F.floor(F.unix_micros(c) / F.lit(days * DAY_US)).cast("bigint")
+    own = with_scope(metrics).withColumn("_id", F.monotonically_increasing_id())
+    r = own.withColumn("_span", F.explode(F.array(span(F.col("ts")), span(F.col("ts")) - 1))).alias("r")
+    h = metrics.withColumn("_span", span(F.col("ts"))).alias("h")
     cond = (
         (F.col("r.org_id") == F.col("h.org_id"))
         & (F.col("r.dataset") == F.col("h.dataset"))
+        & (F.col("r._span") == F.col("h._span"))
         & (F.col("h.ts") <= F.col("r.ts"))
         & (F.col("h.ts") > F.col("r.ts") - F.expr(f"INTERVAL {days} DAYS"))
         & (F.col("r.job_id").isNull() | (F.col("h.job_id") != F.col("r.job_id")))

@@ -114,7 +114,7 @@ def _(t):
 @query("j10_range_join_history", f"""WITH {_SCOPED} SELECT org_id, dataset, scope_kind, CAST(sum(hist_count) AS BIGINT) AS joined_rows,
   count(*) AS n, round(sum(mean_row_count), 3) AS sum_of_means FROM stats GROUP BY ALL""")
 def _(t):
-    return an.history_stats(t("v_metrics")).groupBy("org_id", "dataset", "scope_kind").agg(
+    return an.history_stats_by_join(t("v_metrics")).groupBy("org_id", "dataset", "scope_kind").agg(
         F.sum("hist_count").alias("joined_rows"), F.count("*").alias("n"), F.round(F.sum("mean_row_count"), 3).alias("sum_of_means")
     )
 
