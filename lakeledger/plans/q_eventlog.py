@@ -105,23 +105,25 @@ def _(t):
     return pl.column_edges(_nodes(t)).select(*_CCOLS)
 
 
-@query("x8_implicit_edges", f"SELECT source_dataset, source_column, target_dataset, target_column, count(*) AS n FROM {_CE} x WHERE target_dataset LIKE 'nn:%' GROUP BY ALL")
+@query("x8_implicit_edges", f"SELECT way, source_dataset, source_column, target_dataset, target_column, count(*) AS n FROM {_CE} x, (VALUES ('id'), ('name')) w(way) WHERE target_dataset LIKE 'nn:%' GROUP BY ALL")
 def _(t):
     n = _nodes(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
     tgt = pl.query_outputs(n).filter("table_type = 'File'").select(*pl.QUERY, F.col("name").alias("target_dataset"))
     by_id = w.join(o, [*pl.QUERY, "expr_id"]).select(*pl.QUERY, o["dataset"].alias("source_dataset"), o["column"].alias("source_column"), w["column"].alias("target_column"))
     by_id = by_id.withColumns({"transform_type": F.lit("DIRECT"), "expression": F.lit(None).cast("string")})
-    i = pl.implicit_column_edges(w, by_id.filter("1 = 0"), by_id, o).join(tgt, pl.QUERY)
-    return i.groupBy("source_dataset", "source_column", "target_dataset", "target_column").agg(F.count("*").alias("n"))
+    none = by_id.filter("1 = 0")
+    # passed through by expression id; and, where no id is known, by equal name
+    i = pl.implicit_column_edges(w, none, by_id, o).withColumn("way", F.lit("id")).unionByName(pl.implicit_column_edges(w, none, none, o).withColumn("way", F.lit("name")))
+    return i.join(tgt, pl.QUERY).groupBy("way", "source_dataset", "source_column", "target_dataset", "target_column").agg(F.count("*").alias("n"))
 
 
-@query("j12_uncovered_columns", f"SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, e.c AS \"column\" FROM {{orders}}, (VALUES ('ref'), ('id2')) e(c) WHERE o_orderkey % 2 = 1 UNION ALL SELECT {_LOGID}, o_orderkey * 3, e.c FROM {{orders}}, (VALUES ('total'), ('flag')) e(c) WHERE o_orderkey % 2 = 0")
+@query("j12_uncovered_columns", f"SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, e.c AS \"column\" FROM {{orders}}, (VALUES ('total'), ('flag')) e(c) WHERE o_orderkey % 2 = 0")
 def _(t):
     n = _nodes(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
-    only_id = w.join(o.filter("column = 'id'"), [*pl.QUERY, "expr_id"]).select(*pl.QUERY, w["column"].alias("target_column"))
-    return pl.uncovered_columns(w, only_id).drop("expr_id")
+    traced = w.join(o, [*pl.QUERY, "expr_id"]).select(*pl.QUERY, w["column"].alias("target_column"))
+    return pl.uncovered_columns(w, traced).drop("expr_id")
 
 
 @query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL
