@@ -33,13 +33,16 @@ def last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
-def table_from_plan(text: Column) -> Column:
-    """Table name in a plan text: three- or two-part in backticks, or dotted under a catalog."""
-    return F.coalesce(
-        _first(text, r"`([^`]+)`\.`([^`]+)`\.`([^`]+)`", 3),
-        _first(text, r"`([^`]+)`\.`([^`]+)`", 2),
-        _first(text, r"(?:spark_catalog|hive_metastore)\.(?:default|\w+)\.(\w+)"),
-    )
+def table_from_plan(text: Column, full: bool = False) -> Column:
+    """Table name in a plan text: three- or two-part in backticks, or dotted under a catalog.
+
+    The last part, or with ``full`` all parts with dots between.
+    """
+    forms = [(r"`([^`]+)`\.`([^`]+)`\.`([^`]+)`", 3), (r"`([^`]+)`\.`([^`]+)`", 2), (r"(spark_catalog|hive_metastore)\.(default|\w+)\.(\w+)", 3)]
+    if full:
+        whole = lambda form, n: F.when(text.rlike(form), F.concat_ws(".", *[F.regexp_extract(text, form, k + 1) for k in range(n)]))
+        return F.coalesce(*[whole(form, n) for form, n in forms])
+    return F.coalesce(*[_first(text, form, n) for form, n in forms])
 
 
 # Option names under which sources print the table they read.

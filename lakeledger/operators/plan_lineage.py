@@ -87,7 +87,11 @@ def _reference(table: Column, path: Column) -> list[Column]:
     ]
 
 
-def _scans(nodes: DataFrame) -> DataFrame:
+def _table(name: Column, full_names: bool) -> Column:
+    return F.replace(name, F.lit("`"), F.lit("")) if full_names else last_part(name)
+
+
+def _scans(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Scan nodes with the table or path they read; in-memory ones left out."""
     scan = nodes.filter(
         F.col("node_name").rlike(r"^(?:Scan|FileScan|BatchScan|LogicalRelation|RelationV2|DataSourceV2Relation)\b")
@@ -99,8 +103,8 @@ def _scans(nodes: DataFrame) -> DataFrame:
         found = lambda p: F.nullif(F.regexp_extract(name, p, 1), F.lit(""))
         batch = F.when(~name.rlike(r"^BatchScan \w+ \w+:?/"), found(r"^(?:BatchScan|RelationV2) ([\w.]+)"))
         table = F.coalesce(
-            last_part(found(r"^(?:File)?Scan (?:hive|\w+) ([\w.`]+)$")), last_part(source_table(F.concat_ws("\n", name, detail))), last_part(batch),
-            F.when(name == "LogicalRelation", table_from_plan(detail)),
+            _table(found(r"^(?:File)?Scan (?:hive|\w+) ([\w.`]+)$"), full_names), _table(source_table(F.concat_ws("\n", name, detail)), full_names), _table(batch, full_names),
+            F.when(name == "LogicalRelation", table_from_plan(detail, full_names)),
         )
         place = F.when(name.startswith("BatchScan"), name).otherwise(F.nullif(_line(detail, "Location"), F.lit("")))
         return F.named_struct(F.lit("_table"), table, F.lit("_path"), extract_file_path(place))
@@ -114,12 +118,12 @@ def distinct_tables(tables: DataFrame) -> DataFrame:
     return tables.select(*QUERY, "name", "table_type", "path", "location").distinct()
 
 
-def query_inputs(nodes: DataFrame) -> DataFrame:
-    """Tables and files read by each query."""
-    return distinct_tables(_scans(nodes).select(*QUERY, *_reference(F.col("_table"), F.col("_path"))))
+def query_inputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
+    """Tables and files read by each query (X3); with ``full_names`` tables keep catalog and database."""
+    return distinct_tables(_scans(nodes, full_names).select(*QUERY, *_reference(F.col("_table"), F.col("_path"))))
 
 
-def query_outputs(nodes: DataFrame) -> DataFrame:
+def query_outputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Tables and files written by each query.
 
     Nested executions of one write name it three ways; the catalog name goes before the path.
@@ -132,7 +136,8 @@ def query_outputs(nodes: DataFrame) -> DataFrame:
     args = _field("Arguments")
     single = F.nullif(F.regexp_extract(args, r"`([^`]+)`", 1), F.lit(""))
     to_path = F.col("_n").rlike("^(?:InsertIntoHadoopFs|SaveInto)")
-    table = F.when(to_path, table_from_plan(args)).otherwise(F.coalesce(table_from_plan(args), single))
+    named = table_from_plan(args, full_names)
+    table = F.when(to_path, named).otherwise(F.coalesce(named, single))
     path = F.when(to_path, extract_file_path(args))
     w = w.withColumns({"_table": table, "_path": path}).filter("_table IS NOT NULL OR _path IS NOT NULL")
     rank = F.when(F.col("_table").isNull(), 3).when(F.col("_n") == "SaveAsV1TableCommand", 2).otherwise(1)
@@ -170,9 +175,9 @@ def _attributes(text: Column) -> Column:
     )
 
 
-def attribute_origins(nodes: DataFrame) -> DataFrame:
+def attribute_origins(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Which dataset column each expression id of a query stands for."""
-    s = _scans(nodes)
+    s = _scans(nodes, full_names)
     listed = F.coalesce(F.nullif(_field("Output"), F.lit("")), F.regexp_extract("detail", r"Arguments: [^\[\n]*\[([^\]\n]*)\]", 1))
     s = s.select(*QUERY, *_reference(F.col("_table"), F.col("_path")), F.explode(_attributes(_unbracket(listed))).alias("a"))
     # a table named in the logical plan and its scan give the same answer; keep one
@@ -317,7 +322,7 @@ def aliases_per_query(links: DataFrame) -> int:
     return links.filter("body IS NOT NULL").groupBy(*QUERY).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
-def column_edges(nodes: DataFrame) -> DataFrame:
+def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Column-to-column edges of every query that writes.
 
     Explicit ones follow each written name through the aliases that define it, however many, down to
@@ -326,8 +331,8 @@ def column_edges(nodes: DataFrame) -> DataFrame:
     carry whole expressions; ``capped`` shortens them for display.
     """
     nodes = checkpoint(nodes)
-    origins = checkpoint(attribute_origins(nodes))
-    outputs = query_outputs(nodes)
+    origins = checkpoint(attribute_origins(nodes, full_names))
+    outputs = query_outputs(nodes, full_names)
     # only the first output of a query gets column edges
     target = outputs.groupBy(*QUERY).agg(F.min_by("name", F.struct("started_at", "name")).alias("target_dataset"))
     written = checkpoint(written_columns(nodes))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.functions import naming, paths
 from lakeledger.functions.schema_text import schema_hash
-from lakeledger.operators import alerts, graph, listing, run_metrics, schema_diff
+from lakeledger.operators import alerts, graph, listing, plan_lineage, run_metrics, schema_diff
 from lakeledger.operators import tables as tb
 from lakeledger.operators.plan_lineage import query_outputs
 from lakeledger.sources.payloads import parse_ingest
@@ -111,6 +111,16 @@ def test_last_part_of_a_name_B28(spark):
     assert [r[0] for r in got] == ["t", "t"]
 
 
+@pytest.mark.parametrize("full,names", [(False, {("t", "out")}), (True, {("spark_catalog.db1.t", "spark_catalog.gold.out"), ("spark_catalog.db2.t", "spark_catalog.gold.out")})])
+def test_full_names_keep_databases_apart_B28(spark, full, names):
+    rows = [("l", 1, 1, T0, k, n, d) for k, (n, d) in enumerate([
+        ("Scan parquet spark_catalog.db1.t", "Output [1]: [a#1]"), ("LogicalRelation", "Arguments: parquet, [a#2], `spark_catalog`.`db2`.`t`, false"),
+        ("CreateDataSourceTableAsSelectCommand", "Arguments: `spark_catalog`.`gold`.`out`, ErrorIfExists, [a]")])]
+    nodes = spark.createDataFrame(rows, "log_id string, root_execution_id bigint, execution_id bigint, started_at timestamp, node_id bigint, node_name string, detail string")
+    e = plan_lineage.query_edges(plan_lineage.query_inputs(nodes, full), plan_lineage.query_outputs(nodes, full))
+    assert {(r.source, r.target) for r in e.collect()} == names
+
+
 def test_mean_executor_memory_is_combined_by_maximum_B29(spark):
     cols = [*run_metrics.SUMMED, "shuffle_read_bytes", "total_tasks", "failed_stages", "failed_tasks", *run_metrics.LOCAL, "peak_execution_memory", *run_metrics.MEMORY]
     rows = spark.createDataFrame([("l", 10), ("l", 30)], "log_id string, v bigint").select("log_id", *[F.col("v").alias(c) for c in cols])
