@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -24,6 +25,19 @@ def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def pieces(text: str | bytes, size: int) -> Iterator[str | bytes]:
+    """A long text in pieces of about ``size``, cut at white space, so that no word is split."""
+    space = (re.compile(rb"[\x20\x09-\x0D]") if isinstance(text, bytes) else re.compile(r"\s"))
+    at = 0
+    while len(text) - at > size:
+        found = space.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Tuples as Arrow batches."""
     held: list[tuple] = []

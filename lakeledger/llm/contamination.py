@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeledger.llm.common import batches, picked, texts
+from lakeledger.llm.common import batches, picked, pieces, texts
 from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
@@ -30,8 +30,8 @@ PASSAGE, BLOCK, SHINGLE = 64, 8, 5
 RETRIEVE, VERIFY = 0.6, 0.8
 #: Words of the items in one index; more items make more indexes, each of which meets all passages.
 INDEX_WORDS = 500_000
-#: Words of text searched at once.
-STEP = 200_000
+#: Words of text searched at once, characters taken apart at once.
+STEP, LONG = 200_000, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 HIT = "item_id {item}, word bigint, bm25 double, question_overlap double, answer_overlap double"
@@ -94,8 +94,8 @@ class Index:
 
     def ids_of(self, text: str) -> np.ndarray:
         """Term numbers of a text's words, -1 for words of no item."""
-        w = words(text)
-        return np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
+        parts = map(words, pieces(text, LONG))
+        return np.concatenate([np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w)) for w in parts])
 
     def search(self, terms: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passage, item and score (1 is the item's threshold) of all pairs at or above the threshold."""

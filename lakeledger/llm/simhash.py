@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeledger.llm.common import components, picked, same, texts
+from lakeledger.llm.common import components, picked, pieces, same, texts
 from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
@@ -20,19 +20,29 @@ SEED = 42
 #: Fingerprints in one tile, and pairs of fingerprints compared at once inside a task.
 TILE = 1 << 17
 BLOCK = 1 << 21
-#: Shingle hashes turned into bits at once; longer texts are counted in pieces.
+#: Shingle hashes turned into bits at once.
 PIECE = 1 << 18
-
-
-def _hashes(text: str, shingle: int) -> np.ndarray:
-    """XXH64 of every word shingle of a text, repeats included."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([h(b" ".join(words), SEED)], np.uint64)
-    joined = b" ".join(words)
+#: Bytes of a text taken apart at once.
+LONG = 1 << 20
+
+
+def _hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every word shingle of a text, repeats included; long texts in several arrays."""
+    before: list[bytes] = []
+    any_yet = False
+    data = text.encode("utf-8", "surrogatepass").lower()  # bytes: A-Z and ASCII white space only
+    for piece in pieces(data, LONG):
+        words = before + piece.split()
+        if len(words) >= shingle:
+            any_yet = True
+            yield _windows(words, shingle)
+        before = words[-(shingle - 1) :] if shingle > 1 else []
+    if not any_yet and before:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(before), SEED)], np.uint64)
+
+
+def _windows(words: list[bytes], shingle: int) -> np.ndarray:
+    h, joined = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: len(words) - shingle])).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
@@ -66,17 +76,21 @@ def text_fingerprints(values: list[str], shingle: int) -> np.ndarray:
 
     waiting = 0
     for i, text in enumerate(values):
-        h = _hashes(text, shingle)
-        if len(h) > PIECE:
-            counts = sum(_bit_counts(h[k : k + PIECE], np.array([0]))[0].astype(np.int64) for k in range(0, len(h), PIECE))
-            out[i] = _majority(counts[None, :], np.array([len(h)]))[0]
-        elif len(h):
+        if 4 * len(text) > LONG:  # may be several pieces
+            counts, total = np.zeros(64, np.int64), 0
+            for h in _hashes(text, shingle):
+                counts += sum(_bit_counts(h[k : k + PIECE], np.array([0]))[0] for k in range(0, len(h), PIECE))
+                total += len(h)
+            if total:
+                out[i] = _majority(counts[None, :], np.array([total]))[0]
+            continue
+        for h in _hashes(text, shingle):
             held.append(h)
             at.append(i)
             waiting += len(h)
-            if waiting >= PIECE:
-                flush()
-                waiting = 0
+        if waiting >= PIECE:
+            flush()
+            waiting = 0
     flush()
     return out
 

@@ -71,6 +71,7 @@ def test_several_indexes_find_the_same(spark, docs, items, monkeypatch):
     d = docs([(i, f"{prose(90, i)} {rows[i][1]} {rows[i][2]}") for i in range(30)])
     once = sorted((r.doc_id, r.item_id) for r in contamination.matches(d, df).collect())
     monkeypatch.setattr(contamination, "INDEX_WORDS", 300)
+    monkeypatch.setattr(contamination, "LONG", 50)
     assert sorted((r.doc_id, r.item_id) for r in contamination.matches(d, df).collect()) == once == [(i, i) for i in range(30)]
     assert contamination.clean_rows(d, df).count() == 0
 

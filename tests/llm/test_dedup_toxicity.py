@@ -85,6 +85,16 @@ def test_one_of_each_without_ids_and_without_rows(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.one_of_each(docs([])).count() == 0
 
 
+def test_long_texts_in_pieces_have_the_same_fingerprint(monkeypatch):
+    rng = np.random.default_rng(2)
+    values = [" ".join(f"w{k}" for k in rng.integers(0, 99, n)) + tail for n, tail in ((0, ""), (1, ""), (2, " "), (3, ""), (40, "\n\t"), (900, " é"), (5000, ""))] + ["x" * 5000, "x" * 300 + " y z"]
+    whole = simhash.text_fingerprints(values, 3)
+    monkeypatch.setattr(simhash, "LONG", 17)
+    assert np.array_equal(whole, simhash.text_fingerprints(values, 3))
+    monkeypatch.setattr(simhash, "PIECE", 5)
+    assert np.array_equal(whole, simhash.text_fingerprints(values, 3))
+
+
 @pytest.fixture(scope="module")
 def toxic_texts():
     rng = np.random.default_rng(1)
