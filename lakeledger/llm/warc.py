@@ -216,17 +216,18 @@ class Reader:
         f.seek(begin)
         return f.read(size)
 
-    def directory(self, path: str, begin: int, size: int) -> list[tuple[str, int, int]]:
-        rows = (r.split("\t") for r in zlib.decompress(self.range(path, begin, size)).decode().split("\n"))
-        return [(key, int(at), int(n)) for key, at, n in rows]
+    def directory(self, path: str, begin: int, size: int) -> tuple[list[str], list[tuple[int, int]]]:
+        """First key and byte range of each block of an index file."""
+        rows = [r.split("\t") for r in zlib.decompress(self.range(path, begin, size)).decode().split("\n")]
+        return [key for key, _, _ in rows], [(int(at), int(n)) for _, at, n in rows]
 
-    def captures(self, path: str, directory: list[tuple[str, int, int]], prefix: str) -> Iterator[list[str]]:
+    def captures(self, path: str, directory: tuple[list[str], list[tuple[int, int]]], prefix: str) -> Iterator[list[str]]:
         """Index lines of an index file whose key begins with ``prefix``."""
-        heads = [d[0] for d in directory] if not hasattr(directory, "heads") else directory.heads
+        heads, ranges = directory
         k = max(0, bisect_left(heads, prefix) - 1)
-        while k < len(directory) and directory[k][0][: len(prefix)] <= prefix:
+        while k < len(heads) and heads[k][: len(prefix)] <= prefix:
             if self.block != (path, k):
-                self.lines = zlib.decompress(self.range(path, *directory[k][1:])).decode().split("\n")
+                self.lines = zlib.decompress(self.range(path, *ranges[k])).decode().split("\n")
                 self.block = (path, k)
             for line in self.lines[bisect_left(self.lines, prefix) :]:
                 if not line.startswith(prefix):
@@ -235,14 +236,6 @@ class Reader:
             k += 1
 
 
-class _Directory(list):
-    """A directory with its keys beside it."""
-
-    def __init__(self, rows):
-        super().__init__(rows)
-        self.heads = [r[0] for r in rows]
-
-
 def lookup(archive: Archive, wanted: DataFrame, url_col: str = "url", id_col: str | None = None, payload: bool = True) -> DataFrame:
     """All records of the wanted URLs (of one page each where ``id_col`` is given).
 
@@ -282,7 +275,7 @@ def lookup(archive: Archive, wanted: DataFrame, url_col: str = "url", id_col: st
                 for f, prefix in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     _, path, begin, size = files[f]
                     if f != now:
-                        now, directory = f, _Directory(reader.directory(path, begin, size))
+                        now, directory = f, reader.directory(path, begin, size)
                     for key, where, at, n in reader.captures(path, directory, prefix):
                         fields, length, body = parse(reader.range(where, int(at), int(n)))
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
