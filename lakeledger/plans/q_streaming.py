@@ -65,7 +65,7 @@ def _(t):
 def _(t):
     root = scratch(t.spark, "schemas")
     _in_steps(t, t("v_schema_payload_json"), "received_at", lambda raw: fa.run_available(fa.stream_schema_versions(raw, root)))
-    return fa.last_state(t.spark, root, "versions").select("dataset", "schema_hash", _s("valid_from").alias("valid_from"))
+    return fa.read_versions(t.spark, root).select("dataset", "schema_hash", _s("valid_from").alias("valid_from"))
 
 
 @query("t3_stream_metrics", """SELECT dataset, strftime(h, '%Y-%m-%d %H:%M:%S') AS ts, row_count, byte_size FROM (SELECT event_type AS dataset, date_trunc('hour', ts) AS h, count(*) AS row_count, CAST(sum(length(props)) AS BIGINT) AS byte_size FROM {events} GROUP BY ALL) x

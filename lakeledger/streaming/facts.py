@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from lakeledger.functions.schema_text import schema_hash
 from lakeledger.operators import tables as tb
 from lakeledger.operators.alerts import dedup_alerts, match_rules
 from lakeledger.operators.anomalies import history_stats, judge
 from lakeledger.operators.ordered import join_null_safe
-from lakeledger.operators.schema_history import append_schema_versions
+from lakeledger.operators.schema_history import scd2_intervals
 from lakeledger.sources.payloads import parse_ingest, parse_schema_ingest
 
 
@@ -66,33 +67,59 @@ def read_facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def _before(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame | None:
-    """The state written by the batch before, None at the start."""
-    return spark.read.parquet(f"{root}/{table}/batch={batch_id - 1}") if batch_id > 0 else None
+#: Hashed parts of a stream's state; a batch reads back only the parts its keys fall into.
+PARTS = 256
+
+
+def _part(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+
+
+def _log_state(rows: DataFrame, root: str, table: str, batch_id: int, keys: list[str]) -> None:
+    """Add what a batch changed to a state log; nothing older is written again."""
+    ordered = rows.withColumn("part", _part(*keys)).repartitionByRange("part").sortWithinPartitions("part")
+    ordered.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch_id}")  # files and row groups hold a range of parts
+
+
+def _known(batch: DataFrame, root: str, table: str, batch_id: int, keys: list[str]) -> DataFrame | None:
+    """State rows of earlier batches for the keys of this one, None at the start."""
+    if batch_id == 0:
+        return None
+    touched = [r[0] for r in batch.select(_part(*keys).alias("part")).distinct().collect()]  # at most PARTS numbers
+    log = batch.sparkSession.read.parquet(f"{root}/{table}").filter((F.col("batch") < batch_id) & F.col("part").isin(touched))
+    return join_null_safe(log.drop("batch", "part"), batch.select(*keys).distinct(), keys, "left_semi")
+
+
+_VERSION = ["org_id", "dataset", "schema_hash"]
 
 
 def stream_schema_versions(raw: DataFrame, root: str) -> DataStreamWriter:
-    """Schema messages to a version table; each batch writes the table anew.
+    """Schema messages to a log of versions: each schema when first seen, or seen earlier than known.
 
-    The table grows with schema changes, not with messages.
+    The log grows with schema changes, not with messages; ``read_versions`` gives the table.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         snaps, _ = parse_schema_ingest(batch)
-        state = _before(batch.sparkSession, root, "versions", batch_id)
-        if state is None:
-            state = append_schema_versions(
-                snaps.limit(0).select("org_id", "dataset", F.lit("").alias("schema_hash"), "fields", F.col("captured_at").alias("valid_from")), snaps.limit(0)
-            )
-        _write(append_schema_versions(state, snaps), root, "versions", batch_id)
+        snaps = snaps.withColumn("schema_hash", schema_hash(F.col("fields")))
+        first = snaps.groupBy(*_VERSION).agg(F.min("captured_at").alias("valid_from"), F.min_by("fields", "captured_at").alias("fields")).persist()
+        known = _known(first, root, "versions", batch_id, _VERSION)
+        if known is not None:
+            old = known.groupBy(*_VERSION).agg(F.min("valid_from").alias("_seen"))
+            changed = join_null_safe(first, old, _VERSION).filter("_seen IS NULL OR valid_from < _seen").drop("_seen")
+        else:
+            changed = first
+        _log_state(changed, root, "versions", batch_id, _VERSION)
+        first.unpersist()
 
     return _per_batch(raw, root, "schema_versions", step)
 
 
-def last_state(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The table as the newest batch left it."""
-    every = spark.read.parquet(f"{root}/{table}")
-    return every.filter(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+def read_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The version table that a ``stream_schema_versions`` keeps: org_id, dataset, schema_hash, fields, valid_from, valid_to."""
+    log = spark.read.parquet(f"{root}/versions").drop("batch", "part")
+    first = log.groupBy(*_VERSION).agg(F.min("valid_from").alias("valid_from"), F.min_by("fields", "valid_from").alias("fields"))
+    return scd2_intervals(first)
 
 
 def stream_anomalies(metrics: DataFrame, root: str, days: int = 30, sigma: float = 3.0, min_points: int = 5) -> DataStreamWriter:
@@ -133,7 +160,7 @@ def stream_match_rules(anomalies: DataFrame, read_rules: Callable[[], DataFrame]
 
 
 def stream_dedup(matches: DataFrame, root: str) -> DataStreamWriter:
-    """SENT or DEDUPLICATED for arriving matches; the last SENT time per group is the state.
+    """SENT or DEDUPLICATED for arriving matches; the last SENT times per group are the state.
 
     The state enters the batch as the group's first match, so the batch operator carries on
     where the last batch ended. What is older than the last SENT came too late to be judged: LATE.
@@ -141,11 +168,12 @@ def stream_dedup(matches: DataFrame, root: str) -> DataStreamWriter:
     group = ["rule_id", "org_id", "dataset", "anomaly_type"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = _before(batch.sparkSession, root, "last_sent", batch_id)
         cols = [c for c in batch.columns if c != "status"]
         batch = batch.select(*cols)
+        state = _known(batch, root, "last_sent", batch_id, group)
         if state is None:
             state = batch.select(*group, F.col("detected_at").alias("last_sent"), "deduplication_minutes").limit(0)
+        state = state.groupBy(*group).agg(F.max("last_sent").alias("last_sent"), F.max("deduplication_minutes").alias("deduplication_minutes"))
         seen = join_null_safe(batch, state.select(*group, "last_sent"), group)
         late = seen.filter("detected_at < last_sent").select(*cols, F.lit("LATE").alias("status"))
         same = seen.filter("detected_at = last_sent").select(*cols, F.lit("DEDUPLICATED").alias("status"))
@@ -160,9 +188,7 @@ def stream_dedup(matches: DataFrame, root: str) -> DataStreamWriter:
         decided = judged.select(*cols, "status").unionByName(same).unionByName(late).persist()
         _write(decided, root, "alerts", batch_id)
         sent = decided.filter("status = 'SENT'").groupBy(*group).agg(F.max("detected_at").alias("last_sent"), F.max("deduplication_minutes").alias("deduplication_minutes"))
-        both_states = state.select(*sent.columns).unionByName(sent)
-        new = both_states.groupBy(*group).agg(F.max("last_sent").alias("last_sent"), F.max("deduplication_minutes").alias("deduplication_minutes"))
-        _write(new, root, "last_sent", batch_id)
+        _log_state(sent, root, "last_sent", batch_id, group)
         decided.unpersist()
 
     return _per_batch(matches, root, "dedup", step)

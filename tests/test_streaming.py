@@ -52,6 +52,19 @@ def test_alerts_keep_ids_of_any_kind(spark, ids):
     assert got == dict(zip(ids, ("SENT", "DEDUPLICATED", "SENT", "LATE")))
 
 
+def test_versions_in_any_order_and_after_empty_batches(spark):
+    root = scratch(spark, "versions")
+    schema = "org_id string, received_at timestamp, value string"
+    text = lambda kind: '{"job_id": "j", "schemas": [{"dataset_name": "d", "version_hash": "h", "fields": [{"name": "a", "data_type": "%s", "nullable": true}]}]}' % kind
+    batches = [[("o", T0, "unreadable")], [("o", T0 + dt.timedelta(hours=3), text("int")), ("o", T0 + dt.timedelta(hours=5), text("string"))], [("o", T0, "x")], [("o", T0 + dt.timedelta(hours=1), text("int")), ("o", T0 + dt.timedelta(hours=9), text("int"))]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{root}/in")
+        fa.run_available(fa.stream_schema_versions(spark.readStream.schema(schema).parquet(f"{root}/in"), root))
+    got = sorted((r.valid_from, r.fields[0].type, r.valid_to) for r in fa.read_versions(spark, root).collect())
+    assert got == [(T0 + dt.timedelta(hours=1), "int", T0 + dt.timedelta(hours=5)), (T0 + dt.timedelta(hours=5), "string", None)]
+    assert spark.read.parquet(f"{root}/versions").count() == 3
+
+
 def test_a_batch_run_twice_leaves_its_rows_once(spark):
     root = scratch(spark, "twice")
     df = spark.createDataFrame([(1,), (2,)], "x int")
