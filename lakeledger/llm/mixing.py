@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from lakeledger.runtime import checkpoint
 
 TREE = ["domain", "lang", "source"]
-#: Hash buckets of a leaf: only the one that a prefix ends in is ordered row by row.
-DIGITS = 3
+#: Leading hex digits of a draw key by which a leaf is cut, coarse to fine: of each cut only the bucket that
+#: a prefix ends in is cut further, and in the end ordered row by row.
+DIGITS = (2, 4)
 _WIDE = "decimal(38,0)"
 
 
@@ -96,28 +97,32 @@ def budgets(leaves: DataFrame, total: Column, epochs: int, weights: Mapping[str,
 
 
 def prefix_ends(slim: DataFrame, leaves: DataFrame) -> DataFrame:
-    """For each leaf its whole epochs and the last draw key of the begun one (null: none of it).
+    """For each leaf the last draw key of the documents it takes of its begun epoch (none: no row).
 
-    ``slim`` has ``domain, lang, source, epoch, key, tokens`` of each document in the leaf's begun
-    epoch. Sums by bucket of the key find the bucket in which the budget ends; only that one is
-    ordered. Documents of one key go in together or not at all.
+    ``slim`` has ``domain, lang, source, key, tokens`` of each document in the leaf's begun epoch,
+    ``leaves`` the tokens that are left for it as ``rest``. Sums by bucket of the key find the bucket
+    in which the budget ends, finer ones inside it the next, and only the last one is ordered.
+    Documents of one key go in together or not at all.
     """
-    bucket = F.substring("key", 1, DIGITS)
-    b = slim.withColumn("bucket", bucket)
-    sums = b.groupBy(*TREE, "bucket").agg(F.sum("tokens").alias("sum"), F.max("key").alias("top"))
-    along = Window.partitionBy(*TREE).orderBy("bucket")
-    sums = sums.withColumn("upto", F.sum("sum").over(along))
-    rest = leaves.select(*[F.col(k).alias(f"_{k}") for k in TREE], "rest")
-    sums = sums.join(rest, _on(sums, rest, TREE)).drop(*[f"_{k}" for k in TREE])
-    sums = checkpoint(sums)
-    whole = sums.filter("upto <= rest").groupBy(*TREE).agg(F.max("top").alias("end"))
-    border = sums.filter("upto > rest AND upto - sum <= rest").groupBy(*TREE).agg(F.min("bucket").alias("bucket"), F.min_by(F.col("rest") - (F.col("upto") - F.col("sum")), "bucket").alias("room"))
-    border = border.select(*[F.col(k).alias(f"_{k}") for k in TREE], F.col("bucket").alias("_bucket"), "room")
-    inside = b.join(border, _on(b, border, [*TREE, "bucket"])).drop(*[f"_{k}" for k in TREE], "_bucket")
-    keys = inside.groupBy(*TREE, "key").agg(F.sum("tokens").alias("sum"), F.first("room").alias("room"))
+    hidden = [F.col(k).alias(f"_{k}") for k in TREE]
+    border = leaves.select(*hidden, F.lit("").alias("_prefix"), F.col("rest").alias("_room"))
+    ends: list[DataFrame] = []
+
+    def inside() -> DataFrame:
+        near = _on(slim, border, TREE) & F.startswith(slim["key"], border["_prefix"])
+        return slim.join(border, near).drop(*[f"_{k}" for k in TREE], "_prefix")
+
+    for digits in DIGITS:
+        sums = inside().groupBy(*TREE, F.substring("key", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("sum"), F.max("key").alias("top"), F.first("_room").alias("_room"))
+        upto = F.sum("sum").over(Window.partitionBy(*TREE).orderBy("bucket"))
+        sums = checkpoint(sums.withColumn("upto", upto))
+        ends.append(sums.filter("upto <= _room").groupBy(*TREE).agg(F.max("top").alias("end")))
+        ended = sums.filter("upto > _room").groupBy(*TREE).agg(F.min(F.struct("bucket", (F.col("_room") - F.col("upto") + F.col("sum")).alias("room"))).alias("b"))
+        border = ended.select(*hidden, F.col("b.bucket").alias("_prefix"), F.col("b.room").alias("_room"))
+    keys = inside().groupBy(*TREE, "key").agg(F.sum("tokens").alias("sum"), F.first("_room").alias("_room"))
     run = F.sum("sum").over(Window.partitionBy(*TREE).orderBy("key"))
-    part = keys.withColumn("upto", run).filter("upto <= room").groupBy(*TREE).agg(F.max("key").alias("end"))
-    return whole.unionByName(part).groupBy(*TREE).agg(F.max("end").alias("end"))
+    ends.append(keys.withColumn("upto", run).filter("upto <= _room").groupBy(*TREE).agg(F.max("key").alias("end")))
+    return reduce(DataFrame.unionByName, ends).groupBy(*TREE).agg(F.max("end").alias("end"))
 
 
 def mix(
