@@ -2,7 +2,8 @@
 
 A sentence's chance of being toxic is a logistic function of its worst word's hashed byte n-grams,
 so repeats add nothing; a document is toxic unless all its sentences are clean (noisy-or). Training on document labels alone teaches the
-sentence scores, which then point out the offending sentences.
+sentence scores, which then point out the offending sentences. A sentence counts by what its worst word adds to the
+bias; without a word of positive weight it counts nothing, so length alone makes no text toxic.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def features(data: bytes, gram: int) -> np.ndarray:
 
 
 def sentence_starts(data: bytes) -> np.ndarray:
-    """Byte offsets at which sentences begin; one ends after a full stop, ! or ?, or at a line's end."""
-    at = np.flatnonzero(_ENDS[np.frombuffer(data, np.uint8)]) + 1
-    return np.concatenate(([0], at[at < len(data)]))
+    """Byte offsets at which sentences begin; one ends after a run of full stops, !, ? and line ends."""
+    ends = _ENDS[np.frombuffer(data, np.uint8)]
+    return np.concatenate(([0], np.flatnonzero(ends[:-1] & ~ends[1:]) + 1))
 
 
 def _window_weights(data: bytes, weights: np.ndarray) -> np.ndarray:
@@ -99,10 +100,11 @@ def document_scores(values: list[str], model: Model) -> tuple[np.ndarray, list[n
         data, starts, firsts = _joined(values[i:j])
         words = _word_starts(data, starts)
         sums = np.add.reduceat(_window_weights(data, model.weights), words)
-        z = np.clip(np.maximum.reduceat(sums, np.searchsorted(words, starts)).astype(float) + model.bias, -30, 30)
-        stays = -np.logaddexp(0, z)  # log of the chance to be clean
-        score[i:j] = -np.expm1(np.add.reduceat(stays, firsts))
-        p = 1 / (1 + np.exp(-z))
+        worst = np.maximum(np.maximum.reduceat(sums, np.searchsorted(words, starts)).astype(float), 0)
+        # log of the chance to be clean, less that of a sentence without any learned word
+        stays = np.logaddexp(0, model.bias) - np.logaddexp(0, np.minimum(worst + model.bias, 30))
+        score[i:j] = 0 - np.expm1(np.add.reduceat(stays, firsts))
+        p = 0 - np.expm1(stays)
         for k, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(starts)], strict=True)):
             begins.append(np.maximum(starts[a:b] - starts[a] - 1, 0))  # less the space before the text
             chances.append(p[a:b])
@@ -116,8 +118,8 @@ def document_scores(values: list[str], model: Model) -> tuple[np.ndarray, list[n
 def train(values: list[str], toxic: np.ndarray, epochs: int = 8, rate: float = 1.0, l1: float = 3e-3, group: int = 32, bias: float = -9.5) -> Model:
     """Fit word weights to document labels by AdaGrad on the noisy-or likelihood.
 
-    The bias is fixed low, so that thousands of sentences without a toxic word still make a clean
-    document. With no documents, or labels of one kind only, every text scores near 0.
+    The bias is fixed low, so that the documents learned from are clean at the start, however many
+    sentences they have; scores leave out what it alone adds. With no documents, or labels of one kind only, every text scores near 0.
     """
     weights, squares = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-3, np.float32)
     if not len(values) or toxic.min() == toxic.max():

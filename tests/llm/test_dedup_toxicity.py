@@ -147,3 +147,21 @@ def test_pieces_do_not_change_scores():
     finally:
         toxicity.PIECE = old
     assert np.allclose(whole[0], parts[[0, 2]]) and parts[1] == 0 and np.array_equal(at[0], at_parts[0])
+
+
+def test_length_alone_is_not_toxic(toxic_texts):
+    model = toxicity.train([t for _, t, _ in toxic_texts], np.array([y for _, _, y in toxic_texts]))
+    clean = [s for _, t, y in toxic_texts if not y for s in t.split(". ")]
+    lines = "\n".join(clean[i % len(clean)] for i in range(50_000))
+    unseen = "\n".join(f"xq{i:x}" for i in range(50_000))
+    texts = [lines, unseen, "." * 50_000, ". \n" * 50_000, lines + "\nblorgface", "." * 50_000 + " blorgface", unseen + "\nblorgface"]
+    scores, begins, chances = toxicity.document_scores(texts, model)
+    assert [s >= 0.5 for s in scores] == [False] * 4 + [True] * 3
+    assert len(begins[2]) == 1 and all((p >= 0.5).sum() == 1 for p in chances[4:])
+
+
+def test_runs_of_end_marks_are_one_break():
+    data = b"Wait... what?!\n\nNo.\nYes"
+    at = toxicity.sentence_starts(data)
+    assert [data[a:b] for a, b in zip(at, [*at[1:], len(data)])] == [b"Wait...", b" what?!\n\n", b"No.\n", b"Yes"]
+    assert toxicity.sentence_starts(b"").tolist() == [0]
