@@ -41,12 +41,15 @@ LINKED = 0.6
 MARKED = 0.2
 
 # Names from the HTML standard and class names in common use.
-_RAW = "script|style|noscript|template|iframe|object|svg|math|head|select|textarea|video|audio|canvas|map"
+_RAW = "script|style|noscript|iframe|textarea|title"  # only these may run to the page's end
+_LEFT_OUT = frozenset("template object svg math head select video audio canvas map".split())
+_IN_HEAD = frozenset("base link meta template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+_BREAK_OUT = _ENDS_P | frozenset("body li dt dd".split())  # end svg, math and select that were left open
 _SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _NOT_ARTICLE = frozenset("nav header footer aside form button label fieldset menu dialog legend input".split())
@@ -99,11 +102,15 @@ def parse(page: str) -> list:
     """
     root: list = ["", []]
     stack, names = [root], [""]
+    where: dict[str, list[int]] = {}  # places of each name in names
     text: list[str] = []
     linked = anchor = 0
+    out = 0  # place of the element left out that is open
 
     def close_text() -> None:
         nonlocal linked
+        if out:
+            return
         if text:
             run = "".join(text)
             if not run.isspace():
@@ -111,54 +118,84 @@ def parse(page: str) -> list:
             text.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        close_text()
+    def cut(k: int) -> None:
+        for n in reversed(names[k:]):
+            where[n].pop()
         del stack[k:], names[k:]
 
+    def pop_to(k: int) -> None:
+        nonlocal out
+        if out and k <= out:
+            cut(out)
+            out = 0
+        if k < len(names):
+            close_text()
+            cut(k)
+
+    def last(*some: str) -> int:
+        return max((where[n][-1] for n in some if where.get(n)), default=0)
+
+    def push(name: str, node: list) -> None:
+        where.setdefault(name, []).append(len(names))
+        names.append(name)
+        stack.append(node)
+
     for m in _TOKEN.finditer(page):
         name = m[3]
         if name is None:
             t = m[0]
             if t == "<" or t[0] != "<":
+                if names[-1] == "head" and not t.isspace():
+                    pop_to(len(names) - 1)
+                if out:
+                    continue
                 text.append(t)
                 if anchor:
                     linked += len(t)
             continue
         name = name.lower()
+        start = not m[2]
+        if out and start:
+            if names[-1] == "head" and name not in _IN_HEAD:
+                pop_to(len(names) - 1)
+            elif name in _BREAK_OUT and (k := last("svg", "math", "select")) > last("foreignobject", "annotation-xml"):
+                pop_to(k)
         if name in _VOID:
+            if out:
+                continue
             if name == "br":
                 text.append(" ")
             elif name == "hr":
                 close_text()
             continue
-        start = not m[2]
+        if name in _LEFT_OUT or out:
+            if not start:
+                if k := last(name):
+                    pop_to(k)
+            elif not (m[4].endswith("/") and last("svg", "math") or name in ("svg", "math") and m[4].endswith("/")):
+                out = out or len(names)
+                push(name, ["", []])
+            continue
         if name in _INLINE:
             if name == "a":
                 anchor = start
             if not (start and is_boilerplate(sym := symbol(name, m[4]))) and not (not start and names[-1] == name):
                 continue
         if start:
-            if name in _ENDS_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not {"td", "th", "button", "div", "section", "article"} & set(names[k:]):
-                    pop_to(k)
-            if name in _SELF_ENDING:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in _SCOPES[name]:
-                        break
-                    if names[k] in _SELF_ENDING[name]:
-                        pop_to(k)
-                        break
+            if name in _ENDS_P and (k := last("p")) and last("td", "th", "button", "div", "section", "article") < k:
+                pop_to(k)
+            if name in _SELF_ENDING and (k := last(*_SELF_ENDING[name])) > last(*_SCOPES[name]):
+                pop_to(k)
             close_text()
             node: list = [symbol(name, m[4]), []]
             stack[-1][1].append(node)
             if len(stack) <= DEEPEST:
-                stack.append(node)
-                names.append(name)
-        elif name in names:
-            pop_to(len(names) - 1 - names[::-1].index(name))
+                push(name, node)
+        elif k := last(name):
+            pop_to(k)
         else:
             close_text()
+    pop_to(1)
     close_text()
     return root[1]
 

@@ -116,6 +116,23 @@ def test_wrapper_marks():
     assert text.startswith("<ul>(<li>#</li>)+</ul>") and "(<h2>#</h2> <p>#</p>)*" in text and "(<p>" in text and "|" not in text
 
 
+def main_texts(pages):
+    """Texts of one host's pages, without Spark."""
+    tree = wrapper.shape(wrapper.parse(pages[0]))
+    for p in pages[1:]:
+        tree = wrapper.align(tree, wrapper.shape(wrapper.parse(p)))
+    kept = wrapper.pruned(wrapper.rule(tree, len(pages)))
+    return [wrapper.extract(p, kept) for p in pages]
+
+
+def test_omitted_end_tags_of_left_out_elements():
+    assert main_texts(["<html><head><title>t</title><meta name=a><script>x</script><body><article><p>a</article>"]) == ["a"]
+    assert main_texts(["<head><title>t</title><p>a"]) == ["a"] and main_texts(["<head><title>t</title></head><p>a"]) == ["a"]
+    assert main_texts(['<p>a <svg class="i"/> b <math/> c</p><p>d<svg><path/><g><text>no</text></g></svg>e</p>']) == ["a b c de"]
+    assert main_texts(["<p>a<svg><g>no<p>b</p><p>c <select><option>no</p><p>d</p><template><p>no</p></template><p><video>no</p>e"]) == ["a b c d e"]
+    assert main_texts(["<p>a</p><script>no <p>no</p>"]) == ["a"]
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
