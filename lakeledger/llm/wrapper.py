@@ -189,8 +189,7 @@ def parse(page: str) -> list:
             close_text()
             node: list = [symbol(name, m[4]), []]
             stack[-1][1].append(node)
-            if len(stack) <= DEEPEST:
-                push(name, node)
+            push(name, node if len(stack) <= DEEPEST else stack[-1])
         elif k := last(name):
             pop_to(k)
         else:

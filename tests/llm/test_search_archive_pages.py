@@ -133,6 +133,12 @@ def test_omitted_end_tags_of_left_out_elements():
     assert main_texts(["<p>a</p><script>no <p>no</p>"]) == ["a"]
 
 
+def test_text_behind_deep_parts():
+    for n in (50, 150, 3000):
+        assert main_texts(["<div><article><p>a</p>" + "<div>" * n + "<p>in</p>" + "</div>" * n + "<p>b</p></article></div>"]) == ["a in b"]
+        assert main_texts(["<article><p>a</p>" + "<ul><li>" * n + "in" + "</ul>" * n + "<p>b</p></article>"]) == ["a in b"]
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
