@@ -382,18 +382,32 @@ def pruned(items: list) -> list:
     return [x if x[0] == "#" else [x[0], x[1], pruned(x[2]) if _any_kept(x[2]) else []] for x in items]
 
 
+def _flat(rules: list) -> list:
+    """Rules with groups, also those in groups, opened."""
+    return [r for x in rules for r in (_flat(x[2]) if x[0][0] == "(" else [x])]
+
+
+def _texts(c: list | tuple) -> list[str]:
+    """Texts of a page part, boilerplate left out."""
+    if isinstance(c, tuple):
+        return [t] if (t := block_text(c[0])) else []
+    return [] if is_boilerplate(c[0]) else [t for x in c[1] for t in _texts(x)]
+
+
 def extract(page: str, kept: list) -> str:
     """Main text of a page: blocks of the kept slots, in page order."""
     out: list[str] = []
 
     def walk(children: list, rules: list) -> None:
-        flat = [r for x in rules for r in (x[2] if x[0][0] == "(" else [x])]
-        wide = {id(r) for x in rules if x[0][0] == "(" for r in x[2]}
+        flat = _flat(rules)
+        single = {id(x) for x in rules}
         at = 0
         for c in children:
             sym = "#" if isinstance(c, tuple) else c[0]
             k = next((k for k in (*range(at, len(flat)), *range(at)) if flat[k][0] == sym), None)
-            if k is None:
+            if k is None:  # no page of the wrapper has it: kept where its neighbours are
+                if _any_kept(rules):
+                    out.extend(_texts(c))
                 continue
             r = flat[k]
             if isinstance(c, tuple):
@@ -401,7 +415,7 @@ def extract(page: str, kept: list) -> str:
                 if r[1] and (text := block_text(c[0])):
                     out.append(text)
             else:
-                at = k if r[1] & REPEATED and id(r) not in wide else k + 1
+                at = k if r[1] & REPEATED and id(r) in single else k + 1
                 if r[2]:
                     walk(c[1], r[2])
 

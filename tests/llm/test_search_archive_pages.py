@@ -139,6 +139,15 @@ def test_text_behind_deep_parts():
         assert main_texts(["<article><p>a</p>" + "<ul><li>" * n + "in" + "</ul>" * n + "<p>b</p></article>"]) == ["a in b"]
 
 
+def test_nested_groups_keep_all_texts():
+    body = "".join(f"<h2>h{i}</h2><p>p{i}</p><h2>i{i}</h2><p>q{i}</p><ul><li>l{i}</ul><table><tr><td>t{i}</table>" for i in range(2))
+    want = " ".join(f"h{i} p{i} i{i} q{i} l{i} t{i}" for i in range(2))
+    assert main_texts([f"<article>{body}</article>"]) == [want]
+    assert main_texts([f"<article>{body}</article>", "<article><h2>a</h2><p>b</p></article>"]) == [want, "a b"]
+    kept = wrapper.rule(wrapper.shape(wrapper.parse("<article><p>a</p></article>")), 1)
+    assert wrapper.extract("<article><p>x</p><pre>y<nav>n</nav></pre></article>", kept) == "x y"
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
