@@ -37,6 +37,8 @@ DEEPEST = 100
 HELD = 500
 #: Linked share of a block's text from which it is navigation.
 LINKED = 0.6
+#: Part of the text from which an element is not boilerplate by a part of its class names only.
+MOST = 0.5
 #: Part of a page's plain text that elements marked as article must hold to be taken for it.
 MARKED = 0.2
 
@@ -58,6 +60,8 @@ _BOILERPLATE = frozenset(
     "nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription tags toolbar".split()
 )
+# Compound class names with one of these tell a state or a kind, not what the element is.
+_STATES = frozenset("has no not with without is hide show hidden open closed off on enabled disabled none category tag type format layout template page post single".split())
 _BODY = frozenset("articlebody article-body article-content entry-content post-content post-body story-body main-content".split())
 _CONTAINERS = frozenset("html body div section center table tbody tr td main span form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -84,14 +88,22 @@ def words_of(sym: str) -> list[str]:
     return names + [p for n in names if "-" in n for p in n.split("-")]
 
 
+def _parts(sym: str) -> set[str]:
+    """Boilerplate words in a symbol's compound class names, those of states left out."""
+    compound = [set(n.split("-")) for n in sym.split(".")[1:] if "-" in n]
+    return {p for c in compound if _STATES.isdisjoint(c - _BOILERPLATE) for p in c & _BOILERPLATE}
+
+
 def is_boilerplate(sym: str) -> bool:
-    return sym.split(".", 1)[0] in _NOT_ARTICLE or not _BOILERPLATE.isdisjoint(words_of(sym))
+    """Whether an element alone, its contents not known, looks like boilerplate."""
+    name, *names = sym.split(".")
+    return name in _NOT_ARTICLE or (name not in ("html", "body", "main") and (not _BOILERPLATE.isdisjoint(names) or (name != "article" and bool(_parts(sym)))))
 
 
 def _is_header(sym: str) -> bool:
     """Whether it is being a header alone that makes an element boilerplate."""
     name, *_ = sym.split(".", 1)
-    return (name == "header" or name not in _NOT_ARTICLE) and (_BOILERPLATE & set(words_of(sym))) <= {"header"}
+    return (name == "header" or name not in _NOT_ARTICLE) and (_BOILERPLATE & set(sym.split(".")) | _parts(sym)) - {name} <= {"header"}
 
 
 def parse(page: str) -> list:
@@ -309,35 +321,75 @@ def expression(items: list) -> str:
 # --- which parts are the article ---
 
 
-def _volume(x: list, linked: bool = False) -> int:
+def _marked(sym: str) -> bool:
+    names = sym.split(".")
+    return names[0] in ("article", "main") or "main" in names[1:] or not _BODY.isdisjoint(words_of(sym))
+
+
+def boilerplate(items: list) -> set[int]:
+    """Ids of the items that are boilerplate: by their tag, by a class word, or by part of one if they hold little text.
+
+    html, body and main are none by class, nor is what holds a marked article with much of the text.
+    """
+    out: set[int] = set()
+    size = {}
+
+    def measure(x: list) -> int:
+        size[id(x)] = n = x[4] if x[0] == "#" else sum(map(measure, x[2]))
+        return n
+
+    total = sum(map(measure, items))
+
+    def visit(x: list) -> int:
+        """Characters of marked elements below an item or of itself."""
+        if x[0] == "#":
+            return 0
+        marked = sum(map(visit, x[2]))
+        name, *names = x[0].split(".")
+        if name in _NOT_ARTICLE:
+            out.add(id(x))
+            return 0
+        if is_boilerplate(x[0]):
+            whole = not _BOILERPLATE.isdisjoint(names)
+            if marked < (MOST if whole else MARKED) * total and ((whole and name != "article") or size[id(x)] < MOST * total):
+                out.add(id(x))
+                return 0
+        return size[id(x)] if _marked(x[0]) else marked
+
+    for x in items:
+        visit(x)
+    return out
+
+
+def _volume(x: list, cut: set[int], linked: bool = False) -> int:
     """Characters without link text (or of link text) below an item, boilerplate left out."""
     if x[0] == "#":
         return x[5] if linked else x[4] - x[5]
-    return 0 if is_boilerplate(x[0]) else sum(_volume(c, linked) for c in x[2])
+    return 0 if id(x) in cut else sum(_volume(c, cut, linked) for c in x[2])
 
 
-def _find(items: list, wanted) -> list:
+def _find(items: list, wanted, cut: set[int]) -> list:
     """Outermost items for which ``wanted`` holds, boilerplate left out."""
     out = []
     for x in items:
-        if x[0] == "#" or is_boilerplate(x[0]):
+        if x[0] == "#" or id(x) in cut:
             continue
-        out += [x] if wanted(x) else _find(x[2], wanted)
+        out += [x] if wanted(x) else _find(x[2], wanted, cut)
     return out
 
 
-def main_parts(items: list) -> list:
+def main_parts(items: list, cut: set[int]) -> list:
     """Items of the wrapper that hold the article: marked as such, or the smallest holding most of the plain text."""
     tag = lambda x: x[0].split(".", 1)[0]
     for wanted in (lambda x: tag(x) == "article", lambda x: not _BODY.isdisjoint(words_of(x[0])), lambda x: tag(x) == "main" or "main" in x[0].split(".")[1:]):
-        found = _find(items, wanted)
-        if (held := sum(map(_volume, found))) and held >= MARKED * sum(map(_volume, items)):
+        found = _find(items, wanted, cut)
+        if (held := sum(_volume(x, cut) for x in found)) and held >= MARKED * sum(_volume(x, cut) for x in items):
             return found
     here = [["", ONE, items]]
     while True:
-        inner = [x for x in here[0][2] if x[0] != "#" and (x[0][0] == "(" or tag(x) in _CONTAINERS) and not is_boilerplate(x[0])]
-        best = max(inner, key=_volume, default=None)
-        if best is None or _volume(best) < 0.6 * sum(_volume(x) for x in here[0][2]) or not any(_volume(c) for c in best[2] if c[0] != "#"):
+        inner = [x for x in here[0][2] if x[0] != "#" and (x[0][0] == "(" or tag(x) in _CONTAINERS) and id(x) not in cut]
+        best = max(inner, key=lambda x: _volume(x, cut), default=None)
+        if best is None or _volume(best, cut) < 0.6 * sum(_volume(x, cut) for x in here[0][2]) or not any(_volume(c, cut) for c in best[2] if c[0] != "#"):
             return here
         here = [best]
 
@@ -347,30 +399,54 @@ def rule(items: list, pages: int) -> list:
 
     Kept are the slots inside the main parts, but for boilerplate elements (of a header only the
     headings stay), blocks that are mostly links, and texts that are the same on all of many pages
-    where the article also has text that differs.
+    where the article also has text that differs. Where this keeps nothing, blocks of links stay,
+    then elements that are boilerplate by class, then forms and headers.
     """
-    main = main_parts(items)
-    differs = any(_varied(x) for x in main)
+    cut = boilerplate(items)
+    tags, plainly = set(), set()
+
+    def named(x: list) -> None:
+        if x[0] != "#":
+            name = x[0].split(".", 1)[0]
+            if name in _NOT_ARTICLE:
+                tags.add(id(x))
+                if name not in ("form", "fieldset", "label", "header"):
+                    plainly.add(id(x))
+            for c in x[2]:
+                named(c)
+
+    for x in items:
+        named(x)
+    for left, links in ((cut, True), (cut, False), (tags, False), (plainly, False)):
+        out = _rule(items, pages, left, links)
+        if _any_kept(out):
+            break
+    return out
+
+
+def _rule(items: list, pages: int, cut: set[int], by_links: bool) -> list:
+    main = main_parts(items, cut)
+    differs = any(_varied(x, cut) for x in main)
 
     def walk(x: list, inside: bool, linked: bool) -> list:
         if x[0] == "#":
             same = pages >= TEMPLATE_PAGES and x[2] and x[3] >= pages and differs
             return ["#", int(inside and not linked and not same)]
         inside = inside or any(x is m for m in main)
-        below = inside and not is_boilerplate(x[0])
+        below = inside and id(x) not in cut
         head = inside and not below and _is_header(x[0])
-        plain, links = sum(_volume(c) for c in x[2]), sum(_volume(c, True) for c in x[2])
-        linked = linked or (below and x[0].split(".", 1)[0] not in ("p", *_HEADINGS) and links > LINKED * (plain + links))
+        plain, links = sum(_volume(c, cut) for c in x[2]), sum(_volume(c, cut, True) for c in x[2])
+        linked = linked or (by_links and below and x[0].split(".", 1)[0] not in ("p", *_HEADINGS) and links > LINKED * (plain + links))
         return [x[0], x[1], [walk(c, below or (head and c[0].split(".", 1)[0] in _HEADINGS), linked) for c in x[2]]]
 
     top = any(m[0] == "" for m in main)
     return [walk(x, top, False) for x in items]
 
 
-def _varied(x: list) -> bool:
+def _varied(x: list, cut: set[int]) -> bool:
     if x[0] == "#":
         return not x[2]
-    return not is_boilerplate(x[0]) and any(_varied(c) for c in x[2])
+    return id(x) not in cut and any(_varied(c, cut) for c in x[2])
 
 
 def _any_kept(items: list) -> bool:

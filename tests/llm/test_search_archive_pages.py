@@ -148,6 +148,19 @@ def test_nested_groups_keep_all_texts():
     assert wrapper.extract("<article><p>x</p><pre>y<nav>n</nav></pre></article>", kept) == "x y"
 
 
+def test_class_words_do_not_drop_whole_pages():
+    inner = "<h1>Head</h1><p>Text of the page, long enough.</p><div class='related-posts'><p>more</p></div>"
+    want = ["Head Text of the page, long enough."]
+    assert main_texts([f'<html class="no-ads"><body class="has-sidebar sidebar"><article>{inner}</article></body></html>']) == want
+    assert main_texts([f'<body><div class="content no-sidebar">{inner}</div><div class="sidebar-left"><p>x</p></div></body>']) == want
+    assert main_texts([f'<body><article class="post category-social comments-open">{inner}</article><div class="comments"><article class="comment"><p>first</p></article></div></body>']) == want
+    assert main_texts([f'<div class="banner"><main class="skip-social">{inner}</main></div><p>x</p>']) == want
+    assert main_texts([f'<div class="alert-wrap"><div>{inner}</div></div><p>x</p>']) == want
+    assert main_texts(["<form><div><p>all in a form</p></div></form>", "<form><div><p>other text</p></div></form>"]) == ["all in a form", "other text"]
+    assert main_texts(["<article><ul><li><a>One link</a><li><a>Two</a></ul></article>"]) == ["One link Two"]
+    assert main_texts(["<nav><a>Menu</a></nav>"]) == [""]
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
