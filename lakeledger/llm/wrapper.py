@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -29,8 +30,9 @@ from lakeledger.runtime import checkpoint, ship
 ship(__name__)
 
 ONE, OPTIONAL, REPEATED = 0, 1, 2
-#: Pages of a host from which an unchanging text counts as part of the template.
-TEMPLATE_PAGES = 10
+#: A text is part of the template if it never changes where it stands, if that part of the page is on so many
+#: pages at least (fewer repeats may be chance), and if the text is there in this share of them.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.9
 #: Elements nested deeper than this are placed beside each other.
 DEEPEST = 100
 #: Hosts held by a task before it hands their partial wrappers on.
@@ -216,7 +218,12 @@ def block_text(run: str) -> str:
     return " ".join(entities.unescape(run).split())
 
 
-# --- wrappers: [symbol, mark, children] and text slots ["#", mark, constant text, pages, characters, linked] ---
+# --- wrappers: [symbol, mark, children, pages] and text slots ["#", mark, constant text, pages, characters, linked] ---
+
+
+def _kept_text(text: str) -> str:
+    """A text as slots keep it; a long one as its digest."""
+    return text if len(text) <= 200 else "\0" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def shape(children: list) -> list:
@@ -226,9 +233,9 @@ def shape(children: list) -> list:
         if isinstance(c, tuple):
             text = block_text(c[0])
             if text:
-                out.append(["#", ONE, text if len(text) <= 200 else "", 1, len(text), min(len(text), c[1])])
+                out.append(["#", ONE, _kept_text(text), 1, len(text), min(len(text), c[1])])
         else:
-            out.append([c[0], ONE, shape(c[1])])
+            out.append([c[0], ONE, shape(c[1]), 1])
     return folded(out)
 
 
@@ -247,7 +254,7 @@ def folded(items: list) -> list:
     out: list = []
     for it in items:
         if out and _alike(out[-1], it):
-            out[-1] = _merge(out[-1], it)
+            out[-1] = _merge(out[-1], it, False)
             out[-1][1] |= REPEATED
         else:
             out.append(it)
@@ -256,21 +263,22 @@ def folded(items: list) -> list:
         while k + 2 * period <= len(out):
             a, b = out[k : k + period], out[k + period : k + 2 * period]
             if all(_alike(x, y) for x, y in zip(a, b)):
-                group = ["(" + " ".join(x[0] for x in a) + ")", REPEATED, [_merge(x, y) for x, y in zip(a, b)]]
+                group = ["(" + " ".join(x[0] for x in a) + ")", REPEATED, [_merge(x, y, False) for x, y in zip(a, b)], 1]
                 end = k + 2 * period
                 while end + period <= len(out) and all(_alike(x, y) for x, y in zip(a, out[end : end + period])):
-                    group[2] = [_merge(x, y) for x, y in zip(group[2], out[end : end + period])]
+                    group[2] = [_merge(x, y, False) for x, y in zip(group[2], out[end : end + period])]
                     end += period
                 out[k:end] = [group]
             k += 1
     return out
 
 
-def _merge(a: list, b: list) -> list:
-    """Two items of one symbol as one."""
+def _merge(a: list, b: list, apart: bool = True) -> list:
+    """Two items of one symbol as one; ``apart`` tells that they are of different pages."""
+    n = a[3] + b[3] if apart else max(a[3], b[3])
     if a[0] == "#":
-        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else "", a[3] + b[3], a[4] + b[4], a[5] + b[5]]
-    return [a[0], a[1] | b[1], align(a[2], b[2])]
+        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else "", n, a[4] + b[4], a[5] + b[5]]
+    return [a[0], a[1] | b[1], align(a[2], b[2], apart), n]
 
 
 def _grouped(items: list, groups: list) -> list:
@@ -280,16 +288,16 @@ def _grouped(items: list, groups: list) -> list:
         k = 0
         while k + len(names) <= len(items):
             if [c[0] for c in items[k : k + len(names)]] == names:
-                items = [*items[:k], [g[0], g[1], items[k : k + len(names)]], *items[k + len(names) :]]
+                items = [*items[:k], [g[0], g[1], run := items[k : k + len(names)], max(c[3] for c in run)], *items[k + len(names) :]]
             k += 1
     return items
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, apart: bool = True) -> list:
     """The wrapper that fits both sides: what only one of them has is optional."""
     names_a, names_b = [x[0] for x in a], [x[0] for x in b]
     if names_a == names_b:
-        return [_merge(x, y) for x, y in zip(a, b)]
+        return [_merge(x, y, apart) for x, y in zip(a, b)]
     groups_a, groups_b = ([x for x in s if x[0][0] == "("] for s in (a, b))
     if groups_a or groups_b:
         a, b = _grouped(a, [g for g in groups_b if g[0] not in names_a]), _grouped(b, [g for g in groups_a if g[0] not in names_b])
@@ -297,7 +305,7 @@ def align(a: list, b: list) -> list:
     out = []
     for op, i, j, k, m in SequenceMatcher(None, names_a, names_b, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [_merge(x, y) for x, y in zip(a[i:j], b[k:m])]
+            out += [_merge(x, y, apart) for x, y in zip(a[i:j], b[k:m])]
         else:
             out += [[x[0], x[1] | OPTIONAL, *x[2:]] for x in (*a[i:j], *b[k:m])]
     return out
@@ -309,7 +317,7 @@ def expression(items: list) -> str:
     for x in items:
         mark = ("", "?", "+", "*")[x[1]]
         if x[0] == "#":
-            out.append((json.dumps(x[2], ensure_ascii=False) if x[2] and x[3] > 1 else "#") + mark)
+            out.append((json.dumps(x[2], ensure_ascii=False) if x[2] and x[2][0] != "\0" and x[3] > 1 else "#") + mark)
         elif x[0][0] == "(":
             out.append(f"({expression(x[2])}){mark}")
         else:
@@ -394,12 +402,13 @@ def main_parts(items: list, cut: set[int]) -> list:
         here = [best]
 
 
-def rule(items: list, pages: int) -> list:
+def rule(items: list) -> list:
     """What to keep: ``[symbol, mark, children]`` as in the wrapper; a kept slot is ``["#", 1]``, others 0.
 
     Kept are the slots inside the main parts, but for boilerplate elements (of a header only the
-    headings stay), blocks that are mostly links, and texts that are the same on all of many pages
-    where the article also has text that differs. Where this keeps nothing, blocks of links stay,
+    headings stay), blocks that are mostly links, and texts that are the same on all of ``TEMPLATE_PAGES``
+    or more pages, and on ``TEMPLATE_SHARE`` of those with the element around them, where the article
+    also has text that differs. Empty pages do not count. Where this keeps nothing, blocks of links stay,
     then elements that are boilerplate by class, then forms and headers.
     """
     cut = boilerplate(items)
@@ -418,29 +427,31 @@ def rule(items: list, pages: int) -> list:
     for x in items:
         named(x)
     for left, links in ((cut, True), (cut, False), (tags, False), (plainly, False)):
-        out = _rule(items, pages, left, links)
+        out = _rule(items, left, links)
         if _any_kept(out):
             break
     return out
 
 
-def _rule(items: list, pages: int, cut: set[int], by_links: bool) -> list:
+def _rule(items: list, cut: set[int], by_links: bool) -> list:
     main = main_parts(items, cut)
     differs = any(_varied(x, cut) for x in main)
 
-    def walk(x: list, inside: bool, linked: bool) -> list:
+    def walk(x: list, inside: bool, linked: bool, around: int) -> list:
         if x[0] == "#":
-            same = pages >= TEMPLATE_PAGES and x[2] and x[3] >= pages and differs
+            same = around >= TEMPLATE_PAGES and x[2] and x[3] >= TEMPLATE_SHARE * around and differs
             return ["#", int(inside and not linked and not same)]
         inside = inside or any(x is m for m in main)
         below = inside and id(x) not in cut
         head = inside and not below and _is_header(x[0])
         plain, links = sum(_volume(c, cut) for c in x[2]), sum(_volume(c, cut, True) for c in x[2])
         linked = linked or (by_links and below and x[0].split(".", 1)[0] not in ("p", *_HEADINGS) and links > LINKED * (plain + links))
-        return [x[0], x[1], [walk(c, below or (head and c[0].split(".", 1)[0] in _HEADINGS), linked) for c in x[2]]]
+        # a text may stand in an element of its own: that one's place is what counts
+        return [x[0], x[1], [walk(c, below or (head and c[0].split(".", 1)[0] in _HEADINGS), linked, max(around, x[3]) if len(x[2]) == 1 else x[3]) for c in x[2]]]
 
     top = any(m[0] == "" for m in main)
-    return [walk(x, top, False) for x in items]
+    pages = max((x[3] for x in items), default=0)
+    return [walk(x, top, False, pages if x[0] == "#" else x[3]) for x in items]
 
 
 def _varied(x: list, cut: set[int]) -> bool:
@@ -552,7 +563,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
         n, tree = joined(pdf)
-        return pd.DataFrame({"host": [pdf["host"].iat[0]], "pages": [n], "wrapper": [expression(tree)], "rule": [json.dumps(pruned(rule(tree, n)), separators=(",", ":"))]})
+        return pd.DataFrame({"host": [pdf["host"].iat[0]], "pages": [n], "wrapper": [expression(tree)], "rule": [json.dumps(pruned(rule(tree)), separators=(",", ":"))]})
 
     found = rows.mapInArrow(partial, "host string, part int, pages bigint, tree string")
     # partial wrappers of a busy host meet by the square root of their number

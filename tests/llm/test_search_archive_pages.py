@@ -121,7 +121,7 @@ def main_texts(pages):
     tree = wrapper.shape(wrapper.parse(pages[0]))
     for p in pages[1:]:
         tree = wrapper.align(tree, wrapper.shape(wrapper.parse(p)))
-    kept = wrapper.pruned(wrapper.rule(tree, len(pages)))
+    kept = wrapper.pruned(wrapper.rule(tree))
     return [wrapper.extract(p, kept) for p in pages]
 
 
@@ -144,7 +144,7 @@ def test_nested_groups_keep_all_texts():
     want = " ".join(f"h{i} p{i} i{i} q{i} l{i} t{i}" for i in range(2))
     assert main_texts([f"<article>{body}</article>"]) == [want]
     assert main_texts([f"<article>{body}</article>", "<article><h2>a</h2><p>b</p></article>"]) == [want, "a b"]
-    kept = wrapper.rule(wrapper.shape(wrapper.parse("<article><p>a</p></article>")), 1)
+    kept = wrapper.rule(wrapper.shape(wrapper.parse("<article><p>a</p></article>")))
     assert wrapper.extract("<article><p>x</p><pre>y<nav>n</nav></pre></article>", kept) == "x y"
 
 
@@ -161,6 +161,20 @@ def test_class_words_do_not_drop_whole_pages():
     assert main_texts(["<nav><a>Menu</a></nav>"]) == [""]
 
 
+@pytest.mark.parametrize("notice", ["Short notice.", "A long notice about the terms. " * 20])
+def test_template_texts(notice):
+    notice = notice.strip()
+    page = lambda i: f"<body><article><h2>Head {i}</h2><div class='x'>{notice}</div><p>Text {i} of the page.</p></article></body>"
+    want = [f"Head {i} Text {i} of the page." for i in range(12)]
+    pages = [page(i) for i in range(12)]
+    assert main_texts(pages) == want
+    assert main_texts([*pages, "", "<!-- -->"]) == [*want, "", ""]
+    assert main_texts([*pages, "<body><article><h2>Other</h2><p>Page.</p></article></body>"]) == [*want, "Other Page."]
+    assert main_texts(pages[:9]) == [f"Head {i} {notice} Text {i} of the page." for i in range(9)]  # too few pages to tell
+    rows = "".join("<tr><td>yes</table>" if k == 14 else "<tr><td>yes" for k in range(15))
+    assert main_texts([f"<article><p>Text {i}.</p><table>{rows}</article>" for i in range(2)]) == [f"Text {i}. " + " ".join(["yes"] * 15) for i in range(2)]
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
