@@ -24,7 +24,7 @@ from lakeledger.runtime import checkpoint, ship
 ship(__name__)
 
 K1, B = 1.2, 0.75
-#: Words of a passage, items in a block, words of a shingle.
+#: Words of a passage, items in a block, words of a shingle (a fifth of shorter parts).
 PASSAGE, BLOCK, SHINGLE = 64, 8, 5
 #: Part of an item's own score, and parts of its question and answer words, that must be met.
 RETRIEVE, VERIFY = 0.6, 0.8
@@ -42,13 +42,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def question_and_answer(text: Column, answer_share: float = 0.2) -> tuple[Column, Column]:
-    """An item given as one text: its last words are the answer, the rest the question."""
-    w = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
-    n = F.greatest(F.lit(1), F.floor(F.size(w) * answer_share).cast("int"))
-    return F.array_join(F.slice(w, 1, F.size(w) - n), " "), F.array_join(F.slice(w, F.size(w) - n + 1, n), " ")
-
-
 class Index:
     """Impact-ordered blocks of one part of the items; its size is bounded by ``INDEX_WORDS``."""
 
@@ -142,17 +135,26 @@ def _expand(lo: np.ndarray, hi: np.ndarray, mark: np.ndarray | None = None) -> t
 
 
 def _covered(part: np.ndarray, region: np.ndarray) -> float:
-    n = min(SHINGLE, len(part))
-    if not n:
+    """Share of a part's words that stand in the region; one changed, added or lost word costs a fifth of them at most."""
+    if not len(part):
         return 1.0
-    if len(region) < n:
-        return 0.0
-    view = np.lib.stride_tricks.sliding_window_view
-    there = {g.tobytes() for g in view(region, n)}
     covered = np.zeros(len(part), bool)
-    for k, g in enumerate(view(part, n)):
-        if g.tobytes() in there:
-            covered[k : k + n] = True
+    n = min(SHINGLE, len(part) // 5)
+    if len(part) == 1:
+        covered[:] = part[0] in region
+    elif n < 2:  # too short for shingles: pairs of words in order, with one word between them at most
+        base = max(part.max(), region.max(initial=0)) + 1
+        near = [region[:-d] * base + region[d:] for d in (1, 2)]
+        known = [k[(region[:-d] >= 0) & (region[d:] >= 0)] for d, k in zip((1, 2), near)]
+        for d in (1, 2):
+            at = np.flatnonzero(np.isin(part[:-d] * base + part[d:], np.concatenate(known)))
+            covered[at] = covered[at + d] = True
+    elif len(region) >= n:
+        view = np.lib.stride_tricks.sliding_window_view
+        there = {g.tobytes() for g in view(region, n)}
+        for k, g in enumerate(view(part, n)):
+            if g.tobytes() in there:
+                covered[k : k + n] = True
     return float(covered.mean())
 
 
@@ -213,7 +215,9 @@ def indexes(items: DataFrame, item_col: str, question_col: str, answer_col: str)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
-    """One row for each row of ``docs`` and item whose question and answer both stand in it.
+    """One row for each row of ``docs`` and item whose question and answer both stand in it, at least ``VERIFY`` of each.
+
+    An item without an answer of its own is met as a whole.
 
     ``id_col, item_id, word`` (where the passage begins), ``bm25`` and the two overlaps. Empty and
     null texts match nothing; rows that repeat an id are searched each, and null ids are kept. With no

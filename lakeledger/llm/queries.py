@@ -41,8 +41,7 @@ def domain():
 
 def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    q, a = contamination.question_and_answer(F.col("text"))
-    return b.select("item_id", q.alias("question"), a.alias("answer"))
+    return b.select("item_id", F.col("text").alias("question"), F.lit("").alias("answer"))
 
 
 @query("op2_decontamination")

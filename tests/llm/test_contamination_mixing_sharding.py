@@ -40,6 +40,23 @@ def test_passages_are_found_wherever_they_stand(spark, docs, items):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted([1, 2, 20_000] + [i for i, _ in clean])
 
 
+def test_one_word_edits_at_every_position():
+    import numpy as np
+
+    for n in (10, 13, 20, 26, 40, 50):
+        parts = [(np.arange(n), np.arange(0))] + [(np.arange(n - m), np.arange(n - m, n)) for m in (5, 8) if n > 2 * m]
+        for q, a in parts:
+            index = contamination.Index([(0, [f"w{i}" for i in q], [f"w{i}" for i in a])], dict.fromkeys((f"w{i}" for i in range(n)), 1), 100, n)
+            whole = [f"w{i}" for i in range(n)]
+            for k in range(n):
+                for text in ([*whole[:k], "x", *whole[k + 1 :]], [*whole[:k], "x", *whole[k:]], [*whole[:k], *whole[k + 1 :]]):
+                    for shift in (0, 60):
+                        assert [h[:2] for h in contamination._hits(index, [" ".join(["y"] * shift + text + ["z"] * 9)])] == [(0, 0)], (n, len(a), k, text)
+    index = contamination.Index([(0, [f"w{i}" for i in range(20)], ["a", "b", "c", "d"])], dict.fromkeys([f"w{i}" for i in range(20)] + list("abcd"), 1), 100, 24)
+    question = " ".join(f"w{i}" for i in range(20))
+    assert [len(list(contamination._hits(index, [f"{question} {t}"]))) for t in ("", "a b c d", "d c b a", "a x y b x c x y d")] == [0, 1, 0, 0]
+
+
 def test_bounded_search_equals_full_scores(spark, items, monkeypatch):
     df, rows = items
     index = next(contamination.indexes(df, "item_id", "question", "answer"))
