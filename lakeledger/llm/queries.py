@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeledger.llm import contamination, licence_texts, licences, mixing, sharding, simhash, toolcalls, topk, toxicity, warc, wrapper
+from lakeledger.llm import contamination, licence_texts, licences, mixing, negatives, packing, sharding, simhash, toolcalls, topk, toxicity, trie, warc, wrapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,6 +143,65 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5, 256)
 
 
+@query("op11_best_fit_packing")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 4,096 tokens as it can."""
+    from public_tokenizers import path
+
+    return packing.pack(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+NEGATIVE_SQL = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+p AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, some labels made wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
+#: crc32 of a decimal text, eight polynomial steps a byte; DuckDB has no such function.
+_CRC = "list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda a, b: list_reduce([xor(a, b)] || [CAST(i AS UBIGINT) FOR i IN range(8)], lambda v, w: CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS UBIGINT)) ELSE v // 2 END))"
+TRIE_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS step,
+         length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT c, CAST(xor({_CRC.format(x="CAST(c AS VARCHAR)")}, CAST(4294967295 AS UBIGINT)) % 6 AS BIGINT) AS h FROM t),
+r AS (SELECT i.c, t.k, t.step, t.size FROM ids i JOIN t ON t.c = i.c - i.c % 100 AND t.k <= i.h UNION ALL SELECT i.c, t.k + 1000000, t.step, t.size FROM ids i JOIN t ON t.c = i.c AND t.k > i.h),
+s AS (SELECT c, list(md5(step) ORDER BY k) AS steps, list(size ORDER BY k) AS sizes FROM r GROUP BY c),
+p AS (SELECT i.c, coalesce(s.steps, []) AS steps, coalesce(s.sizes, []) AS sizes FROM ids i LEFT JOIN s USING (c)),
+m AS (SELECT c, d, list_aggregate(steps[1:d], 'string_agg', '') AS node, list_aggregate(steps[1:d - 1], 'string_agg', '') AS parent, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, d = len(steps) AS ends
+      FROM (SELECT *, unnest(range(len(steps) + 1)) AS d FROM p)),
+n AS (SELECT d, coalesce(node, '') AS node, CASE WHEN d > 0 THEN coalesce(any_value(parent), '') END AS parent, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, coalesce(node, '')),
+k AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.parent = n.node) AS n_children FROM n),
+up(node, above) AS (SELECT node, node FROM k UNION ALL SELECT up.node, k.parent FROM up JOIN k ON k.node = up.above WHERE k.parent IS NOT NULL),
+tree AS (SELECT up.above AS node, CAST(count(*) FILTER (k.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(k.own) AS BIGINT) AS saved_tokens FROM up JOIN k ON k.node = up.node GROUP BY up.above)
+SELECT k.conv_id, k.d AS depth, x.conv_id AS parent_conv_id, k.n_convs, k.n_children, tree.n_leaves, tree.saved_tokens, k.ends_sha256
+FROM k JOIN tree USING (node) LEFT JOIN k x ON x.node = k.parent
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations share, with its members, leaves and savings."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
