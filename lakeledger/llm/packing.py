@@ -11,6 +11,7 @@ is nothing special.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,19 +32,36 @@ ship(__name__)
 CAPACITY = 4_096
 #: Words whose ids a task remembers, and the longest such word.
 WORDS, WORD = 1 << 18, 64
+#: The longest word that is merged with others.
+LONG = 256
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+# Characters that lower-case, compose and split alike everywhere.
+_PLAIN = re.compile("[\t\n\r\x0b\x0c -~À-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+# Fixed value: how tokenizers of the known kind split.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
 class WordIds(dict):
-    """Token ids by word: a tokenizer that never joins across white space gives a text's ids word by word."""
+    """Token ids by word: a tokenizer that never joins across white space gives a text's ids word by word.
+
+    Where the tokenizer is of the kind that ``_ranks`` knows, words of plain Latin letters, digits
+    and signs are merged together by a faster library from the same vocabulary; the others, very
+    long ones and those with names of special tokens are encoded one by one.
+    """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.model = Tokenizer.from_str(tokenizer)
+        self.fast = None
+        if ranks := _ranks(json.loads(tokenizer)):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> list[int]:
         ids = self.model.encode(word, add_special_tokens=False).ids
@@ -55,7 +73,55 @@ class WordIds(dict):
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a text, as encoding it whole gives them."""
-        return np.fromiter((i for m in _CHUNK.finditer(text) for i in self[m[0]]), dtype="<u4")
+        if not self.fast:
+            return np.array([i for m in _CHUNK.finditer(text) for i in self[m[0]]], "<u4")
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            parts = _PARTS.findall(text.lower())
+            if max(map(len, parts), default=0) <= LONG:
+                return np.array(self.fast("\0".join(parts) + "\0") if parts else [], "<u4")
+        out: list[int] = []
+        held: list[str] = []
+        for word in _CHUNK.findall(text):
+            if len(word) <= LONG and "<|" not in word and _PLAIN.fullmatch(word):
+                held += _PARTS.findall(word.lower())
+                continue
+            if held:
+                out += self.fast("\0".join(held) + "\0")
+                held = []
+            out += self[word]
+        if held:
+            out += self.fast("\0".join(held) + "\0")
+        return np.array(out, "<u4")
+
+
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """Vocabulary as bytes by rank, a zero byte for the end of a word; None unless the file is of the known kind.
+
+    That kind lower-cases, splits as ``_PARTS`` does, starts from bytes with and without a word's end, and numbers
+    every merge in the order of the merges, so that ids are ranks.
+    """
+    bpe = model["model"]
+    kind = {k: bpe.get(k) for k in ("type", "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")}
+    known = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    steps = [x["type"] for x in (model.get("normalizer") or {}).get("normalizers", [])], [x["type"] for x in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if kind != known or steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+        return None
+    if model["pre_tokenizer"]["pretokenizers"][0].get("pattern") != {"Regex": _SPLIT}:
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
+    vocabulary = bpe["vocab"]
+    if any(vocabulary.get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+        return None
+    # the usual printable stand-ins of bytes
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    stand_in = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    special = {t["content"] for t in model["added_tokens"]}
+    ranks = {}
+    for token, rank in vocabulary.items():
+        if token not in special:
+            body, end = (token[:-4], b"\0") if token.endswith("</w>") and len(token) > 4 else (token, b"")
+            ranks[bytes(stand_in[c] for c in body) + end] = rank
+    return ranks if len(ranks) == len(vocabulary.keys() - special) else None
 
 
 # --- the plan ---
