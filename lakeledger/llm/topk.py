@@ -17,24 +17,30 @@ from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
 
-#: Rows and queries of one block: a task holds both, and one score array as long as its rows.
-ROWS, QUERIES = 8_192, 4_096
+#: Rows and queries of one block: a task holds both, and one score array as long as its rows. While all blocks run at
+#: once they may have as few as ``FEWEST`` rows.
+ROWS, FEWEST, QUERIES = 131_072, 8_192, 4_096
 _OUT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(column: pa.ChunkedArray | pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """All components as floor(scale * x), and where each vector begins.
 
-    Components too large for exact 64-bit sums become Python integers; a score that does not fit in
-    64 bits then fails with an error rather than wrap around.
+    Components too large for exact 64-bit sums become Python integers.
     """
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    x = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
     longest = max(1, sizes.max(initial=0))
-    if np.abs(x).max(initial=0) ** 2 * longest < 2.0**62:
-        return x.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
-    return np.array([int(v) for v in x], dtype=object), np.concatenate(([0], np.cumsum(sizes)))
+    if np.abs(x).max(initial=0) < 2.0**31 / scale / longest:
+        return np.floor(scale * x).astype(np.int64), ends
+    return np.array([scale * n // d for n, d in map(float.as_integer_ratio, x.tolist())], dtype=object), ends
+
+
+def as_long(score: int) -> int:
+    """A score as a long; one beyond 64 bits is the nearest."""
+    return max(-(1 << 63), min((1 << 63) - 1, int(score)))
 
 
 def postings(values: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
@@ -70,9 +76,6 @@ def _search(table: pa.Table, k: int, scale: int) -> pa.Table:
     lists = postings(values, ends)
     asked, bounds = quantised(queries.column("vec"), scale)
     kind = object if object in (values.dtype, asked.dtype) else np.int64
-    wide = max(np.abs(asked).max(initial=0), np.abs(values).max(initial=0))
-    if kind is np.int64 and float(wide) ** 2 * max(1, len(lists)) >= 2.0**62:
-        kind = object
     found = []
     for n, (tag, own) in enumerate(zip(queries.column("tag").to_pylist(), queries.column("id").to_pylist(), strict=True)):
         scores = np.zeros(len(ids), kind)
@@ -81,6 +84,8 @@ def _search(table: pa.Table, k: int, scale: int) -> pa.Table:
             if d < len(lists):
                 at, weight = lists[d]
                 scores[at] += vector[d] * (weight if kind is np.int64 else weight.astype(object))
+        if kind is object:
+            scores = np.array([as_long(s) for s in scores], np.int64)
         others = np.flatnonzero(ids != own)
         top = others[best(scores[others], k)]
         found += [(tag, own, i, s) for i, s in zip(ids[top].tolist(), scores[top].tolist(), strict=True)]
@@ -93,14 +98,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     Components are floor(scale * x). Vectors that are null or hold a null or non-finite component,
     and rows without an id, take no part; a vector may be shorter than others (missing components
     are 0). Candidates are all rows with another id than the query's, repeated ones included; ties go
-    to the smaller id. A query row that is repeated whole is asked once.
+    to the smaller id. A query row that is repeated whole is asked once. Sums are exact; a score beyond 64 bits counts as the nearest long.
     """
     x = F.col(vec_col)
     sound = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = picked(vectors.filter(F.coalesce(sound, F.lit(False))), id=F.col(id_col).cast("bigint"), vec=F.col(vec_col).cast("array<double>"))
-    asked = checkpoint(rows.filter(F.coalesce(is_query(F.col("id")), F.lit(False))).withColumn("tag", F.xxhash64("id", "vec")).dropDuplicates(["tag"]))
+    asked = rows.filter(F.coalesce(is_query(F.col("id")), F.lit(False))).dropDuplicates()
+    asked = checkpoint(asked.withColumn("tag", F.monotonically_increasing_id()))
     n, q = max(1, rows.count()), max(1, asked.count())
-    parts, groups = -(-n // ROWS), -(-q // QUERIES)
+    parts, groups = max(-(-n // ROWS), min(-(-n // FEWEST), vectors.sparkSession.sparkContext.defaultParallelism)), -(-q // QUERIES)
     # each block of rows meets each block of queries in one task
     spread = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
     left = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), spread(groups).alias("grp"), F.lit(False).alias("is_query"), F.lit(0).cast("bigint").alias("tag"), "id", "vec")

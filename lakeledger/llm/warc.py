@@ -30,6 +30,8 @@ ship(__name__)
 
 #: Lines of an index block, records for each index file, bytes of an archive file.
 BLOCK, FILE_LINES, FILE_BYTES = 256, 500_000, 1 << 28
+#: Records that a task of a lookup reads, where all are wanted.
+READS = 4_096
 #: Payloads shorter than this are always written whole.
 SMALLEST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,6 +109,7 @@ class Archive:
 
     spark: SparkSession
     files: list[tuple[str, str, int, int]]
+    records: int
 
 
 def _write_records(date: str, root: str):
@@ -196,7 +199,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     files = max(1, spark.sparkContext.defaultParallelism, -(-captures.count() // FILE_LINES))
     ordered = captures.repartitionByRange(files, "key").sortWithinPartitions("key")
     written = checkpoint(ordered.mapInArrow(_write_index(root), "first string, path string, begin bigint, size bigint, lines bigint"))
-    return Archive(spark, [tuple(r) for r in written.orderBy("first").select("first", "path", "begin", "size").toLocalIterator()])
+    found = [tuple(r) for r in written.orderBy("first").select("first", "path", "begin", "size", "lines").toLocalIterator()]
+    return Archive(spark, [f[:4] for f in found], sum(f[4] for f in found))
 
 
 class Reader:
@@ -242,7 +246,7 @@ def lookup(archive: Archive, wanted: DataFrame, url_col: str = "url", id_col: st
     ``url_key, page_id, record_type, payload_bytes, payload_digest, refers_to, payload``: the
     digest of a response is taken from the bytes read and must agree with its header. A revisit's
     length and digest are those of the payload it stands for, ``payload`` is then null. Wanted rows
-    that repeat are looked up once, unknown ones give no row.
+    of one key are looked up once, whatever their URLs' text, unknown ones give no row.
     """
     spark, files = archive.spark, archive.files
     root = scratch(spark, "read").rpartition("/")[0]
@@ -250,7 +254,7 @@ def lookup(archive: Archive, wanted: DataFrame, url_col: str = "url", id_col: st
     if not files:
         return spark.createDataFrame([], schema)
     firsts = [f[0] for f in files]
-    asked = picked(wanted, url=url_col, **({"page_id": F.col(id_col).cast("bigint")} if id_col else {})).dropDuplicates()
+    asked = picked(wanted, url=url_col, **({"page_id": F.col(id_col).cast("bigint")} if id_col else {}))
     routes = pa.schema([("file", pa.int32()), ("prefix", pa.string())])
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +290,7 @@ def lookup(archive: Archive, wanted: DataFrame, url_col: str = "url", id_col: st
 
         yield from batches(found(), out, 512)
 
-    # in key order, so a task meets each block once and a busy URL's pages are spread
-    routed = asked.mapInArrow(route, "file int, prefix string").repartitionByRange("file", "prefix").sortWithinPartitions("file", "prefix")
+    # in key order, so a task meets each block once and a busy URL's pages are spread; URLs may differ and share a key
+    routed = asked.mapInArrow(route, "file int, prefix string").dropDuplicates()
+    routed = routed.repartitionByRange(-(-archive.records // READS), "file", "prefix").sortWithinPartitions("file", "prefix")
     return routed.mapInArrow(read, schema)

@@ -30,9 +30,9 @@ from lakeledger.runtime import checkpoint, ship
 ship(__name__)
 
 ONE, OPTIONAL, REPEATED = 0, 1, 2
-#: A text is part of the template if it never changes where it stands, if that part of the page is on so many
-#: pages at least (fewer repeats may be chance), and if the text is there in this share of them.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.9
+#: A text is part of the template if it never changes where it stands, if it is there in this share of the pages
+#: that hold that part, and if the article has this many slots whose text changes for each whose text does not.
+TEMPLATE_SHARE, CHANGING = 0.9, 2
 #: Elements nested deeper than this are placed beside each other.
 DEEPEST = 100
 #: Hosts held by a task before it hands their partial wrappers on.
@@ -68,14 +68,42 @@ _BODY = frozenset("articlebody article-body article-content entry-content post-c
 _CONTAINERS = frozenset("html body div section center table tbody tr td main span form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+def _tokens_of(attributes: str) -> re.Pattern:
+    # no part gives back what it took, so a tag that does not end is given up after one pass
+    return re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({attributes})>|<[!?][^>]*+>|[^<]++|<", re.S | re.I)
+
+
+_TOKEN = _tokens_of("(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_UNQUOTED = _tokens_of("[^>]*+")
+_NO_TAG = re.compile(r"<(?!/?[a-zA-Z])")
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
 
+def tokens(page: str) -> Iterator[re.Match | str]:
+    """Matches of ``_TOKEN`` over a page, in time that grows with its length; at last the text behind all tags.
+
+    Behind the last ``>`` there are no tags. A tag whose quotes do not close is met once: from there on
+    quotes mean nothing, and tags end at the next ``>``.
+    """
+    end, at, pattern = page.rfind(">") + 1, 0, _TOKEN
+    while at < end:
+        for m in pattern.finditer(page, at, end):
+            if pattern is _TOKEN and m.end() - m.start() == 1 and m[0] == "<" and not _NO_TAG.match(page, m.start()):
+                at, pattern = m.start(), _UNQUOTED
+                break
+            yield m
+            last = m
+        else:
+            at = end
+    rest = page[end:]
+    if end and (last[0].startswith("<!--") and not (last[0].endswith("-->") and len(last[0]) > 6) or last[1] and not re.search(rf"</{last[1]}\s*>\Z", last[0], re.I)):
+        return  # what never ended takes the rest with it
+    rest = rest.partition("<!--")[0]
+    if rest:
+        yield rest
+
+
 def symbol(name: str, attributes: str) -> str:
     """Tag and its class, id and role words; numbers in them are left out."""
     if not attributes or "=" not in attributes:
@@ -154,11 +182,10 @@ def parse(page: str) -> list:
         names.append(name)
         stack.append(node)
 
-    for m in _TOKEN.finditer(page):
-        name = m[3]
+    for m in tokens(page):
+        t, name = (m, None) if isinstance(m, str) else (m[0], m[3])
         if name is None:
-            t = m[0]
-            if t == "<" or t[0] != "<":
+            if t == "<" or t[0] != "<" or isinstance(m, str):
                 if names[-1] == "head" and not t.isspace():
                     pop_to(len(names) - 1)
                 if out:
@@ -406,9 +433,9 @@ def rule(items: list) -> list:
     """What to keep: ``[symbol, mark, children]`` as in the wrapper; a kept slot is ``["#", 1]``, others 0.
 
     Kept are the slots inside the main parts, but for boilerplate elements (of a header only the
-    headings stay), blocks that are mostly links, and texts that are the same on all of ``TEMPLATE_PAGES``
-    or more pages, and on ``TEMPLATE_SHARE`` of those with the element around them, where the article
-    also has text that differs. Empty pages do not count. Where this keeps nothing, blocks of links stay,
+    headings stay), blocks that are mostly links, and texts that are the same on ``TEMPLATE_SHARE`` of the
+    pages with the element around them, two at least, where most of the article differs: it has ``CHANGING``
+    slots that change for each such text, so that near copies of a page lose nothing. Empty pages do not count. Where this keeps nothing, blocks of links stay,
     then elements that are boilerplate by class, then forms and headers.
     """
     cut = boilerplate(items)
@@ -435,12 +462,13 @@ def rule(items: list) -> list:
 
 def _rule(items: list, cut: set[int], by_links: bool) -> list:
     main = main_parts(items, cut)
-    differs = any(_varied(x, cut) for x in main)
+    pages = max((x[3] for x in items), default=0)
+    same, other = map(sum, zip(*(_slots(x, cut, pages if x[0] == "" else x[3]) for x in main), strict=True))
+    differs = other >= CHANGING * same
 
     def walk(x: list, inside: bool, linked: bool, around: int) -> list:
         if x[0] == "#":
-            same = around >= TEMPLATE_PAGES and x[2] and x[3] >= TEMPLATE_SHARE * around and differs
-            return ["#", int(inside and not linked and not same)]
+            return ["#", int(inside and not linked and not (differs and _is_constant(x, around)))]
         inside = inside or any(x is m for m in main)
         below = inside and id(x) not in cut
         head = inside and not below and _is_header(x[0])
@@ -450,14 +478,23 @@ def _rule(items: list, cut: set[int], by_links: bool) -> list:
         return [x[0], x[1], [walk(c, below or (head and c[0].split(".", 1)[0] in _HEADINGS), linked, max(around, x[3]) if len(x[2]) == 1 else x[3]) for c in x[2]]]
 
     top = any(m[0] == "" for m in main)
-    pages = max((x[3] for x in items), default=0)
     return [walk(x, top, False, pages if x[0] == "#" else x[3]) for x in items]
 
 
-def _varied(x: list, cut: set[int]) -> bool:
+def _is_constant(slot: list, around: int) -> bool:
+    return bool(slot[2]) and slot[3] > 1 and slot[3] >= TEMPLATE_SHARE * around
+
+
+def _slots(x: list, cut: set[int], around: int) -> tuple[int, int]:
+    """Slots below an item whose text never changes, and others; boilerplate left out."""
     if x[0] == "#":
-        return not x[2]
-    return id(x) not in cut and any(_varied(c, cut) for c in x[2])
+        same = _is_constant(x, around)
+        return int(same), int(not same)
+    if id(x) in cut or not x[2]:
+        return 0, 0
+    pages = around if len(x) < 4 else max(around, x[3]) if len(x[2]) == 1 else x[3]
+    same, other = zip(*(_slots(c, cut, pages) for c in x[2]), strict=True)
+    return sum(same), sum(other)
 
 
 def _any_kept(items: list) -> bool:

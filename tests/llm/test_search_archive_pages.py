@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import time
 
 import pytest
 
@@ -32,6 +33,19 @@ def test_top_k_against_plain_loop(spark, monkeypatch):
     assert sorted(map(tuple, got)) == plain_top(rows, 5, lambda i: i % 10 == 0)
 
 
+def test_top_k_extreme_components(spark):
+    rows = [(0, [1e307, 1.0]), (50, [0.5, 2.0]), (7, [0.0, 2.5]), (8, [-1e300, 0.0]), (9, [1e-300, 1.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), lambda i: i % 50 == 0).collect()}
+    top, low = (1 << 63) - 1, -(1 << 63)
+    assert got == {(0, 50): top, (0, 7): 640 * 256, (0, 8): low, (0, 9): 65536, (50, 0): top, (50, 7): 512 * 640, (50, 8): low, (50, 9): 512 * 256}
+
+
+def test_lookup_of_urls_that_share_a_key(spark):
+    pages = spark.createDataFrame([(1, "http://A.org/x#1", "<p>a</p>"), (1, "http://a.org/x", "<p>b</p>"), (2, "http://a.org/y", "c" * 2000)], "page_id bigint, url string, html string")
+    got = warc.lookup(warc.write_archive(pages), pages, id_col="page_id")
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got.collect()) == [(1, "<p>a</p>"), (1, "<p>b</p>"), (2, "c" * 2000)]
+
+
 def test_top_k_large_components_and_few_rows(spark):
     rows = [(0, [3e9, 1.0]), (50, [2e4, -5.0]), (7, [1.5, 2.5])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
@@ -170,11 +184,51 @@ def test_template_texts(notice):
     assert main_texts(pages) == want
     assert main_texts([*pages, "", "<!-- -->"]) == [*want, "", ""]
     assert main_texts([*pages, "<body><article><h2>Other</h2><p>Page.</p></article></body>"]) == [*want, "Other Page."]
-    assert main_texts(pages[:9]) == [f"Head {i} {notice} Text {i} of the page." for i in range(9)]  # too few pages to tell
+    assert all(main_texts(pages[:n]) == want[:n] for n in (2, 5, 9, 10))  # no number of pages is a border
+    near = [f"<body><article><h2>Head {i}</h2><p>{notice}</p><div>One.</div><p>Two.</p></article></body>" for i in range(3)]
+    assert main_texts(near) == [f"Head {i} {notice} One. Two." for i in range(3)]  # near copies lose nothing
     rows = "".join("<tr><td>yes</table>" if k == 14 else "<tr><td>yes" for k in range(15))
     assert main_texts([f"<article><p>Text {i}.</p><table>{rows}</article>" for i in range(2)]) == [f"Text {i}. " + " ".join(["yes"] * 15) for i in range(2)]
 
 
+def test_host_wrappers_know_more_than_one_page_does():
+    """Unmarked templates with optional and repeated parts: one page alone cannot tell notices from the article."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    pages, want = [], []
+    for i in range(8):
+        head, body = f"Story {word()}", [" ".join(word() for _ in range(20)) for _ in range(r.randint(1, 5))]
+        items = [word() for _ in range(r.randint(0, 4))]
+        by = f"<b>By {word()}</b>" if i % 3 else ""
+        pages.append(
+            f"<body><div class='ka'><h1>{head}</h1>{f'<div class=kb>{by}</div>' if by else ''}<div class='kc'>All rights are with us and you may write to us at any time.</div>"
+            f"{''.join(f'<p>{p}</p>' for p in body)}{'<ul>' + ''.join(f'<li>{x}</li>' for x in items) + '</ul>' if items else ''}<div class='kd'>Thank you for being with us today.</div></div></body>"
+        )
+        want.append(" ".join([head, *([by[3:-4]] if by else []), *body, *items]))
+    assert main_texts(pages) == want
+    assert all(t not in want and "Thank you" in t for p in pages for t in main_texts([p]))
+
+
+@pytest.mark.parametrize("bad", ["<a", "<a ", '<a "', "<a '", "<!--", "<script", "<!x", '<a "\'>"', "</", "<a b='>", "<a" * 2 + ">"])
+def test_unfinished_tags_take_linear_time(bad):
+    page = "<body><article><p>Before it all.</p>" + bad * (1_000_000 // len(bad))
+    start = time.time()
+    tokens = sum(1 for _ in wrapper.tokens(page))
+    assert time.time() - start < 2 and tokens > 3
+    end = page + "</article></body>"
+    start = time.time()
+    assert sum(1 for _ in wrapper.tokens(end)) > 3 and time.time() - start < 2
+    assert wrapper.parse("<p>x</p>" + "<" + "a" * 1_000_000)
+
+
+def test_tokens_of_broken_pages():
+    texts = lambda page: [block for block in main_texts([page])]
+    assert texts("<article><p>a 1 < 2</p><p>b <c</p></article>") == ["a 1 < 2 b"]
+    assert texts("<article><p>one</p><p>two <!-- gone </p></article>") == ["one two"]
+    assert texts('<article><p title="x>y">one</p><p title="x>two</p><p>three</p></article>') == ["one two three"]
+    assert texts("<article><p>tail</p> and a < b <i") == ["tail and a < b <i"]
+
+
 def test_licence_forms(spark):
     mit = licence_texts.MIT
     changed = "Copyright (c) 2020 Some One <a@b.c>\n\n" + mit.upper().replace('"AS IS"', "“as is”").replace("\n\n", "\n") + "\n"
