@@ -1,18 +1,29 @@
-"""Table and column lineage read off the plan texts in event logs."""
+"""Table and column lineage read off the plan texts in event logs.
+
+The unit of lineage is one write. A root execution may make several, each of one or more nested executions;
+``write_nodes`` tells them apart, and inputs, outputs and columns are met within a write.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeledger.functions.naming import last_part, source_table, table_from_plan, transform_type
 from lakeledger.functions.paths import bind, dataset_name_from_path, extract_file_path, generalize_location, normalise_path
 from lakeledger.operators.ordered import join_null_safe
-from lakeledger.runtime import checkpoint
+from lakeledger.runtime import checkpoint, ship
+
+ship(__name__)
 
 QUERY = ["log_id", "root_execution_id"]
+WRITE = [*QUERY, "write_id"]
 # Paths that a query only reads back from itself.
 STAGING = r"/_temporary/|/_checkpoint/|/\.spark-staging-|/_spark_metadata/"
 # Nodes that write through a catalog of their own.
@@ -113,55 +124,96 @@ def _scans(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     return scan.select("*", F.inline(F.array(found))).filter("_table IS NOT NULL OR _path IS NOT NULL")
 
 
+# Commands that write, by the name of their node.
+_WRITES = rf"^(?:CreateDataSourceTableAsSelectCommand|InsertIntoHadoopFsRelationCommand|SaveIntoDataSourceCommand|SaveAsV1TableCommand|InsertIntoStatement|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"
+
+
+def _command() -> Column:
+    return F.regexp_replace("node_name", "^Execute ", "")
+
+
+def _targets(nodes: DataFrame, full_names: bool = False) -> DataFrame:
+    """Write commands with the table or path they write."""
+    w = nodes.withColumn("_n", _command()).filter(F.col("_n").rlike(_WRITES) & F.col("detail").contains("Arguments"))
+    args = _field("Arguments")
+    single = F.nullif(F.regexp_extract(args, r"`([^`]+)`", 1), F.lit(""))
+    to_path = F.col("_n").rlike("^(?:InsertIntoHadoopFs|SaveInto)")
+    named = table_from_plan(args, full_names)
+    w = w.withColumns({"_table": F.when(to_path, named).otherwise(F.coalesce(named, single)), "_path": F.when(to_path, extract_file_path(args))})
+    return w.filter("_table IS NOT NULL OR _path IS NOT NULL")
+
+
+def execution_writes(nodes: DataFrame) -> DataFrame:
+    """``log_id, root_execution_id, execution_id, write_id``: the write that each writing execution is part of.
+
+    In the order of a root's executions, one that names a table and writes no files itself is carried on by
+    the next, if that names the same table or a path only: then this is how it writes them. All others
+    begin a write. A write is known by its first execution.
+    """
+    files = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "execution_id", F.lit(None).cast("string").alias("_table"), F.lit(True).alias("files"), F.lit(False).alias("target"))
+    named = _targets(nodes, True).select(*QUERY, "execution_id", "_table", F.lit(False).alias("files"), F.lit(True).alias("target"))
+    e = named.unionByName(files).groupBy(*QUERY, "execution_id").agg(F.min("_table").alias("name"), F.max("files").alias("files"), F.max("target").alias("target")).filter("target")
+    along = Window.partitionBy(*QUERY).orderBy("execution_id")
+    before = F.lag(F.struct("name", "files")).over(along)
+    same = F.when(F.col("name").isNull(), before["name"].isNotNull() & ~before["files"]).otherwise((last_part(F.col("name")) == last_part(before["name"])) & ~before["files"])
+    first = F.when(before.isNull() | ~F.coalesce(same, F.lit(False)), F.col("execution_id"))
+    return e.select(*QUERY, "execution_id", F.last(first, ignorenulls=True).over(along).alias("write_id"))
+
+
+def write_nodes(nodes: DataFrame) -> DataFrame:
+    """Plan nodes with the ``write_id`` of the write they are part of.
+
+    Executions of a root that write nothing themselves, such as the plan around a batch, are part of
+    each of its writes; ``write_id`` is null where a root writes nothing.
+    """
+    if "write_id" in nodes.columns:
+        return nodes
+    of_root = execution_writes(nodes).groupBy(*QUERY).agg(F.collect_list(F.struct("execution_id", "write_id")).alias("_w"))
+    own = F.transform(F.filter("_w", lambda w: w["execution_id"] == F.col("execution_id")), lambda w: w["write_id"])
+    ids = F.when(F.size(own) > 0, own).otherwise(F.array_distinct(F.col("_w.write_id")))
+    return nodes.join(of_root, QUERY, "left").withColumn("write_id", F.explode_outer(ids)).drop("_w")
+
+
 def distinct_tables(tables: DataFrame) -> DataFrame:
-    """Each table once per query."""
-    return tables.select(*QUERY, "name", "table_type", "path", "location").distinct()
+    """Each table once per write."""
+    return tables.select(*WRITE, "name", "table_type", "path", "location").distinct()
 
 
 def query_inputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
-    """Tables and files read by each query (X3); with ``full_names`` tables keep catalog and database."""
-    return distinct_tables(_scans(nodes, full_names).select(*QUERY, *_reference(F.col("_table"), F.col("_path"))))
+    """Tables and files read for each write of each query (X3); with ``full_names`` tables keep catalog and database.
+
+    ``write_id`` is null for queries that write nothing.
+    """
+    return distinct_tables(_scans(write_nodes(nodes), full_names).select(*WRITE, *_reference(F.col("_table"), F.col("_path"))))
 
 
 def query_outputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
-    """Tables and files written by each query.
+    """Tables and files written by each query, one for each write.
 
     Nested executions of one write name it three ways; the catalog name goes before the path.
     """
-    name = F.regexp_replace("node_name", "^Execute ", "")
-    w = nodes.withColumn("_n", name).filter(
-        F.col("_n").rlike(rf"^(?:CreateDataSourceTableAsSelectCommand|InsertIntoHadoopFsRelationCommand|SaveIntoDataSourceCommand|SaveAsV1TableCommand|InsertIntoStatement|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$")
-        & F.col("detail").contains("Arguments")
-    )
-    args = _field("Arguments")
-    single = F.nullif(F.regexp_extract(args, r"`([^`]+)`", 1), F.lit(""))
-    to_path = F.col("_n").rlike("^(?:InsertIntoHadoopFs|SaveInto)")
-    named = table_from_plan(args, full_names)
-    table = F.when(to_path, named).otherwise(F.coalesce(named, single))
-    path = F.when(to_path, extract_file_path(args))
-    w = w.withColumns({"_table": table, "_path": path}).filter("_table IS NOT NULL OR _path IS NOT NULL")
+    w = _targets(write_nodes(nodes), full_names)
     rank = F.when(F.col("_table").isNull(), 3).when(F.col("_n") == "SaveAsV1TableCommand", 2).otherwise(1)
-    best = Window.partitionBy(*QUERY)
-    w = w.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(best)).filter("_rank = _best")
-    return w.select(*QUERY, "started_at", *_reference(F.col("_table"), F.col("_path"))).groupBy(*QUERY, "name", "table_type", "path", "location").agg(
+    w = w.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(Window.partitionBy(*WRITE))).filter("_rank = _best")
+    return w.select(*WRITE, "started_at", *_reference(F.col("_table"), F.col("_path"))).groupBy(*WRITE, "name", "table_type", "path", "location").agg(
         F.min("started_at").alias("started_at")
     )
 
 
 def drop_self_reads(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Inputs without those a query writes itself and without staging paths."""
+    """Inputs without those a write writes itself and without staging paths."""
     i = inputs.withColumn("_p", normalise_path(F.col("location")))
-    paths = outputs.select(*QUERY, normalise_path(F.col("location")).alias("_p")).filter("_p IS NOT NULL").distinct()
-    names = outputs.select(*QUERY, "name").distinct().withColumn("table_type", F.lit("File"))
-    i = i.join(paths, [*QUERY, "_p"], "left_anti").join(names, [*QUERY, "name", "table_type"], "left_anti")
+    paths = outputs.select(*WRITE, normalise_path(F.col("location")).alias("_p")).filter("_p IS NOT NULL").distinct()
+    names = outputs.select(*WRITE, "name").distinct().withColumn("table_type", F.lit("File"))
+    i = i.join(paths, [*WRITE, "_p"], "left_anti").join(names, [*WRITE, "name", "table_type"], "left_anti")
     return i.filter(~F.coalesce(F.col("location"), F.lit("")).rlike(STAGING)).drop("_p")
 
 
 def query_edges(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Every input of a query feeds every output of it."""
-    i = drop_self_reads(inputs, outputs).select(*QUERY, F.col("name").alias("source"))
-    o = outputs.select(*QUERY, F.col("name").alias("target"))
-    return i.join(o, QUERY).distinct()
+    """Every input of a write feeds every output of it."""
+    i = drop_self_reads(inputs, outputs).select(*WRITE, F.col("name").alias("source"))
+    o = outputs.select(*WRITE, F.col("name").alias("target"))
+    return i.join(o, WRITE).select(*QUERY, "source", "target").distinct()
 
 
 # --- columns --------------------------------------------------------------------------
@@ -176,13 +228,13 @@ def _attributes(text: Column) -> Column:
 
 
 def attribute_origins(nodes: DataFrame, full_names: bool = False) -> DataFrame:
-    """Which dataset column each expression id of a query stands for."""
-    s = _scans(nodes, full_names)
+    """Which dataset column each expression id of a write's plans stands for."""
+    s = _scans(write_nodes(nodes), full_names)
     listed = F.coalesce(F.nullif(_field("Output"), F.lit("")), F.regexp_extract("detail", r"Arguments: [^\[\n]*\[([^\]\n]*)\]", 1))
-    s = s.select(*QUERY, *_reference(F.col("_table"), F.col("_path")), F.explode(_attributes(_unbracket(listed))).alias("a"))
+    s = s.select(*WRITE, *_reference(F.col("_table"), F.col("_path")), F.explode(_attributes(_unbracket(listed))).alias("a"))
     # a table named in the logical plan and its scan give the same answer; keep one
-    return s.groupBy(*QUERY, F.col("a.id").alias("expr_id")).agg(F.min(F.struct("name", F.col("a.name").alias("c"))).alias("o")).select(
-        *QUERY, "expr_id", F.col("o.name").alias("dataset"), F.col("o.c").alias("column")
+    return s.groupBy(*WRITE, F.col("a.id").alias("expr_id")).agg(F.min(F.struct("name", F.col("a.name").alias("c"))).alias("o")).select(
+        *WRITE, "expr_id", F.col("o.name").alias("dataset"), F.col("o.c").alias("column")
     )
 
 
@@ -220,31 +272,35 @@ def _below(nodes: DataFrame, wanted: Column) -> DataFrame:
     A node that does not say takes those of its first child, which stands on the next line.
     """
     x = nodes.withColumn("_wanted", wanted)
-    by_plan = Window.partitionBy(*QUERY, "execution_id")
+    plan = [*WRITE, "execution_id"]
+    by_plan = Window.partitionBy(*plan)
     x = _own_output(x.withColumn("_any", F.max("_wanted").over(by_plan)).filter("_any AND place IS NOT NULL"))
     down = by_plan.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    x = x.withColumn("handed", F.first("output", ignorenulls=True).over(down))
-    # the parent: the nearest line above that is less deep; depths grow by three a level
-    line = by_plan.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_above", F.collect_list(F.struct("place", "depth", "node_id", "_wanted")).over(line))
-    x = x.withColumn("_parent", F.try_element_at(F.filter("_above", lambda a: a["depth"] < F.col("depth")), F.lit(-1)))
-    kids = x.filter("_parent._wanted").select(*QUERY, "execution_id", F.col("_parent.node_id").alias("parent_id"), "place", "handed")
-    nth = Window.partitionBy(*QUERY, "execution_id", "parent_id").orderBy("place")
+    x = x.withColumn("handed", F.first("output", ignorenulls=True).over(down)).select(*plan, "place", "depth", "node_id", "_wanted", "handed")
+    # a parent is the nearest line above one level up; depths grow by three a level, so each level is read on its own
+    asks = F.struct((F.col("depth") - 3).alias("level"), F.lit(None).cast("struct<node_id:bigint,wanted:boolean>").alias("parent"))
+    gives = F.struct(F.col("depth").alias("level"), F.struct("node_id", F.col("_wanted").alias("wanted")).alias("parent"))
+    lines = x.select(*plan, "place", "handed", F.explode(F.array(asks, gives)).alias("l")).select(*plan, "place", "handed", "l.*")
+    above = Window.partitionBy(*plan, "level").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_up", F.last("parent", ignorenulls=True).over(above))
+    kids = lines.filter("parent IS NULL AND _up.wanted").select(*plan, F.col("_up.node_id").alias("parent_id"), "place", "handed")
+    nth = Window.partitionBy(*plan, "parent_id").orderBy("place")
     return kids.withColumn("nth", F.row_number().over(nth) - 1).drop("place")
 
 
 def written_columns(nodes: DataFrame) -> DataFrame:
-    """Columns each query writes, with the expression id behind them.
+    """Columns each write writes, with the expression id behind them.
 
-    They stand in ``WriteFiles``; a query that writes without it (into another catalog, over JDBC)
-    writes what its write command's child hands on.
+    They stand in ``WriteFiles``; a write without it (into another catalog, over JDBC) writes what
+    its command's child hands on.
     """
-    w = nodes.filter(F.col("node_name") == "WriteFiles")
-    a = w.select(*QUERY, F.explode(_attributes(_unbracket(_field("Input")))).alias("a"))
-    other = nodes.join(w.select(*QUERY).distinct(), QUERY, "left_anti")
-    kids = _below(other, F.regexp_replace("node_name", "^Execute ", "").rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
-    b = kids.filter("nth = 0").select(*QUERY, F.explode(split_top(F.col("handed"))).alias("x")).select(*QUERY, F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
-    return a.unionByName(b).select(*QUERY, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
+    n = write_nodes(nodes).filter("write_id IS NOT NULL")
+    w = n.filter(F.col("node_name") == "WriteFiles")
+    a = w.select(*WRITE, F.explode(_attributes(_unbracket(_field("Input")))).alias("a"))
+    kids = _below(n, _command().rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
+    kids = kids.filter("nth = 0").join(w.select(*WRITE).distinct(), WRITE, "left_anti")
+    b = kids.select(*WRITE, F.explode(split_top(F.col("handed"))).alias("x")).select(*WRITE, F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
+    return a.unionByName(b).select(*WRITE, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
 
 
 def _as_attribute(x: Column) -> Column:
@@ -257,12 +313,12 @@ def union_links(nodes: DataFrame) -> DataFrame:
 
     A union hands on the ids of its first side; the other sides' columns meet them by position.
     """
-    kids = _below(nodes, F.col("node_name") == "Union").filter("handed IS NOT NULL")
-    x = kids.select(*QUERY, "execution_id", "parent_id", "nth", F.posexplode(split_top(F.col("handed"))).alias("pos", "x"))
+    kids = _below(write_nodes(nodes), F.col("node_name") == "Union").filter("handed IS NOT NULL")
+    x = kids.select(*WRITE, "execution_id", "parent_id", "nth", F.posexplode(split_top(F.col("handed"))).alias("pos", "x"))
     x = x.withColumn("x", _as_attribute(F.col("x")))
-    first = x.filter("nth = 0").select(*QUERY, "execution_id", "parent_id", "pos", F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("ref_id"))
-    rest = x.filter("nth > 0").select(*QUERY, "execution_id", "parent_id", "pos", F.col("x").alias("body"))
-    return first.join(rest, [*QUERY, "execution_id", "parent_id", "pos"]).filter("ref_id IS NOT NULL").select(*QUERY, "ref_id", "body").distinct()
+    first = x.filter("nth = 0").select(*WRITE, "execution_id", "parent_id", "pos", F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("ref_id"))
+    rest = x.filter("nth > 0").select(*WRITE, "execution_id", "parent_id", "pos", F.col("x").alias("body"))
+    return first.join(rest, [*WRITE, "execution_id", "parent_id", "pos"]).filter("ref_id IS NOT NULL").select(*WRITE, "ref_id", "body").distinct()
 
 
 def plan_exprs(nodes: DataFrame) -> DataFrame:
@@ -272,7 +328,7 @@ def plan_exprs(nodes: DataFrame) -> DataFrame:
     left out, so that nothing counts twice.
     """
     args, name = _field("Arguments"), F.col("node_name")
-    e = nodes.withColumn(
+    e = write_nodes(nodes).withColumn(
         "_list",
         F.when((name == "Project") & F.col("detail").contains("Output ["), _unbracket(_field("Output")))
         .when(name == "Project", _unbracket(args))
@@ -283,12 +339,12 @@ def plan_exprs(nodes: DataFrame) -> DataFrame:
     listed = F.when(name == "Window", split_top(_first_list(F.col("_list")))).when(name == "Generate", _generated(F.col("_list"))).when(name == "Expand", _expanded(F.col("_list"))).otherwise(split_top(F.col("_list")))
     physical = F.col("detail").rlike(r"(?m)^(?:Input|Output) \[\d+\]")
     logical = name.isin("Aggregate", "Project", "Window", "Generate", "Expand") & ~physical
-    e = e.withColumn("_logical", logical).withColumn("_any", F.max("_logical").over(Window.partitionBy(*QUERY))).filter("_logical = _any")
+    e = e.withColumn("_logical", logical).withColumn("_any", F.max("_logical").over(Window.partitionBy(*WRITE))).filter("_logical = _any")
     # the physical name of an aggregate result carries its input: sum(v#1)#9 AS total#3
-    e = e.select(*QUERY, "node_id", "execution_id", F.explode(listed).alias("x"))
+    e = e.select(*WRITE, "node_id", "execution_id", F.explode(listed).alias("x"))
     alias = F.col("x").rlike(r"(?s)^.* AS .*#\d+L?$")
     return e.select(
-        *QUERY, "execution_id", "node_id",
+        *WRITE, "execution_id", "node_id",
         F.when(alias, F.regexp_extract("x", _NAMED, 1)).otherwise(F.regexp_extract("x", r"(?s)^(.*)#\d+L?$", 1)).alias("out_name"),
         F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("out_id"),
         F.when(alias, F.regexp_extract("x", r"(?s)^(.*) AS .*#\d+L?$", 1)).otherwise(F.col("x")).alias("body"),
@@ -317,92 +373,125 @@ def _clean(body: Column) -> Column:
     return F.regexp_replace(body, r"#\d+L?", "")
 
 
-def aliases_per_query(links: DataFrame) -> int:
-    """The most aliases that any one query has."""
-    return links.filter("body IS NOT NULL").groupBy(*QUERY).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+# what the facts of a write are: its target, scan columns, written columns, named expressions, sides of unions, join keys
+_TARGET, _ORIGIN, _WRITTEN, _EXPR, _SIDE, _KEY = range(6)
+_REF = re.compile(r"#(\d+)L?")
+_EDGE = pa.schema([("log_id", pa.string()), ("root_execution_id", pa.int64())] + [(c, pa.string()) for c in ("source_dataset", "source_column", "target_column", "transform_type", "expression", "target_dataset")])
+
+
+def _refs(body: str) -> list[int]:
+    return [int(x) for x in dict.fromkeys(_REF.findall(body))]
+
+
+def resolved(facts: list[tuple]) -> set[tuple]:
+    """Column edges of one write from its facts (kind, id, name, body, text); each alias is followed once."""
+    of = defaultdict(list)
+    for kind, *rest in facts:
+        of[kind].append(rest)
+    target = min(((text or "", name) for _, name, _, text in of[_TARGET]), default=(None, None))[1]
+    if target is None:
+        return set()
+    origins: dict[int, tuple[str, str]] = {}
+    for i, name, column, _ in of[_ORIGIN]:
+        origins[i] = min(origins.get(i, (name, column)), (name, column))
+    names = {name for _, name, _, _ in of[_WRITTEN]}
+    aliases = defaultdict(set)
+    for i, _, body, kind in of[_EXPR]:
+        if i not in origins and set(_refs(body)) - {i}:
+            aliases[i].add((body, kind))
+    for i, _, body, kind in of[_SIDE]:
+        aliases[i].add((body, kind))
+    clean = lambda body, kind: None if kind == "DIRECT" else _REF.sub("", body)
+    todo = [(True, name, kind, clean(body, kind), r) for i, name, body, kind in of[_EXPR] if name in names for r in _refs(body)]
+    # written columns that no projection names start from their own id
+    todo += [(False, name, "DIRECT", None, i) for i, name, _, _ in of[_WRITTEN]]
+    seen, explicit, by_id = set(todo), set(), set()
+    while todo:
+        named, name, kind, expression, ref = todo.pop()
+        if ref in origins:
+            (explicit if named else by_id).add((*origins[ref], name, kind, expression))
+        for body, how in aliases[ref]:
+            for r in _refs(body):
+                step = (named, name, how if kind == "DIRECT" else kind, clean(body, how) if kind == "DIRECT" else expression, r)
+                if r != ref and step not in seen:
+                    seen.add(step)
+                    todo.append(step)
+    explicit |= {(*origins[i], origins[i][1], "JOIN", text) for i, _, _, text in of[_KEY] if i in origins and origins[i][1] in names}
+    left = names - {e[2] for e in explicit}
+    implicit = {e for e in by_id if e[2] in left}
+    left -= {e[2] for e in implicit}
+    implicit |= {(d, c, c, "DIRECT", None) for d, c in origins.values() if c in left}
+    return {(*e, target) for e in explicit | implicit}
 
 
 def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
-    """Column-to-column edges of every query that writes.
+    """Column-to-column edges of every write.
 
     Explicit ones follow each written name through the aliases that define it, however many, down to
     scan columns; a union's columns stand for those of all its sides. Join keys that survive give JOIN
     edges; written columns left over pass through by expression id, or else by equal name. Edges
     carry whole expressions; ``capped`` shortens them for display.
+
+    Plans are read with column functions; the facts of a write then meet in one shuffle and are
+    resolved in one pass. A write's first output takes the edges (B19).
     """
-    nodes = checkpoint(nodes)
-    origins = checkpoint(attribute_origins(nodes, full_names))
-    outputs = query_outputs(nodes, full_names)
-    # only the first output of a query gets column edges
-    target = outputs.groupBy(*QUERY).agg(F.min_by("name", F.struct("started_at", "name")).alias("target_dataset"))
-    written = checkpoint(written_columns(nodes))
-    names = written.select(*QUERY, F.col("column").alias("out_name")).distinct()
-    exprs = checkpoint(plan_exprs(nodes).withColumn("kind", transform_type(F.col("body"))))
-
-    # what an id stands for: a scan column, or else the expression an alias gives it
-    defs = exprs.filter(F.size(F.array_except(_ids(F.col("body")), F.array("out_id"))) > 0).select(*QUERY, F.col("out_id").alias("ref_id"), "body", "kind").distinct()
-    o = origins.withColumnRenamed("expr_id", "ref_id")
-    sides = union_links(nodes).withColumn("kind", transform_type(F.col("body")))
-    aliases = defs.join(o.select(*QUERY, "ref_id"), [*QUERY, "ref_id"], "left_anti").unionByName(sides).distinct()
-    links = checkpoint(o.unionByName(aliases, allowMissingColumns=True))
-    steps = exprs.join(names, [*QUERY, "out_name"]).select(
-        *QUERY, F.lit("expr").alias("_via"), F.col("out_name").alias("target_column"), F.col("kind").alias("transform_type"),
-        F.when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"), F.explode(_ids(F.col("body"))).alias("ref_id"),
+    nodes = checkpoint(write_nodes(nodes).filter("write_id IS NOT NULL"))
+
+    def fact(df: DataFrame, kind: int, i=None, name=None, body=None, text=None) -> DataFrame:
+        value = lambda c, t: F.lit(None).cast(t) if c is None else F.col(c).cast(t)
+        return df.select(*WRITE, F.lit(kind).alias("kind"), value(i, "bigint").alias("id"), value(name, "string").alias("name"), value(body, "string").alias("body"), value(text, "string").alias("text"))
+
+    typed = lambda df: df.withColumn("kind", transform_type(F.col("body")))
+    facts = (
+        fact(query_outputs(nodes, full_names), _TARGET, name="name", text="started_at")
+        .unionByName(fact(attribute_origins(nodes, full_names), _ORIGIN, "expr_id", "dataset", "column"))
+        .unionByName(fact(written_columns(nodes), _WRITTEN, "expr_id", "column"))
+        .unionByName(fact(typed(plan_exprs(nodes)), _EXPR, "out_id", "out_name", "body", "kind"))
+        .unionByName(fact(typed(union_links(nodes)), _SIDE, "ref_id", body="body", text="kind"))
+        .unionByName(fact(join_keys(nodes), _KEY, "ref_id", text="expression"))
     )
-    # written columns that no projection names start from their own id
-    own = written.select(
-        *QUERY, F.lit("id").alias("_via"), F.col("column").alias("target_column"), F.lit("DIRECT").alias("transform_type"),
-        F.lit(None).cast("string").alias("expression"), F.col("expr_id").alias("ref_id"),
-    )
-    # a chain of aliases is no longer than its query has aliases, so this ends even on a broken plan
-    longest = aliases_per_query(links)
-    front, levels = steps.unionByName(own).distinct(), []
-    while True:
-        level = checkpoint(front.join(links, [*QUERY, "ref_id"]))
-        levels.append(level.filter("dataset IS NOT NULL"))
-        inner = level.filter("body IS NOT NULL")
-        if len(levels) > longest or inner.isEmpty():
-            break
-        plain = F.col("transform_type") == "DIRECT"
-        front = inner.select(
-            *QUERY, "_via", "target_column",
-            F.when(plain, F.col("kind")).otherwise(F.col("transform_type")).alias("transform_type"),
-            F.when(~plain, F.col("expression")).when(F.col("kind") != "DIRECT", _clean(F.col("body"))).alias("expression"),
-            F.explode(F.array_except(_ids(F.col("body")), F.array("ref_id"))).alias("ref_id"),
-        ).distinct()
-    hits = reduce(DataFrame.unionByName, levels)
-    cols = [*QUERY, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), "target_column", "transform_type", "expression"]
-    explicit = hits.filter("_via = 'expr'").select(*cols).distinct()
-    keys = join_keys(nodes).join(origins.withColumnRenamed("expr_id", "ref_id"), [*QUERY, "ref_id"])
-    keys = keys.withColumn("target_column", F.col("column")).join(names.withColumnRenamed("out_name", "target_column"), [*QUERY, "target_column"], "left_semi")
-    explicit = explicit.unionByName(keys.withColumn("transform_type", F.lit("JOIN")).select(*cols).distinct())
-    implicit = implicit_column_edges(written, explicit, hits.filter("_via = 'id'").select(*cols).distinct(), origins)
-    return explicit.unionByName(implicit).join(target, QUERY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held: list[tuple] = []
+        for (log, root, _), some in groupby(rows, key=lambda r: r[:3]):
+            held += [(log, root, *e) for e in resolved([r[3:] for r in some])]
+            if len(held) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _EDGE, strict=True)], schema=_EDGE)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _EDGE, strict=True)], schema=_EDGE)
+
+    # all parts of the union are dealt by the write already where they are grouped; this deals the others so too
+    met = facts.repartition(*WRITE).sortWithinPartitions(*WRITE)
+    found = met.mapInArrow(run, "log_id string, root_execution_id bigint, source_dataset string, source_column string, target_column string, transform_type string, expression string, target_dataset string")
+    return found.distinct()
 
 
 def join_keys(nodes: DataFrame) -> DataFrame:
     """Expression ids in the condition of each join."""
-    logical = nodes.filter(F.col("node_name") == "Join").select(*QUERY, F.regexp_extract("detail", r"Arguments: \w+, (.*)", 1).alias("cond"))
+    nodes = write_nodes(nodes)
+    logical = nodes.filter(F.col("node_name") == "Join").select(*WRITE, F.regexp_extract("detail", r"Arguments: \w+, (.*)", 1).alias("cond"))
     sides = F.concat(_unbracket(_field("Left keys")), F.lit(" = "), _unbracket(_field("Right keys")))
-    physical = nodes.filter(F.col("node_name").rlike(r"^(?:SortMerge|BroadcastHash|ShuffledHash)Join")).select(*QUERY, sides.alias("cond"))
-    physical = physical.join(logical.select(*QUERY).distinct(), QUERY, "left_anti")
+    physical = nodes.filter(F.col("node_name").rlike(r"^(?:SortMerge|BroadcastHash|ShuffledHash)Join")).select(*WRITE, sides.alias("cond"))
+    physical = physical.join(logical.select(*WRITE).distinct(), WRITE, "left_anti")
     j = logical.unionByName(physical)
-    return j.select(*QUERY, _clean(F.col("cond")).alias("expression"), F.explode(_ids(F.col("cond"))).alias("ref_id")).distinct()
+    return j.select(*WRITE, _clean(F.col("cond")).alias("expression"), F.explode(_ids(F.col("cond"))).alias("ref_id")).distinct()
 
 
 def uncovered_columns(written: DataFrame, edges: DataFrame) -> DataFrame:
     """Written columns that no edge explains yet."""
-    e = edges.select(*QUERY, F.col("target_column").alias("column")).distinct()
-    return written.join(e, [*QUERY, "column"], "left_anti")
+    e = edges.select(*WRITE, F.col("target_column").alias("column")).distinct()
+    return written.join(e, [*WRITE, "column"], "left_anti")
 
 
 def implicit_column_edges(written: DataFrame, explicit: DataFrame, by_id: DataFrame, origins: DataFrame) -> DataFrame:
     """DIRECT edges of columns passed through: by expression id, else by equal name."""
-    left = uncovered_columns(written, explicit).select(*QUERY, F.col("column").alias("target_column")).distinct()
-    one = by_id.join(left, [*QUERY, "target_column"], "left_semi")
-    rest = left.join(one.select(*QUERY, "target_column").distinct(), [*QUERY, "target_column"], "left_anti")
-    named = origins.select(*QUERY, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), F.col("column").alias("target_column")).distinct()
-    two = named.join(rest, [*QUERY, "target_column"], "left_semi")
+    left = uncovered_columns(written, explicit).select(*WRITE, F.col("column").alias("target_column")).distinct()
+    one = by_id.join(left, [*WRITE, "target_column"], "left_semi")
+    rest = left.join(one.select(*WRITE, "target_column").distinct(), [*WRITE, "target_column"], "left_anti")
+    named = origins.select(*WRITE, F.col("dataset").alias("source_dataset"), F.col("column").alias("source_column"), F.col("column").alias("target_column")).distinct()
+    two = named.join(rest, [*WRITE, "target_column"], "left_semi")
     two = two.withColumns({"transform_type": F.lit("DIRECT"), "expression": F.lit(None).cast("string")})
     return one.unionByName(two.select(*one.columns))
 
@@ -413,30 +502,31 @@ def query_schemas(nodes: DataFrame) -> DataFrame:
     Rows: query, dataset, side, pruned, captured_at, fields. A scan lists only the columns it
     needs, so read schemas are marked ``pruned``; written ones list names alone.
     """
+    nodes = checkpoint(write_nodes(nodes))
     s = _scans(nodes).filter(F.col("detail").contains("ReadSchema"))
     fields = F.transform(
         split_top_type(F.regexp_extract("detail", r"ReadSchema: struct<(.*)>", 1)),
         lambda p: F.named_struct(F.lit("name"), F.substring_index(p, ":", 1), F.lit("type"), F.regexp_replace(p, "^[^:]*:", ""), F.lit("nullable"), F.lit(True)),
     )
-    read = s.select(*QUERY, F.coalesce("_table", dataset_name_from_path(F.col("_path"))).alias("dataset"), F.lit("read").alias("side"), F.lit(True).alias("pruned"), F.col("started_at").alias("captured_at"), fields.alias("fields"))
+    read = s.select(*WRITE, F.coalesce("_table", dataset_name_from_path(F.col("_path"))).alias("dataset"), F.lit("read").alias("side"), F.lit(True).alias("pruned"), F.col("started_at").alias("captured_at"), fields.alias("fields"))
     # a scan's own list ties ids to its types; plain aliases and casts-free projections hand them on
     listed = F.transform(_attributes(_unbracket(_field("Output"))), lambda a: F.named_struct(F.lit("id"), a["id"], F.lit("type"), F.try_element_at(F.filter(fields, lambda f: f["name"] == a["name"]), F.lit(1))["type"]))
-    typed = _scans(nodes).filter(F.col("detail").contains("ReadSchema")).select(*QUERY, F.explode(listed).alias("t")).filter("t.type IS NOT NULL")
-    typed = checkpoint(typed.groupBy(*QUERY, F.col("t.id").alias("expr_id")).agg(F.min("t.type").alias("_t")))
+    typed = _scans(nodes).filter(F.col("detail").contains("ReadSchema")).select(*WRITE, F.explode(listed).alias("t")).filter("t.type IS NOT NULL")
+    typed = checkpoint(typed.groupBy(*WRITE, F.col("t.id").alias("expr_id")).agg(F.min("t.type").alias("_t")))
     alias = plan_exprs(nodes).filter(F.col("body").rlike(r"^[^( ]+#\d+L?$"))
-    alias = checkpoint(alias.select(*QUERY, F.col("out_id").alias("expr_id"), _ids(F.col("body"))[0].alias("from_id")).filter("expr_id <> from_id").distinct())
+    alias = checkpoint(alias.select(*WRITE, F.col("out_id").alias("expr_id"), _ids(F.col("body"))[0].alias("from_id")).filter("expr_id <> from_id").distinct())
     known, fresh = typed, typed
     while not fresh.isEmpty():
-        step = alias.join(fresh.withColumnRenamed("expr_id", "from_id"), [*QUERY, "from_id"]).groupBy(*QUERY, "expr_id").agg(F.min("_t").alias("_t"))
-        fresh = checkpoint(step.join(known, [*QUERY, "expr_id"], "left_anti"))
+        step = alias.join(fresh.withColumnRenamed("expr_id", "from_id"), [*WRITE, "from_id"]).groupBy(*WRITE, "expr_id").agg(F.min("_t").alias("_t"))
+        fresh = checkpoint(step.join(known, [*WRITE, "expr_id"], "left_anti"))
         known = known.unionByName(fresh)
-    w = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "started_at", F.posexplode(_attributes(_unbracket(_field("Input")))).alias("pos", "a"))
-    w = w.select(*QUERY, "started_at", "pos", F.col("a.name").alias("name"), F.col("a.id").alias("expr_id"))
-    w = w.join(known, [*QUERY, "expr_id"], "left")
-    g = w.groupBy(*QUERY, "started_at").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.coalesce("_t", F.lit("unknown")).alias("type")))).alias("l"))
+    w = nodes.filter(F.col("node_name") == "WriteFiles").select(*WRITE, "started_at", F.posexplode(_attributes(_unbracket(_field("Input")))).alias("pos", "a"))
+    w = w.select(*WRITE, "started_at", "pos", F.col("a.name").alias("name"), F.col("a.id").alias("expr_id"))
+    w = w.join(known, [*WRITE, "expr_id"], "left")
+    g = w.groupBy(*WRITE, "started_at").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.coalesce("_t", F.lit("unknown")).alias("type")))).alias("l"))
     plain = F.transform("l", lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("type"), x["type"], F.lit("nullable"), F.lit(True)))
-    target = query_outputs(nodes).groupBy(*QUERY).agg(F.min_by("name", F.struct("started_at", "name")).alias("dataset"))
-    wrote = g.join(target, QUERY).select(*QUERY, "dataset", F.lit("write").alias("side"), F.lit(False).alias("pruned"), F.col("started_at").alias("captured_at"), plain.alias("fields"))
+    target = query_outputs(nodes).groupBy(*WRITE).agg(F.min_by("name", F.struct("started_at", "name")).alias("dataset"))
+    wrote = g.join(target, WRITE).select(*WRITE, "dataset", F.lit("write").alias("side"), F.lit(False).alias("pruned"), F.col("started_at").alias("captured_at"), plain.alias("fields"))
     return read.unionByName(wrote)
 
 

@@ -234,15 +234,38 @@ _PHYS_FILE = (
     + " || ']~ReadSchema: struct<ref:string,id2:bigint>~~' || CASE WHEN o_orderkey % 5 = 0 THEN '(2) Scan parquet ~Output [1]: [old#9]~Location: InMemoryFileIndex [' || " + _DST
     + " || ']~ReadSchema: struct<old:int>~~' ELSE '' END || '(3) WriteFiles~Input [2]: [ref#4, id2#5L]~~(4) Execute InsertIntoHadoopFsRelationCommand~Input: []~Arguments: ' || " + _DST + " || ', false, Parquet, [path=' || " + _DST + " || '], Overwrite, [ref, id2]~'"
 )
+# A write into another catalog, over a union and a window.
+_V2 = (
+    "'== Physical Plan ==~AppendData (7)~+- * Project (6)~   +- Window (5)~      +- Union (4)~         :- * Project (2)~         :  +- Scan parquet spark_catalog.default.alt (1)~         +- Scan parquet spark_catalog.default.hist (3)"
+    "~~~(1) Scan parquet spark_catalog.default.alt' || CAST(o_custkey % 5 AS STRING) || '~Output [2]: [k#21L, v#22]~Batched: true~Location: InMemoryFileIndex [file:/wh/alt]~ReadSchema: struct<k:bigint,v:double>"
+    "~~(2) Project [codegen id : 1]~Output [2]: [k#21L, (v#22 * 2.0) AS w#23]~Input [2]: [k#21L, v#22]"
+    "~~(3) Scan parquet spark_catalog.default.hist' || CAST(o_custkey % 3 AS STRING) || '~Output [2]: [hk#24L, hw#25]~Batched: true~Location: InMemoryFileIndex [file:/wh/hist]~ReadSchema: struct<hk:bigint,hw:double>"
+    "~~(4) Union~~(5) Window~Input [2]: [k#21L, w#23]~Arguments: [sum(w#23) windowspecdefinition(k#21L, k#21L ASC NULLS FIRST) AS run#26], [k#21L], [k#21L ASC NULLS FIRST]"
+    "~~(6) Project [codegen id : 2]~Output [2]: [k#21L, run#26]~Input [3]: [k#21L, w#23, run#26]~~(7) AppendData~Arguments: org.apache.spark.sql.X@1, `cat`.`db`.`side' || CAST(o_custkey % 10 AS STRING) || '`~'"
+)
 
 
-def _sql_event(plan: str, execution: str) -> str:
+def _sql_event(plan: str, execution: str, info: str = "''") -> str:
     return (
         "'«\"Event\":\"org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart\",\"executionId\":' || CAST(" + execution + " AS STRING) || ',\"rootExecutionId\":' || CAST(o_orderkey * 3 AS STRING)"
-        " || ',\"description\":\"save\",\"physicalPlanDescription\":\"' || " + plan + " || '\",\"time\":' || " + _T0 + " || '»'"
+        " || ',\"description\":\"save\",\"physicalPlanDescription\":\"' || " + plan + " || '\"' || " + info + " || ',\"time\":' || " + _T0 + " || '»'"
     )
 
 
+# What the command of a write into a table counted, under the accumulators that its plan names.
+_INFO = (
+    "',\"sparkPlanInfo\":«\"nodeName\":\"Execute InsertIntoHadoopFsRelationCommand\",\"simpleString\":\"x\",\"children\":[«\"nodeName\":\"WriteFiles\",\"simpleString\":\"WriteFiles\",\"children\":[],\"metadata\":«»,\"metrics\":[]»],\"metadata\":«»,"
+    "\"metrics\":[«\"name\":\"number of written files\",\"accumulatorId\":1,\"metricType\":\"sum\"»,«\"name\":\"written output\",\"accumulatorId\":' || CAST(o_orderkey * 10 + 2 AS STRING) || ',\"metricType\":\"size\"»,"
+    "«\"name\":\"number of output rows\",\"accumulatorId\":' || CAST(o_orderkey * 10 + 3 AS STRING) || ',\"metricType\":\"sum\"»]»'"
+)
+_ACCUMS = (
+    "'«\"Event\":\"org.apache.spark.sql.execution.ui.SparkListenerDriverAccumUpdates\",\"executionId\":' || CAST(o_orderkey * 3 + 2 AS STRING) || ',\"accumUpdates\":[[1,1],[' || CAST(o_orderkey * 10 + 2 AS STRING) || ',' || CAST(o_custkey * 7 AS STRING)"
+    " || '],[' || CAST(o_orderkey * 10 + 3 AS STRING) || ',' || CAST(o_orderkey % 1000 AS STRING) || ']]»'"
+)
+# Odd orders write to a path; every third of them also into a table, and every other third into another catalog, under the same root.
+_TABLE = "(o_orderkey % 2 = 0 OR o_orderkey % 6 = 3)"
+
+
 _JOB_START = (
     "'«\"Event\":\"SparkListenerJobStart\",\"Job ID\":' || " + _KEY + " || ',\"Submission Time\":' || " + _T0 + " || ',\"Stage IDs\":[' || CAST(o_orderkey * 2 AS STRING) || ',' || CAST(o_orderkey * 2 + 1 AS STRING)"
     " || '],\"Properties\":«\"spark.app.name\":\"app' || CAST(o_custkey % 7 AS STRING) || '\",\"spark.sql.execution.id\":\"' || CAST(o_orderkey * 3 AS STRING) || '\"' || CASE WHEN o_custkey % 3 = 0 THEN ',\"spark.job.description\":\"nightly ' || CAST(o_custkey % 5 AS STRING) || '\"' ELSE '' END || '»»'"
@@ -279,9 +302,11 @@ VIEWS["v_event_lines"] = " UNION ALL ".join(
         f"SELECT {_LOG}, {_J.format(body)} FROM {{orders}}" + (f" WHERE {cond}" if cond else "")
         for body, cond in (
             (_JOB_START, ""), (_JOB_END, ""), (_stage("0"), ""), (_stage("1"), ""),
-            (_sql_event(_LOGICAL, "o_orderkey * 3 + 1"), "o_orderkey % 2 = 0"),
-            (_sql_event(_PHYS_TABLE, "o_orderkey * 3 + 2"), "o_orderkey % 2 = 0"),
+            (_sql_event(_LOGICAL, "o_orderkey * 3 + 1"), _TABLE),
+            (_sql_event(_PHYS_TABLE, "o_orderkey * 3 + 2", _INFO), _TABLE),
+            (_ACCUMS, _TABLE),
             (_sql_event(_PHYS_FILE, "o_orderkey * 3"), "o_orderkey % 2 = 1"),
+            (_sql_event(_V2, "o_orderkey * 3 + 1"), "o_orderkey % 6 = 1"),
         )
     ]
     + [f"SELECT {_LOG}, {_J.format(_TASK)} FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"]

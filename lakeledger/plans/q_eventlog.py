@@ -14,6 +14,8 @@ from lakeledger.sources.eventlog import EVENTS, event_tables
 _NAME = "'out' || (o_custkey % 50)"
 _GENERAL = "'hdfs://nn:8020/out' || (o_custkey % 50) || CASE WHEN o_custkey % 4 = 0 THEN '/country=C' || (o_orderkey % 3) ELSE '' END || '/dt=*'"
 _LOGID = "'log-' || o_custkey AS log_id"
+# Which orders write into a table, as the log lines have it.
+_T = "(o_orderkey % 2 = 0 OR o_orderkey % 6 = 3)"
 
 
 def _tables(t):
@@ -26,7 +28,7 @@ def _nodes(t):
 
 @query("s9_event_counts", """SELECT kind, CAST(n AS BIGINT) AS n FROM (SELECT 'app_start' AS kind, count(*) AS n FROM {customer} UNION ALL SELECT 'app_end', count(*) FROM {customer} UNION ALL SELECT 'environment', count(*) FROM {customer}
  UNION ALL SELECT 'job_start', count(*) FROM {orders} UNION ALL SELECT 'job_end', count(*) FROM {orders} UNION ALL SELECT 'stage', 2 * count(*) FROM {orders} UNION ALL SELECT 'task', count(*) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
- UNION ALL SELECT 'sql_start', sum(CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END) FROM {orders}) x""")
+ UNION ALL SELECT 'sql_start', sum(CASE o_orderkey % 6 WHEN 3 THEN 3 WHEN 5 THEN 1 ELSE 2 END) FROM {orders} UNION ALL SELECT 'accums', count(*) FROM {orders} WHERE o_orderkey % 2 = 0 OR o_orderkey % 6 = 3) x""")
 def _(t):
     kinds = F.create_map(*[F.lit(x) for k, v in EVENTS.items() for x in (v, k)])
     return t.staged_log().groupBy("event").agg(F.count("*").alias("n")).select(kinds[F.col("event")].alias("kind"), "n")
@@ -38,20 +40,24 @@ def _(t):
     return _tables(t)["tasks"].groupBy("log_id", "stage_id").agg(F.count("*").alias("tasks"), F.count_if("failed").alias("failed"), F.sum("execution_time_ms").alias("run_ms"))
 
 
-@query("x2_plan_nodes", """SELECT node_name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['Execute CreateDataSourceTableAsSelectCommand', 'CreateDataSourceTableAsSelectCommand', 'LogicalRelation', 'LogicalRelation', 'Join', 'Project', 'Aggregate', 'Scan parquet', 'WriteFiles', 'Execute InsertIntoHadoopFsRelationCommand']) AS node_name, 1 AS n FROM {orders} WHERE o_orderkey % 2 = 0
- UNION ALL SELECT 'Scan parquet spark_catalog.default.src' || (o_custkey % 9), 1 FROM {orders} WHERE o_orderkey % 2 = 0
- UNION ALL SELECT unnest(['Scan parquet', 'WriteFiles', 'Execute InsertIntoHadoopFsRelationCommand']), 1 FROM {orders} WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'Scan parquet', 1 FROM {orders} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0) x GROUP BY node_name""")
+@query("x2_plan_nodes", f"""SELECT node_name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['Execute CreateDataSourceTableAsSelectCommand', 'CreateDataSourceTableAsSelectCommand', 'LogicalRelation', 'LogicalRelation', 'Join', 'Project', 'Aggregate', 'Scan parquet', 'WriteFiles', 'Execute InsertIntoHadoopFsRelationCommand']) AS node_name, 1 AS n FROM {{orders}} WHERE {_T}
+ UNION ALL SELECT 'Scan parquet spark_catalog.default.src' || (o_custkey % 9), 1 FROM {{orders}} WHERE {_T}
+ UNION ALL SELECT unnest(['Scan parquet spark_catalog.default.alt' || (o_custkey % 5), 'Scan parquet spark_catalog.default.hist' || (o_custkey % 3), 'Project', 'Project', 'Union', 'Window', 'AppendData']), 1 FROM {{orders}} WHERE o_orderkey % 6 = 1
+ UNION ALL SELECT unnest(['Scan parquet', 'WriteFiles', 'Execute InsertIntoHadoopFsRelationCommand']), 1 FROM {{orders}} WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'Scan parquet', 1 FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0) x GROUP BY node_name""")
 def _(t):
     return _nodes(t).groupBy("node_name").agg(F.count("*").alias("n"))
 
 
-_IN = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, 'src' || (o_custkey % 9) AS name, 'Table' AS table_type, CAST(NULL AS VARCHAR) AS location FROM {{orders}} WHERE o_orderkey % 2 = 0
- UNION ALL SELECT {_LOGID}, o_orderkey * 3, 'lake:ref' || (o_orderkey % 7), 'File', 's3a://lake/ref' || (o_orderkey % 7) || '/dt=*' FROM {{orders}}
- UNION ALL SELECT {_LOGID}, o_orderkey * 3, 'nn:8020:' || {_NAME}, 'File', {_GENERAL} FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0)"""
-_OUT = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, 'tab' || (o_custkey % 50) AS name, 'Table' AS table_type, CAST(NULL AS VARCHAR) AS location FROM {{orders}} WHERE o_orderkey % 2 = 0
- UNION ALL SELECT {_LOGID}, o_orderkey * 3, 'nn:8020:' || {_NAME}, 'File', {_GENERAL} FROM {{orders}} WHERE o_orderkey % 2 = 1)"""
-_EDGE = f"""(SELECT i.log_id, i.root_execution_id, i.name AS source, o.name AS target FROM {_IN} i JOIN {_OUT} o USING (log_id, root_execution_id) WHERE i.name <> o.name)"""
-_COLS = ["log_id", "root_execution_id", "name", "table_type", "location"]
+_IN = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, o_orderkey * 3 + 1 AS write_id, 'src' || (o_custkey % 9) AS name, 'Table' AS table_type, CAST(NULL AS VARCHAR) AS location FROM {{orders}} WHERE {_T}
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3 + 1, 'lake:ref' || (o_orderkey % 7), 'File', 's3a://lake/ref' || (o_orderkey % 7) || '/dt=*' FROM {{orders}} WHERE {_T}
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3, 'lake:ref' || (o_orderkey % 7), 'File', 's3a://lake/ref' || (o_orderkey % 7) || '/dt=*' FROM {{orders}} WHERE o_orderkey % 2 = 1
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3, 'nn:8020:' || {_NAME}, 'File', {_GENERAL} FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3 + 1, unnest(['alt' || (o_custkey % 5), 'hist' || (o_custkey % 3)]), 'Table', NULL FROM {{orders}} WHERE o_orderkey % 6 = 1)"""
+_OUT = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, o_orderkey * 3 + 1 AS write_id, 'tab' || (o_custkey % 50) AS name, 'Table' AS table_type, CAST(NULL AS VARCHAR) AS location FROM {{orders}} WHERE {_T}
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3, 'nn:8020:' || {_NAME}, 'File', {_GENERAL} FROM {{orders}} WHERE o_orderkey % 2 = 1
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, o_orderkey * 3 + 1, 'side' || (o_custkey % 10), 'Table', NULL FROM {{orders}} WHERE o_orderkey % 6 = 1)"""
+_EDGE = f"""(SELECT DISTINCT i.log_id, i.root_execution_id, i.name AS source, o.name AS target FROM {_IN} i JOIN {_OUT} o USING (log_id, root_execution_id, write_id) WHERE i.name <> o.name)"""
+_COLS = ["log_id", "root_execution_id", "write_id", "name", "table_type", "location"]
 
 
 @query("x3_query_inputs", f"SELECT * FROM {_IN} x")
@@ -69,7 +75,7 @@ def _(t):
     return pl.query_outputs(_nodes(t)).select(*_COLS)
 
 
-@query("p11_drop_self_reads", f"SELECT i.* FROM {_IN} i WHERE NOT EXISTS (SELECT 1 FROM {_OUT} o WHERE o.log_id = i.log_id AND o.root_execution_id = i.root_execution_id AND o.name = i.name)")
+@query("p11_drop_self_reads", f"SELECT i.* FROM {_IN} i WHERE NOT EXISTS (SELECT 1 FROM {_OUT} o WHERE o.log_id = i.log_id AND o.write_id = i.write_id AND o.name = i.name)")
 def _(t):
     n = _nodes(t)
     return pl.drop_self_reads(pl.query_inputs(n), pl.query_outputs(n)).select(*_COLS)
@@ -87,15 +93,18 @@ def _(t):
     return pl.query_edges(pl.query_inputs(n), pl.query_outputs(n)).groupBy("source", "target").agg(F.count("*").alias("queries"))
 
 
-@query("x6_attribute_origins", f"""SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, expr_id, CASE WHEN expr_id < 4 THEN 'src' || (o_custkey % 9) WHEN expr_id = 9 THEN 'nn:8020:' || {_NAME} ELSE 'lake:ref' || (o_orderkey % 7) END AS dataset,
- CASE expr_id WHEN 1 THEN 'id' WHEN 2 THEN 'price' WHEN 3 THEN 'status' WHEN 4 THEN 'ref' WHEN 5 THEN 'id2' ELSE 'old' END AS "column"
- FROM {{orders}}, (SELECT unnest([1, 2, 3, 4, 5, 9])::BIGINT AS expr_id) e WHERE (o_orderkey % 2 = 0 AND expr_id <= 5) OR (o_orderkey % 2 = 1 AND expr_id IN (4, 5)) OR (o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 AND expr_id = 9)""")
+@query("x6_attribute_origins", f"""SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, o_orderkey * 3 + e.w AS write_id, e.expr_id::BIGINT AS expr_id,
+ CASE e.d WHEN 'src' THEN 'src' || (o_custkey % 9) WHEN 'old' THEN 'nn:8020:' || {_NAME} WHEN 'ref' THEN 'lake:ref' || (o_orderkey % 7) WHEN 'alt' THEN 'alt' || (o_custkey % 5) ELSE 'hist' || (o_custkey % 3) END AS dataset, e.c AS "column"
+ FROM {{orders}}, (VALUES (1, 'src', 'id', 'T', 1), (2, 'src', 'price', 'T', 1), (3, 'src', 'status', 'T', 1), (4, 'ref', 'ref', 'T', 1), (5, 'ref', 'id2', 'T', 1), (4, 'ref', 'ref', 'P', 0), (5, 'ref', 'id2', 'P', 0), (9, 'old', 'old', 'O', 0), (21, 'alt', 'k', 'V', 1), (22, 'alt', 'v', 'V', 1), (24, 'hist', 'hk', 'V', 1), (25, 'hist', 'hw', 'V', 1)) e(expr_id, d, c, k, w)
+ WHERE CASE e.k WHEN 'T' THEN {_T} WHEN 'P' THEN o_orderkey % 2 = 1 WHEN 'O' THEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 ELSE o_orderkey % 6 = 1 END""")
 def _(t):
     return pl.attribute_origins(_nodes(t))
 
 
 _CE = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, 'src' || (o_custkey % 9) AS source_dataset, e.s AS source_column, 'tab' || (o_custkey % 50) AS target_dataset, e.t AS target_column, e.k AS transform_type, e.x AS expression
-  FROM {{orders}}, (VALUES ('id', 'id', 'DIRECT', NULL), ('price', 'total', 'AGGREGATE', 'sum(dbl)'), ('status', 'flag', 'DIRECT', NULL), ('id', 'id', 'JOIN', '(id = id2)')) e(s, t, k, x) WHERE o_orderkey % 2 = 0
+  FROM {{orders}}, (VALUES ('id', 'id', 'DIRECT', NULL), ('price', 'total', 'AGGREGATE', 'sum(dbl)'), ('status', 'flag', 'DIRECT', NULL), ('id', 'id', 'JOIN', '(id = id2)')) e(s, t, k, x) WHERE {_T}
+ UNION ALL SELECT {_LOGID}, o_orderkey * 3, CASE WHEN e.d = 'alt' THEN 'alt' || (o_custkey % 5) ELSE 'hist' || (o_custkey % 3) END, e.s, 'side' || (o_custkey % 10), e.t, CASE e.t WHEN 'k' THEN 'DIRECT' ELSE 'AGGREGATE' END, CASE e.t WHEN 'run' THEN 'sum(w) windowspecdefinition(k, k ASC NULLS FIRST)' END
+  FROM {{orders}}, (VALUES ('alt', 'k', 'k'), ('hist', 'hk', 'k'), ('alt', 'k', 'run'), ('hist', 'hk', 'run'), ('alt', 'v', 'run'), ('hist', 'hw', 'run')) e(d, s, t) WHERE o_orderkey % 6 = 1
  UNION ALL SELECT {_LOGID}, o_orderkey * 3, 'lake:ref' || (o_orderkey % 7), e.s, 'nn:8020:' || {_NAME}, e.s, 'DIRECT', NULL FROM {{orders}}, (VALUES ('ref'), ('id2')) e(s) WHERE o_orderkey % 2 = 1)"""
 _CCOLS = ["log_id", "root_execution_id", "source_dataset", "source_column", "target_dataset", "target_column", "transform_type", "expression"]
 
@@ -109,26 +118,27 @@ def _(t):
 def _(t):
     n = _nodes(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
-    tgt = pl.query_outputs(n).filter("table_type = 'File'").select(*pl.QUERY, F.col("name").alias("target_dataset"))
-    by_id = w.join(o, [*pl.QUERY, "expr_id"]).select(*pl.QUERY, o["dataset"].alias("source_dataset"), o["column"].alias("source_column"), w["column"].alias("target_column"))
+    tgt = pl.query_outputs(n).filter("table_type = 'File'").select(*pl.WRITE, F.col("name").alias("target_dataset"))
+    by_id = w.join(o, [*pl.WRITE, "expr_id"]).select(*pl.WRITE, o["dataset"].alias("source_dataset"), o["column"].alias("source_column"), w["column"].alias("target_column"))
     by_id = by_id.withColumns({"transform_type": F.lit("DIRECT"), "expression": F.lit(None).cast("string")})
     none = by_id.filter("1 = 0")
     # passed through by expression id; and, where no id is known, by equal name
     i = pl.implicit_column_edges(w, none, by_id, o).withColumn("way", F.lit("id")).unionByName(pl.implicit_column_edges(w, none, none, o).withColumn("way", F.lit("name")))
-    return i.join(tgt, pl.QUERY).groupBy("way", "source_dataset", "source_column", "target_dataset", "target_column").agg(F.count("*").alias("n"))
+    return i.join(tgt, pl.WRITE).groupBy("way", "source_dataset", "source_column", "target_dataset", "target_column").agg(F.count("*").alias("n"))
 
 
-@query("j12_uncovered_columns", f"SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, e.c AS \"column\" FROM {{orders}}, (VALUES ('total'), ('flag')) e(c) WHERE o_orderkey % 2 = 0")
+@query("j12_uncovered_columns", f"SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, e.c AS \"column\" FROM {{orders}}, (VALUES ('total'), ('flag'), ('run')) e(c) WHERE CASE e.c WHEN 'run' THEN o_orderkey % 6 = 1 ELSE {_T} END")
 def _(t):
     n = _nodes(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
-    traced = w.join(o, [*pl.QUERY, "expr_id"]).select(*pl.QUERY, w["column"].alias("target_column"))
-    return pl.uncovered_columns(w, traced).drop("expr_id")
+    traced = w.join(o, [*pl.WRITE, "expr_id"]).select(*pl.WRITE, w["column"].alias("target_column"))
+    return pl.uncovered_columns(w, traced).drop("expr_id", "write_id")
 
 
-@query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL
- UNION ALL SELECT 'read', 'lake:ref' || (o_orderkey % 7), 'ref:string,id2:bigint', count(*) FROM {{orders}} GROUP BY ALL UNION ALL SELECT 'read', 'nn:8020:' || {_NAME}, 'old:int', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 GROUP BY ALL
- UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:unknown,flag:string', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 0 GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
+@query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE {_T} GROUP BY ALL
+ UNION ALL SELECT 'read', 'lake:ref' || (o_orderkey % 7), 'ref:string,id2:bigint', CAST(sum(CASE WHEN o_orderkey % 6 = 3 THEN 2 ELSE 1 END) AS BIGINT) FROM {{orders}} GROUP BY ALL
+ UNION ALL SELECT 'read', 'alt' || (o_custkey % 5), 'k:bigint,v:double', count(*) FROM {{orders}} WHERE o_orderkey % 6 = 1 GROUP BY ALL UNION ALL SELECT 'read', 'hist' || (o_custkey % 3), 'hk:bigint,hw:double', count(*) FROM {{orders}} WHERE o_orderkey % 6 = 1 GROUP BY ALL UNION ALL SELECT 'read', 'nn:8020:' || {_NAME}, 'old:int', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 GROUP BY ALL
+ UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:unknown,flag:string', count(*) FROM {{orders}} WHERE {_T} GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
 def _(t):
     s = pl.query_schemas(_nodes(t))
     text = F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["type"])), ",")
@@ -227,9 +237,12 @@ def _(t):
     return rm.job_runs(x, pl.query_outputs(pl.plan_nodes(x["sql"]))).select("log_id", "app_id", "job_name", "status", "partition_key", F.col("executor_memory_mb").cast("bigint").alias("executor_memory_mb"), *_ACOLS)
 
 
-@query("x11_run_output_metrics", f"""WITH {_TASKS}, {_STG}, r AS (SELECT log_id, CAST(sum(rows_written) AS BIGINT) AS row_count, CAST(sum(bytes_written) AS BIGINT) AS byte_size FROM jm GROUP BY log_id)
- SELECT DISTINCT o.name AS dataset, r.row_count, r.byte_size, replace(o.log_id, 'log-', 'app-') AS app_id, s.status FROM {_OUT} o JOIN r USING (log_id) JOIN {_STATUS} s USING (log_id)""")
+@query("x11_run_output_metrics", f"""WITH {_TASKS}, {_STG}, r AS (SELECT log_id, CAST(sum(rows_written) AS BIGINT) AS row_count, CAST(sum(bytes_written) AS BIGINT) AS byte_size FROM jm GROUP BY log_id),
+ own AS (SELECT 'log-' || o_custkey AS log_id, 'tab' || (o_custkey % 50) AS name, CAST(sum(o_orderkey % 1000) AS BIGINT) AS row_count, CAST(sum(o_custkey * 7) AS BIGINT) AS byte_size FROM {{orders}} WHERE {_T} GROUP BY ALL)
+ SELECT DISTINCT o.name AS dataset, coalesce(w.row_count, r.row_count) AS row_count, coalesce(w.byte_size, r.byte_size) AS byte_size, replace(o.log_id, 'log-', 'app-') AS app_id, s.status
+ FROM {_OUT} o JOIN r USING (log_id) JOIN {_STATUS} s USING (log_id) LEFT JOIN own w USING (log_id, name)""")
 def _(t):
     x = _tables(t)
-    o = pl.query_outputs(pl.plan_nodes(x["sql"]))
-    return rm.run_output_metrics(rm.job_runs(x, o), o).drop("last_updated")
+    n = pl.plan_nodes(x["sql"])
+    o = pl.query_outputs(n)
+    return rm.run_output_metrics(rm.job_runs(x, o), o, rm.write_metrics(x, n)).drop("last_updated")

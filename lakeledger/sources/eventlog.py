@@ -27,6 +27,7 @@ EVENTS = {
     "task": "SparkListenerTaskEnd",
     "sql_start": _SQL + "SparkListenerSQLExecutionStart",
     "sql_end": _SQL + "SparkListenerSQLExecutionEnd",
+    "accums": _SQL + "SparkListenerDriverAccumUpdates",
 }
 # Counter name -> place in a task's metrics.
 TASK_COUNTERS = {
@@ -76,8 +77,10 @@ SCHEMAS = {
     "`Submission Time`:bigint,`Completion Time`:bigint,`Failure Reason`:string>",
     "task": "`Stage ID` bigint, `Stage Attempt ID` bigint, `Task Info` struct<`Task ID`:bigint,`Executor ID`:string,Locality:string,"
     "Failed:boolean,`Launch Time`:bigint,`Finish Time`:bigint>, `Task Metrics` " + _ddl(list(TASK_COUNTERS.values())),
-    "sql_start": "executionId bigint, rootExecutionId bigint, description string, physicalPlanDescription string, time bigint",
+    "sql_start": "executionId bigint, rootExecutionId bigint, description string, physicalPlanDescription string, time bigint,"
+    " sparkPlanInfo struct<nodeName:string,metrics:array<struct<name:string,accumulatorId:bigint,metricType:string>>>",
     "sql_end": "executionId bigint, time bigint, errorMessage string",
+    "accums": "executionId bigint, accumUpdates array<array<bigint>>",
 }
 
 
@@ -192,17 +195,24 @@ class EventTables(dict):
         return events(self.lines, "sql_start").select(
             "log_id", F.col("executionId").alias("execution_id"), F.coalesce("rootExecutionId", "executionId").alias("root_execution_id"),
             "description", F.col("physicalPlanDescription").alias("plan_text"), _ms("time").alias("started_at"),
+            F.col("sparkPlanInfo.metrics").alias("metrics"),
         )
 
-
     def _sql_end(self) -> DataFrame:
         return events(self.lines, "sql_end").select(
             "log_id", F.col("executionId").alias("execution_id"), _ms("time").alias("ended_at"), F.nullif("errorMessage", F.lit("")).alias("error")
         )
 
+    def _accums(self) -> DataFrame:
+        update = events(self.lines, "accums").select("log_id", F.col("executionId").alias("execution_id"), F.explode("accumUpdates").alias("u"))
+        return update.select("log_id", "execution_id", F.try_element_at("u", F.lit(1)).alias("accumulator_id"), F.try_element_at("u", F.lit(2)).alias("value"))
+
 
 def event_tables(lines: DataFrame) -> EventTables:
-    """Tables ``apps environment jobs job_ends stages tasks sql sql_end`` of the logs' lines."""
+    """Tables ``apps environment jobs job_ends stages tasks sql sql_end accums`` of the logs' lines.
+
+    ``sql`` holds the metrics of a plan's top node, the command of a write; ``accums`` their values.
+    """
     return EventTables(lines)
 
 
