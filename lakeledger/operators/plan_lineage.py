@@ -23,9 +23,11 @@ from lakeledger.runtime import checkpoint, ship
 ship(__name__)
 
 QUERY = ["log_id", "root_execution_id"]
-WRITE = [*QUERY, "write_id"]
+WRITE = [*QUERY, "write_id", "write_no"]
 # Paths that a query only reads back from itself.
 STAGING = r"/_temporary/|/_checkpoint/|/\.spark-staging-|/_spark_metadata/"
+# Fixed value: files as Spark names them.
+PART_FILE = r"/part-\d{5}-[0-9a-f\-]{36}[^/]*$"
 # Nodes that write through a catalog of their own.
 V2_WRITES = "CreateTableAsSelect|ReplaceTableAsSelect|ReplaceTable|OverwriteByExpression|AppendData|OverwritePartitionsDynamic"
 
@@ -118,7 +120,8 @@ def _scans(nodes: DataFrame, full_names: bool = False) -> DataFrame:
             F.when(name == "LogicalRelation", table_from_plan(detail, full_names)),
         )
         place = F.when(name.startswith("BatchScan"), name).otherwise(F.nullif(_line(detail, "Location"), F.lit("")))
-        return F.named_struct(F.lit("_table"), table, F.lit("_path"), extract_file_path(place))
+        # a batch of a stream reads single files, which are of the folder they were written to
+        return F.named_struct(F.lit("_table"), table, F.lit("_path"), F.regexp_replace(extract_file_path(place), PART_FILE, ""))
 
     found = bind(F.named_struct(F.lit("name"), F.col("node_name"), F.lit("detail"), F.col("detail")), read)
     return scan.select("*", F.inline(F.array(found))).filter("_table IS NOT NULL OR _path IS NOT NULL")
@@ -144,34 +147,40 @@ def _targets(nodes: DataFrame, full_names: bool = False) -> DataFrame:
 
 
 def execution_writes(nodes: DataFrame) -> DataFrame:
-    """``log_id, root_execution_id, execution_id, write_id``: the write that each writing execution is part of.
+    """``log_id, root_execution_id, execution_id, write_id, commands``: the write that each writing execution is part of.
 
     In the order of a root's executions, one that names a table and writes no files itself is carried on by
     the next, if that names the same table or a path only: then this is how it writes them. All others
-    begin a write. A write is known by its first execution.
+    begin a write. A write is known by its first execution. ``commands`` are the ids of an execution's
+    write commands, more than one where a query inserts into several tables.
     """
-    files = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "execution_id", F.lit(None).cast("string").alias("_table"), F.lit(True).alias("files"), F.lit(False).alias("target"))
-    named = _targets(nodes, True).select(*QUERY, "execution_id", "_table", F.lit(False).alias("files"), F.lit(True).alias("target"))
-    e = named.unionByName(files).groupBy(*QUERY, "execution_id").agg(F.min("_table").alias("name"), F.max("files").alias("files"), F.max("target").alias("target")).filter("target")
+    files = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "execution_id", F.lit(None).cast("string").alias("_table"), F.lit(True).alias("files"), F.lit(None).cast("bigint").alias("command"))
+    named = _targets(nodes, True).select(*QUERY, "execution_id", "_table", F.lit(False).alias("files"), F.col("node_id").alias("command"))
+    e = named.unionByName(files).groupBy(*QUERY, "execution_id").agg(F.min("_table").alias("name"), F.max("files").alias("files"), F.array_sort(F.collect_set("command")).alias("commands")).filter(F.size("commands") > 0)
     along = Window.partitionBy(*QUERY).orderBy("execution_id")
     before = F.lag(F.struct("name", "files")).over(along)
-    same = F.when(F.col("name").isNull(), before["name"].isNotNull() & ~before["files"]).otherwise((last_part(F.col("name")) == last_part(before["name"])) & ~before["files"])
-    first = F.when(before.isNull() | ~F.coalesce(same, F.lit(False)), F.col("execution_id"))
-    return e.select(*QUERY, "execution_id", F.last(first, ignorenulls=True).over(along).alias("write_id"))
+    carried_on = F.col("name").isNull() & before["name"].isNotNull() | (last_part(F.col("name")) == last_part(before["name"]))
+    first = F.when(before.isNull() | before["files"] | ~F.coalesce(carried_on, F.lit(False)), F.col("execution_id"))
+    return e.select(*QUERY, "execution_id", F.last(first, ignorenulls=True).over(along).alias("write_id"), "commands")
 
 
 def write_nodes(nodes: DataFrame) -> DataFrame:
-    """Plan nodes with the ``write_id`` of the write they are part of.
+    """Plan nodes with the ``write_id`` and ``write_no`` of the write they are part of.
 
     Executions of a root that write nothing themselves, such as the plan around a batch, are part of
-    each of its writes; ``write_id`` is null where a root writes nothing.
+    each of its writes; both are null where a root writes nothing. ``write_no`` counts the commands of one
+    execution: in a plan that inserts into several tables a node is numbered up to the command it
+    stands below, and what stands above all of them belongs to none.
     """
     if "write_id" in nodes.columns:
         return nodes
-    of_root = execution_writes(nodes).groupBy(*QUERY).agg(F.collect_list(F.struct("execution_id", "write_id")).alias("_w"))
-    own = F.transform(F.filter("_w", lambda w: w["execution_id"] == F.col("execution_id")), lambda w: w["write_id"])
-    ids = F.when(F.size(own) > 0, own).otherwise(F.array_distinct(F.col("_w.write_id")))
-    return nodes.join(of_root, QUERY, "left").withColumn("write_id", F.explode_outer(ids)).drop("_w")
+    of_root = execution_writes(nodes).groupBy(*QUERY).agg(F.collect_list(F.struct("execution_id", "write_id", "commands")).alias("_w"))
+    none = F.lit(0).cast("int")
+    number = lambda w: F.when(F.size(w["commands"]) > 1, F.size(F.filter(w["commands"], lambda c: c < F.col("node_id")))).otherwise(none)
+    own = F.transform(F.filter("_w", lambda w: w["execution_id"] == F.col("execution_id")), lambda w: F.struct(w["write_id"].alias("write_id"), number(w).alias("write_no")))
+    every = lambda w: F.transform(F.sequence(none, F.size(w["commands"]) - 1), lambda k: F.struct(w["write_id"].alias("write_id"), k.alias("write_no")))
+    ids = F.when(F.size(own) > 0, own).otherwise(F.array_distinct(F.flatten(F.transform("_w", every))))
+    return nodes.join(of_root, QUERY, "left").withColumn("_id", F.explode_outer(ids)).select(*nodes.columns, "_id.*")
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:
@@ -454,8 +463,8 @@ def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         held: list[tuple] = []
-        for (log, root, _), some in groupby(rows, key=lambda r: r[:3]):
-            held += [(log, root, *e) for e in resolved([r[3:] for r in some])]
+        for (log, root, *_), some in groupby(rows, key=lambda r: r[:4]):
+            held += [(log, root, *e) for e in resolved([r[4:] for r in some])]
             if len(held) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _EDGE, strict=True)], schema=_EDGE)
                 held = []

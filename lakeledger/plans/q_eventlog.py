@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeledger.operators import plan_lineage as pl
 from lakeledger.operators import run_metrics as rm
 from lakeledger.plans.registry import query
+from lakeledger.runtime import checkpoint
 from lakeledger.sources.eventlog import EVENTS, event_tables
 
 _NAME = "'out' || (o_custkey % 50)"
@@ -26,6 +27,11 @@ def _nodes(t):
     return pl.plan_nodes(_tables(t)["sql"])
 
 
+def _written(t):
+    """Plan nodes by write, read off the texts once."""
+    return checkpoint(pl.write_nodes(_nodes(t)))
+
+
 @query("s9_event_counts", """SELECT kind, CAST(n AS BIGINT) AS n FROM (SELECT 'app_start' AS kind, count(*) AS n FROM {customer} UNION ALL SELECT 'app_end', count(*) FROM {customer} UNION ALL SELECT 'environment', count(*) FROM {customer}
  UNION ALL SELECT 'job_start', count(*) FROM {orders} UNION ALL SELECT 'job_end', count(*) FROM {orders} UNION ALL SELECT 'stage', 2 * count(*) FROM {orders} UNION ALL SELECT 'task', count(*) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
  UNION ALL SELECT 'sql_start', sum(CASE o_orderkey % 6 WHEN 3 THEN 3 WHEN 5 THEN 1 ELSE 2 END) FROM {orders} UNION ALL SELECT 'accums', count(*) FROM {orders} WHERE o_orderkey % 2 = 0 OR o_orderkey % 6 = 3) x""")
@@ -77,19 +83,19 @@ def _(t):
 
 @query("p11_drop_self_reads", f"SELECT i.* FROM {_IN} i WHERE NOT EXISTS (SELECT 1 FROM {_OUT} o WHERE o.log_id = i.log_id AND o.write_id = i.write_id AND o.name = i.name)")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     return pl.drop_self_reads(pl.query_inputs(n), pl.query_outputs(n)).select(*_COLS)
 
 
 @query("j4_query_edges", f"SELECT * FROM {_EDGE} x")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     return pl.query_edges(pl.query_inputs(n), pl.query_outputs(n))
 
 
 @query("x5_table_edges", f"SELECT source, target, count(*) AS queries FROM {_EDGE} x GROUP BY ALL")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     return pl.query_edges(pl.query_inputs(n), pl.query_outputs(n)).groupBy("source", "target").agg(F.count("*").alias("queries"))
 
 
@@ -98,7 +104,7 @@ def _(t):
  FROM {{orders}}, (VALUES (1, 'src', 'id', 'T', 1), (2, 'src', 'price', 'T', 1), (3, 'src', 'status', 'T', 1), (4, 'ref', 'ref', 'T', 1), (5, 'ref', 'id2', 'T', 1), (4, 'ref', 'ref', 'P', 0), (5, 'ref', 'id2', 'P', 0), (9, 'old', 'old', 'O', 0), (21, 'alt', 'k', 'V', 1), (22, 'alt', 'v', 'V', 1), (24, 'hist', 'hk', 'V', 1), (25, 'hist', 'hw', 'V', 1)) e(expr_id, d, c, k, w)
  WHERE CASE e.k WHEN 'T' THEN {_T} WHEN 'P' THEN o_orderkey % 2 = 1 WHEN 'O' THEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 ELSE o_orderkey % 6 = 1 END""")
 def _(t):
-    return pl.attribute_origins(_nodes(t))
+    return pl.attribute_origins(_nodes(t)).drop("write_no")
 
 
 _CE = f"""(SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, 'src' || (o_custkey % 9) AS source_dataset, e.s AS source_column, 'tab' || (o_custkey % 50) AS target_dataset, e.t AS target_column, e.k AS transform_type, e.x AS expression
@@ -116,7 +122,7 @@ def _(t):
 
 @query("x8_implicit_edges", f"SELECT way, source_dataset, source_column, target_dataset, target_column, count(*) AS n FROM {_CE} x, (VALUES ('id'), ('name')) w(way) WHERE target_dataset LIKE 'nn:%' GROUP BY ALL")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
     tgt = pl.query_outputs(n).filter("table_type = 'File'").select(*pl.WRITE, F.col("name").alias("target_dataset"))
     by_id = w.join(o, [*pl.WRITE, "expr_id"]).select(*pl.WRITE, o["dataset"].alias("source_dataset"), o["column"].alias("source_column"), w["column"].alias("target_column"))
@@ -129,10 +135,10 @@ def _(t):
 
 @query("j12_uncovered_columns", f"SELECT {_LOGID}, o_orderkey * 3 AS root_execution_id, e.c AS \"column\" FROM {{orders}}, (VALUES ('total'), ('flag'), ('run')) e(c) WHERE CASE e.c WHEN 'run' THEN o_orderkey % 6 = 1 ELSE {_T} END")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     w, o = pl.written_columns(n), pl.attribute_origins(n)
     traced = w.join(o, [*pl.WRITE, "expr_id"]).select(*pl.WRITE, w["column"].alias("target_column"))
-    return pl.uncovered_columns(w, traced).drop("expr_id", "write_id")
+    return pl.uncovered_columns(w, traced).drop("expr_id", "write_id", "write_no")
 
 
 @query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE {_T} GROUP BY ALL
@@ -217,7 +223,7 @@ def _(t):
 
 @query("a16_app_io", f"SELECT DISTINCT log_id, 'input' AS side, name FROM {_IN} i UNION ALL SELECT DISTINCT log_id, 'output', name FROM {_OUT} o")
 def _(t):
-    n = _nodes(t)
+    n = _written(t)
     return rm.app_io(pl.query_inputs(n), pl.query_outputs(n))
 
 
@@ -234,7 +240,7 @@ def _(t):
   FROM {{customer}} c LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_job FROM {{orders}} GROUP BY 1) f ON f.o_custkey = c.c_custkey LEFT JOIN am ON am.log_id = 'log-' || c_custkey LEFT JOIN {_STATUS} s ON s.log_id = 'log-' || c_custkey LEFT JOIN {_PK} p ON p.log_id = 'log-' || c_custkey""")
 def _(t):
     x = _tables(t)
-    return rm.job_runs(x, pl.query_outputs(pl.plan_nodes(x["sql"]))).select("log_id", "app_id", "job_name", "status", "partition_key", F.col("executor_memory_mb").cast("bigint").alias("executor_memory_mb"), *_ACOLS)
+    return rm.job_runs(x, pl.query_outputs(_written(t))).select("log_id", "app_id", "job_name", "status", "partition_key", F.col("executor_memory_mb").cast("bigint").alias("executor_memory_mb"), *_ACOLS)
 
 
 @query("x11_run_output_metrics", f"""WITH {_TASKS}, {_STG}, r AS (SELECT log_id, CAST(sum(rows_written) AS BIGINT) AS row_count, CAST(sum(bytes_written) AS BIGINT) AS byte_size FROM jm GROUP BY log_id),
@@ -244,5 +250,5 @@ def _(t):
 def _(t):
     x = _tables(t)
     n = pl.plan_nodes(x["sql"])
-    o = pl.query_outputs(n)
+    o = checkpoint(pl.query_outputs(n))
     return rm.run_output_metrics(rm.job_runs(x, o), o, rm.write_metrics(x, n)).drop("last_updated")

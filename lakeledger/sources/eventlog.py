@@ -28,6 +28,7 @@ EVENTS = {
     "sql_start": _SQL + "SparkListenerSQLExecutionStart",
     "sql_end": _SQL + "SparkListenerSQLExecutionEnd",
     "accums": _SQL + "SparkListenerDriverAccumUpdates",
+    "replans": _SQL + "SparkListenerSQLAdaptiveExecutionUpdate",
 }
 # Counter name -> place in a task's metrics.
 TASK_COUNTERS = {
@@ -67,6 +68,27 @@ def _ddl(paths: list[str]) -> str:
     return "struct<" + ",".join(f"{h}:{_ddl(sub) if sub else 'bigint'}" for h, sub in tree.items()) + ">"
 
 
+#: Levels of a plan's tree below its top that are searched for commands.
+LEVELS = 4
+
+
+def _plan_info(levels: int) -> str:
+    """Type of a plan's tree down to a level; commands stand on top or close to it."""
+    below = f",children:array<{_plan_info(levels - 1)}>" if levels else ""
+    return f"struct<nodeName:string,metrics:array<struct<name:string,accumulatorId:bigint,metricType:string>>{below}>"
+
+
+def _commands(info: Column, levels: int = LEVELS) -> Column:
+    """Name and metrics of the commands in a plan, siblings in their order."""
+    plain = lambda n: F.struct(n["nodeName"].alias("name"), n["metrics"].alias("metrics"))
+    level, found = F.array(info), []
+    for k in range(levels + 1):
+        found.append(F.transform(level, plain))
+        if k < levels:
+            level = F.flatten(F.transform(level, lambda n: F.coalesce(n["children"], F.from_json(F.lit("[]"), f"array<{_plan_info(levels - k - 1)}>"))))  # noqa: B023
+    return F.filter(F.concat(*found), lambda n: n["name"].startswith("Execute ") | n["name"].rlike("^(?:AppendData|Overwrite|Replace|Atomic|CreateTableAs)"))
+
+
 SCHEMAS = {
     "app_start": "`App Name` string, `App ID` string, Timestamp bigint, User string",
     "app_end": "Timestamp bigint",
@@ -77,10 +99,10 @@ SCHEMAS = {
     "`Submission Time`:bigint,`Completion Time`:bigint,`Failure Reason`:string>",
     "task": "`Stage ID` bigint, `Stage Attempt ID` bigint, `Task Info` struct<`Task ID`:bigint,`Executor ID`:string,Locality:string,"
     "Failed:boolean,`Launch Time`:bigint,`Finish Time`:bigint>, `Task Metrics` " + _ddl(list(TASK_COUNTERS.values())),
-    "sql_start": "executionId bigint, rootExecutionId bigint, description string, physicalPlanDescription string, time bigint,"
-    " sparkPlanInfo struct<nodeName:string,metrics:array<struct<name:string,accumulatorId:bigint,metricType:string>>>",
+    "sql_start": "executionId bigint, rootExecutionId bigint, description string, physicalPlanDescription string, time bigint, sparkPlanInfo " + _plan_info(LEVELS),
     "sql_end": "executionId bigint, time bigint, errorMessage string",
     "accums": "executionId bigint, accumUpdates array<array<bigint>>",
+    "replans": "executionId bigint, sparkPlanInfo " + _plan_info(LEVELS),
 }
 
 
@@ -195,7 +217,7 @@ class EventTables(dict):
         return events(self.lines, "sql_start").select(
             "log_id", F.col("executionId").alias("execution_id"), F.coalesce("rootExecutionId", "executionId").alias("root_execution_id"),
             "description", F.col("physicalPlanDescription").alias("plan_text"), _ms("time").alias("started_at"),
-            F.col("sparkPlanInfo.metrics").alias("metrics"),
+            _commands(F.col("sparkPlanInfo")).alias("commands"),
         )
 
     def _sql_end(self) -> DataFrame:
@@ -203,15 +225,19 @@ class EventTables(dict):
             "log_id", F.col("executionId").alias("execution_id"), _ms("time").alias("ended_at"), F.nullif("errorMessage", F.lit("")).alias("error")
         )
 
+    def _replans(self) -> DataFrame:
+        return events(self.lines, "replans").select("log_id", F.col("executionId").alias("execution_id"), _commands(F.col("sparkPlanInfo")).alias("commands"))
+
     def _accums(self) -> DataFrame:
         update = events(self.lines, "accums").select("log_id", F.col("executionId").alias("execution_id"), F.explode("accumUpdates").alias("u"))
         return update.select("log_id", "execution_id", F.try_element_at("u", F.lit(1)).alias("accumulator_id"), F.try_element_at("u", F.lit(2)).alias("value"))
 
 
 def event_tables(lines: DataFrame) -> EventTables:
-    """Tables ``apps environment jobs job_ends stages tasks sql sql_end accums`` of the logs' lines.
+    """Tables ``apps environment jobs job_ends stages tasks sql sql_end replans accums`` of the logs' lines.
 
-    ``sql`` holds the metrics of a plan's top node, the command of a write; ``accums`` their values.
+    ``sql`` holds the commands of a plan with their metrics, ``replans`` those of plans changed while they
+    run, ``accums`` the values of the metrics.
     """
     return EventTables(lines)
 

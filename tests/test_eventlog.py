@@ -28,6 +28,13 @@ s.sql("select stem, upper(string(bed)) as bed_name, mass as weight from south wh
 s.range(3).selectExpr("id as plot", "2.5D as price").write.parquet(wh + "/files/prices")
 s.table("harvest").join(s.read.parquet(wh + "/files/prices"), "plot").write.saveAsTable("sales")
 s.table("south").write.parquet(wh + "/files/copy")
+s.sql("create table left_side (x bigint) using parquet")
+s.sql("create table right_side (y double) using parquet")
+s.sql("from north insert into left_side select tree where tree < 7 insert into right_side select sum(kilos) group by plot")
+def two(df, n):
+    df.where("kilos > 3").write.mode("append").saveAsTable("batch_table")
+    df.select((F.col("kilos") * 2).alias("twice")).write.mode("append").parquet(wh + "/files/batch_file")
+s.readStream.schema("tree long, plot long, kilos double").parquet(wh + "/north").writeStream.foreachBatch(two).option("checkpointLocation", wh + "/ck").trigger(availableNow=True).start().awaitTermination()
 try:
     s.sql("select assert_true(id < 0) from range(2)").write.saveAsTable("never")
 except Exception:
@@ -75,6 +82,7 @@ def test_default_log_is_rolled_and_packed(logs):
 def test_table_edges(nodes):
     assert table_edges(nodes) == {
         ("north", "harvest"), ("south", "harvest"), ("harvest", "ranked"), ("north", "picked"), ("harvest", "rolled"), ("south", "plain"), ("harvest", "sales"), ("prices", "sales"), ("south", "copy"),
+        ("north", "left_side"), ("north", "right_side"), ("north", "batch_table"), ("north", "batch_file"),
     }
 
 
@@ -99,6 +107,19 @@ def test_projection_join_and_copy(column_edges):
     assert column_edges["copy"] == {("south", c, c, "DIRECT") for c in ("stem", "bed", "mass", "picks")}  # B20
 
 
+def test_several_writes_of_one_root(tables, nodes, column_edges):
+    """An insert into two tables is one execution; a batch's writes share a root, and each has outputs and columns of its own."""
+    assert column_edges["left_side"] == {("north", "tree", "x", "DIRECT")}
+    assert column_edges["right_side"] == {("north", "kilos", "y", "AGGREGATE")}
+    outputs = pl.query_outputs(nodes).filter("name IN ('left_side', 'right_side', 'batch_table', 'batch_file')").collect()
+    assert len(outputs) == 4 and len({r.root_execution_id for r in outputs}) == 2
+    assert sorted(r.name for r in outputs if r.table_type == "File") == ["batch_file"]
+    runs = rm.job_runs(tables, pl.query_outputs(nodes))
+    rows = {r.dataset: r.row_count for r in rm.run_output_metrics(runs, pl.query_outputs(nodes), rm.write_metrics(tables, nodes)).collect()}
+    assert (rows["north"], rows["south"], rows["harvest"], rows["plain"]) == (30, 20, 50, 18)
+    assert (rows["left_side"], rows["right_side"], rows["batch_table"], rows["batch_file"]) == (7, 3, 26, 30)
+
+
 def test_types_follow_ids(nodes):
     s = {(r.dataset, r.side): [(f.name, f.type) for f in r.fields] for r in pl.query_schemas(nodes).collect()}
     assert s["copy", "write"] == [("stem", "bigint"), ("bed", "bigint"), ("mass", "double"), ("picks", "array<bigint>")]
