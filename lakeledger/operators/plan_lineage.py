@@ -1,7 +1,7 @@
 """Table and column lineage read off the plan texts in event logs.
 
 The unit of lineage is one write. A root execution may make several, each of one or more nested executions;
-``write_nodes`` tells them apart, and inputs, outputs and columns are met within a write.
+``plan_nodes`` tells them apart, and inputs, outputs and columns are met within a write.
 """
 
 from __future__ import annotations
@@ -42,24 +42,6 @@ def _tree(plan_text: Column) -> Column:
     )
 
 
-def plan_nodes(sql_events: DataFrame) -> DataFrame:
-    """One row per plan node: node_id, node_name, detail, and its place and depth in the tree.
-
-    A nested execution (one command running another) carries the root it belongs to.
-    """
-    parts = F.split(F.concat(F.lit("\n"), "plan_text"), r"\n\n\(")
-    section = F.slice(parts, F.lit(2), F.size(parts))
-    n = sql_events.select(*QUERY, "execution_id", "started_at", _tree(F.col("plan_text")).alias("tree"), F.explode(section).alias("s"))
-    head = F.regexp_extract("s", r"^\d+\) ([^\n]*)", 1)
-    n = n.withColumn("node_id", F.regexp_extract("s", r"^(\d+)\)", 1).try_cast("bigint"))
-    at = F.try_element_at(F.filter("tree", lambda x: x["id"] == F.col("node_id")), F.lit(1))
-    return n.select(
-        *QUERY, "execution_id", "started_at", "node_id",
-        F.trim(F.regexp_replace(head, r"\[codegen id : \d+\]", "")).alias("node_name"),
-        F.regexp_replace("s", r"^[^\n]*\n?", "").alias("detail"), at["place"].alias("place"), at["depth"].alias("depth"),
-    ).filter("node_id IS NOT NULL")
-
-
 def _line(detail: Column, name: str) -> Column:
     """Value of a ``Name: value`` or ``Name [n]: value`` line of a node."""
     return F.regexp_extract(detail, rf"(?m)^{name}(?: \[\d+\])?\s?: (.*)$", 1)
@@ -131,56 +113,95 @@ def _scans(nodes: DataFrame, full_names: bool = False) -> DataFrame:
 _WRITES = rf"^(?:CreateDataSourceTableAsSelectCommand|InsertIntoHadoopFsRelationCommand|SaveIntoDataSourceCommand|SaveAsV1TableCommand|InsertIntoStatement|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"
 
 
-def _command() -> Column:
-    return F.regexp_replace("node_name", "^Execute ", "")
+def _command(name: Column) -> Column:
+    return F.regexp_replace(name, "^Execute ", "")
 
 
-def _targets(nodes: DataFrame, full_names: bool = False) -> DataFrame:
-    """Write commands with the table or path they write."""
-    w = nodes.withColumn("_n", _command()).filter(F.col("_n").rlike(_WRITES) & F.col("detail").contains("Arguments"))
-    args = _field("Arguments")
+def _writes(name: Column, detail: Column) -> Column:
+    """Whether a node is a write command that tells its target."""
+    return _command(name).rlike(_WRITES) & detail.contains("Arguments")
+
+
+def _target(name: Column, detail: Column, full_names: bool) -> Column:
+    """``table, path`` that a write command writes."""
+    args = _line(detail, "Arguments")
     single = F.nullif(F.regexp_extract(args, r"`([^`]+)`", 1), F.lit(""))
-    to_path = F.col("_n").rlike("^(?:InsertIntoHadoopFs|SaveInto)")
+    to_path = _command(name).rlike("^(?:InsertIntoHadoopFs|SaveInto)")
     named = table_from_plan(args, full_names)
-    w = w.withColumns({"_table": F.when(to_path, named).otherwise(F.coalesce(named, single)), "_path": F.when(to_path, extract_file_path(args))})
-    return w.filter("_table IS NOT NULL OR _path IS NOT NULL")
+    return F.struct(F.when(to_path, named).otherwise(F.coalesce(named, single)).alias("table"), F.when(to_path, extract_file_path(args)).alias("path"))
 
 
-def execution_writes(nodes: DataFrame) -> DataFrame:
-    """``log_id, root_execution_id, execution_id, write_id, commands``: the write that each writing execution is part of.
+def _targets(nodes: DataFrame, full_names: bool = False) -> DataFrame:
+    """Write commands with the table or path they write."""
+    w = nodes.filter(_writes(F.col("node_name"), F.col("detail"))).withColumn("_to", _target(F.col("node_name"), F.col("detail"), full_names))
+    return w.withColumns({"_n": _command(F.col("node_name")), "_table": F.col("_to.table"), "_path": F.col("_to.path")}).filter("_table IS NOT NULL OR _path IS NOT NULL")
+
+
+def plan_nodes(sql_events: DataFrame, full_names: bool = False) -> DataFrame:
+    """One row per plan node: node_id, node_name, detail, its place and depth in the tree (X2), and the write it is part of.
+
+    A nested execution (one command running another) carries the root it belongs to. ``write_id`` and ``write_no`` tell
+    the writes of a root apart (``_with_writes``); a node that is part of several has a row for each.
+    """
+    parts = F.split(F.concat(F.lit("\n"), "plan_text"), r"\n\n\(")
+    n = sql_events.select(*QUERY, "execution_id", "started_at", _tree(F.col("plan_text")).alias("tree"), F.slice(parts, F.lit(2), F.size(parts)).alias("s"))
+
+    def node(s: Column) -> Column:
+        node_id = F.regexp_extract(s, r"^(\d+)\)", 1).try_cast("bigint")
+        head = F.regexp_extract(s, r"^\d+\) ([^\n]*)", 1)
+        at = F.try_element_at(F.filter("tree", lambda x: x["id"] == node_id), F.lit(1))
+        return F.struct(
+            node_id.alias("node_id"), F.trim(F.regexp_replace(head, r"\[codegen id : \d+\]", "")).alias("node_name"),
+            F.regexp_replace(s, r"^[^\n]*\n?", "").alias("detail"), at["place"].alias("place"), at["depth"].alias("depth"),
+        )
+
+    n = n.select(*QUERY, "execution_id", "started_at", F.filter(F.transform("s", node), lambda x: x["node_id"].isNotNull()).alias("nodes"))
+    return _with_writes(n).select(*QUERY, "execution_id", "started_at", "_ids", F.inline("nodes")).select(
+        *QUERY, "execution_id", "started_at", "node_id", "node_name", "detail", "place", "depth", F.inline_outer(_node_writes())
+    )
+
+
+def _with_writes(plans: DataFrame) -> DataFrame:
+    """Plans (one row per execution with its ``nodes``) with ``_ids``: the writes they are part of, and their commands.
 
     In the order of a root's executions, one that names a table and writes no files itself is carried on by
     the next, if that names the same table or a path only: then this is how it writes them. All others
-    begin a write. A write is known by its first execution. ``commands`` are the ids of an execution's
-    write commands, more than one where a query inserts into several tables.
-    """
-    files = nodes.filter(F.col("node_name") == "WriteFiles").select(*QUERY, "execution_id", F.lit(None).cast("string").alias("_table"), F.lit(True).alias("files"), F.lit(None).cast("bigint").alias("command"))
-    named = _targets(nodes, True).select(*QUERY, "execution_id", "_table", F.lit(False).alias("files"), F.col("node_id").alias("command"))
-    e = named.unionByName(files).groupBy(*QUERY, "execution_id").agg(F.min("_table").alias("name"), F.max("files").alias("files"), F.array_sort(F.collect_set("command")).alias("commands")).filter(F.size("commands") > 0)
-    along = Window.partitionBy(*QUERY).orderBy("execution_id")
-    before = F.lag(F.struct("name", "files")).over(along)
-    carried_on = F.col("name").isNull() & before["name"].isNotNull() | (last_part(F.col("name")) == last_part(before["name"]))
-    first = F.when(before.isNull() | before["files"] | ~F.coalesce(carried_on, F.lit(False)), F.col("execution_id"))
-    return e.select(*QUERY, "execution_id", F.last(first, ignorenulls=True).over(along).alias("write_id"), "commands")
-
-
-def write_nodes(nodes: DataFrame) -> DataFrame:
-    """Plan nodes with the ``write_id`` and ``write_no`` of the write they are part of.
-
-    Executions of a root that write nothing themselves, such as the plan around a batch, are part of
-    each of its writes; both are null where a root writes nothing. ``write_no`` counts the commands of one
-    execution: in a plan that inserts into several tables a node is numbered up to the command it
-    stands below, and what stands above all of them belongs to none.
+    begin a write. A write is known by its first execution. Executions that write nothing themselves, such as
+    the plan around a batch, are part of each write of their root.
     """
-    if "write_id" in nodes.columns:
-        return nodes
-    of_root = execution_writes(nodes).groupBy(*QUERY).agg(F.collect_list(F.struct("execution_id", "write_id", "commands")).alias("_w"))
+    target = lambda n: F.struct(n["node_id"].alias("id"), _target(n["node_name"], n["detail"], True).alias("at"))
+    commands = F.transform(F.filter("nodes", lambda n: _writes(n["node_name"], n["detail"])), target)
+    found = F.filter(commands, lambda t: t["at"]["table"].isNotNull() | t["at"]["path"].isNotNull())
+    p = plans.withColumn("_to", found).withColumn("_writes", F.size("_to") > 0)
+    p = p.withColumns({"_name": F.array_min(F.col("_to.at.table")), "_files": F.exists("nodes", lambda n: n["node_name"] == "WriteFiles")})
+    root = Window.partitionBy(*QUERY)
+    along = root.orderBy("execution_id")
+    before = F.last(F.when(F.col("_writes"), F.struct("_name", "_files")), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("_before", before)
+    last_name = F.col("_before._name")
+    carried_on = F.col("_name").isNull() & last_name.isNotNull() | (last_part(F.col("_name")) == last_part(last_name))
+    first = F.when(F.col("_writes") & (F.col("_before").isNull() | F.col("_before._files") | ~F.coalesce(carried_on, F.lit(False))), F.col("execution_id"))
+    p = p.withColumn("_id", F.when(F.col("_writes"), F.last(first, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))))
+    own = F.when(F.col("_writes"), F.struct(F.col("_id").alias("write_id"), F.array_sort(F.col("_to.id")).alias("commands"), F.lit(False).alias("all")))
+    every = F.transform(F.collect_set(F.when(F.col("_writes"), F.struct("_id", F.size("_to").alias("n")))).over(root), lambda w: F.struct(w["_id"].alias("write_id"), F.transform(F.sequence(F.lit(1), w["n"]), lambda k: k.cast("bigint")).alias("commands"), F.lit(True).alias("all")))
+    return p.withColumn("_ids", F.when(F.col("_writes"), F.array(own)).otherwise(every))
+
+
+def _node_writes() -> Column:
+    """(write_id, write_no) of a node: in a plan of several commands it counts up to the one the node stands below."""
     none = F.lit(0).cast("int")
-    number = lambda w: F.when(F.size(w["commands"]) > 1, F.size(F.filter(w["commands"], lambda c: c < F.col("node_id")))).otherwise(none)
-    own = F.transform(F.filter("_w", lambda w: w["execution_id"] == F.col("execution_id")), lambda w: F.struct(w["write_id"].alias("write_id"), number(w).alias("write_no")))
-    every = lambda w: F.transform(F.sequence(none, F.size(w["commands"]) - 1), lambda k: F.struct(w["write_id"].alias("write_id"), k.alias("write_no")))
-    ids = F.when(F.size(own) > 0, own).otherwise(F.array_distinct(F.flatten(F.transform("_w", every))))
-    return nodes.join(of_root, QUERY, "left").withColumn("_id", F.explode_outer(ids)).select(*nodes.columns, "_id.*")
+
+    def of(w: Column) -> Column:
+        below = F.when(F.size(w["commands"]) > 1, F.size(F.filter(w["commands"], lambda c: c < F.col("node_id")))).otherwise(none)
+        number = F.when(w["all"], F.sequence(none, F.size(w["commands"]) - 1)).otherwise(F.array(below))
+        return F.transform(number, lambda k: F.struct(w["write_id"].alias("write_id"), k.alias("write_no")))
+
+    return F.array_distinct(F.flatten(F.transform("_ids", of)))
+
+
+def execution_writes(nodes: DataFrame) -> DataFrame:
+    """``log_id, root_execution_id, execution_id, write_id``: the write that each writing execution is part of."""
+    return nodes.filter(_writes(F.col("node_name"), F.col("detail"))).select(*QUERY, "execution_id", "write_id").distinct()
 
 
 def distinct_tables(tables: DataFrame) -> DataFrame:
@@ -193,7 +214,7 @@ def query_inputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
 
     ``write_id`` is null for queries that write nothing.
     """
-    return distinct_tables(_scans(write_nodes(nodes), full_names).select(*WRITE, *_reference(F.col("_table"), F.col("_path"))))
+    return distinct_tables(_scans(nodes, full_names).select(*WRITE, *_reference(F.col("_table"), F.col("_path"))))
 
 
 def query_outputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
@@ -201,7 +222,7 @@ def query_outputs(nodes: DataFrame, full_names: bool = False) -> DataFrame:
 
     Nested executions of one write name it three ways; the catalog name goes before the path.
     """
-    w = _targets(write_nodes(nodes), full_names)
+    w = _targets(nodes, full_names)
     rank = F.when(F.col("_table").isNull(), 3).when(F.col("_n") == "SaveAsV1TableCommand", 2).otherwise(1)
     w = w.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(Window.partitionBy(*WRITE))).filter("_rank = _best")
     return w.select(*WRITE, "started_at", *_reference(F.col("_table"), F.col("_path"))).groupBy(*WRITE, "name", "table_type", "path", "location").agg(
@@ -238,7 +259,7 @@ def _attributes(text: Column) -> Column:
 
 def attribute_origins(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Which dataset column each expression id of a write's plans stands for."""
-    s = _scans(write_nodes(nodes), full_names)
+    s = _scans(nodes, full_names)
     listed = F.coalesce(F.nullif(_field("Output"), F.lit("")), F.regexp_extract("detail", r"Arguments: [^\[\n]*\[([^\]\n]*)\]", 1))
     s = s.select(*WRITE, *_reference(F.col("_table"), F.col("_path")), F.explode(_attributes(_unbracket(listed))).alias("a"))
     # a table named in the logical plan and its scan give the same answer; keep one
@@ -280,10 +301,10 @@ def _below(nodes: DataFrame, wanted: Column) -> DataFrame:
 
     A node that does not say takes those of its first child, which stands on the next line.
     """
-    x = nodes.withColumn("_wanted", wanted)
     plan = [*WRITE, "execution_id"]
     by_plan = Window.partitionBy(*plan)
-    x = _own_output(x.withColumn("_any", F.max("_wanted").over(by_plan)).filter("_any AND place IS NOT NULL"))
+    some = nodes.filter(wanted).select(*plan).distinct()
+    x = _own_output(nodes.filter("place IS NOT NULL").join(some, plan, "left_semi")).withColumn("_wanted", wanted)
     down = by_plan.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
     x = x.withColumn("handed", F.first("output", ignorenulls=True).over(down)).select(*plan, "place", "depth", "node_id", "_wanted", "handed")
     # a parent is the nearest line above one level up; depths grow by three a level, so each level is read on its own
@@ -303,10 +324,10 @@ def written_columns(nodes: DataFrame) -> DataFrame:
     They stand in ``WriteFiles``; a write without it (into another catalog, over JDBC) writes what
     its command's child hands on.
     """
-    n = write_nodes(nodes).filter("write_id IS NOT NULL")
+    n = nodes.filter("write_id IS NOT NULL")
     w = n.filter(F.col("node_name") == "WriteFiles")
     a = w.select(*WRITE, F.explode(_attributes(_unbracket(_field("Input")))).alias("a"))
-    kids = _below(n, _command().rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
+    kids = _below(n, _command(F.col("node_name")).rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
     kids = kids.filter("nth = 0").join(w.select(*WRITE).distinct(), WRITE, "left_anti")
     b = kids.select(*WRITE, F.explode(split_top(F.col("handed"))).alias("x")).select(*WRITE, F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
     return a.unionByName(b).select(*WRITE, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
@@ -322,7 +343,7 @@ def union_links(nodes: DataFrame) -> DataFrame:
 
     A union hands on the ids of its first side; the other sides' columns meet them by position.
     """
-    kids = _below(write_nodes(nodes), F.col("node_name") == "Union").filter("handed IS NOT NULL")
+    kids = _below(nodes, F.col("node_name") == "Union").filter("handed IS NOT NULL")
     x = kids.select(*WRITE, "execution_id", "parent_id", "nth", F.posexplode(split_top(F.col("handed"))).alias("pos", "x"))
     x = x.withColumn("x", _as_attribute(F.col("x")))
     first = x.filter("nth = 0").select(*WRITE, "execution_id", "parent_id", "pos", F.regexp_extract("x", r"#(\d+)L?$", 1).try_cast("bigint").alias("ref_id"))
@@ -337,7 +358,7 @@ def plan_exprs(nodes: DataFrame) -> DataFrame:
     left out, so that nothing counts twice.
     """
     args, name = _field("Arguments"), F.col("node_name")
-    e = write_nodes(nodes).withColumn(
+    e = nodes.withColumn(
         "_list",
         F.when((name == "Project") & F.col("detail").contains("Output ["), _unbracket(_field("Output")))
         .when(name == "Project", _unbracket(args))
@@ -444,7 +465,7 @@ def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     Plans are read with column functions; the facts of a write then meet in one shuffle and are
     resolved in one pass. A write's first output takes the edges (B19).
     """
-    nodes = checkpoint(write_nodes(nodes).filter("write_id IS NOT NULL"))
+    nodes = checkpoint(nodes.filter("write_id IS NOT NULL"))
 
     def fact(df: DataFrame, kind: int, i=None, name=None, body=None, text=None) -> DataFrame:
         value = lambda c, t: F.lit(None).cast(t) if c is None else F.col(c).cast(t)
@@ -479,7 +500,6 @@ def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
 
 def join_keys(nodes: DataFrame) -> DataFrame:
     """Expression ids in the condition of each join."""
-    nodes = write_nodes(nodes)
     logical = nodes.filter(F.col("node_name") == "Join").select(*WRITE, F.regexp_extract("detail", r"Arguments: \w+, (.*)", 1).alias("cond"))
     sides = F.concat(_unbracket(_field("Left keys")), F.lit(" = "), _unbracket(_field("Right keys")))
     physical = nodes.filter(F.col("node_name").rlike(r"^(?:SortMerge|BroadcastHash|ShuffledHash)Join")).select(*WRITE, sides.alias("cond"))
@@ -511,7 +531,7 @@ def query_schemas(nodes: DataFrame) -> DataFrame:
     Rows: query, dataset, side, pruned, captured_at, fields. A scan lists only the columns it
     needs, so read schemas are marked ``pruned``; written ones list names alone.
     """
-    nodes = checkpoint(write_nodes(nodes))
+    nodes = checkpoint(nodes)
     s = _scans(nodes).filter(F.col("detail").contains("ReadSchema"))
     fields = F.transform(
         split_top_type(F.regexp_extract("detail", r"ReadSchema: struct<(.*)>", 1)),
