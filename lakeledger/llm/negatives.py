@@ -345,15 +345,17 @@ def hard_negatives(
         for b in batches:
             tag = (part << 32) + n + np.arange(b.num_rows)
             n += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part), pa.int32()), pa.array(tag, pa.int64())], names=[*b.schema.names, "grp", "tag"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tag, pa.int64())], names=[*b.schema.names, "tag"])
 
     schema = "id bigint, label bigint, vec array<double>, block bigint, floor bigint"
     asked = stored.mapInArrow(home, schema).dropDuplicates(["id", "label", "vec"])
     asked = checkpoint(asked)
     groups = -(-max(1, asked.count()) // ANCHORS)
     # neighbours along the curve ask together; a written table keeps their numbers
-    asked = checkpoint(asked.repartitionByRange(groups, "block", "id").mapInArrow(numbered, schema + ", grp int, tag bigint"))
-    asked = asked.withColumn("windows", F.lit(None).cast("array<bigint>"))
+    asked = checkpoint(asked.repartitionByRange(groups, "block", "id").mapInArrow(numbered, schema + ", tag bigint"))
+    part = F.shiftright("tag", 32)
+    parts = asked.agg(F.coalesce(F.max(part), F.lit(0))).first()[0] + 1
+    asked = asked.withColumns({"grp": F.floor(part * F.lit(groups) / F.lit(parts)).cast("int"), "windows": F.lit(None).cast("array<bigint>")})
     best_rows = checkpoint(_search(asked, stored, zones, width, scale, True, positives))
     opened = best_rows.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("p"))
     again = checkpoint(asked.drop("windows").join(opened, "tag").select("*", F.col("p.score").alias("windows")))
