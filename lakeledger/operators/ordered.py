@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeledger.runtime import checkpoint
+
 DAY_US = 86_400_000_000
 
 
@@ -155,25 +157,50 @@ def neighbours(df: DataFrame, keys: list[str], ts: str, order: list[str], value:
     return out.select(*df.columns, (F.col("_base") + F.col("_i")).alias("number"), F.coalesce("_l", "_p").alias("previous"), F.coalesce("_r", "_f").alias("following"))
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per key: one column for each name in ``shares``.
+#: Parts into which a bucket that holds a wanted rank is cut, and how often.
+PARTS, CUTS = 1_024, 2
+
 
-    Values are counted, then ranked in two steps: some ten thousand ordered buckets of a key at most
-    (128 to a power of two), and inside only those buckets in which a wanted rank lies. Null values
-    do not count; a key without values is left out.
+def ranked_buckets(counts: DataFrame, keys: list[str], wanted: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Buckets of ``counts(keys, _v, _n)`` that hold a wanted rank: their rows, and the ranks asked of them.
+
+    Values fall into ordered buckets (128 to a power of two); of these, and then of their parts, only those in
+    which a wanted rank lies are kept and cut by their own least and greatest value, so that values which
+    lie close together do not stay together. ``wanted`` are structs (name, rank) of the number of values ``_all``.
     """
     x = F.col("_v").cast("double")
-    bucket = (F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 128)).cast("int")
     # floor draws values of both signs towards zero, so buckets stay in the order of their values
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket)
+    counts = counts.withColumn("_b", F.array((F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 128)).cast("int")))
     along = Window.partitionBy(*keys).orderBy("_b")
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     sums = sums.select(*keys, "_b", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.col("_n").alias("_in"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    asked = sums.select("*", F.explode(F.array(*wanted)).alias("w")).filter("w.rank >= _before AND w.rank < _before + _in")
+    for _ in range(CUTS):
+        kept = join_null_safe(counts, asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+        span = kept.groupBy(*keys, "_b").agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PARTS - 1), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS).cast("int"))).otherwise(0)
+        counts = join_null_safe(kept, span, [*keys, "_b"], "inner").withColumn("_s", part).select(*keys, "_v", "_n", "_b", "_s")
+        inside = Window.partitionBy(*keys, "_b").orderBy("_s")
+        parts = counts.groupBy(*keys, "_b", "_s").agg(F.sum("_n").alias("_m")).withColumn("_off", F.sum("_m").over(inside) - F.col("_m"))
+        start = F.col("_before") + F.col("_off")
+        asked = join_null_safe(asked, parts, [*keys, "_b"], "inner").filter((F.col("w.rank") >= start) & (F.col("w.rank") < start + F.col("_m")))
+        asked = asked.select(*keys, F.concat("_b", F.array("_s")).alias("_b"), start.alias("_before"), F.col("_m").alias("_in"), "_all", "w")
+        counts = counts.withColumn("_b", F.concat("_b", F.array("_s"))).drop("_s")
+    return join_null_safe(counts, asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi"), asked
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per key: one column for each name in ``shares``.
+
+    Values are counted, then ranked by ever smaller buckets; only the last ones in which a wanted rank lies are
+    ordered value by value. Null values do not count; a key without values is left out.
+    """
+    counts = checkpoint(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n")))
     place = lambda q: (F.col("_all") - 1) * F.lit(q)
     wanted = [F.struct(F.lit(f"{n}_{side}").alias("name"), f(place(q)).cast("bigint").alias("rank")) for n, q in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
-    asked = sums.select("*", F.explode(F.array(*wanted)).alias("w")).filter("w.rank >= _before AND w.rank < _before + _in")
+    counts, asked = ranked_buckets(counts, keys, wanted)
     inner = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = join_null_safe(counts, asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_upto", F.sum("_n").over(inner))
+    ranked = counts.withColumn("_upto", F.sum("_n").over(inner))
     hits = join_null_safe(asked.select(*keys, "_b", "_before", "_all", "w"), ranked, [*keys, "_b"], "inner")
     at = F.col("w.rank") - F.col("_before")
     hits = hits.filter((at >= F.col("_upto") - F.col("_n")) & (at < F.col("_upto")))

@@ -84,3 +84,18 @@ def test_several_widths_carry_the_same(spark, forward):
     one = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward)
     many = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward, block_us=(60_000_000, 7_200_000_000, 5 * od.DAY_US))
     assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+
+
+def test_quantiles_of_values_that_lie_close_together(spark):
+    """200,000 distinct values near 10^12, one far away, and a constant key: no bucket holds more than a few hundred."""
+    near = spark.range(200_000).select(F.lit("near").alias("k"), (F.lit(10**12) + F.col("id") * 3).alias("v"))
+    df = near.unionByName(spark.createDataFrame([("near", -5), ("flat", 7), ("flat", 7), ("none", None)], "k string, v bigint"))
+    got = {r.k: (r.low, r.mid, r.top) for r in od.quantiles(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "top": 0.99}).collect()}
+    values = [-5.0, *[float(10**12 + 3 * i) for i in range(200_000)]]
+    at = 0.99 * (len(values) - 1)
+    assert got["flat"] == (7.0, 7.0, 7.0) and set(got) == {"near", "flat"}
+    assert got["near"][:2] == (-5.0, values[100_000]) and abs(got["near"][2] - (values[int(at)] + (at % 1) * 3)) < 1e-3
+    counts = df.filter("v IS NOT NULL").groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    wanted = [F.struct(F.lit("mid").alias("name"), F.floor((F.col("_all") - 1) * 0.5).cast("bigint").alias("rank"))]
+    kept, _ = od.ranked_buckets(counts, ["k"], wanted)
+    assert kept.groupBy("k", "_b").count().agg(F.max("count")).first()[0] < 500
