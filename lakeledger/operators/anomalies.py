@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeledger.functions.units import fmt_bytes, percent_change
-from lakeledger.operators.ordered import DAY_US, join_null_safe, quantiles, trailing_sums
+from lakeledger.operators.ordered import DAY_US, Blocks, join_null_safe, quantiles, trailing_sums
 
 # Anomaly types and severities by measure and direction.
 KINDS = {
@@ -60,7 +60,7 @@ def history_stats(
     days: int = 30,
     measures: tuple[str, ...] = ("row_count", "byte_size"),
     exclude_own_job: bool = True,
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
     """Per metric row: size, mean and sample deviation of its scope's last ``days`` days.
 
@@ -199,12 +199,9 @@ def detect(
     days: int = 30,
     exclude_own_job: bool = True,
     drop_ratio: float | None = None,
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
-    """Spikes and drops outside mean ± sigma·std of a history of ``min_points`` or more.
-
-    Where one scope may have millions of loads a day, give ``block_us`` several widths.
-    """
+    """Spikes and drops outside mean ± sigma·std of a history of ``min_points`` or more."""
     return judge(history_stats(metrics, days, measures, exclude_own_job, block_us), measures, sigma, min_points, drop_ratio)
 
 

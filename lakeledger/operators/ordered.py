@@ -1,9 +1,10 @@
 """Running sums, neighbours and as-of lookups along time that no hot key can clog.
 
 A plain window hands every row of one key to one task. Here a key's timeline is
-cut into blocks of fixed width: the window runs inside (key, block), and only one
-summary row per block is carried along the key. A key that holds a third of the
-table is so spread over as many tasks as it has blocks.
+cut into blocks: the window runs inside (key, block), and only one summary row per
+block is carried along the key. The blocks are ranges of (key, time, order) that Spark
+cuts from a sample of the rows, so each holds about as many rows as the next, however
+many a key has in a second. Callers who know the spread of their times may give widths instead.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from lakeledger.runtime import checkpoint
 
 DAY_US = 86_400_000_000
+#: Microseconds a block, one width or several from fine to coarse; None: blocks cut by the rows.
+Blocks = int | tuple[int, ...] | None
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -30,8 +33,23 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
 
 
-def _blocked(df: DataFrame, ts: str, block_us: int) -> DataFrame:
-    return df.withColumn("_blk", F.floor(F.unix_micros(F.col(ts)) / F.lit(block_us)).cast("bigint"))
+def cut_by_rows(df: DataFrame, keys: list[str], ts: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` as a written table with ``_blk``: the range of (keys, ts, order) that a row lies in.
+
+    Ranges ascend along each key and rows of one place lie in one range. There are ``parts`` of them, or as
+    many as the session has shuffle partitions; a key without many rows lies in one or two.
+    """
+    place = [F.col(c) for c in dict.fromkeys([*keys, ts, *order])]
+    ranges = df.repartitionByRange(*place) if parts is None else df.repartitionByRange(parts, *place)
+    return checkpoint(ranges.withColumn("_blk", F.spark_partition_id().cast("bigint")))
+
+
+def _blocked(df: DataFrame, keys: list[str], ts: str, order: list[str], block_us: Blocks) -> tuple[DataFrame, tuple[int, ...]]:
+    """``df`` with ``_blk``, and the given widths."""
+    if block_us is None:
+        return cut_by_rows(df, keys, ts, order), ()
+    widths = (block_us,) if isinstance(block_us, int) else tuple(block_us)
+    return df.withColumn("_blk", F.floor(F.unix_micros(F.col(ts)) / F.lit(widths[0])).cast("bigint")), widths
 
 
 def running_sums(
@@ -40,23 +58,22 @@ def running_sums(
     ts: str,
     order: list[str],
     measures: list[str],
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
     """Replace each measure by its running sum per key in (ts, *order) order, row included.
 
-    Where even one block of one key may be huge, give widths from fine to coarse, such as
-    ``(1_000_000, 3_600_000_000)``: seconds are then summed up along hours, hours along the key.
+    Of widths from fine to coarse, such as ``(1_000_000, 3_600_000_000)``, seconds are summed up along
+    hours, hours along the key.
     """
-    fine, *coarser = (block_us,) if isinstance(block_us, int) else block_us
-    b = _blocked(df, ts, fine)
+    b, widths = _blocked(df, keys, ts, order, block_us)
     bk = [*keys, "_blk"]
     inner = Window.partitionBy(*bk).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = b.groupBy(*bk).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast(df.schema[m].dataType).alias(f"_t_{m}") for m in measures])
-    if coarser:
-        t = totals.select("*", F.timestamp_micros(F.col("_blk") * fine).alias("_at"), *[F.col(f"_t_{m}").alias(f"_o_{m}") for m in measures])
+    if len(widths) > 1:
+        t = totals.select("*", F.timestamp_micros(F.col("_blk") * widths[0]).alias("_at"), *[F.col(f"_t_{m}").alias(f"_o_{m}") for m in measures])
         t = t.withColumnRenamed("_blk", "_no")
-        run = running_sums(t, keys, "_at", [], [f"_t_{m}" for m in measures], tuple(coarser))
+        run = running_sums(t, keys, "_at", [], [f"_t_{m}" for m in measures], widths[1:])
         carry = run.select(*keys, F.col("_no").alias("_blk"), *[(F.col(f"_t_{m}") - F.col(f"_o_{m}")).alias(f"_c_{m}") for m in measures])
     else:
         carry = totals.select(*bk, *[F.sum(f"_t_{m}").over(before).alias(f"_c_{m}") for m in measures])
@@ -82,7 +99,7 @@ def trailing_sums(
     ts: str,
     measures: list[str],
     span_us: int,
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
     """Sums over ``(t - span, t]`` at the time ``t`` of every point.
 
@@ -112,14 +129,10 @@ def carried(
     *,
     forward: bool = False,
     include_self: bool = False,
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
-    """Add ``out``: the nearest non-null ``value`` before the row (after it if ``forward``).
-
-    Widths from fine to coarse split a block that may be huge itself, as in ``running_sums``.
-    """
-    fine, *coarser = (block_us,) if isinstance(block_us, int) else block_us
-    b = _blocked(df, ts, fine)
+    """Add ``out``: the nearest non-null ``value`` before the row (after it if ``forward``)."""
+    b, widths = _blocked(df, keys, ts, order, block_us)
     bk = [*keys, "_blk"]
     flip = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
     inner = (
@@ -131,21 +144,18 @@ def carried(
     pick = F.min_by if forward else F.max_by
     rank = F.when(F.col(value).isNotNull(), F.struct(ts, *order))
     ends = b.groupBy(*bk).agg(pick(value, rank).alias("_t"))
-    if coarser:
-        blocks = ends.select(*keys, F.col("_blk").alias("_no"), F.timestamp_micros(F.col("_blk") * fine).alias("_at"), "_t")
-        carry = carried(blocks, keys, "_at", [], "_t", "_c", forward=forward, block_us=tuple(coarser)).select(*keys, F.col("_no").alias("_blk"), "_c")
+    if len(widths) > 1:
+        blocks = ends.select(*keys, F.col("_blk").alias("_no"), F.timestamp_micros(F.col("_blk") * widths[0]).alias("_at"), "_t")
+        carry = carried(blocks, keys, "_at", [], "_t", "_c", forward=forward, block_us=widths[1:]).select(*keys, F.col("_no").alias("_blk"), "_c")
     else:
         carry = ends.select(*bk, F.last("_t", ignorenulls=True).over(across).alias("_c"))
     x = b.withColumn("_i", F.last(value, ignorenulls=True).over(inner))
     return join_null_safe(x, carry, bk).select(*df.columns, F.coalesce("_i", "_c").alias(out))
 
 
-def neighbours(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, block_us: int = DAY_US) -> DataFrame:
-    """Add ``number`` (from 1 along the key), ``previous`` and ``following`` ``value`` of each row, in one pass.
-
-    Give a written table: it is read twice, once for the rows and once for a summary of each block.
-    """
-    b = _blocked(df, ts, block_us)
+def neighbours(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str) -> DataFrame:
+    """Add ``number`` (from 1 along the key), ``previous`` and ``following`` ``value`` of each row, in one pass."""
+    b = cut_by_rows(df, keys, ts, order)
     bk = [*keys, "_blk"]
     inner = Window.partitionBy(*bk).orderBy(ts, *order)
     across = Window.partitionBy(*keys).orderBy("_blk")
@@ -215,7 +225,7 @@ def as_of(
     probe_ts: str,
     fact_ts: str,
     value: str,
-    block_us: int | tuple[int, ...] = DAY_US,
+    block_us: Blocks = None,
 ) -> DataFrame:
     """Add to each probe the ``value`` of the latest fact at or before it (no range join)."""
     p = probes.select(*keys, F.col(probe_ts).alias("_ts"), F.struct(*probes.columns).alias("_probe"))

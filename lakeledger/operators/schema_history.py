@@ -74,7 +74,7 @@ def build_schema_versions(snapshots: DataFrame, reopen: bool = False) -> DataFra
     else:
         s = snapshots.withColumn("schema_hash", schema_hash(F.col("fields")))
         first = s.groupBy(*_KEY, "schema_hash").agg(F.min("captured_at").alias("valid_from"), F.min_by("fields", "captured_at").alias("fields"))
-    v = checkpoint(first.withColumn("_s", F.struct("schema_hash", "fields", "valid_from")))
+    v = first.withColumn("_s", F.struct("schema_hash", "fields", "valid_from"))
     v = neighbours(v, _KEY, "valid_from", ["schema_hash"], "_s")
     return v.select(
         *_KEY, F.col("number").alias("version_no"), "schema_hash", "fields", "valid_from", F.col("following.valid_from").alias("valid_to"),

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeledger.operators import ordered as od
@@ -99,3 +100,48 @@ def test_quantiles_of_values_that_lie_close_together(spark):
     wanted = [F.struct(F.lit("mid").alias("name"), F.floor((F.col("_all") - 1) * 0.5).cast("bigint").alias("rank"))]
     kept, _ = od.ranked_buckets(counts, ["k"], wanted)
     assert kept.groupBy("k", "_b").count().agg(F.max("count")).first()[0] < 500
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Sixteen ranges, none of them merged."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield 16
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_a_hot_second_is_cut_by_its_rows(spark, many_parts):
+    """Half of the rows are one key's in one second, a fifth of them at one moment: every block holds its share."""
+    n = 40_000
+    at = F.when(F.col("id") % 5 == 0, F.lit(0)).otherwise(F.col("id") * 7 % 1_000_000)
+    hot = spark.range(n).select(F.lit("hot").alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + at).alias("ts"), "id")
+    rest = spark.range(n, 2 * n).select(F.concat(F.lit("k"), (F.col("id") % 500).cast("string")).alias("k"), F.timestamp_micros(F.col("id") * 4_320_000_000).alias("ts"), "id")
+    df = hot.unionByName(rest).withColumn("x", F.col("id") % 13)
+    cut = od.cut_by_rows(df, ["k"], "ts", ["id"])
+    blocks = cut.groupBy("_blk").count().collect()
+    assert len(blocks) == many_parts and max(r["count"] for r in blocks) < 2 * 2 * n / many_parts
+    spans = cut.filter("k = 'hot'").groupBy("_blk").agg(F.min(F.struct("ts", "id")).alias("a"), F.max(F.struct("ts", "id")).alias("z")).orderBy("_blk").collect()
+    assert len(spans) >= 6 and all(a.z < b.a for a, b in zip(spans, spans[1:]))
+    by_key = Window.partitionBy("k").orderBy("ts", "id")
+    upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.sum("x").over(upto).alias("s"), F.row_number().over(by_key).cast("bigint").alias("n"), F.lag("x").over(by_key).alias("p"), F.lead("x").over(by_key).alias("f"))
+    got = od.running_sums(df, ["k"], "ts", ["id"], ["x"]).select("id", F.col("x").alias("s"))
+    got = got.join(od.neighbours(df, ["k"], "ts", ["id"], "x").select("id", F.col("number").alias("n"), F.col("previous").alias("p"), F.col("following").alias("f")), "id")
+    assert got.count() == 2 * n and not got.exceptAll(want).limit(1).count()
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_ranges_carry_like_widths(spark, many_parts, forward):
+    df = spark.createDataFrame([*rows(12), *((None, t, i + 1000, v) for _, t, i, v in rows(13))], "k string, ts timestamp, i int, v int")
+    df = df.unionByName(spark.createDataFrame([("a", None, 5000, 3), ("a", None, 5001, None)], df.schema))
+    by_rows = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward)
+    by_width = od.carried(df, ["k"], "ts", ["i"], "v", "out", forward=forward, block_us=3_600_000_000)
+    assert sorted(map(repr, by_rows.collect())) == sorted(map(repr, by_width.collect()))
+
+
+def test_ranges_of_an_empty_table(spark, many_parts):
+    df = spark.createDataFrame([], "k string, ts timestamp, i int, v int")
+    assert od.neighbours(df, ["k"], "ts", ["i"], "v").count() == od.carried(df, ["k"], "ts", ["i"], "v", "out").count() == od.running_sums(df, ["k"], "ts", ["i"], ["v"]).count() == 0
