@@ -20,6 +20,14 @@ def picked(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores behind it until none of ``columns`` is called so (upper and lower case alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; a missing text counts as an empty one."""
     return [t or "" for t in column.to_pylist()]

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeledger.llm.common import unused
 from lakeledger.runtime import checkpoint
 
 TREE = ["domain", "lang", "source"]
@@ -144,7 +145,8 @@ def mix(
     its budget lasts and of the next one the documents that come first in that epoch's seeded order,
     as many as fit; no document is cut. A document therefore appears up to ``epochs`` times. Null
     languages, sources and ids are values like others; texts without tokens cost nothing and come with
-    the prefix; rows that repeat an id and a text go in together; an empty table gives an empty one.
+    the prefix; rows that repeat an id and a text go in together; an empty table gives an empty one. Where
+    ``docs`` has a column called like one of the three, the new one gets underscores behind its name.
     """
     d = domain.cast("string")
     slim = docs.select(d.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), tokens(F.col(text_col)).alias("tokens"))
@@ -164,8 +166,9 @@ def mix(
     plan = planned.join(ends, _on(planned, ends, TREE), "left").select(*[F.col(k).alias(f"_mix_{k}") for k in TREE], F.col("full").alias("_mix_full"), F.col("end").alias("_mix_end"))
     plan = checkpoint(plan)  # one row a leaf, of known size
     met = d.eqNullSafe(plan["_mix_domain"]) & docs[lang_col].eqNullSafe(plan["_mix_lang"]) & docs[source_col].eqNullSafe(plan["_mix_source"])
-    place = draw_key(seed, F.col("_mix_full"), docs[id_col], docs[text_col])
+    place = draw_key(seed, plan["_mix_full"], docs[id_col], docs[text_col])
     rows = docs.join(plan, met)
-    last = F.col("_mix_full") + F.when(place <= F.col("_mix_end"), F.lit(1)).otherwise(F.lit(0))
+    last = plan["_mix_full"] + F.when(place <= plan["_mix_end"], F.lit(1)).otherwise(F.lit(0))
     epoch = F.explode(F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>")))
-    return rows.select(*[docs[c] for c in docs.columns], epoch.alias("mix_epoch"), F.col("_mix_domain").alias("mix_domain"), tokens(docs[text_col]).alias("mix_tokens"))
+    added = {"mix_epoch": epoch, "mix_domain": plan["_mix_domain"], "mix_tokens": tokens(docs[text_col])}
+    return rows.select(*[docs[c] for c in docs.columns], *[c.alias(unused(name, docs.columns)) for name, c in added.items()])

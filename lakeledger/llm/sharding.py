@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeledger.llm.common import picked
+from lakeledger.llm.common import picked, unused
 from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
@@ -97,3 +97,20 @@ def assign(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col:
     place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("id", "crc", "size")) - 1
     numbered = dealt.withColumn("place", place).join(starts, ["shard", "chunk"])
     return numbered.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("place") + F.col("base")).cast("bigint").alias("slot"))
+
+
+def with_shards(docs: DataFrame, shards: int = 40, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` and, behind them, ``size, text_crc32, shard`` as in ``assign``.
+
+    Whole texts are moved once, to meet their shard by digest; where very many rows share a text adaptive
+    execution splits them, for a digest has one shard. A null text counts as an empty one, repeated rows stay
+    repeated, an empty table gives an empty one. Where ``docs`` has a column called like one of the three,
+    the new one gets underscores behind its name.
+    """
+    text = F.coalesce(docs[text_col], F.lit(""))
+    size = (F.octet_length(text) + ROW_BYTES).cast("bigint")
+    groups = checkpoint(picked(docs, digest=F.sha2(text, 256), size=size).groupBy("digest").agg(F.sum("size").alias("bytes")))
+    to = checkpoint(shards_of_groups(groups, shards).withColumnsRenamed({"digest": "_to_digest", "shard": "_to_shard"}))
+    rows = docs.join(to, F.sha2(text, 256) == to["_to_digest"])
+    added = {"size": size, "text_crc32": F.crc32(text.cast("binary")), "shard": to["_to_shard"]}
+    return rows.select(*[docs[c] for c in docs.columns], *[c.alias(unused(name, docs.columns)) for name, c in added.items()])

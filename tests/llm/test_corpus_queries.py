@@ -6,8 +6,10 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lakeledger.llm import sharding
 from lakeledger.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import table
 
@@ -139,3 +141,35 @@ def test_pipeline_against_plain_steps(spark):
     assert sorted(ids(seen["sharding"])) == sorted(ids(seen["mixing"]))
     final = entry.queries()["pipeline"](spark, DIR)
     assert sorted(map(tuple, final.select(*sorted(final.columns)).collect())) == sorted(map(tuple, seen["sharding"].select(*sorted(final.columns)).collect()))
+
+
+def test_pipeline_keeps_texts_and_columns(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns called like those of the stages; then an empty table."""
+    import corpus_pipeline
+
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{tmp_path}/a/{t}.parquet")
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{tmp_path}/b/{t}.parquet")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumns({c: F.concat(F.lit(f"own {c} "), F.col("doc_id")) for c in ("mix_tokens", "_mix_full", "shard", "_to_shard")})
+    odd = [(None, None, None, None), (7, "", "en", None), (7, "", "en", None), (None, "a text of its own without a source", None, "src0")]
+    odd = spark.createDataFrame(odd, "doc_id bigint, text string, lang string, source string")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert out.columns == [*docs.columns, "size", "text_crc32", "shard_"]
+    rows, given = out.collect(), set(docs.collect())
+    assert rows and all(tuple(r)[: len(docs.columns)] in given for r in rows)
+    shard = {}
+    for r in rows:
+        data = (r.text or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data)) and 0 <= r.shard_ < 40
+        assert shard.setdefault(data, r.shard_) == r.shard_
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_shards_of_rows_are_those_of_assign(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").repartition(7)
+    a = sharding.assign(docs, 40).select("doc_id", "size", "text_crc32", "shard")
+    b = sharding.with_shards(docs, 40).select("doc_id", "size", "text_crc32", "shard")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
