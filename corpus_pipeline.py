@@ -13,29 +13,42 @@ ORACLE_SQL = None
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model of the labels calls toxic go."""
+    """Documents that a model of the labels calls toxic go.
+
+    Null and empty texts have no toxic sentence and stay; rows that repeat an id are each judged by their own text.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~toxicity.held_out("id"))
     return toxicity.clean_rows(docs, model)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays.
+
+    Texts without words (null ones too) are one class. Of rows that are alike in all that tells them apart one stays.
+    """
     return simhash.one_of_each(docs, shingle=3, radius=3)
 
 
 def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item's question and answer go."""
+    """Documents that hold a test item's question and answer go; null and empty texts hold none and stay."""
     return contamination.clean_rows(docs, test_items(spark, sf_dir))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, by the weights of domains, languages and sources; epochs repeat rows."""
-    return mixing.mix(docs, domain(), (1, 2), 4, WEIGHTS).drop("mix_epoch", "mix_domain", "mix_tokens")
+    """Half of the tokens, by the weights of domains, languages and sources; epochs repeat rows.
+
+    Null sources and languages are nodes like others. Columns of ``docs`` stay, whatever their names.
+    """
+    mixed = mixing.mix(docs, domain(), (1, 2), 4, WEIGHTS)
+    return mixed.drop(*mixed.columns[len(docs.columns) :])
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Forty shards of near equal bytes."""
-    return sharding.assign(docs, 40)
+    """Forty shards of near equal bytes: the finished corpus, all columns of ``docs`` and ``size, text_crc32, shard``.
+
+    Equal texts, null as an empty one, share a shard; rows of several epochs stay repeated.
+    """
+    return sharding.with_shards(docs, 40)
 
 
 STAGES = [
