@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lakeledger.functions.naming import last_part, source_table, table_from_plan, transform_type
 from lakeledger.functions.paths import bind, dataset_name_from_path, extract_file_path, generalize_location, normalise_path
-from lakeledger.operators.ordered import join_null_safe
+from lakeledger.operators.plan_types import types_of
 from lakeledger.runtime import checkpoint, ship
 
 ship(__name__)
@@ -250,10 +250,13 @@ def query_edges(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def _attributes(text: Column) -> Column:
-    """(name, id) of each ``name#id`` in a bare attribute list."""
+    """(name, id, long) of each ``name#id`` in a bare attribute list; an ``L`` behind the id marks a bigint."""
     parts = F.filter(F.split(text, ", "), lambda p: p.rlike(r"^.*#\d+L?$"))
     return F.transform(
-        parts, lambda p: F.named_struct(F.lit("name"), F.regexp_extract(p, r"^(.*)#\d+L?$", 1), F.lit("id"), F.regexp_extract(p, r"#(\d+)L?$", 1).cast("bigint"))
+        parts,
+        lambda p: F.named_struct(
+            F.lit("name"), F.regexp_extract(p, r"^(.*)#\d+L?$", 1), F.lit("id"), F.regexp_extract(p, r"#(\d+)L?$", 1).cast("bigint"), F.lit("long"), p.endswith("L")
+        ),
     )
 
 
@@ -290,8 +293,10 @@ def _own_output(nodes: DataFrame) -> DataFrame:
         .when(name == "Aggregate", F.regexp_extract("detail", r"Arguments: \[(?:[^\[\]]|\[[^\]]*\])*\], \[(.*)\]", 1))
         .when(name.rlike("^(?:Hash|Sort|ObjectHash)Aggregate$"), _unbracket(_field("Results")))
         .when(name == "LogicalRelation", F.regexp_extract("detail", r"Arguments: [^\[\n]*\[([^\]\n]*)\]", 1))
-        .when(name.isin("Generate", "Expand"), F.lit(None).cast("string"))
-        .when(~name.rlike("^(?:Window|Union|.*Join|WriteFiles|Execute .*)$"), F.nullif(_unbracket(_field("Input")), F.lit("")))
+        .when(name == "Generate", F.concat_ws(", ", F.nullif(_unbracket(F.try_element_at(split_top(args), F.lit(2))), F.lit("")), _last_list(args)))
+        .when(name == "Expand", _last_list(args))
+        .when(name == "Window", F.concat_ws(", ", F.nullif(_unbracket(_field("Input")), F.lit("")), _first_list(args)))
+        .when(~name.rlike("^(?:Union|.*Join|WriteFiles|Execute .*)$"), F.nullif(_unbracket(_field("Input")), F.lit("")))
     )
     return nodes.withColumn("output", out)
 
@@ -318,19 +323,24 @@ def _below(nodes: DataFrame, wanted: Column) -> DataFrame:
     return kids.withColumn("nth", F.row_number().over(nth) - 1).drop("place")
 
 
-def written_columns(nodes: DataFrame) -> DataFrame:
-    """Columns each write writes, with the expression id behind them.
+def _written_in_order(nodes: DataFrame) -> DataFrame:
+    """pos, name, id and long of the columns each write writes.
 
     They stand in ``WriteFiles``; a write without it (into another catalog, over JDBC) writes what
     its command's child hands on.
     """
     n = nodes.filter("write_id IS NOT NULL")
     w = n.filter(F.col("node_name") == "WriteFiles")
-    a = w.select(*WRITE, F.explode(_attributes(_unbracket(_field("Input")))).alias("a"))
+    a = w.select(*WRITE, F.posexplode(_attributes(_unbracket(_field("Input")))).alias("pos", "a"))
     kids = _below(n, _command(F.col("node_name")).rlike(rf"^(?:SaveIntoDataSourceCommand|InsertIntoDataSourceCommand|InsertIntoHiveTable|(?:Atomic)?(?:{V2_WRITES})\w*)$"))
     kids = kids.filter("nth = 0").join(w.select(*WRITE).distinct(), WRITE, "left_anti")
-    b = kids.select(*WRITE, F.explode(split_top(F.col("handed"))).alias("x")).select(*WRITE, F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
-    return a.unionByName(b).select(*WRITE, F.col("a.name").alias("column"), F.col("a.id").alias("expr_id")).distinct()
+    b = kids.select(*WRITE, F.posexplode(split_top(F.col("handed"))).alias("pos", "x")).select(*WRITE, "pos", F.explode(_attributes(_as_attribute(F.col("x")))).alias("a"))
+    return a.unionByName(b).select(*WRITE, "pos", "a.name", "a.id", "a.long")
+
+
+def written_columns(nodes: DataFrame) -> DataFrame:
+    """Columns each write writes, with the expression id behind them."""
+    return _written_in_order(nodes).select(*WRITE, F.col("name").alias("column"), F.col("id").alias("expr_id")).distinct()
 
 
 def _as_attribute(x: Column) -> Column:
@@ -454,6 +464,11 @@ def resolved(facts: list[tuple]) -> set[tuple]:
     return {(*e, target) for e in explicit | implicit}
 
 
+def _fact(df: DataFrame, kind: int, i: str | None = None, name: str | None = None, body: str | None = None, text: str | None = None) -> DataFrame:
+    value = lambda c, t: F.lit(None).cast(t) if c is None else F.col(c).cast(t)
+    return df.select(*WRITE, F.lit(kind).alias("kind"), value(i, "bigint").alias("id"), value(name, "string").alias("name"), value(body, "string").alias("body"), value(text, "string").alias("text"))
+
+
 def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     """Column-to-column edges of every write.
 
@@ -466,11 +481,7 @@ def column_edges(nodes: DataFrame, full_names: bool = False) -> DataFrame:
     resolved in one pass. A write's first output takes the edges (B19).
     """
     nodes = checkpoint(nodes.filter("write_id IS NOT NULL"))
-
-    def fact(df: DataFrame, kind: int, i=None, name=None, body=None, text=None) -> DataFrame:
-        value = lambda c, t: F.lit(None).cast(t) if c is None else F.col(c).cast(t)
-        return df.select(*WRITE, F.lit(kind).alias("kind"), value(i, "bigint").alias("id"), value(name, "string").alias("name"), value(body, "string").alias("body"), value(text, "string").alias("text"))
-
+    fact = _fact
     typed = lambda df: df.withColumn("kind", transform_type(F.col("body")))
     facts = (
         fact(query_outputs(nodes, full_names), _TARGET, name="name", text="started_at")
@@ -525,11 +536,37 @@ def implicit_column_edges(written: DataFrame, explicit: DataFrame, by_id: DataFr
     return one.unionByName(two.select(*one.columns))
 
 
+_COLUMN_TYPE = pa.schema([("log_id", pa.string()), *((c, pa.int64()) for c in ("root_execution_id", "write_id")), ("write_no", pa.int32()), ("dataset", pa.string()), ("at", pa.int64()), ("names", pa.list_(pa.string())), ("types", pa.list_(pa.string()))])
+
+
+def written_schema(facts: list[tuple]) -> tuple | None:
+    """dataset, moment, names and types of what one write wrote, from its facts (kind, id, name, body, text)."""
+    target, scanned, bodies, columns = [], {}, defaultdict(list), {}
+    for kind, i, name, body, text in facts:
+        if kind == _TARGET:
+            target.append((i, name))
+        elif kind == _ORIGIN:
+            scanned[i] = min(scanned.get(i, text), text)
+        elif kind == _EXPR:
+            bodies[i].append(body)
+        else:
+            columns[int(text)] = (name, i, body == "true")
+    if not target or not columns:
+        return None
+    at, dataset = min(target)
+    listed = [columns[pos] for pos in sorted(columns)]
+    types = types_of([i for _, i, _ in listed], scanned, bodies)
+    return dataset, at, [name for name, _, _ in listed], [types[i] or ("bigint" if long else "unknown") for _, i, long in listed]
+
+
 def query_schemas(nodes: DataFrame) -> DataFrame:
     """Schemas seen by each query: what it read (maybe pruned) and what it wrote.
 
-    Rows: query, dataset, side, pruned, captured_at, fields. A scan lists only the columns it
-    needs, so read schemas are marked ``pruned``; written ones list names alone.
+    Rows: query, dataset, side, pruned, captured_at, fields. A scan lists only the columns it needs, so read
+    schemas are marked ``pruned``. Written ones list what the write's query hands on, into a catalog of its own too;
+    types come from the scans through casts, operators, functions and aggregates (``plan_types``), in one
+    pass over the facts of a write. A column whose type the plan does not tell
+    (a bare literal; rows handed over without types, as in a micro-batch) is ``unknown``.
     """
     nodes = checkpoint(nodes)
     s = _scans(nodes).filter(F.col("detail").contains("ReadSchema"))
@@ -538,27 +575,41 @@ def query_schemas(nodes: DataFrame) -> DataFrame:
         lambda p: F.named_struct(F.lit("name"), F.substring_index(p, ":", 1), F.lit("type"), F.regexp_replace(p, "^[^:]*:", ""), F.lit("nullable"), F.lit(True)),
     )
     read = s.select(*WRITE, F.coalesce("_table", dataset_name_from_path(F.col("_path"))).alias("dataset"), F.lit("read").alias("side"), F.lit(True).alias("pruned"), F.col("started_at").alias("captured_at"), fields.alias("fields"))
-    # a scan's own list ties ids to its types; plain aliases and casts-free projections hand them on
+    # a scan's own list ties ids to its types
     listed = F.transform(_attributes(_unbracket(_field("Output"))), lambda a: F.named_struct(F.lit("id"), a["id"], F.lit("type"), F.try_element_at(F.filter(fields, lambda f: f["name"] == a["name"]), F.lit(1))["type"]))
-    typed = _scans(nodes).filter(F.col("detail").contains("ReadSchema")).select(*WRITE, F.explode(listed).alias("t")).filter("t.type IS NOT NULL")
-    typed = checkpoint(typed.groupBy(*WRITE, F.col("t.id").alias("expr_id")).agg(F.min("t.type").alias("_t")))
-    alias = plan_exprs(nodes).filter(F.col("body").rlike(r"^[^( ]+#\d+L?$"))
-    alias = checkpoint(alias.select(*WRITE, F.col("out_id").alias("expr_id"), _ids(F.col("body"))[0].alias("from_id")).filter("expr_id <> from_id").distinct())
-    known, fresh = typed, typed
-    while not fresh.isEmpty():
-        step = alias.join(fresh.withColumnRenamed("expr_id", "from_id"), [*WRITE, "from_id"]).groupBy(*WRITE, "expr_id").agg(F.min("_t").alias("_t"))
-        fresh = checkpoint(step.join(known, [*WRITE, "expr_id"], "left_anti"))
-        known = known.unionByName(fresh)
-    w = nodes.filter(F.col("node_name") == "WriteFiles").select(*WRITE, "started_at", F.posexplode(_attributes(_unbracket(_field("Input")))).alias("pos", "a"))
-    w = w.select(*WRITE, "started_at", "pos", F.col("a.name").alias("name"), F.col("a.id").alias("expr_id"))
-    w = w.join(known, [*WRITE, "expr_id"], "left")
-    g = w.groupBy(*WRITE, "started_at").agg(F.array_sort(F.collect_list(F.struct("pos", "name", F.coalesce("_t", F.lit("unknown")).alias("type")))).alias("l"))
-    plain = F.transform("l", lambda x: F.named_struct(F.lit("name"), x["name"], F.lit("type"), x["type"], F.lit("nullable"), F.lit(True)))
-    target = query_outputs(nodes).groupBy(*WRITE).agg(F.min_by("name", F.struct("started_at", "name")).alias("dataset"))
-    wrote = g.join(target, WRITE).select(*WRITE, "dataset", F.lit("write").alias("side"), F.lit(False).alias("pruned"), F.col("started_at").alias("captured_at"), plain.alias("fields"))
+    typed = s.filter("write_id IS NOT NULL").select(*WRITE, F.explode(listed).alias("t")).filter("t.type IS NOT NULL").select(*WRITE, "t.id", "t.type").distinct()
+    of_writes = nodes.filter("write_id IS NOT NULL")
+    facts = (
+        _fact(query_outputs(of_writes).withColumn("at", F.unix_micros("started_at")), _TARGET, "at", "name")
+        .unionByName(_fact(typed, _ORIGIN, "id", text="type"))
+        .unionByName(_fact(plan_exprs(of_writes), _EXPR, "out_id", body="body"))
+        .unionByName(_fact(_written_in_order(nodes), _WRITTEN, "id", "name", "long", "pos"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for write, some in groupby(rows, key=lambda r: r[:4]):
+            found = written_schema([r[4:] for r in some])
+            if found:
+                yield pa.RecordBatch.from_pylist([dict(zip(_COLUMN_TYPE.names, (*write, *found), strict=True))], schema=_COLUMN_TYPE)
+
+    met = facts.repartition(*WRITE).sortWithinPartitions(*WRITE)
+    found = met.mapInArrow(run, "log_id string, root_execution_id bigint, write_id bigint, write_no int, dataset string, at bigint, names array<string>, types array<string>")
+    plain = F.zip_with("names", "types", lambda n, t: F.named_struct(F.lit("name"), n, F.lit("type"), t, F.lit("nullable"), F.lit(True)))
+    wrote = found.select(*WRITE, "dataset", F.lit("write").alias("side"), F.lit(False).alias("pruned"), F.timestamp_micros("at").alias("captured_at"), plain.alias("fields"))
     return read.unionByName(wrote)
 
 
+def written_snapshots(schemas: DataFrame, org_id: Column) -> DataFrame:
+    """What queries wrote as snapshots of their datasets, the third origin of a snapshot log.
+
+    ``schemas`` is what ``query_schemas`` gives; event logs know no organisation, so ``org_id`` tells it. A schema with
+    a column of unknown type would look like a change of that type, so it is no snapshot.
+    """
+    known = schemas.filter((F.col("side") == "write") & ~F.exists("fields", lambda f: f["type"] == "unknown"))
+    return known.select(org_id.alias("org_id"), "dataset", "captured_at", "fields").distinct()
+
+
 def split_top_type(text: Column) -> Column:
     """Fields of a struct type text, commas inside nested types left alone."""
     depth = lambda p: F.length(F.regexp_replace(p, r"[^<(]", "")) - F.length(F.regexp_replace(p, r"[^>)]", ""))

@@ -144,7 +144,7 @@ def _(t):
 @query("x12_query_schemas", f"""SELECT 'read' AS side, 'src' || (o_custkey % 9) AS dataset, 'id:bigint,price:double,status:string' AS fields, count(*) AS n FROM {{orders}} WHERE {_T} GROUP BY ALL
  UNION ALL SELECT 'read', 'lake:ref' || (o_orderkey % 7), 'ref:string,id2:bigint', CAST(sum(CASE WHEN o_orderkey % 6 = 3 THEN 2 ELSE 1 END) AS BIGINT) FROM {{orders}} GROUP BY ALL
  UNION ALL SELECT 'read', 'alt' || (o_custkey % 5), 'k:bigint,v:double', count(*) FROM {{orders}} WHERE o_orderkey % 6 = 1 GROUP BY ALL UNION ALL SELECT 'read', 'hist' || (o_custkey % 3), 'hk:bigint,hw:double', count(*) FROM {{orders}} WHERE o_orderkey % 6 = 1 GROUP BY ALL UNION ALL SELECT 'read', 'nn:8020:' || {_NAME}, 'old:int', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 GROUP BY ALL
- UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:unknown,flag:string', count(*) FROM {{orders}} WHERE {_T} GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
+ UNION ALL SELECT 'write', 'tab' || (o_custkey % 50), 'id:bigint,total:double,flag:string', count(*) FROM {{orders}} WHERE {_T} GROUP BY ALL UNION ALL SELECT 'write', 'side' || (o_custkey % 10), 'k:bigint,run:double', count(*) FROM {{orders}} WHERE o_orderkey % 6 = 1 GROUP BY ALL UNION ALL SELECT 'write', 'nn:8020:' || {_NAME}, 'ref:string,id2:bigint', count(*) FROM {{orders}} WHERE o_orderkey % 2 = 1 GROUP BY ALL""")
 def _(t):
     s = pl.query_schemas(_nodes(t))
     text = F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["name"], f["type"])), ",")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from lakeledger.operators import plan_lineage as pl
 from lakeledger.operators import schema_diff as sd
 from lakeledger.operators import schema_history as sh
 from lakeledger.plans.registry import query
+from lakeledger.sources.eventlog import event_tables
 from lakeledger.sources.payloads import parse_schema_ingest
 
 _SNAP = """snap AS (SELECT org_id, dataset, captured_at, string_agg(name || ':' || type || ':' || CAST(nullable AS VARCHAR), ',' ORDER BY pos) AS txt,
@@ -50,10 +52,13 @@ def _text(c="fields"):
 
 @query("e1_snapshot_log", f"""WITH {_SNAP}, msg AS (SELECT 'o1' AS org_id, 'cust' || (o_custkey % 200) AS dataset, (CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400)) AS at_,
    'id:' || CASE WHEN o_orderkey % 3 = 0 THEN 'int' ELSE 'bigint' END || ':true' || CASE WHEN o_orderkey % 3 = 2 THEN ',email:string:false' ELSE '' END AS txt FROM {{orders}})
- SELECT org_id, dataset, {_t('captured_at')} AS captured_at, h AS schema_hash FROM snap UNION ALL SELECT org_id, dataset, {_t('at_')}, max(sha256(txt)) FROM msg GROUP BY org_id, dataset, at_""")
+ SELECT org_id, dataset, {_t('captured_at')} AS captured_at, h AS schema_hash FROM snap UNION ALL SELECT org_id, dataset, {_t('at_')}, max(sha256(txt)) FROM msg GROUP BY org_id, dataset, at_
+ UNION ALL SELECT 'o1', dataset, {_t("TIMESTAMP '2023-11-14 22:13:20' + to_seconds(k)")}, max(sha256(txt)) FROM (SELECT o_orderkey AS k, 'tab' || (o_custkey % 50) AS dataset, 'id:bigint:true,total:double:true,flag:string:true' AS txt FROM {{orders}} WHERE o_orderkey % 2 = 0 OR o_orderkey % 6 = 3
+   UNION ALL SELECT o_orderkey, 'nn:8020:out' || (o_custkey % 50), 'ref:string:true,id2:bigint:true' FROM {{orders}} WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey, 'side' || (o_custkey % 10), 'k:bigint:true,run:double:true' FROM {{orders}} WHERE o_orderkey % 6 = 1) w GROUP BY dataset, k""")
 def _(t):
     msgs = parse_schema_ingest(t("v_schema_payload_json"))[0]
-    log = sh.snapshot_log(msgs, _snap(t))
+    wrote = pl.written_snapshots(pl.query_schemas(pl.plan_nodes(event_tables(t.staged_log())["sql"])), F.lit("o1"))
+    log = sh.snapshot_log(msgs, wrote, _snap(t))
     return log.select("org_id", "dataset", _s("captured_at").alias("captured_at"), "schema_hash")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lakeledger.operators import plan_lineage as pl
 from lakeledger.operators import run_metrics as rm
+from lakeledger.operators import schema_history as sh
+from lakeledger.operators.plan_types import type_of, types_of
 from lakeledger.sources.eventlog import event_tables, read_event_log
 
 APP = """
@@ -123,7 +125,76 @@ def test_several_writes_of_one_root(tables, nodes, column_edges):
 def test_types_follow_ids(nodes):
     s = {(r.dataset, r.side): [(f.name, f.type) for f in r.fields] for r in pl.query_schemas(nodes).collect()}
     assert s["copy", "write"] == [("stem", "bigint"), ("bed", "bigint"), ("mass", "double"), ("picks", "array<bigint>")]
-    assert s["plain", "write"] == [("stem", "bigint"), ("bed_name", "unknown"), ("weight", "double")]
+    assert s["plain", "write"] == [("stem", "bigint"), ("bed_name", "string"), ("weight", "double")]
+
+
+def test_written_schemas_are_those_of_the_files(spark, logs, nodes):
+    """What the plans say of every write of the log, against what lies in its folder."""
+    wh = os.path.join(os.path.dirname(logs), "wh")
+    wrote = {r.dataset: r.fields for r in pl.query_schemas(nodes).filter("side = 'write'").collect()}
+    assert set(wrote) >= {"north", "south", "harvest", "ranked", "picked", "rolled", "plain", "prices", "sales", "copy", "batch_table", "batch_file"}
+    for name, fields in wrote.items():
+        place = next((p for p in (f"{wh}/{name}", f"{wh}/files/{name}", f"{wh}/{name.rsplit(':')[-1]}") if os.path.isdir(p) and any(f.endswith(".parquet") for f in os.listdir(p))), None)
+        if place is None:
+            assert name == "never"
+            continue
+        true = [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(place).schema]
+        got = [(f.name, f.type) for f in fields]
+        if name in ("left_side", "right_side"):  # an insert hands on its own names
+            assert [t for _, t in got] == [t for _, t in true]
+        elif name == "prices":  # a bare literal does not tell its type
+            assert [t for _, t in got] == ["bigint", "unknown"]
+        elif name.startswith("batch_"):  # a micro-batch enters as rows without types; an id's L is all there is
+            assert [t for _, t in got] == [t if t == "bigint" else "unknown" for _, t in true]
+        elif name == "sales":
+            assert dict(got) == dict(true)
+        else:
+            assert got == true, name
+
+
+def test_written_snapshots_enter_the_snapshot_log(spark, nodes):
+    schemas = pl.query_schemas(nodes)
+    log = sh.snapshot_log(pl.written_snapshots(schemas, F.lit("o1")))
+    rows = {r.dataset: r for r in log.collect()}
+    assert "prices" not in rows  # a column of unknown type
+    assert [(f.name, f.type, f.nullable) for f in rows["harvest"].fields] == [("tree", "bigint", True), ("plot", "bigint", True), ("kilos", "double", True)]
+    versions = sh.build_schema_versions(log).filter("dataset = 'harvest'").collect()
+    assert [(v.version_no, v.valid_to) for v in versions] == [(1, None)]
+
+
+EXPRESSIONS = """i + 1 AS a1|l * i AS a2|f / 2 AS a3|d + d AS a4|d * d AS a5|d / d AS a6|d % d AS a7|i div 2 AS a8|-i AS a9|cast(s AS decimal(20, 4)) AS b1|cast(i AS string) AS b2|i > 2 AND s LIKE 'x%' AS b3
+i IN (1, 2, 3) AS b4|NOT (i = 2) AS b5|CASE WHEN i > 1 THEN l WHEN i < 0 THEN i ELSE 0 END AS b6|CASE WHEN i > 1 THEN CASE WHEN i > 5 THEN s ELSE 'y' END ELSE s END AS b7|if(i > 1, f, 0) AS b8|coalesce(s, 'z') AS b9
+upper(s) AS c1|length(s) AS c2|concat(s, 'x') AS c3|concat_ws('-', s, s) AS c4|year(t) AS c5|date_trunc('day', t) AS c6|to_date(t) AS c7|date_format(t, 'yyyy') AS c8|t + INTERVAL 1 DAY AS c9|p[0] AS d1|p[0].x AS d2|m['k'] AS d3|q.x AS d4|q.y.z AS d5
+named_struct('u', i, 'v', s) AS e1|array(i, 2) AS e2|size(p) AS e3|round(d, 1) AS e4|floor(d) AS e5|ceil(f) AS e6|abs(d) AS e7|map_keys(m) AS e8|split(s, ',') AS e9|md5(s) AS g1|s IS NULL AS g2|unix_timestamp(t) AS g3|greatest(i, l) AS g4|float(i) AS g5|d + i AS g6|datediff(t, t) AS g7"""
+AGGREGATES = "sum(i) AS s1|sum(l) AS s2|sum(f) AS s3|sum(d) AS s4|avg(i) AS s5|avg(d) AS s6|count(*) AS s7|count(DISTINCT s) AS s8|min(s) AS s9|max(t) AS t1|collect_list(d) AS t2|stddev(f) AS t3|sum(i) FILTER (WHERE l > 2) AS t4|sum(d * d) AS t5|max_by(s, l) AS t6|first(q) AS t7|sum(i) / count(*) AS t8|approx_count_distinct(s) AS t9"
+WINDOWS = "i|row_number() OVER (PARTITION BY i ORDER BY l) AS w1|rank() OVER (PARTITION BY i ORDER BY l) AS w2|sum(d) OVER (PARTITION BY i) AS w3|lag(s) OVER (PARTITION BY i ORDER BY l) AS w4|percent_rank() OVER (PARTITION BY i ORDER BY l) AS w5|avg(f) OVER (PARTITION BY i) AS w6"
+
+
+@pytest.mark.parametrize("query", [EXPRESSIONS, f"i|{AGGREGATES}", WINDOWS, "i|explode(p) AS x", "*|count(*) OVER (PARTITION BY i) AS w"], ids=["expressions", "aggregates", "windows", "generator", "added window"])
+def test_types_of_expressions(spark, query):
+    """Types read off the printed plan of a query written to another catalog, against those Spark gives it."""
+    root = tempfile.mkdtemp(prefix="lakeledger-types-")
+    rich = "int(id) i, id l, double(id) f, cast(id AS decimal(10, 2)) d, string(id) s, timestamp_seconds(id) t, array(named_struct('x', int(id))) p, map('k', id) m, named_struct('x', int(id), 'y', named_struct('z', string(id))) q"
+    spark.sql(f"SELECT {rich} FROM range(5)").write.parquet(f"{root}/rich")
+    spark.read.parquet(f"{root}/rich").createOrReplaceTempView("rich")
+    columns = query.replace("\n", "|").replace("|", ", ")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    df = spark.sql(f"SELECT {columns} FROM rich" + (" GROUP BY i" if query.endswith(AGGREGATES) else ""))
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    tree, rest = text.split("\n\n\n", 1)
+    first, *lines = tree.split("\n")[1:]
+    tree = "\n".join(["== Physical Plan ==", "AppendData (999)", f"+- {first}", *[f"   {x}" for x in lines]])
+    text = f"{tree}\n\n\n{rest.rstrip()}\n\n(999) AppendData\nArguments: org.apache.X@1, `cat`.`db`.`target`\n"
+    [row] = pl.query_schemas(plan(spark, text)).filter("side = 'write'").collect()
+    assert [(f.name, f.type) for f in row.fields] == [(f.name, f.dataType.simpleString()) for f in df.schema]
+
+
+def test_types_of_deep_and_broken_texts():
+    deep = "(" * 20_000 + "a#1" + " + 1)" * 20_000
+    assert type_of(deep, {1: "int"}) == "int"
+    assert [type_of(x, {1: "int"}) for x in ("", "a#2", "abc", "f(a#1", "a#1)", "CASE WHEN (a#1", "unheard_of(a#1)")] == [None] * 7
+    assert types_of([3], {1: "int"}, {3: ["b#2 AS x"], 2: ["c#3"]})[3] is None  # a circle
+    assert types_of([40_000], {0: "date"}, {i: [f"a#{i - 1}"] for i in range(1, 40_001)})[40_000] == "date"
 
 
 def test_run_metrics(tables, nodes):
