@@ -5,8 +5,10 @@ import json
 import math
 import random
 import time
+from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeledger.llm import licence_texts, licences, toolcalls, topk, warc, wrapper
 
@@ -278,6 +280,44 @@ def test_links_errors_and_json(spark, tools):
     assert by[None, "x"].status == "linked" and by[2, "s"].status == "linked"
 
 
+NUMBERS = ["1", "1.0", "1e0", "10e-1", "100", "1e2", "1.00E+2", "1.5", "1.50", "15e-1", "0", "-0", "0.0", "0e5", "-2.50", "1e-7", "0.0000001", "18446744073709551616", "1.8446744073709551616e19", "12345678901234567890123456789012345678",
+           "123456789012345678901234567890123456789", "1.23456789012345678901234567890123456789e38", "1e400", "10e399", "-1e400", "1e-400", "0.5e400", "1.25e1", "1e38", "1e37", "1e39", "123456789012345678901234567890.123456789012345"]
+
+
+def test_equal_numbers_are_written_alike(spark):
+    df = spark.createDataFrame([(x, f'[{x}, {{"b": {x}, "a": "{x} \\" {x}"}}]') for x in NUMBERS], "x string, text string")
+    got = {r.x: r.json for r in df.select("x", toolcalls.canonical_json(F.col("text")).alias("json")).collect()}
+    forms = {}
+    for x, text in got.items():
+        number = text[1 : text.index(",")]
+        assert text == f'[{number},{{"a":"{x} \\" {x}","b":{number}}}]'  # numbers in strings stay
+        assert Decimal(number) == Decimal(x) and " " not in number
+        forms.setdefault(Decimal(x), set()).add(number)
+    assert all(len(f) == 1 for f in forms.values()) and forms[Decimal(1)] == {"1"} and forms[Decimal(100)] == {"100"} and forms[Decimal(0)] == {"0"}
+    assert forms[Decimal(2**64)] == {str(2**64)} and forms[Decimal("1e400")] == {"1e400"} and forms[Decimal("1e-7")] == {"0.0000001"}
+    bad = spark.createDataFrame([(x,) for x in ("01.0", "1.", "1.e5", ".5e1", "-", "1.5.2", "1e999999999999999999999", '"1.50', "", "1.50 x", "{} {", "1] x [2", '1} x {"v":2', '1, "w": 2', "1, 2", "null", " [ 1 ]\n", None)], "text string")
+    assert [r[0] for r in bad.select(toolcalls.canonical_json(F.col("text"))).collect()] == [None] * 6 + ["1e999999999999999999999"] + [None] * 8 + ["null", "[1]", None]
+    long = spark.createDataFrame([('{"t": "' + "1.0 \\\\n" * 300_000 + '", "n": 2.0}',)], "text string").select(toolcalls.canonical_json(F.col("text"))).first()[0]
+    assert long.startswith('{"n":2,') and len(long) > 300_000 * 5
+
+
+def test_types_and_allowed_values(spark):
+    rows = [("f", "n", "integer|null", True, None), ("f", "x", "number", False, None), ("f", "s", "string", False, ['"a"', "1.0", '{"b": 2e0, "a": []}', "{bad"]), ("f", "e", "array|object|integer", False, []), ("f", "u", "unheard", False, None)]
+    tools = spark.createDataFrame(rows, SCHEMAS + ", allowed array<string>")
+    mark = hashlib.md5(b"x").hexdigest()
+    given = {
+        '{"n": 1.0}': [], '{"n": 1e2}': [], '{"n": 18446744073709551616}': [], '{"n": 1e400, "x": 1.5e400}': [], '{"n": null}': [], '{"n": 1.5}': ["not integer|null: n"], '{"n": 1e-400}': ["not integer|null: n"], '{"n": 1.25e1}': ["not integer|null: n"],
+        '{"n": 1, "x": 12345678901234567890123456789012345678.25}': [], '{"n": 1, "x": "1.0"}': ["not number: x"], f'{{"n": "#number {mark} 1e400"}}': ["not integer|null: n"], '{"n": 1, "s": "a"}': [], '{"n": 1, "s": 1}': ["not string: s"],
+        '{"n": 1, "s": "b"}': ["not allowed: s"], '{"n": 1, "s": {"a": [], "b": 2.0}}': ["not string: s"], '{"n": 1, "e": 2}': ["not allowed: e"], '{"n": 1, "e": true}': ["not array|object|integer: e", "not allowed: e"], '{"n": 1, "u": 5}': [], '{"x": 1}': ["missing n"],
+    }
+    calls = spark.createDataFrame([(i, "c", 1, "f", a, None) for i, a in enumerate(given)], CALLS)
+    results = spark.createDataFrame([(i, "c", 2, "2.50") for i in range(len(given))], RESULTS)
+    got = {r.conv_id: r for r in toolcalls.link(calls, results, tools, allowed_col="allowed").collect()}
+    assert [got[i].errors for i in range(len(given))] == list(given.values())
+    assert '"arguments":{"n":1e400,"x":1.5e400}' in got[3].message and f'{{"n":"#number {mark} 1e400"}}' in got[10].message
+    assert all('"content":2.5,' in r.message for r in got.values())
+
+
 def test_places_follow_dependencies(spark, tools):
     r = random.Random(6)
     calls, needs = [], {}
