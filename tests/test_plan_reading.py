@@ -64,3 +64,11 @@ def test_messages_are_made_in_parts_of_equal_rows(spark, monkeypatch):
     parts = registry.dealt(spark.range(1000).coalesce(1).toDF("k")).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 11
     assert max(r["count"] for r in parts) <= 100
+
+
+def test_write_nodes_tell_outputs_and_writes(spark):
+    nodes = pl.plan_nodes(eventlog.event_tables(_lines(spark, 6))["sql"])
+    some = pl.write_nodes(nodes)
+    assert 0 < some.count() < nodes.count()
+    assert sorted(pl.query_outputs(some).collect()) == sorted(pl.query_outputs(nodes).collect()) != []
+    assert sorted(pl.execution_writes(some).collect()) == sorted(pl.execution_writes(nodes).collect()) != []
