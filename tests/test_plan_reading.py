@@ -72,3 +72,37 @@ def test_write_nodes_tell_outputs_and_writes(spark):
     assert 0 < some.count() < nodes.count()
     assert sorted(pl.query_outputs(some).collect()) == sorted(pl.query_outputs(nodes).collect()) != []
     assert sorted(pl.execution_writes(some).collect()) == sorted(pl.execution_writes(nodes).collect()) != []
+
+
+def _log_of_orders(spark, folder):
+    spark.sql("SELECT id AS c_custkey FROM range(3)").write.parquet(f"{folder}/customer.parquet")
+    spark.sql("SELECT IF(id = 11, null, id) AS o_orderkey, id % 3 AS o_custkey FROM range(12)").write.parquet(f"{folder}/orders.parquet")
+    spark.sql("SELECT id % 12 AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 2.0D AS l_quantity, 'R' AS l_returnflag, 'O' AS l_linestatus FROM range(24)").write.parquet(f"{folder}/lineitem.parquet")
+    return registry.Tables(spark, str(folder))("v_event_lines")
+
+
+def test_rows_behind_the_lines_are_dealt_out_once(spark, tmp_path):
+    lines = _log_of_orders(spark, tmp_path)
+    n = {r.event: r["count"] for r in lines.groupBy(F.get_json_object("value", "$.Event").alias("event")).count().collect()}
+    # an order without a key gives lines without a text where no condition asks for the key
+    sql = eventlog.EVENTS["sql_start"]
+    assert n == {**{eventlog.EVENTS[k]: 3 for k in ("app_start", "environment", "app_end")}, **{eventlog.EVENTS[k]: 11 for k in ("job_start", "job_end")}, eventlog.EVENTS["stage"]: 22, sql: 23, eventlog.EVENTS["accums"]: 8, eventlog.EVENTS["task"]: 22, None: 4}
+    ran = lines.agg(F.max("log_id"), F.max("value"))
+    ran.collect()
+    plan = ran._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # customers and orders once each for all their lines
+    assert plan.count("RoundRobinPartitioning") - plan.count("ReusedExchange") <= 2
+    assert plan.count("ReusedExchange") >= 10
+
+
+def test_events_are_read_off_each_line_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    lines = _lines(spark, 5).select("log_id", F.udf(count, "string").asNondeterministic()("value").alias("value"))
+    staged = eventlog.stage_event_log(lines, str(tmp_path / "log"))
+    assert staged.count() == 6
+    assert seen.value == 9
