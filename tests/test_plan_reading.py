@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from lakeledger.operators import plan_lineage as pl
+from lakeledger.operators import run_metrics
 from lakeledger.plans import registry
 from lakeledger.sources import eventlog
 
@@ -106,3 +107,45 @@ def test_events_are_read_off_each_line_once(spark, tmp_path):
     staged = eventlog.stage_event_log(lines, str(tmp_path / "log"))
     assert staged.count() == 6
     assert seen.value == 9
+
+
+WRITE = "log_id string, root_execution_id bigint, write_id bigint, write_no int, name string, table_type string, path string, location string"
+
+
+def test_inputs_meet_the_outputs_of_their_write_once(spark):
+    row = lambda write, name, kind="File", at=None, log="l": (log, 1, write, 0, name, kind, at, at)
+    inputs = spark.createDataFrame(
+        [row(1, "a", at="/in/a"), row(1, "out", at="/x/out"), row(1, "t", "Table"), row(1, "b", at="/w/out/"), row(1, "c", at="/s/_temporary/0"), row(2, "out", at="/x/out"), row(None, "a", at="/in/a"), row(1, "n", log=None)], WRITE
+    )
+    outputs = spark.createDataFrame([row(1, "out", at="/w/out"), row(1, "t", "Table"), row(1, "side", "Table"), row(1, "n", log=None)], WRITE)
+    # its own name and place and staging paths go; a table of a written name stays, as do writes without outputs
+    left = pl.drop_self_reads(inputs, outputs)
+    assert left.columns == inputs.columns
+    assert {(r.log_id, r.write_id, r["name"]) for r in left.collect()} == {("l", 1, "a"), ("l", 1, "t"), ("l", 2, "out"), ("l", None, "a"), (None, 1, "n")}
+    edges = pl.query_edges(inputs, outputs)
+    assert {(r.source, r.target) for r in edges.collect()} == {(s, t) for s in ("a", "t") for t in ("out", "t", "side")}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_table_nodes_tell_inputs_and_outputs(spark):
+    nodes = pl.plan_nodes(eventlog.event_tables(_lines(spark, 6).union(spark.createDataFrame([("log-9", _line("sql_start", executionId=1, physicalPlanDescription="== Physical Plan ==\nFilter (1)\n\n\n(1) Filter\nCondition : x", time=1))], "log_id string, value string")))["sql"])
+    some = pl.table_nodes(nodes)
+    assert 0 < some.count() < nodes.count()
+    assert sorted(pl.query_inputs(some).collect()) == sorted(pl.query_inputs(nodes).collect()) != []
+    assert sorted(pl.query_outputs(some).collect()) == sorted(pl.query_outputs(nodes).collect()) != []
+
+
+def test_first_named_output_of_the_best_rank_is_the_target():
+    origin, written = (pl._ORIGIN, 1, "src", "c", None), (pl._WRITTEN, 1, "c", None, None)
+    targets = [(pl._TARGET, 3, "file", "/f", "2024-01-01"), (pl._TARGET, 1, "late", None, "2024-01-03"), (pl._TARGET, 1, "early", None, "2024-01-02"), (pl._TARGET, 1, "early", None, None)]
+    assert {e[-1] for e in pl.resolved([*targets, origin, written])} == {"early"}
+    assert pl.resolved([origin, written]) == set()
+
+
+def test_tasks_are_read_off_their_lines_once(spark, tmp_path):
+    t = eventlog.event_tables(eventlog.stage_event_log(_log_of_orders(spark, tmp_path), str(tmp_path / "log")))
+    plan = run_metrics.full_job_metrics(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Stage Info" in plan
+    assert "Task Info" not in plan
+    assert "Job ID" not in plan
