@@ -45,3 +45,13 @@ def test_words_missed_hide_no_path_or_table(spark):
     assert [r.p for r in got] == ["gs://b/k", "dbfs:/m", "file:/a", "file:///c", "rel/x", "/loc/a", "wasb://u@h/p", None, None, None, None, None, None, None]
     assert [(r.n, r.f) for r in got][9:12] == [("c", "b.c"), ("c", "a.b.c"), ("t", "hive_metastore.db.t")]
     assert [r.s for r in got][12:] == ["t", None]
+
+
+def test_written_schemas_are_handed_on_together(spark, monkeypatch):
+    """Some batches of many schemas, not one for each write, and none lost where a batch ends."""
+    monkeypatch.setattr(pl, "SCHEMAS", 3)
+    text = "== Physical Plan ==\nExecute InsertIntoHadoopFsRelationCommand (3)\n+- WriteFiles (2)\n   +- Scan parquet db.t (1)\n\n\n(1) Scan parquet db.t\nOutput [1]: [a#1]\nLocation: InMemoryFileIndex [file:/wh/t]\nReadSchema: struct<a:int>\n\n(2) WriteFiles\nInput [1]: [a#1]\n\n(3) Execute InsertIntoHadoopFsRelationCommand\nArguments: file:/wh/out, false"
+    rows = [(f"l{k}", 1, 1, text) for k in range(10)]
+    sql = spark.createDataFrame(rows, "log_id string, root_execution_id bigint, execution_id bigint, plan_text string").withColumn("started_at", F.lit(0).cast("timestamp")).coalesce(1)
+    found = pl.query_schemas(pl.plan_nodes(sql)).filter("side = 'write'")
+    assert sorted((r.log_id, r.dataset, [tuple(f) for f in r.fields]) for r in found.collect()) == [(f"l{k}", "out", [("a", "int", True)]) for k in range(10)]
