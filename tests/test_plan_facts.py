@@ -74,3 +74,14 @@ def test_a_write_is_resolved_where_its_plans_were_dealt_to(spark):
     for df in (edges, schemas, pl.query_inputs(nodes), pl.query_outputs(nodes), pl.attribute_origins(nodes), pl.written_columns(nodes)):
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_plans_keep_the_nodes_that_columns_are_read_off(spark):
+    file = "== Physical Plan ==\nExecute InsertIntoHadoopFsRelationCommand (4)\n+- WriteFiles (3)\n   +- Project (2)\n      +- Scan parquet d.s (1)\n\n\n(1) Scan parquet d.s\nOutput [2]: [a#1, b#2]\n\n(2) Project\nOutput [1]: [a#1]\nInput [2]: [a#1, b#2]\n\n(3) WriteFiles\nInput [1]: [a#1]\n\n(4) Execute InsertIntoHadoopFsRelationCommand\nArguments: file:/wh/out, false"
+    plans = _plans(spark, TREE, 2).unionByName(_plans(spark, file, 2).withColumn("log_id", F.lit("file")))
+    whole, few = pl.plan_nodes(plans), pl.plan_nodes(plans, only=pl.COLUMNS)
+    # a plan that hands on what it writes is kept whole, as its children tell it
+    assert sorted(r["count"] for r in few.groupBy("log_id").count().collect()) == [4, 4, 6]
+    for read in (pl.written_columns, pl.attribute_origins, pl.query_outputs):
+        assert sorted(read(few).collect()) == sorted(read(whole).collect()) != []
+    assert {(r.log_id, r.column, r.expr_id) for r in pl.written_columns(few).collect()} == {("l0", "a", 1), ("l1", "a", 1), ("file", "a", 1)}
